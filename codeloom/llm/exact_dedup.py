@@ -58,6 +58,7 @@ class DedupState:
             "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
             "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
             "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "300",
+            "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
             "spark.sql.shuffle.partitions": self.spark.conf.get("spark.sql.shuffle.partitions"),
         }.items():
             own.conf.set(k, v)
