@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from codeloom.llm import exact_dedup
+from codeloom.llm import decontaminate, exact_dedup, language_id, sharding, token_count
 
 QUERIES = {
+    "op2_language_id": language_id.op2_language_id,
+    "op3_token_counts": token_count.op3_token_counts,
+    "op4_sharding": sharding.op4_sharding,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
+    "op10_decontaminate": decontaminate.op10_decontaminate,
 }
-ORACLES = {"op8_exact_dedup": exact_dedup.ORACLE}
+ORACLES = {"op4_sharding": sharding.oracle(), "op8_exact_dedup": exact_dedup.ORACLE, "op10_decontaminate": decontaminate.ORACLE}
