@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from codeloom.llm import decontaminate, exact_dedup, jaccard_join, language_id, sharding, token_count
+from codeloom.llm import decontaminate, exact_dedup, jaccard_join, language_id, sharding, suffix_dedup, token_count
 
 QUERIES = {
     "op2_language_id": language_id.op2_language_id,
     "op3_token_counts": token_count.op3_token_counts,
     "op4_sharding": sharding.op4_sharding,
+    "op7_suffix_dedup": suffix_dedup.op7_suffix_dedup,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     "op9_jaccard_join": jaccard_join.op9_jaccard_join,
     "op10_decontaminate": decontaminate.op10_decontaminate,
 }
-ORACLES = {"op4_sharding": sharding.oracle(), "op8_exact_dedup": exact_dedup.ORACLE, "op9_jaccard_join": jaccard_join.ORACLE, "op10_decontaminate": decontaminate.ORACLE}
+ORACLES = {"op4_sharding": sharding.oracle(), "op7_suffix_dedup": suffix_dedup.ORACLE, "op8_exact_dedup": exact_dedup.ORACLE, "op9_jaccard_join": jaccard_join.ORACLE, "op10_decontaminate": decontaminate.ORACLE}

@@ -21,8 +21,8 @@ from codeloom.llm.common import rows_of, unpack
 
 #: Keys that one bucket gets, on average.
 BUCKET_KEYS = 1_500_000
-#: (ids, starts, raw) of a block to keys and the number of its documents that hold each, both by ascending key.
-KeysOf = Callable[[np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
+#: (ids, starts, raw, and any further column of the blocks as an int64 array) of a block to keys and the number of its documents that hold each, both by ascending key.
+KeysOf = Callable[..., tuple[np.ndarray, np.ndarray]]
 
 
 def bucket_bits(total_keys: int) -> int:
@@ -41,8 +41,8 @@ def repeated_keys(blocks: DataFrame, keys_of: KeysOf, bits: int) -> DataFrame:
     """
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, ids, ends, text in rows_of(batches):
-            keys, n = keys_of(*unpack(ids, ends, text))
+        for block, ids, ends, text, *more in rows_of(batches):
+            keys, n = keys_of(*unpack(ids, ends, text), *(np.array(x or [], np.int64) for x in more))
             fp = prefixes(keys, bits)
             if not len(fp):
                 continue
