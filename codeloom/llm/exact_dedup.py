@@ -82,7 +82,7 @@ class DedupState:
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest=sha256) -> DataFrame:
-    """One row per input row: doc_id, keep_id, group_size, kept, text_sha256, keep_file, keep_row.
+    """One row per input row: id, keep_id, group_size, kept, text_sha256, keep_file, keep_row, file, row.
 
     Texts are equal when identical after each run of white space is replaced by one space; null counts as empty. Of equal
     texts the row with the smallest id is kept, null ids last; of repeated rows with that id, the one that comes first by
@@ -94,7 +94,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     slim = stored(rows.select("id", "ord", "file", "row", digest(F.col("raw")).alias("digest"), sha256(F.col("raw")).alias("sha")), "digests")
     total = slim.count()
     if not total:
-        return slim.select(F.col("id").alias(id_col), F.col("id").alias("keep_id"), F.lit(0).cast("long").alias("group_size"), F.lit(True).alias("kept"), F.col("sha").alias("text_sha256"), F.col("file").alias("keep_file"), F.col("row").alias("keep_row"))
+        return slim.select(F.col("id").alias(id_col), F.col("id").alias("keep_id"), F.lit(0).cast("long").alias("group_size"), F.lit(True).alias("kept"), F.col("sha").alias("text_sha256"), F.col("file").alias("keep_file"), F.col("row").alias("keep_row"), "file", "row")
     state = DedupState(spark)
     state.ingest(slim.inputFiles()[0].rsplit("/", 1)[0], slim.schema)
     groups = stored(state.table(), "groups")
@@ -122,9 +122,28 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.col("sha").alias("text_sha256"),
         F.col("keeper.file").alias("keep_file"),
         F.col("keeper.row").alias("keep_row"),
+        "file",
+        "row",
     )
 
 
+def first_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs that exact_dedup keeps, with all their columns. Rows are met again by file and row number, so null
+    and repeated ids are safe; docs that are no plain file scan are written first."""
+    rows = docs
+    if not rows.inputFiles() or any(not x.lower().endswith(".parquet") for x in rows.inputFiles()[:1]):
+        rows = stored(docs, "docs")
+    try:
+        located = rows.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    except Exception as e:
+        if "UNRESOLVED_COLUMN" not in str(e) and "FIELD_NOT_FOUND" not in str(e):
+            raise
+        rows = stored(docs, "docs")
+        located = rows.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    gone = exact_dedup(rows, id_col, text_col).filter(~F.col("kept")).select(F.col("file").alias("_file"), F.col("row").alias("_row"))
+    return located.join(gone, ["_file", "_row"], "left_anti").select(*docs.columns)
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(read_table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
