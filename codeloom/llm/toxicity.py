@@ -1,8 +1,9 @@
 """Operator 5: toxicity by gradient-boosted trees over dense features, with isotonic calibration.
 
-Labelled rows are split by a hash of their id: one part learns a lexicon of words and word beginnings by their odds
-between the labels, the next fits the trees on dense features, the last calibrates their margins. The model then scores
-every whole text from the text alone.
+Labelled rows are dealt to folds by a hash of their id. A lexicon of words and word beginnings is learned by their odds
+between the labels, once without each fold and once from all; a row's dense features come from the lexicon without its
+fold. Trees fitted without a fold give that fold's margins, on which the calibration is fitted; the trees in use are
+fitted on all rows. The model then scores every whole text from the text alone.
 """
 
 from __future__ import annotations
@@ -21,8 +22,9 @@ from codeloom.llm.common import crc_of_id, read_table
 #: Labelled rows that training uses at most, on average of the hash sample.
 MAX_ROWS = 16_000
 #: Entries of the learned lexicon at most, those with the best odds; and documents that an entry must occur in at least.
-MAX_LEXICON, MIN_DOCS = 20_000, 5
+MAX_LEXICON, MIN_DOCS = 20_000, 3
 MIN_ODDS = 1.6
+FOLDS = 5
 BEGINNINGS = (4, 5, 6)
 NEAR = 5
 MEMO = 400_000
@@ -88,49 +90,64 @@ class Model:
         return np.clip(self.curve(self.trees.margin(features)), 0.0, 1.0)
 
 
-def _features(rows: DataFrame, lexicon: dict[str, float]) -> DataFrame:
-    """rows (label, part, text) to (label, part, x)."""
-    shared = rows.sparkSession.sparkContext.broadcast(lexicon)  # at most MAX_LEXICON entries
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        extract = Extractor(shared.value)
-        for b in batches:
-            x = pa.array([extract(t) for t in b.column(2).to_pylist()], pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), x], ["label", "part", "x"])
-
-    return rows.mapInArrow(run, "label int, part int, x array<double>")
+def _lexicon(counts: list[tuple[str, int, int, int]], totals: dict[tuple[int, int], int], without: int) -> dict[str, float]:
+    """Entries by their odds between the labels, from all folds but one."""
+    size = [sum(n for (label, fold), n in totals.items() if label == y and fold != without) for y in (0, 1)]
+    sums: dict[str, list[int]] = {}
+    for entry, fold, yes, n in counts:
+        if fold != without:
+            own = sums.setdefault(entry, [0, 0])
+            own[0] += yes
+            own[1] += n - yes
+    odds = {e: float(np.log((yes + 0.5) / (size[1] + 1)) - np.log((no + 0.5) / (size[0] + 1))) for e, (yes, no) in sums.items() if yes >= MIN_DOCS}
+    best = sorted((e for e, o in odds.items() if o > MIN_ODDS), key=lambda e: (-odds[e], e))
+    return {e: odds[e] for e in best[:MAX_LEXICON]}
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = MAX_ROWS) -> Model:
     """Fits the model on documents with a label of 0 or 1. Null labels and ids teach nothing; of contradicting labels of
     one id the larger counts. Only a hash sample of at most about max_rows labels is used, which bounds all that reaches
-    the driver."""
+    the driver. Without both labels every text scores 0.5."""
     own = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).filter("id is not null and label in (0, 1)").groupBy("id").agg(F.max("label").alias("label"))
     n = own.count()
     h = F.pmod(F.xxhash64("id", F.lit(5)), F.lit(1_000_003))
     sample = own.filter(h < min(1.0, max_rows / max(1, n)) * 1_000_003)
-    part = F.pmod(F.xxhash64("id", F.lit(6)), F.lit(20))
-    part = F.when(part < 9, 0).when(part < 16, 1).otherwise(2)  # lexicon, trees, calibration
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(sample), "id").select("label", part.alias("part"), "text")
+    fold = F.pmod(F.xxhash64("id", F.lit(6)), F.lit(FOLDS)).cast("int")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(sample), "id").select("label", fold.alias("fold"), "text")
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            seen = [(label, e) for label, text in zip(b.column(0).to_pylist(), b.column(2).to_pylist()) for e in {e for w in set(WORDS.findall((text or "").lower())) for e in entries(w)}]
-            yield pa.RecordBatch.from_arrays([pa.array([s[0] for s in seen], pa.int32()), pa.array([s[1] for s in seen], pa.string())], ["label", "entry"])
+            for label, fold, text in zip(*(c.to_pylist() for c in b.columns)):
+                seen = list({e for w in set(WORDS.findall((text or "").lower())) for e in entries(w)})
+                yield pa.RecordBatch.from_arrays([pa.array([label] * len(seen), pa.int32()), pa.array([fold] * len(seen), pa.int32()), pa.array(seen, pa.string())], ["label", "fold", "entry"])
 
-    totals = {r[0]: r[1] for r in rows.filter("part = 0").groupBy("label").agg(F.count(F.lit(1))).collect()}
-    if len(totals) < 2:
+    totals = {(r[0], r[1]): r[2] for r in rows.groupBy("label", "fold").agg(F.count(F.lit(1))).collect()}
+    if {label for label, _ in totals} != {0, 1}:
         return Model({}, Boosted().fit(np.zeros((0, len(FEATURES))), np.zeros(0)), Isotonic().fit(np.zeros(0), np.zeros(0)))
-    counts = rows.filter("part = 0").mapInArrow(words, "label int, entry string").groupBy("entry").agg(F.sum("label").alias("yes"), F.count(F.lit(1)).alias("n")).filter(F.col("yes") >= MIN_DOCS)
-    odds = F.log((F.col("yes") + 0.5) / (totals[1] + 1)) - F.log((F.col("n") - F.col("yes") + 0.5) / (totals[0] + 1))
-    lexicon = {r[0]: r[1] for r in counts.select("entry", odds.alias("odds")).filter(F.col("odds") > MIN_ODDS).orderBy(F.desc("odds"), "entry").limit(MAX_LEXICON).collect()}
-    data = _features(rows.filter("part > 0"), lexicon).toArrow()  # bounded by max_rows
+    by_fold = rows.mapInArrow(words, "label int, fold int, entry string").groupBy("entry", "fold").agg(F.sum("label").alias("yes"), F.count(F.lit(1)).alias("n"))
+    # Entries that can reach MIN_DOCS and MIN_ODDS with some fold left out; at most max_rows texts' words.
+    sums = F.sum("yes"), F.sum("n") - F.sum("yes")
+    may = by_fold.groupBy("entry").agg(sums[0].alias("y"), sums[1].alias("z"), F.collect_list(F.struct("fold", "yes", "n")).alias("f"))
+    counts = [(r[0], f[0], f[1], f[2]) for r in may.filter(F.col("y") >= MIN_DOCS).filter("y > z / 8").select("entry", "f").toLocalIterator() for f in r[1]]
+    lexicons = [_lexicon(counts, totals, k) for k in (*range(FOLDS), -1)]
+    shared = docs.sparkSession.sparkContext.broadcast(lexicons)  # at most FOLDS + 1 times MAX_LEXICON entries
+
+    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        extract = [Extractor(x) for x in shared.value]
+        for b in batches:
+            x = pa.array([extract[k](t) for k, t in zip(b.column(1).to_pylist(), b.column(2).to_pylist())], pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), x], ["label", "fold", "x"])
+
+    # Each row's features come from a lexicon that has not met it.
+    data = rows.mapInArrow(features, "label int, fold int, x array<double>").toArrow()  # bounded by max_rows
     x = np.array(data["x"].to_pylist(), float).reshape(-1, len(FEATURES))
-    y, part = data["label"].to_numpy(), data["part"].to_numpy()
-    order = np.lexsort((*x.T, y, part))  # the same order of rows in every run
-    x, y, part = x[order], y[order], part[order]
-    trees = Boosted().fit(x[part == 1], y[part == 1])
-    return Model(lexicon, trees, Isotonic().fit(trees.margin(x[part == 2]), y[part == 2]))
+    y, fold = data["label"].to_numpy(), data["fold"].to_numpy()
+    order = np.lexsort((*x.T, y, fold))  # the same order of rows in every run
+    x, y, fold = x[order], y[order], fold[order]
+    margin = np.zeros(len(y))
+    for k in range(FOLDS):
+        margin[fold == k] = Boosted().fit(x[fold != k], y[fold != k]).margin(x[fold == k])
+    return Model(lexicons[-1], Boosted().fit(x, y), Isotonic().fit(margin, y))
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", score_col: str = "score") -> DataFrame:
