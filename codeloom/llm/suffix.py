@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import numpy as np
 
-from codeloom.llm.fm_index import suffix_array as doubled
 
 #: Induction works bucket by bucket; a reduced text over more symbols than this is sorted by prefix doubling.
 MAX_ALPHABET = 1024
@@ -15,16 +14,44 @@ def suffix_types(text: np.ndarray) -> np.ndarray:
     n = len(text)
     s_type = np.ones(n, bool)
     if n > 1:
+        rises = text[:-1] < text[1:]
         differ = np.flatnonzero(text[:-1] != text[1:])
-        s_type[differ] = text[differ] < text[differ + 1]
-        # Within a run of equal symbols the type is that of the run's last symbol.
-        after = np.searchsorted(differ, np.arange(n - 1))
-        inside = after < len(differ)
-        s_type[: n - 1][inside] = s_type[differ[after[inside]]]
-        s_type[: n - 1][~inside] = False  # a run that reaches the end: each suffix is larger than its shorter rest
+        # Within a run of equal symbols the type is that of the run's last symbol. In a run that reaches the end each
+        # suffix is larger than its shorter rest.
+        run = np.diff(np.r_[-1, differ])
+        s_type[: int(run.sum())] = np.repeat(rises[differ], run)
+        s_type[int(run.sum()) : n - 1] = False
     return s_type
 
 
+def doubled(text: np.ndarray) -> np.ndarray:
+    """Suffix array by prefix doubling that only sorts again the suffixes whose place is still open."""
+    n = len(text)
+    order = np.argsort(text, kind="stable")
+    ranked = text[order]
+    head = np.r_[True, ranked[1:] != ranked[:-1]]
+    # A suffix's rank is where its group begins; a group of one is at its place.
+    rank = np.empty(n + 1, np.int64)
+    rank[n] = -1
+    rank[order] = np.maximum.accumulate(np.where(head, np.arange(n), 0))
+    k = 1
+    while k < n:
+        alone = head & np.r_[head[1:], True]
+        at = np.flatnonzero(~alone)
+        if not len(at):
+            break
+        members = order[at]
+        key = rank[members] * (n + 1) + rank[np.minimum(members + k, n)] + 1
+        by = np.argsort(key, kind="stable")
+        members, key = members[by], key[by]
+        order[at] = members
+        new = np.r_[True, key[1:] != key[:-1]]
+        head[at] = new
+        rank[members] = np.maximum.accumulate(np.where(new, at, 0))
+        k *= 2
+    return order
+
+
 class _Buckets:
     def __init__(self, text: np.ndarray, sigma: int):
         self.count = np.bincount(text, minlength=sigma)
@@ -105,18 +132,21 @@ def induced(text: np.ndarray, sigma: int) -> np.ndarray:
     # Names: equal LMS substrings get equal numbers.
     length = np.ones(n, np.int32)
     length[lms[:-1]] = np.diff(lms) + 1
-    a, z = ranked[:-1], ranked[1:]
-    same = length[a] == length[z]
+    sizes = length[ranked]
+    same = sizes[:-1] == sizes[1:]
     live, step = np.flatnonzero(same), 0
+    a, z, left = ranked[:-1][live], ranked[1:][live], sizes[:-1][live]
     while len(live):
-        live = live[length[a[live]] > step]
-        bad = text[a[live] + step] != text[z[live] + step]
-        same[live[bad]] = False
-        live, step = live[~bad], step + 1
+        equal = text[a + step] == text[z + step]
+        same[live[~equal]] = False
+        step += 1
+        keep = equal & (left > step)
+        live, a, z, left = live[keep], a[keep], z[keep], left[keep]
     name = np.empty(n, np.int32)
     name[ranked] = np.cumsum(np.r_[0, ~same])
     reduced = name[lms]
     top = int(reduced.max()) + 1
+    reduced = reduced.astype(np.uint16) if top <= MAX_ALPHABET else reduced
     if top == len(lms):
         order = np.empty(len(lms), np.int64)
         order[reduced] = np.arange(len(lms))
@@ -139,7 +169,7 @@ def permuted_lcp(text: np.ndarray, sa: np.ndarray, stop: int = 0) -> np.ndarray:
     A position whose left neighbours agree takes its left neighbour's value less 1; only the others are compared.
     """
     n = len(text)
-    before = np.empty(n, np.int64)
+    before = np.empty(n, np.int32)
     before[sa[1:]] = sa[:-1]
     before[sa[0]] = -1
     pos = np.arange(n)
@@ -147,14 +177,18 @@ def permuted_lcp(text: np.ndarray, sa: np.ndarray, stop: int = 0) -> np.ndarray:
     derived[derived] = (text[pos[derived] - 1] == text[before[derived] - 1]) & (text[pos[derived] - 1] != stop)
     # The rule holds where the left neighbour has the neighbour's left as its own predecessor.
     derived[1:] &= before[:-1] == before[1:] - 1
-    value = np.zeros(n, np.int64)
+    value = np.zeros(n, np.int32)
     live, step = np.flatnonzero(~derived & (before >= 0)), 0
+    other = before[live]
+    longer = np.append(text, stop)  # ends every comparison
     while len(live):
-        i, j = live + step, before[live] + step
-        inside = (i < n) & (j < n)
-        live, i, j = live[inside], i[inside], j[inside]
-        live = live[(text[i] == text[j]) & (text[i] != stop)]
-        value[live] += 1
-        step += 1
+        left = longer[live + step]
+        go = (left == longer[np.minimum(other + step, n)]) & (left != stop)
+        value[live[~go]] = step
+        live, other, step = live[go], other[go], step + 1
+        inside = live + step <= n
+        if not inside.all():
+            value[live[~inside]] = step
+            live, other = live[inside], other[inside]
     source = np.maximum.accumulate(np.where(derived, -1, pos))
     return np.where(derived, np.maximum(value[np.maximum(source, 0)] - (pos - source), 0), value)

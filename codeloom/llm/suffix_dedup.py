@@ -124,9 +124,9 @@ def _shard(table: pa.Table, length: int) -> pa.Table:
     # One text: chunks as byte + 2 with a 1 after each, and a 0 at the end.
     csize, cbegin = size[lead], (end - size)[lead]
     at = np.cumsum(csize + 1) - (csize + 1)
-    text = np.ones(int((csize + 1).sum()) + 1, np.int32)
+    text = np.ones(int((csize + 1).sum()) + 1, np.uint16)
     inside = np.arange(int(csize.sum())) - np.repeat(np.cumsum(csize) - csize, csize)
-    text[np.repeat(at, csize) + inside] = raw[np.repeat(cbegin, csize) + inside].astype(np.int32) + 2
+    text[np.repeat(at, csize) + inside] = raw[np.repeat(cbegin, csize) + inside].astype(np.uint16) + 2
     text[-1] = 0
     sa = induced(text, 258)
     plcp = permuted_lcp(text, sa, stop=1)
