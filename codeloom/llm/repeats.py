@@ -20,13 +20,13 @@ from pyspark.sql import functions as F
 from codeloom.llm.common import rows_of, unpack
 
 #: Keys that one bucket gets, on average.
-BUCKET_KEYS = 1_500_000
+BUCKET_KEYS = 400_000
 #: (ids, starts, raw, and any further column of the blocks as an int64 array) of a block to keys and the number of its documents that hold each, both by ascending key.
 KeysOf = Callable[..., tuple[np.ndarray, np.ndarray]]
 
 
 def bucket_bits(total_keys: int) -> int:
-    return max(4, min(24, (max(1, total_keys) // BUCKET_KEYS).bit_length()))
+    return max(7, min(24, (max(1, total_keys) // BUCKET_KEYS).bit_length()))
 
 
 def prefixes(keys: np.ndarray, bits: int) -> np.ndarray:

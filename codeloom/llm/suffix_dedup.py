@@ -32,7 +32,7 @@ GRAM = 16
 #: Longer runs of windows with one minimiser are cut, as in text of one repeated byte.
 RUN = 256
 #: Shards for each bucket of repeats.py, as a power of two; keeps a shard at a few MB of text.
-SHARD_BITS = 4
+SHARD_BITS = 2
 
 
 def window_runs(raw: np.ndarray, starts: np.ndarray, length: int, gram: int, skip: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
