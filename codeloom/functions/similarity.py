@@ -8,9 +8,10 @@ import difflib
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([difflib.SequenceMatcher(None, (x or "").lower(), (y or "").lower()).ratio() for x, y in zip(a, b)], dtype="float64")
 
@@ -23,7 +24,7 @@ def sequence_ratio(a: Column | str, b: Column | str) -> Column:
     return F.when(prefix, F.greatest(_ratio(a, b), F.lit(0.85))).otherwise(_ratio(a, b))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _diff(path: pd.Series, old: pd.Series, new: pd.Series) -> pd.Series:
     def one(p, a, b):
         return "".join(difflib.unified_diff((a or "").splitlines(True), (b or "").splitlines(True), f"a/{p}", f"b/{p}"))
@@ -35,7 +36,7 @@ def unified_diff(path: Column | str, old: Column | str, new: Column | str) -> Co
     return _diff(path, old, new)
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(T.BooleanType())
 def python_parses(code: pd.Series) -> pd.Series:
     """Whether a text is valid Python."""
 
