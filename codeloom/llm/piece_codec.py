@@ -12,11 +12,11 @@ reaches each position that way, and it is the library's result (the tests compar
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,7 +24,8 @@ from pyspark.sql import functions as F
 from codeloom.llm.common import read_table
 
 SPACE = "▁"
-MEMO, MEMO_CHARS = 400_000, 48
+RUNS = re.compile(rf"{SPACE}+[^{SPACE}]*").findall
+MEMO, MEMO_CHARS = 600_000, 48
 PAIRS = 2_000_000
 #: Subtracted from the least score of a unigram model for a character outside the vocabulary; the library's value.
 UNKNOWN_PENALTY = 10.0
@@ -49,13 +50,18 @@ class Vocabulary:
     def _set(self, pieces: dict[str, tuple[int, float]], byte_ids: list[int], unknown: int, bpe: bool) -> None:
         self.pieces, self.byte_ids, self.unknown, self.bpe = pieces, byte_ids, unknown, bpe
         self.longest = max(map(len, pieces), default=1)
+        #: What a string is: bit 0 a proper beginning of a piece, bit 1 a piece.
+        self.kind = dict.fromkeys((p[:k] for p in pieces for k in range(1, len(p))), 1)
+        for p in pieces:
+            self.kind[p] = self.kind.get(p, 0) | 2
         self.text = {i: p for p, (i, _) in pieces.items()}
         self.byte_of = {i: b for b, i in enumerate(byte_ids)}
         self.least = min((s for _, s in pieces.values()), default=0.0) - UNKNOWN_PENALTY
         #: Pieces hold this mark only at their start (or hold nothing else), so a text can be cut before it.
         self.cuts = all(SPACE not in p.lstrip(SPACE) for p in pieces)
         self.line_feed = any("\n" in p for p in pieces)
-        self.pairs: dict[tuple[str, str], bool] = {}
+        self.pairs: dict[str, dict[str, bool]] = {}
+        self.n_pairs = 0
 
     def merged(self, text: str) -> list[str]:
         """Characters of a short string after all merges, lowest rank first, leftmost among equals."""
@@ -72,12 +78,13 @@ class Vocabulary:
         return parts
 
     def compatible(self, left: str, right: str) -> bool:
-        found = self.pairs.get((left, right))
+        own = self.pairs.setdefault(left, {})
+        found = own.get(right)
         if found is None:
-            if len(self.pairs) > PAIRS:
-                self.pairs.clear()
-            found = self.merged(left + right) == ([left, right] if left else [right])
-            self.pairs[left, right] = found
+            if self.n_pairs > PAIRS:
+                self.pairs, self.n_pairs = {}, 0
+            found = own[right] = self.merged(left + right) == ([left, right] if left else [right])
+            self.n_pairs += 1
         return found
 
     def ids(self, piece: str) -> list[int]:
@@ -88,53 +95,66 @@ class Vocabulary:
 
 
 class StreamEncoder:
-    """Encodes characters as they come; push() and end() return the ids that have become final."""
+    """Encodes characters as they come; push() and end() return the ids that have become final.
+
+    A start is expanded once the characters of the longest piece after it are known (or the text has ended): it offers
+    each piece that begins there to the piece's end. Offers stop where no piece has the characters read so far.
+    """
 
     CHECK = 64
 
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
-        self.chars = ""  # from the last committed boundary on
-        self.back, self.last, self.score = [0], [""], [0.0]
+        self._reset("")
+
+    def _reset(self, last: str) -> None:
+        self.chars, self.at = "", 0  # from the last committed boundary on; the next start to expand
+        self.back, self.last, self.score = [0], [last], [0.0]
 
     def push(self, text: str) -> list[int]:
+        self.chars += text
         out: list[int] = []
-        for c in text:
-            self.chars += c
-            self._step()
-            if len(self.chars) % self.CHECK == 0:
-                out += self._commit(max(0, len(self.chars) - self.v.longest + 1))
+        while self.at + self.v.longest <= len(self.chars):  # in steps of CHECK starts
+            self._expand(min(self.at + self.CHECK, len(self.chars) - self.v.longest + 1))
+            out += self._commit()
         return out
 
     def end(self) -> list[int]:
-        out = self._commit(len(self.chars))
-        self.back, self.last, self.score = [0], [""], [0.0]
+        self._expand(len(self.chars))
+        out = self._commit()
+        self._reset("")
         return out
 
-    def _step(self) -> None:
-        v, j = self.v, len(self.chars)
-        best = None
-        for i in range(max(0, j - v.longest), j):
-            piece = self.chars[i:j]
-            found = v.pieces.get(piece)
-            if found is None and len(piece) > 1:
-                continue
-            if v.bpe:
-                if v.compatible(self.last[i], piece):
-                    best = (0.0, i)
+    def _expand(self, stop: int) -> None:
+        v, chars, last, back, score = self.v, self.chars, self.last, self.back, self.score
+        pieces, kind, n, none = v.pieces, v.kind.get, len(self.chars), {}
+        grow = min(stop + v.longest, n) + 1 - len(last)
+        last += [None] * grow
+        back += [0] * grow
+        score += [0.0] * grow
+        for i in range(self.at, stop):
+            left, base = last[i], score[i]
+            known = v.pairs.get(left, none)
+            for j in range(i + 1, min(i + v.longest, n) + 1):
+                piece = chars[i:j]
+                what = kind(piece, 0)
+                if what > 1 or j == i + 1:
+                    if v.bpe:
+                        if last[j] is None:
+                            fits = known.get(piece)
+                            if v.compatible(left, piece) if fits is None else fits:
+                                last[j], back[j] = piece, i
+                    else:
+                        s = base + (pieces[piece][1] if what > 1 else v.least)
+                        if last[j] is None or s > score[j]:
+                            last[j], back[j], score[j] = piece, i, s
+                if not what & 1:
                     break
-            else:
-                s = self.score[i] + (found[1] if found else v.least)
-                if best is None or s > best[0]:
-                    best = (s, i)
-        assert best is not None, "each character is a path of its own"
-        self.back.append(best[1])
-        self.last.append(self.chars[best[1] : j])
-        self.score.append(best[0])
-
-    def _commit(self, first: int) -> list[int]:
-        """Puts out what all paths through the positions from `first` on have in common."""
-        live = set(range(first, len(self.chars) + 1))
+        self.at = stop
+
+    def _commit(self) -> list[int]:
+        """Puts out what all paths have in common that lead to positions where a piece may still start."""
+        live = {j for j in range(self.at, len(self.last)) if self.last[j] is not None}
         while len(live) > 1:
             top = max(live)
             live.discard(top)
@@ -144,29 +164,32 @@ class StreamEncoder:
         while j:
             pieces.append(self.last[j])
             j = self.back[j]
-        if at:
-            # The piece before the boundary stays known, as the next one must fit it.
-            last = self.last[at]
-            self.chars, self.back, self.last, self.score = self.chars[at:], [max(0, b - at) for b in self.back[at:]], self.last[at:], [s - self.score[at] for s in self.score[at:]]
-            self.back[0], self.last[0] = 0, last
-        return [i for p in reversed(pieces) for i in self.v.ids(p)]
+        if at:  # the piece before the boundary stays known, as the next one must fit it
+            base = self.score[at]
+            self.chars, self.at = self.chars[at:], self.at - at
+            self.back, self.last, self.score = [max(0, b - at) for b in self.back[at:]], self.last[at:], [s - base for s in self.score[at:]]
+        ids = self.v.ids
+        return [i for p in reversed(pieces) for i in ids(p)]
 
 
 class Codec:
-    """Encodes and decodes whole texts. Stretches that no piece can reach out of are remembered, up to a bound."""
+    """Encodes and decodes whole texts. Words, which no piece can reach out of, are remembered up to a bound."""
 
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
-        stop = "" if vocabulary.line_feed else r"\n"
-        self.find = regex.compile(rf"{SPACE}+[^{SPACE}{stop}]*|[^{SPACE}{stop}]+" + ("|\n" if stop else "")).findall if vocabulary.cuts else None
-        self.memo: dict[str, bytes] = {}
+        self.stream = StreamEncoder(vocabulary)
+        self.memo: dict[str, bytes] = {}  # words after a space, words after a line feed, and runs of spaces with their word
+        self.feed = np.array(vocabulary.ids("\n"), np.int32).tobytes()
 
     def _stretch(self, text: str) -> bytes:
-        encoder = StreamEncoder(self.v)
-        ids = encoder.push(text) + encoder.end()
-        found = np.array(ids, np.int32).tobytes()
-        if len(text) <= MEMO_CHARS:
-            self.memo[text] = found
+        return np.array(self.stream.push(text) + self.stream.end(), np.int32).tobytes()
+
+    def _known(self, key: str, stretch: str) -> bytes:
+        found = self.memo.get(key)
+        if found is None:
+            found = self._stretch(stretch)
+            if len(key) < MEMO_CHARS:
+                self.memo[key] = found
         return found
 
     def encode(self, text: str | None) -> bytes:
@@ -175,11 +198,25 @@ class Codec:
             return b""
         if len(self.memo) > MEMO:
             self.memo = {}
-        text = SPACE + text.replace(" ", SPACE)
-        if self.find is None:
-            return self._stretch(text)
-        memo = self.memo
-        return b"".join([memo[s] if s in memo else self._stretch(s) for s in self.find(text)])
+        if not self.v.cuts or self.v.line_feed or SPACE in text:
+            return self._stretch(SPACE + text.replace(" ", SPACE))
+        out, get = [], self.memo.get
+        for k, line in enumerate(text.split("\n")):
+            words = line.split(" ")
+            if k:  # no space before the first word of a further line
+                out.append(self.feed)
+                if words[0]:
+                    out.append(self._known("\n" + words[0], words[0]))
+                del words[0]
+            if "" in words:  # runs of spaces may form pieces of their own
+                for part in RUNS(SPACE + SPACE.join(words)):
+                    out.append(self._known(part, part))
+                continue
+            parts = list(map(get, words))
+            if None in parts:
+                parts = [p or self._known(w, SPACE + w) for p, w in zip(parts, words)]
+            out += parts
+        return b"".join(out)
 
     def decode(self, ids: list[int]) -> str:
         v = self.v
