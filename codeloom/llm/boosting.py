@@ -15,7 +15,7 @@ class Boosted:
     def fit(self, x: np.ndarray, y: np.ndarray) -> Boosted:
         p = (y.sum() + 0.5) / (len(y) + 1)
         self.base = float(np.log(p / (1 - p)))
-        self.edges = [np.unique(np.quantile(c, np.linspace(0, 1, self.bins + 1)[1:-1])) for c in x.T]
+        self.edges = [np.unique(np.quantile(c, np.linspace(0, 1, self.bins + 1)[1:-1])) if len(c) else np.zeros(0) for c in x.T]
         binned = np.stack([np.searchsorted(e, c, "right") for e, c in zip(self.edges, x.T)], 1)
         margin = np.full(len(y), self.base)
         for _ in range(self.n_trees if len(y) and 0 < y.sum() < len(y) else 0):

@@ -80,12 +80,13 @@ class Inverted:
     def search(self, keys: np.ndarray, size: int, percent: int) -> np.ndarray:
         """Numbers of all sets with percent or more Jaccard similarity to a set of `size` elements that has these keys."""
         t = least_overlap(size, percent)
-        at = np.searchsorted(self.keys, keys)
-        at = at[at < len(self.keys)]
-        at = at[np.isin(self.keys[at], keys)]
+        if not len(self.keys):
+            return np.zeros(0, np.int64)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        at = at[self.keys[at] == keys]
         lo, hi = self.begin[at], self.begin[at + 1]
         length = hi - lo
-        if len(at) < t:
+        if len(at) < max(t, 1):
             return np.zeros(0, np.int64)
         # DivideSkip: L long lists are only probed; 0.0085 is the published tuning constant.
         longest = int(length.max())
@@ -274,9 +275,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """One row per input row: id, n_shingles, component_id (the smallest id that links reach, itself included).
 
     Words are runs of anything but ASCII white space, A-Z lower-cased. Documents without words have no set and link with
-    nothing; one with fewer words than a shingle has the whole sequence as its one element. Rows that repeat an id are
-    separate rows with that id as component. Null ids take part and sort after all others; a component of null ids only
-    has a null id. An empty table gives no rows; further columns are not read.
+    nothing; one with fewer words than a shingle has the whole sequence as its one element. Rows that share
+    an id are one node and have one component. So have null ids, which sort after all others; a component of them alone
+    is null. An empty table gives no rows; further columns are not read.
     """
     blocks = blocks_of(docs, id_col, text_col)
 
@@ -304,12 +305,22 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         links = stars.unionByName(_search(members, percent))
     else:
         links = _search(members.withColumn("star", F.lit(None).cast("long")), percent)
+    repeated = sets.groupBy("id").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1")
+    shared = repeated.limit(1).count() > 0
+    if shared:  # rows with one id are one node: each is tied to the set that stands for its own
+        repeated = stored(repeated, "repeated")
+        own = join_on_hot_key(maybe.select("id", "sig"), repeated, "id", "rows", total).select("id", "sig").distinct()
+        links = links.unionByName(own.join(reps.select("sig", F.col("id").alias("v")), "sig").select(F.col("id").alias("u"), "v"))
     linked = components(links)
     named = reps.select("sig", "id", "copies").join(linked, "id", "left").select("sig", "copies", F.coalesce("component", "id").alias("component"))
     with_class = join_on_hot_key(maybe.select("id", "n", "sig"), stored(named, "named"), "sig", "copies", total)
     alone = sets.filter("sig is null").select("id", "n", F.col("id").alias("component"))
+    rows = with_class.select("id", "n", "component").unionByName(alone)
+    if shared:
+        of_node = stored(repeated.join(linked.withColumnRenamed("component", "whole"), "id"), "nodes")
+        rows = join_on_hot_key(rows, of_node, "id", "rows", total, "left").select("id", "n", F.coalesce("whole", "component").alias("component"))
     null_back = lambda c: F.when(F.col(c) == NULL_ID, F.lit(None).cast("long")).otherwise(F.col(c))
-    return with_class.select("id", "n", "component").unionByName(alone).select(null_back("id").alias(id_col), F.col("n").alias("n_shingles"), null_back("component").alias("component_id"))
+    return rows.select(null_back("id").alias(id_col), F.col("n").alias("n_shingles"), null_back("component").alias("component_id"))
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
