@@ -27,6 +27,8 @@ SPACE = "▁"
 RUNS = re.compile(rf"{SPACE}+[^{SPACE}]*").findall
 MEMO, MEMO_CHARS = 600_000, 48
 PAIRS = 2_000_000
+#: What an unknown id decodes to; fixed by the model files.
+UNKNOWN_TEXT = " \u2047 "
 #: Subtracted from the least score of a unigram model for a character outside the vocabulary; the library's value.
 UNKNOWN_PENALTY = 10.0
 
@@ -50,12 +52,18 @@ class Vocabulary:
     def _set(self, pieces: dict[str, tuple[int, float]], byte_ids: list[int], unknown: int, bpe: bool) -> None:
         self.pieces, self.byte_ids, self.unknown, self.bpe = pieces, byte_ids, unknown, bpe
         self.longest = max(map(len, pieces), default=1)
-        #: What a string is: bit 0 a proper beginning of a piece, bit 1 a piece.
-        self.kind = dict.fromkeys((p[:k] for p in pieces for k in range(1, len(p))), 1)
+        #: What a string is: bit 0 a proper end of a piece, bit 1 a piece.
+        self.kind = dict.fromkeys((p[k:] for p in pieces for k in range(1, len(p))), 1)
         for p in pieces:
             self.kind[p] = self.kind.get(p, 0) | 2
         self.text = {i: p for p, (i, _) in pieces.items()}
         self.byte_of = {i: b for b, i in enumerate(byte_ids)}
+        # The bytes that each id stands for; control ids stand for none.
+        known = {i: p.encode() for i, p in self.text.items()} | {i: bytes([b]) for i, b in self.byte_of.items()} | {unknown: UNKNOWN_TEXT.encode()}
+        each = [known.get(i, b"") for i in range(max(known) + 1)]
+        self.sizes = np.array([len(b) for b in each], np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.blob = np.frombuffer(b"".join(each), np.uint8)
         self.least = min((s for _, s in pieces.values()), default=0.0) - UNKNOWN_PENALTY
         #: Pieces hold this mark only at their start (or hold nothing else), so a text can be cut before it.
         self.cuts = all(SPACE not in p.lstrip(SPACE) for p in pieces)
@@ -94,152 +102,168 @@ class Vocabulary:
         return [self.byte_ids[b] for b in piece.encode()] if self.byte_ids else [self.unknown]
 
 
-class StreamEncoder:
-    """Encodes characters as they come; push() and end() return the ids that have become final.
-
-    A start is expanded once the characters of the longest piece after it are known (or the text has ended): it offers
-    each piece that begins there to the piece's end. Offers stop where no piece has the characters read so far.
-    """
-
-    CHECK = 64
+class Lattice:
+    """Best paths to every position of the characters read so far: the last piece of each, and where it starts."""
 
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
-        self._reset("")
+        self.clear()
+
+    def clear(self) -> None:
+        self.chars, self.back, self.last, self.score = "", [0], [""], [0.0]
+
+    def extend(self, text: str) -> None:
+        """Reads more characters. A position asks the starts before it, nearest first, until no piece ends that far back."""
+        v, last, back, score = self.v, self.last, self.back, self.score
+        kind, longest, bpe, none = v.kind.get, v.longest, v.bpe, {}
+        self.chars = chars = self.chars + text
+        for j in range(len(last), len(chars) + 1):
+            best, start = None, -1
+            for i in range(j - 1, max(-1, j - longest - 1), -1):
+                piece = chars[i:j]
+                what = kind(piece, 0)
+                if what > 1 or i == j - 1:
+                    if bpe:
+                        left = last[i]
+                        fits = v.pairs.get(left, none).get(piece)
+                        if v.compatible(left, piece) if fits is None else fits:
+                            best, start = 0.0, i
+                            break
+                    else:
+                        s = score[i] + (v.pieces[piece][1] if what > 1 else v.least)
+                        if best is None or s >= best:
+                            best, start = s, i
+                if not what & 1:
+                    break
+            if best is None:
+                raise RuntimeError(f"no path to position {j} of {chars!r}")
+            last.append(chars[start:j])
+            back.append(start)
+            score.append(best)
+
+    def rewind(self, n: int) -> None:
+        """Forgets all but the first n characters; what was found for them holds for any text that begins so."""
+        self.chars = self.chars[:n]
+        del self.back[n + 1 :], self.last[n + 1 :], self.score[n + 1 :]
 
-    def _reset(self, last: str) -> None:
-        self.chars, self.at = "", 0  # from the last committed boundary on; the next start to expand
-        self.back, self.last, self.score = [0], [last], [0.0]
+    def pieces(self, upto: int) -> list[str]:
+        out = []
+        while upto:
+            out.append(self.last[upto])
+            upto = self.back[upto]
+        return out[::-1]
+
+
+class StreamEncoder(Lattice):
+    """Encodes characters as they come; push() and end() return the ids that have become final."""
+
+    CHECK = 64
 
     def push(self, text: str) -> list[int]:
-        self.chars += text
         out: list[int] = []
-        while self.at + self.v.longest <= len(self.chars):  # in steps of CHECK starts
-            self._expand(min(self.at + self.CHECK, len(self.chars) - self.v.longest + 1))
-            out += self._commit()
+        for at in range(0, len(text), self.CHECK):
+            self.extend(text[at : at + self.CHECK])
+            out += self._commit(max(0, len(self.chars) - self.v.longest + 1))
         return out
 
     def end(self) -> list[int]:
-        self._expand(len(self.chars))
-        out = self._commit()
-        self._reset("")
+        out = self._commit(len(self.chars))
+        self.clear()
         return out
 
-    def _expand(self, stop: int) -> None:
-        v, chars, last, back, score = self.v, self.chars, self.last, self.back, self.score
-        pieces, kind, n, none = v.pieces, v.kind.get, len(self.chars), {}
-        grow = min(stop + v.longest, n) + 1 - len(last)
-        last += [None] * grow
-        back += [0] * grow
-        score += [0.0] * grow
-        for i in range(self.at, stop):
-            left, base = last[i], score[i]
-            known = v.pairs.get(left, none)
-            for j in range(i + 1, min(i + v.longest, n) + 1):
-                piece = chars[i:j]
-                what = kind(piece, 0)
-                if what > 1 or j == i + 1:
-                    if v.bpe:
-                        if last[j] is None:
-                            fits = known.get(piece)
-                            if v.compatible(left, piece) if fits is None else fits:
-                                last[j], back[j] = piece, i
-                    else:
-                        s = base + (pieces[piece][1] if what > 1 else v.least)
-                        if last[j] is None or s > score[j]:
-                            last[j], back[j], score[j] = piece, i, s
-                if not what & 1:
-                    break
-        self.at = stop
-
-    def _commit(self) -> list[int]:
-        """Puts out what all paths have in common that lead to positions where a piece may still start."""
-        live = {j for j in range(self.at, len(self.last)) if self.last[j] is not None}
+    def _commit(self, first: int) -> list[int]:
+        """Puts out what the paths to all positions from `first` on have in common: only there may a later piece start."""
+        live = set(range(first, len(self.chars) + 1))
         while len(live) > 1:
             top = max(live)
             live.discard(top)
             live.add(self.back[top])
         at = live.pop()
-        pieces, j = [], at
-        while j:
-            pieces.append(self.last[j])
-            j = self.back[j]
+        ids = [i for p in self.pieces(at) for i in self.v.ids(p)]
         if at:  # the piece before the boundary stays known, as the next one must fit it
             base = self.score[at]
-            self.chars, self.at = self.chars[at:], self.at - at
-            self.back, self.last, self.score = [max(0, b - at) for b in self.back[at:]], self.last[at:], [s - base for s in self.score[at:]]
-        ids = self.v.ids
-        return [i for p in reversed(pieces) for i in ids(p)]
+            self.chars, self.last = self.chars[at:], self.last[at:]
+            self.back, self.score = [max(0, b - at) for b in self.back[at:]], [s - base for s in self.score[at:]]
+        return ids
 
 
 class Codec:
-    """Encodes and decodes whole texts. Words, which no piece can reach out of, are remembered up to a bound."""
+    """Encodes and decodes whole texts. Words, which no piece can reach out of, are remembered up to a bound. New words of
+    a batch are searched in order, so that each goes on from the beginning that it shares with the one before."""
 
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
-        self.stream = StreamEncoder(vocabulary)
-        self.memo: dict[str, bytes] = {}  # words after a space, words after a line feed, and runs of spaces with their word
+        self.lattice, self.stream = Lattice(vocabulary), StreamEncoder(vocabulary)
+        self.memo: dict[str, bytes] = {}  # by word after a space, "\n" and word after a line feed, run of spaces with word
         self.feed = np.array(vocabulary.ids("\n"), np.int32).tobytes()
 
-    def _stretch(self, text: str) -> bytes:
-        return np.array(self.stream.push(text) + self.stream.end(), np.int32).tobytes()
-
-    def _known(self, key: str, stretch: str) -> bytes:
-        found = self.memo.get(key)
-        if found is None:
-            found = self._stretch(stretch)
-            if len(key) < MEMO_CHARS:
-                self.memo[key] = found
-        return found
-
-    def encode(self, text: str | None) -> bytes:
-        """int32 ids of a text; none for an empty one. A space is put before the text, as the model's files ask for."""
-        if not text:
-            return b""
-        if len(self.memo) > MEMO:
-            self.memo = {}
-        if not self.v.cuts or self.v.line_feed or SPACE in text:
-            return self._stretch(SPACE + text.replace(" ", SPACE))
-        out, get = [], self.memo.get
+    def _keys(self, text: str) -> list[str]:
+        out: list[str] = []
         for k, line in enumerate(text.split("\n")):
             words = line.split(" ")
             if k:  # no space before the first word of a further line
-                out.append(self.feed)
-                if words[0]:
-                    out.append(self._known("\n" + words[0], words[0]))
+                out.append("\n" + words[0])
                 del words[0]
             if "" in words:  # runs of spaces may form pieces of their own
-                for part in RUNS(SPACE + SPACE.join(words)):
-                    out.append(self._known(part, part))
-                continue
-            parts = list(map(get, words))
-            if None in parts:
-                parts = [p or self._known(w, SPACE + w) for p, w in zip(parts, words)]
-            out += parts
-        return b"".join(out)
+                words = RUNS(SPACE + SPACE.join(words))
+            out += words
+        return out
 
-    def decode(self, ids: list[int]) -> str:
+    def _learn(self, words: set[str]) -> dict[str, bytes]:
+        """Ids of new words by key."""
+        v, lattice, made, before = self.v, self.lattice, {}, ""
+        lattice.clear()
+        for text, key in sorted((k[1:] if k[0] == "\n" else k if k[0] == SPACE else SPACE + k, k) for k in words):
+            if len(text) > MEMO_CHARS:
+                ids = self.stream.push(text) + self.stream.end()
+            else:
+                n = 0
+                for x, y in zip(text, before):
+                    if x != y:
+                        break
+                    n += 1
+                lattice.rewind(n)
+                lattice.extend(text[n:])
+                before = text
+                ids = [i for p in lattice.pieces(len(text)) for i in v.ids(p)]
+            made[key] = (self.feed if key[0] == "\n" else b"") + np.array(ids, np.int32).tobytes()
+        return made
+
+    def encode_many(self, texts: list[str | None]) -> list[bytes]:
+        """int32 ids of texts; none for an empty one. A space is put before a text, as the model's files ask for."""
+        if len(self.memo) > MEMO:
+            self.memo = {}
+        plain = self.v.cuts and not self.v.line_feed
+        keys = [self._keys(t) if t and plain and SPACE not in t else None for t in texts]
+        get = self.memo.get
+        parts = [list(map(get, own)) if own else None for own in keys]
+        new = {w for own, part in zip(keys, parts) if part and None in part for w, p in zip(own, part) if p is None}
+        made = self._learn(new) if new else {}
+        self.memo.update((k, i) for k, i in made.items() if len(k) <= MEMO_CHARS)
+        out = []
+        for t, own, part in zip(texts, keys, parts):
+            if part:
+                out.append(b"".join([made[w] if p is None else p for w, p in zip(own, part)] if None in part else part))
+            else:
+                out.append(np.array(self.stream.push(SPACE + t.replace(" ", SPACE)) + self.stream.end(), np.int32).tobytes() if t else b"")
+        return out
+
+    def encode(self, text: str | None) -> bytes:
+        return self.encode_many([text])[0]
+
+    def decode_many(self, ids: np.ndarray, ends: np.ndarray) -> list[str]:
+        """Texts of runs of ids: the pieces' bytes one after another, without the space put first."""
         v = self.v
-        if not ids:
-            return ""
-        text = v.text
-        try:
-            out = "".join([text[i] for i in ids])
-        except KeyError:
-            parts, raw = [], bytearray()
-            for i in ids:
-                if i in v.byte_of:
-                    raw.append(v.byte_of[i])
-                    continue
-                if raw:
-                    parts.append(raw.decode("utf-8", "replace"))
-                    raw = bytearray()
-                parts.append(text.get(i, " ⁇ "))
-            if raw:
-                parts.append(raw.decode("utf-8", "replace"))
-            out = "".join(parts)
-        out = out.replace(SPACE, " ")
-        return out[1:] if out[:1] == " " else out
+        ids = np.where((ids >= 0) & (ids < len(v.sizes)), ids, v.unknown)
+        size = v.sizes[ids]
+        stop = np.r_[0, np.cumsum(size)]
+        raw = v.blob[np.repeat(v.starts[ids] - stop[:-1], size) + np.arange(stop[-1])].tobytes()
+        cuts = stop[np.r_[0, ends]].tolist()
+        texts = [raw[a:b].decode("utf-8", "replace").replace(SPACE, " ") for a, b in zip(cuts[:-1], cuts[1:])]
+        return [t[1:] if t[:1] == " " else t for t in texts]
+
+    def decode(self, ids: list[int]) -> str:
+        return self.decode_many(np.array(ids, np.int64), np.array([len(ids)]))[0]
 
 
 def encode_texts(docs: DataFrame, model: bytes, text_col: str = "text", ids_col: str = "ids", decoded_col: str | None = None) -> DataFrame:
@@ -259,12 +283,12 @@ def encode_texts(docs: DataFrame, model: bytes, text_col: str = "text", ids_col:
             codec = codec or Codec(Vocabulary(shared.value))
             for begin in range(0, big.num_rows, 256):
                 b = big.slice(begin, 256)
-                parts = [codec.encode(t) for t in b.column(at).to_pylist()]
+                parts = codec.encode_many(b.column(at).to_pylist())
                 ends = np.cumsum([0, *(len(p) // 4 for p in parts)]).astype(np.int32)
                 flat = np.frombuffer(b"".join(parts), np.int32)
                 cols = [*b.columns, pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))]
                 if decoded_col:
-                    cols.append(pa.array([codec.decode(flat[s:e].tolist()) for s, e in zip(ends[:-1], ends[1:])], pa.string()))
+                    cols.append(pa.array(codec.decode_many(flat, ends[1:]), pa.string()))
                 yield pa.RecordBatch.from_arrays(cols, out.names)
 
     return docs.mapInArrow(run, out)
