@@ -18,6 +18,11 @@ def service_of(path: Column) -> Column:
     return F.when(named != "", named).otherwise(F.split_part(norm, F.lit("/"), F.lit(1)))
 
 
+def utf8(raw: Column) -> Column:
+    """Bytes as text; each ill-formed sequence becomes U+FFFD."""
+    return F.make_valid_utf8(raw.cast("string"))
+
+
 def url_path(url: Column) -> Column:
     """A URL without scheme and host."""
     return F.regexp_replace(url, r"^https?://[^/]+", "")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.functions.similarity import python_parses, sequence_ratio, unified_diff
-from codeloom.functions.text import balanced
+from codeloom.functions.text import balanced, utf8
 from codeloom.operators.relational import best
 from codeloom.plans.build import Graph
 
@@ -85,9 +85,9 @@ def attribute(defects: DataFrame) -> DataFrame:
 
 def patches(causes: DataFrame, files: DataFrame) -> DataFrame:
     """R7. (defect, path, old_code, new_code, diff): renames of calls in the file of a renamed rpc, and stub methods for
-    missing implementations, in the first file by path whose name holds the service's stem."""
+    missing implementations, in the first file by path whose path holds the service's stem."""
     ctx = F.when(F.col("repo") != "", F.concat_ws("/", "repo", "path")).otherwise(F.col("path"))
-    text = files.select(ctx.alias("ctx"), "path", "ext", F.decode("content", "UTF-8").alias("old_code"))
+    text = files.select(ctx.alias("ctx"), "path", "ext", utf8(F.col("content")).alias("old_code"))
     e = lambda c: F.concat(F.lit(r"\Q"), F.col(c), F.lit(r"\E"))
     rename = causes.filter("type = 'RENAMED_RPC' and target is not null").join(text, "ctx")
     exact = F.concat(F.lit(r"\b"), e("var"), F.lit(r"\s*\.\s*"), e("old"), F.lit(r"\b"))
@@ -97,7 +97,7 @@ def patches(causes: DataFrame, files: DataFrame) -> DataFrame:
     out = rename.select("defect", "path", "ctx", "ext", "old_code", new.alias("new_code"))
     stem = F.lower(F.regexp_replace("service", "Service$", ""))
     absent = causes.filter("type = 'MISSING_IMPLEMENTATION'").select("defect", "rpc", stem.alias("stem")).filter("stem <> ''")
-    homes = text.filter("ext in ('.py', '.js', '.ts', '.go')").withColumn("base", F.lower(F.regexp_replace(F.element_at(F.split("path", "/"), -1), "[-_]", "")))
+    homes = text.filter("ext in ('.py', '.js', '.ts', '.go')").withColumn("base", F.lower(F.regexp_replace("path", "[-_]", "")))
     home = absent.join(homes.select("path", "ctx", "ext", "base"), F.contains("base", F.col("stem"))).groupBy("defect", "rpc").agg(F.min(F.struct("path", "ctx", "ext")).alias("h")).select("defect", "rpc", "h.path", "h.ctx", "h.ext")
     stub = F.when(F.col("ext") == ".py", F.concat(F.lit("\n    def "), "rpc", F.lit("(self, request, context):\n        raise NotImplementedError(\""), "rpc", F.lit("\")\n"))).when(F.col("ext") == ".go", F.concat(F.lit("\n// "), "rpc", F.lit(" is not implemented.\nfunc "), "rpc", F.lit("() error {\n\treturn nil\n}\n"))).otherwise(F.concat(F.lit("\nfunction "), "rpc", F.lit("(call, callback) {\n  callback(new Error(\"not implemented\"));\n}\n")))
     add = home.join(text.select("ctx", "old_code"), "ctx").select("defect", "path", "ctx", "ext", "old_code", F.concat("old_code", stub).alias("new_code"))
@@ -149,7 +149,7 @@ def write_changes(changes: DataFrame, root: str) -> list[str]:
 
 def inject(files: DataFrame, fault: str, old: str, new: str = "") -> DataFrame:
     """R11. files with a fault in their contracts: rename-rpc, remove-rpc or rename-service."""
-    text = F.decode("content", "UTF-8")
+    text = utf8(F.col("content"))
     q = rf"\Q{old}\E"
     changed = {
         "rename-rpc": F.regexp_replace(text, rf"\brpc\s+{q}\b", f"rpc {new}"),

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom.extract.facts import EXTENSIONS
-from codeloom.functions.text import ignored, is_ignored
+from codeloom.functions.text import ignored, is_ignored, utf8
 
 #: Paths that are left out unless a caller says otherwise; fixed values.
 DEFAULT_IGNORES = [
@@ -119,6 +119,6 @@ def read_config(root: str) -> RepoConfig:
 
 def lines_of(files: DataFrame) -> DataFrame:
     """(repo, path, text, lines): decoded texts (bad bytes replaced) with their number of lines (S3)."""
-    text = F.decode("content", "UTF-8")
+    text = utf8(F.col("content"))
     n = F.when(F.length("text") == 0, 0).otherwise(F.size(F.split(F.regexp_replace("text", r"\r\n?|\n|\x0b|\x0c|\x{85}|\x{2028}|\x{2029}", "\n"), "\n")) - F.when(F.col("text").rlike(r"(\n|\r|\x0b|\x0c|\x{85}|\x{2028}|\x{2029})\z"), 1).otherwise(0))
     return files.select("repo", "path", text.alias("text")).withColumn("lines", n.cast("long"))
