@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 
 #: A digest or cluster with more than 1/HOT_SHARE of all rows is hot; there are fewer than HOT_SHARE such keys.
 HOT_SHARE = 64
-#: UTF-8 bytes of text in one block. A longer document is a block of its own.
-BLOCK_BYTES = 4 << 20
+#: UTF-8 bytes of text in one block, so that a worker's tables for a block stay at tens of MB. A longer document is a
+#: block of its own.
+BLOCK_BYTES = 1_900_000
 #: Null ids sort after every other id.
 NULL_ID = np.iinfo(np.int64).max
 
