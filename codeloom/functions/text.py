@@ -81,7 +81,7 @@ def fnmatch_tokens(pattern: str) -> list[str]:
         if c == "[":
             end = pattern.find("]", i + 2 if pattern[i + 1 : i + 2] in ("!", "]") else i + 1)
             if end > 0:
-                body = pattern[i + 1 : end].replace("\\", "\\\\")
+                body = pattern[i + 1 : end].replace("\\", "\\\\").replace("[", "\\[").replace("&&", "&\\&")
                 out.append("[" + ("^" + body[1:] if body.startswith("!") else body) + "]")
                 i = end + 1
                 continue
