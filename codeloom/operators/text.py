@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from codeloom.functions.text import camel_words, space_tokens, term_tokens
+from codeloom.storage import numbered
 
 CORPUS_TYPES = ("function", "class", "module", "service_contract", "rpc_contract")
 K1, B, EPSILON = 1.5, 0.75, 0.25
@@ -142,7 +143,7 @@ def semantic_edges(doc_weights: DataFrame, threshold: float = 0.55) -> DataFrame
 
 def semantic_band_edges(docs: DataFrame, doc_weights: DataFrame, threshold: float = 0.60, width: int = 30) -> DataFrame:
     """One direction of pairs whose dense positions are less than `width` apart and whose cosine reaches the threshold."""
-    dense = docs.select("id", (F.row_number().over(Window.orderBy("ord")) - 1).alias("pos"))  # numbering the index is its definition
+    dense = numbered(docs.select("id", "ord"), ["ord"], "pos", first=0)
     pairs = band_pairs(dense, width, "pos").select(F.col("l.id").alias("a"), F.col("r.id").alias("b"))
     wa = doc_weights.select(F.col("id").alias("a"), "term", F.col("w").alias("wa"))
     wb = doc_weights.select(F.col("id").alias("b"), "term", F.col("w").alias("wb"))

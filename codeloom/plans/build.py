@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.extract.facts import extract_facts
@@ -17,7 +17,7 @@ from codeloom.operators import text as T
 from codeloom.schema import as_edges, as_nodes
 from codeloom.sources.modules import resolve_imports
 from codeloom.sources.repo import RepoConfig
-from codeloom.storage import stored
+from codeloom.storage import numbered, stored
 
 SHARED = "shared_contracts"
 
@@ -117,9 +117,8 @@ def from_facts(facts: DataFrame, sources: DataFrame, configs: dict[str, RepoConf
     skews = stored(contract_skews(facts), "skews")
     skewed = skews.select(F.explode(F.array(F.concat(F.lit("contract::"), "service"), F.when(F.col("rpc") != "", F.concat(F.lit("contract::"), "service", F.lit("."), "rpc")))).alias("id")).filter("id is not null").distinct().withColumn("skew", F.lit(True))
     nodes = declared.join(definitions(facts), "id", "left").join(routed, "id", "left").join(skewed, "id", "left")
-    order = F.row_number().over(Window.orderBy("tier", "first", "id")).cast("long")  # a total order of nodes is part of the model
-    nodes = nodes.withColumn("tier", F.lit(0)).unionByName(stubs.withColumn("tier", F.lit(1)), allowMissingColumns=True).withColumn("ord", order)
-    nodes = stored(as_nodes(nodes), "nodes")
+    nodes = nodes.withColumn("tier", F.lit(0)).unionByName(stubs.withColumn("tier", F.lit(1)), allowMissingColumns=True)
+    nodes = stored(as_nodes(numbered(nodes, ["tier", "first", "id"], "ord")), "nodes")
 
     corpus = stored(T.corpus(nodes, workspace), "corpus")
     stop = T.stop_words(facts.sparkSession)

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from codeloom.schema import EDGES, NODES
@@ -28,6 +29,22 @@ def stored(df: DataFrame, name: str, by: tuple[str, ...] = ()) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame, by: Sequence[str], column: str, first: int = 1) -> DataFrame:
+    """df with a gapless number in the order of the given columns, which must order its rows totally.
+
+    Rows are range-partitioned and sorted in parallel; a row's number is its place in its partition plus the rows of the
+    partitions before, so no task holds more than its range.
+    """
+    mark = F.monotonically_increasing_id()
+    rows = stored(df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_mark", mark), "numbered")
+    part, place = F.shiftright("_mark", 33), F.col("_mark").bitwiseAND((1 << 33) - 1)
+    sizes = rows.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for each partition
+    offsets = sizes.select("_part", before.alias("_before"))
+    out = rows.withColumn("_part", part).join(F.broadcast(offsets), "_part")
+    return out.withColumn(column, (F.col("_before") + place + first).cast("long")).drop("_mark", "_part", "_before")
+
+
 def save_graph(nodes: DataFrame, edges: DataFrame, path: str) -> None:
     """A graph as two Parquet tables, edges by layer, so that a traversal of some layers reads only their files."""
     nodes.write.mode("overwrite").parquet(f"{path}/nodes")
