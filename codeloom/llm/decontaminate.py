@@ -23,7 +23,7 @@ from codeloom.llm.wordhash import ALNUM, LOWER, span_hashes, word_bounds
 WINDOW = 13
 #: UTF-8 bytes of text in one shard, unless a single document is longer.
 SHARD_BYTES = 1 << 20
-#: The phrases are broadcast; a benchmark of more text must be given in parts.
+#: Phrases of this much text are broadcast at once; a larger benchmark is searched in parts.
 MAX_BENCHMARK_BYTES = 64 << 20
 
 
@@ -72,62 +72,65 @@ class Phrases:
         return out
 
 
-def scan(phrases: Phrases, texts: list[bytes]) -> list[tuple[int, int, list[str], list[tuple[int, int]]]]:
-    """Of each text: words, hit words, items met, and merged byte spans of hit words."""
+def scan(phrases: Phrases, texts: list[bytes], prior: list[tuple[list[str], list[tuple[int, int]]]] | None = None) -> list[tuple[int, int, list[str], list[tuple[int, int]]]]:
+    """Of each text: words, hit words, items met, and merged byte spans of hit words. prior: items and spans of each text
+    that other phrases gave, which count as well."""
     raw = LOWER[np.frombuffer(b"\n".join(texts) if texts else b"", np.uint8)]
     begins = np.cumsum([0, *(len(t) + 1 for t in texts)])
     starts, ends = word_bounds(raw, ALNUM)
     first = np.searchsorted(starts, begins)  # each text's first word
     n_words = np.diff(first)
+    hit = np.zeros(len(starts), bool)
+    items: dict[int, set[str]] = {}
+    for t, (names, spans) in enumerate(prior or []):
+        if names:
+            items[t] = set(names)
+            for s, e in spans:
+                hit[np.searchsorted(starts, begins[t] + s) : np.searchsorted(starts, begins[t] + e)] = True
+    for at, which in _occurrences(phrases, raw, starts, ends, first, n_words):
+        edge = np.zeros(len(starts) + 1, np.int64)
+        np.add.at(edge, at, 1)
+        np.add.at(edge, at + phrases.lengths[which], -1)
+        hit |= np.cumsum(edge[:-1]) > 0
+        text_of = np.searchsorted(first, at, "right") - 1
+        for t, w in np.unique(np.stack([text_of, which], 1), axis=0).tolist():
+            items.setdefault(t, set()).update(phrases.items[w])
     out: list = [(int(n), 0, [], []) for n in n_words]
+    for t, names in items.items():
+        a, b = first[t], first[t + 1]
+        h = np.flatnonzero(hit[a:b]) + a
+        gap = np.flatnonzero(np.diff(h) > 1)
+        s, e = starts[h[np.r_[0, gap + 1]]] - begins[t], ends[h[np.r_[gap, len(h) - 1]]] - begins[t]
+        out[t] = (int(b - a), len(h), sorted(names), list(zip(s.tolist(), e.tolist())))
+    return out
+
+
+def _occurrences(phrases: Phrases, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.ndarray, n_words: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """First words and phrase numbers of all occurrences in a shard: none, or one pair of arrays."""
     if not phrases.shortest or not len(starts):
-        return out
+        return
     number = phrases.number(span_hashes(raw, starts, ends))
     # Runs of benchmark words within one text.
     head = np.zeros(len(starts), bool)
     head[first[:-1][n_words > 0]] = True
     known = number > 0
     new_run = known & (head | ~np.r_[False, known[:-1]])
-    run_at = np.flatnonzero(new_run)
-    if not len(run_at):
-        return out
     run_of = np.cumsum(new_run) - 1
-    run_len = np.bincount(run_of[known], minlength=len(run_at))
+    run_len = np.bincount(run_of[known], minlength=1)
     use = np.flatnonzero(known & (run_len[np.maximum(run_of, 0)] >= phrases.shortest))
     if not len(use):
-        return out
+        return
     # The shard's symbols: runs with a 0 between them; where[i] is the word at symbol i.
     cut = np.flatnonzero(np.r_[False, (np.diff(use) > 1) | (run_of[use][1:] != run_of[use][:-1])])
     where = np.insert(use, cut, -1)
     index = FMIndex(np.where(where >= 0, number[where], 0))
     lo, hi = index.search(phrases.rows, phrases.lengths)
     met = np.flatnonzero(hi > lo)
-    if not len(met):
-        return out
-    count = (hi - lo)[met]
-    which = np.repeat(met, count)
-    offset = np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count)
-    at = where[index.locate(lo[which] + offset)]
-    # Cover each occurrence's words.
-    edge = np.zeros(len(starts) + 1, np.int64)
-    np.add.at(edge, at, 1)
-    np.add.at(edge, at + phrases.lengths[which], -1)
-    hit = np.cumsum(edge[:-1]) > 0
-    text_of = np.searchsorted(first, at, "right") - 1
-    pairs = np.unique(np.stack([text_of, which], 1), axis=0)
-    items: dict[int, set[str]] = {}
-    for t, w in pairs.tolist():
-        items.setdefault(t, set()).update(phrases.items[w])
-    for t, names in items.items():
-        a, b = first[t], first[t + 1]
-        h = np.flatnonzero(hit[a:b]) + a
-        gap = np.flatnonzero(np.diff(h) > 1)
-        s, e = starts[h[np.r_[0, gap + 1]]] - begins[t], ends[h[np.r_[gap, len(h) - 1]]] - begins[t]
-        out[t] = (int(b - a), len(h), sorted(names), list(zip(s.tolist(), e.tolist())))
-    return out
-
-
-ADDED = "n_words long, n_hit long, items array<string>, spans array<struct<start:long,end:long>>"
+    if len(met):
+        count = (hi - lo)[met]
+        which = np.repeat(met, count)
+        offset = np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count)
+        yield where[index.locate(lo[which] + offset)], which
 
 
 def find_benchmark(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, prefix: str = "") -> DataFrame:
@@ -137,15 +140,24 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, text_col: str = "text"
     consecutive words of an item, or the whole of a shorter one; a document word inside any occurrence is hit. Null texts
     have no words; empty tables on either side give no hits. All rows and columns stay. Repeated items count once.
     """
-    spark = docs.sparkSession
     size = benchmark.agg(F.sum(F.octet_length(item_text))).first()[0] or 0
-    if size > MAX_BENCHMARK_BYTES:
-        raise ValueError(f"the benchmark has {size} bytes of text; give it in parts of at most {MAX_BENCHMARK_BYTES}")
-    items = [(r[0], r[1]) for r in benchmark.select(F.col(item_col), F.col(item_text)).collect()]  # bounded by the check above
-    phrases = spark.sparkContext.broadcast(Phrases(items, window))
     names = [prefix + n for n in ("n_words", "n_hit", "items", "spans")]
-    schema = docs.withColumns(dict(zip(names, (F.lit(0).cast("long"), F.lit(0).cast("long"), F.array().cast("array<string>"), F.array().cast("array<struct<start:long,end:long>>"))))).schema
+    none = (F.lit(0).cast("long"), F.lit(0).cast("long"), F.array().cast("array<string>"), F.array().cast("array<struct<start:long,end:long>>"))
+    schema = docs.withColumns(dict(zip(names, none))).schema
+    # A benchmark above the bound is searched in parts, one pass over the documents after the other without a shuffle.
+    parts = -(-size // MAX_BENCHMARK_BYTES) or 1
+    for k in range(parts):
+        own = benchmark.filter(F.pmod(F.xxhash64(F.col(item_col).cast("string"), item_text), F.lit(parts)) == k) if parts > 1 else benchmark
+        rows = own.select(F.col(item_col), F.col(item_text)).collect()  # about MAX_BENCHMARK_BYTES of text
+        docs = _search(docs, Phrases([(r[0], r[1]) for r in rows], window), text_col, names, schema, k > 0)
+    return docs
+
+
+def _search(docs: DataFrame, phrases: Phrases, text_col: str, names: list[str], schema, again: bool) -> DataFrame:
+    shared = docs.sparkSession.sparkContext.broadcast(phrases)
     at = docs.columns.index(text_col)
+    kept = [i for i, c in enumerate(docs.columns) if c not in names] if again else list(range(len(docs.columns)))
+    before = [docs.columns.index(c) for c in names[2:]] if again else []
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,10 +167,11 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, text_col: str = "text"
             while begin < batch.num_rows:
                 n = max(1, int(np.searchsorted(np.cumsum(sizes[begin:]), SHARD_BYTES, "right")))
                 part = batch.slice(begin, n)
-                found = scan(phrases.value, [(t or "").encode() for t in part.column(at).to_pylist()])
+                prior = [(i, [(s["start"], s["end"]) for s in p]) for i, p in zip(*(part.column(c).to_pylist() for c in before))] if before else None
+                found = scan(shared.value, [(t or "").encode() for t in part.column(at).to_pylist()], prior)
                 cols = [pa.array(x, t) for x, t in zip(zip(*found), (pa.int64(), pa.int64(), pa.list_(pa.string())))]
                 spans = pa.array([[{"start": s, "end": e} for s, e in f[3]] for f in found], span)
-                yield pa.RecordBatch.from_arrays([*part.columns, *cols, spans], schema.names)
+                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in kept), *cols, spans], schema.names)
                 begin += n
 
     return docs.mapInArrow(run, schema)
