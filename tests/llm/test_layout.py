@@ -14,7 +14,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 import corpus_pipeline
-from codeloom.llm import chat_format, sharding
+from codeloom.llm import chat_format, decontaminate, sharding
 from codeloom.llm.catalogue import ORACLES, QUERIES
 from codeloom.llm.decontaminate import contaminated, find_benchmark
 from codeloom.llm.fm_index import FMIndex, WaveletMatrix
@@ -147,7 +147,9 @@ def brute_benchmark(t, items, k=13):
     return len(w), len(hit), sorted(met)
 
 
-def test_decontamination_matches_brute_force(spark):
+@pytest.mark.parametrize("bound", [64 << 20, 300])
+def test_decontamination_matches_brute_force(spark, monkeypatch, bound):
+    monkeypatch.setattr(decontaminate, "MAX_BENCHMARK_BYTES", bound)  # the small one makes parts
     rng = random.Random(6)
     items = [(i, words(rng, rng.randint(9, 40), 60)) for i in range(8)] + [(8, None), (9, "..."), (10, "w1 Rare-Pair"), (10, "w1 Rare-Pair")]
     rows = odd_texts(6)
