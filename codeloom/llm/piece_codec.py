@@ -27,6 +27,8 @@ SPACE = "▁"
 RUNS = re.compile(rf"{SPACE}+[^{SPACE}]*").findall
 MEMO, MEMO_CHARS = 600_000, 48
 PAIRS = 2_000_000
+#: Characters of one batch, unless a single text is longer.
+BATCH_CHARS = 4_000_000
 #: What an unknown id decodes to; fixed by the model files.
 UNKNOWN_TEXT = " \u2047 "
 #: Subtracted from the least score of a unigram model for a character outside the vocabulary; the library's value.
@@ -124,19 +126,19 @@ class Lattice:
                 what = kind(piece, 0)
                 if what > 1 or i == j - 1:
                     if bpe:
-                        left = last[i]
-                        fits = v.pairs.get(left, none).get(piece)
-                        if v.compatible(left, piece) if fits is None else fits:
-                            best, start = 0.0, i
-                            break
+                        # One path reaches each position: the only piece that ends there needs no test.
+                        if start >= 0:
+                            last_piece = chars[start:j]
+                            fits = v.pairs.get(last[start], none).get(last_piece)
+                            if v.compatible(last[start], last_piece) if fits is None else fits:
+                                break
+                        best, start = 0.0, i
                     else:
                         s = score[i] + (v.pieces[piece][1] if what > 1 else v.least)
                         if best is None or s >= best:
                             best, start = s, i
                 if not what & 1:
                     break
-            if best is None:
-                raise RuntimeError(f"no path to position {j} of {chars!r}")
             last.append(chars[start:j])
             back.append(start)
             score.append(best)
@@ -281,8 +283,12 @@ def encode_texts(docs: DataFrame, model: bytes, text_col: str = "text", ids_col:
         codec = None
         for big in batches:
             codec = codec or Codec(Vocabulary(shared.value))
-            for begin in range(0, big.num_rows, 256):
-                b = big.slice(begin, 256)
+            sizes = np.cumsum([len(t or "") for t in big.column(at).to_pylist()])
+            begin = 0
+            while begin < big.num_rows:
+                done = sizes[begin - 1] if begin else 0
+                b = big.slice(begin, max(1, int(np.searchsorted(sizes, done + BATCH_CHARS, "right")) - begin))
+                begin += b.num_rows
                 parts = codec.encode_many(b.column(at).to_pylist())
                 ends = np.cumsum([0, *(len(p) // 4 for p in parts)]).astype(np.int32)
                 flat = np.frombuffer(b"".join(parts), np.int32)
