@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +13,7 @@ from codeloom.operators import relational
 from codeloom.plans.build import SHARED, Graph, build
 from codeloom.sources.manifest import Workspace
 from codeloom.sources.repo import RepoConfig, files_table, read_config, scan
+from codeloom.storage import content_key, load_graph, save_graph
 
 
 def shared_contracts(spark: SparkSession, paths: list[str]) -> DataFrame | None:
@@ -68,3 +70,20 @@ def union_graphs(graphs: list[tuple[str, DataFrame, DataFrame]]) -> tuple[DataFr
         e = e.withColumn("edge_id", F.concat(F.lit(f"w_{repo}_"), "edge_id"))
         edges = e if edges is None else edges.unionByName(e)
     return nodes, edges
+
+
+def cached_graph(files: DataFrame, folder: str, configs: dict[str, RepoConfig] | None = None, workspace: bool = False) -> tuple[DataFrame, DataFrame]:
+    """S12. (nodes, edges) of a file table, kept under a digest of its content: sources that did not change are not built
+    again, and a change of any file makes another entry."""
+    spark = files.sparkSession
+    path = f"{folder.rstrip('/')}/{content_key(files)}"
+    try:
+        nodes, edges = load_graph(spark, path)
+        if not nodes.isEmpty():
+            return nodes, edges
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
+            raise
+    g = build(files, configs, workspace)
+    save_graph(g.nodes, g.edges, path)
+    return load_graph(spark, path)

@@ -1,4 +1,4 @@
-"""Extraction and resolution on a small polyglot repository (S, X, J)."""
+"""Extraction and resolution on a small repository in four languages (S, X, J)."""
 
 import pytest
 from fixtures import SHOP

@@ -12,7 +12,7 @@ from codeloom import cli, server
 from codeloom.api import CodeGraph
 from codeloom.operators import relational
 from codeloom.plans.build import build
-from codeloom.plans.workspace import build_workspace, scan_workspace, union_graphs
+from codeloom.plans.workspace import build_workspace, cached_graph, scan_workspace, union_graphs
 from codeloom.sources import manifest, sinks
 from codeloom.sources.modules import candidates
 from codeloom.sources.repo import config_of, files_table, lines_of, scan
@@ -187,6 +187,13 @@ def test_content_key(spark):
     assert content_key(a) == content_key(a.orderBy("path", ascending=False)) != content_key(files_table(spark, [("", "a.py", "x"), ("", "b.py", "z")]))
 
 
+def test_graphs_are_kept_by_content(spark, tmp_path):
+    files = files_table(spark, [("", "a.py", "def f():\n    return 1\n")])
+    first = cached_graph(files, str(tmp_path))[0].count()
+    made = os.listdir(tmp_path)
+    assert cached_graph(files, str(tmp_path))[0].count() == first and os.listdir(tmp_path) == made == [content_key(files)]
+
+
 def test_workspace_facade(spark, places):
     ws, _ = manifest.load(f"{places}/workspace.yaml"), None
     assert scan_workspace(spark, ws)[0].select("repo").distinct().count() == 3
