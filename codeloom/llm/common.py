@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -42,6 +43,18 @@ def stored(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession, *tables: DataFrame) -> None:
+    """Frees disk that later steps do not need: the files of tables made by stored(), and shuffle files of plans that
+    nothing refers to any more, which Spark deletes once the driver's heap is collected. Call it only when what was made
+    from them is stored itself."""
+    for t in tables:
+        for folder in {f.rsplit("/", 1)[0] for f in t.inputFiles()}:
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def text_bytes(text: Column) -> Column:
     return F.octet_length(F.coalesce(text, F.lit(""))).cast("long")
 

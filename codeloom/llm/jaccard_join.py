@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import NULL_ID, blocks_of, join_on_hot_key, mix, read_table, rows_of, stored, unpack
+from codeloom.llm.common import NULL_ID, blocks_of, join_on_hot_key, mix, read_table, release, rows_of, stored, unpack
 from codeloom.llm.components import components
 from codeloom.llm.repeats import bucket_bits, look_up, ranges, repeated_keys, with_repeated
 from codeloom.llm.wordhash import LOWER, NOT_SPACE, span_hashes, word_bounds
@@ -290,6 +290,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     bits = bucket_bits(size // 6)
     sets = stored(_sets(with_repeated(blocks, repeated_keys(blocks, keys_of, bits)), bits, n_words, percent), "sets")
     total = max(1, sets.count())
+    release(docs.sparkSession, blocks)
 
     maybe = sets.filter("sig is not null")
     reps = stored(maybe.groupBy("sig").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"), F.min_by(F.struct("n", "keys", "prefix"), "id").alias("s")).select("sig", "id", "copies", "s.n", "s.keys", "s.prefix"), "reps")

@@ -22,7 +22,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import NULL_ID, blocks_of, join_on_hot_key, mix, read_table, rows_of, stored, unpack
+from codeloom.llm.common import NULL_ID, blocks_of, join_on_hot_key, mix, read_table, release, rows_of, stored, unpack
 from codeloom.llm.repeats import bucket_bits, look_up, prefixes, ranges, repeated_keys
 from codeloom.llm.suffix import induced, permuted_lcp
 from codeloom.llm.wordhash import span_hashes
@@ -237,6 +237,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     blocks = blocks_of(docs, id_col, text_col)
     size = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
     marked = stored(repeated_spans(blocks, size, length), "spans")
+    release(docs.sparkSession)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, ids, ends, text, skip, spans in rows_of(batches):
