@@ -160,7 +160,7 @@ def _shard(table: pa.Table, length: int) -> pa.Table:
 def repeated_spans(blocks: DataFrame, total_bytes: int, length: int = LENGTH) -> DataFrame:
     """(block, skip, spans): whole copies, and packed spans (documents, starts, ends; relative to the block) to remove."""
     bits = bucket_bits(total_bytes // 18)  # a run for about 18 bytes; only sets the number of buckets
-    skips = _copies(blocks)
+    skips = stored(_copies(blocks), "copies")
     blocks = blocks.join(skips, "block", "left").select("block", "ids", "ends", "text", "skip")
 
     def keys_of(ids: np.ndarray, starts: np.ndarray, raw: np.ndarray, skip: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -174,7 +174,8 @@ def repeated_spans(blocks: DataFrame, total_bytes: int, length: int = LENGTH) ->
         at = np.flatnonzero(head)
         return h[at], np.add.reduceat(pair.astype(np.int64), at)
 
-    found = repeated_keys(blocks, keys_of, bits)
+    found = stored(repeated_keys(blocks, keys_of, bits), "repeated")
+    release(blocks.sparkSession)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         zip_ = zstandard.ZstdCompressor(level=1)
