@@ -4,6 +4,8 @@ Every block sends its distinct keys as packed arrays to hash buckets, one entry
 documents hold it; a bucket sums the document counts and answers each block with the keys that occur in two documents or
 more. Hot keys cost one entry for each block; the number of buckets grows with the data, so a bucket stays bounded.
 
+Document counts travel as one byte each, exact up to 127 and rounded down by less than a tenth above (see coded).
+
 Keys travel as a bucket number of `bits` bits and a 32-bit fingerprint. Two keys that share both are taken for one and
 may be reported as repeated: an answer can hold too many keys, never too few.
 """
@@ -34,10 +36,20 @@ def prefixes(keys: np.ndarray, bits: int) -> np.ndarray:
     return keys >> np.uint64(32 - bits)
 
 
-def repeated_keys(blocks: DataFrame, keys_of: KeysOf, bits: int) -> DataFrame:
+#: Counts that the codes 0 to 255 stand for: exact up to 127, then eight to an octave, up to 7.7 million.
+CODES = np.r_[np.arange(128), np.ceil(128 * 2 ** (np.arange(128) / 8))].astype(np.int64)
+
+
+def coded(n: np.ndarray) -> np.ndarray:
+    """The uint8 code of each count, whose value in CODES is the largest that is not above it."""
+    return (np.searchsorted(CODES, n, "right") - 1).astype(np.uint8)
+
+
+def repeated_keys(blocks: DataFrame, keys_of: KeysOf, bits: int, hot: int | None = None) -> DataFrame:
     """(block, found): for each block with any, a list of structs (bucket, prints, counts) of its repeated keys.
 
-    prints: ascending uint32 fingerprints; counts: uint8 numbers of documents, up to 255.
+    prints: ascending uint32 fingerprints; counts: uint8 numbers of documents, up to 255. With `hot`, a row with a null
+    block lists the keys that blocks count more than `hot` times together.
     """
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -47,7 +59,7 @@ def repeated_keys(blocks: DataFrame, keys_of: KeysOf, bits: int) -> DataFrame:
             if not len(fp):
                 continue
             head = np.flatnonzero(np.r_[True, fp[1:] != fp[:-1]])
-            fp, n = fp[head], np.minimum(np.add.reduceat(n.astype(np.int64), head), 255).astype(np.uint8)
+            fp, n = fp[head], coded(np.add.reduceat(n.astype(np.int64), head))
             bucket = (fp >> np.uint64(32)).astype(np.int64)
             cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True])
             low = fp.astype(np.uint32)
@@ -60,15 +72,16 @@ def repeated_keys(blocks: DataFrame, keys_of: KeysOf, bits: int) -> DataFrame:
     def answer(table: pa.Table) -> pa.Table:
         bucket, block, prints, counts = (table.column(c).to_pylist() for c in ("bucket", "block", "prints", "counts"))
         arrays = [np.frombuffer(p, np.uint32) for p in prints]
-        every, n = np.concatenate(arrays), np.concatenate([np.frombuffer(c, np.uint8) for c in counts])
+        every, n = np.concatenate(arrays), CODES[np.concatenate([np.frombuffer(c, np.uint8) for c in counts])]
         order = np.argsort(every, kind="stable")
         ranked = every[order]
         head = np.flatnonzero(np.r_[True, ranked[1:] != ranked[:-1]])
-        total = np.add.reduceat(n[order].astype(np.int64), head)
+        total = np.add.reduceat(n[order], head)
+        many = ranked[head[total > hot]] if hot is not None else ranked[:0]
         total = np.repeat(np.minimum(total, 255), np.diff(np.r_[head, len(ranked)]))
         back = np.zeros(len(every), np.uint8)
         back[order] = np.where(total > 1, total, 0)
-        out, at = [], 0
+        out, at = [(None, bucket[0], many.tobytes(), bytes([255]) * len(many))] if len(many) else [], 0
         for b, a in zip(block, arrays):
             mine = back[at : at + len(a)]
             at += len(a)

@@ -4,10 +4,14 @@ Every 50-byte window of a document belongs to the shard of its minimiser, the le
 equal windows of all documents meet in one shard, whatever surrounds them.
 1. Documents are packed into blocks; copies of a whole document with a smaller id are settled by digest.
 2. Blocks learn which minimisers occur in more than one document (repeats.py); all other windows are unique.
-3. Maximal runs of windows with the same repeated minimiser are sent to its shard as chunks of text.
+3. Maximal runs of windows with the same repeated minimiser are chunks of text. A block folds equal ones and sends each
+   distinct chunk once to the minimiser's shard, with the places where it stands.
 4. A shard builds the suffix array of its distinct chunks by induced sorting, and the permuted common prefixes. Windows
    with 50 bytes in common are neighbours there; each group of them takes its smallest document id, and every occurrence
    in a document with a larger id is answered with its byte span.
+   A minimiser with more than HOT runs would make its shard too large. Its windows do not go to shards: each block folds
+   equal ones, their 128-bit hashes get the smallest document id by a partial aggregation, and blocks are answered
+   through join_on_hot_key.
 5. Blocks merge the spans of each document and drop those bytes.
 """
 
@@ -33,6 +37,12 @@ GRAM = 16
 RUN = 256
 #: Shards for each bucket of repeats.py, as a power of two; keeps a shard at a few MB of text.
 SHARD_BITS = 2
+#: Runs of one minimiser that its shard takes; those of more frequent ones are settled window by window.
+HOT = 4096
+#: Hot minimisers at most (8 bytes each, broadcast); with more than HOT times as many runs in a table, HOT rises.
+HOT_KEYS = 4_000_000
+#: Windows of occurrences that a shard expands at a time.
+SLICE = 1 << 20
 
 
 def window_runs(raw: np.ndarray, starts: np.ndarray, length: int, gram: int, skip: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -104,23 +114,83 @@ def _copies(blocks: DataFrame) -> DataFrame:
     return join_on_hot_key(rows, least, "sha", "n", max(1, rows.count())).filter("id > least").groupBy("block").agg(F.collect_list("doc").alias("skip"))
 
 
+def window_hashes(raw: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
+    """128-bit hashes of raw[i:i + length] for each i of at, as byte strings."""
+    e = raw.astype(np.uint64)
+    for done in (1, 2, 4):  # eight bytes as one integer
+        e = e[:-done] | e[done:] << np.uint64(8 * done)
+    out = np.zeros((len(at), 2), np.uint64)
+    for k, odd in enumerate((0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)):
+        for off in [*range(0, length - 8, 8), length - 8]:
+            out[:, k] = mix((out[:, k] ^ e[at + off]) * np.uint64(odd))
+    return out.view("S16").ravel()
+
+
+def hot_windows(raw: np.ndarray, starts: np.ndarray, length: int, skip: np.ndarray, hot: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Document and first byte of each window whose minimiser is in hot (ascending prefixes)."""
+    h, doc, first, n = window_runs(raw, starts, length, GRAM, skip)
+    key = prefixes(h, bits)
+    mine = np.flatnonzero(_among(key, hot))
+    n = n[mine]
+    return np.repeat(doc[mine], n), np.repeat(first[mine], n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+
+
+def _among(keys: np.ndarray, known: np.ndarray) -> np.ndarray:
+    if not len(known):
+        return np.zeros(len(keys), bool)
+    return known[np.minimum(np.searchsorted(known, keys), len(known) - 1)] == keys
+
+
+def _hot_spans(blocks: DataFrame, hot, bits: int, length: int) -> DataFrame:
+    """(block, hashes, least): packed hashes of the block's hot windows that occur in a document with a smaller id than
+    one of the block's that holds them, and the smallest id of each. hot: a broadcast array."""
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, ids, ends, text, skip in rows_of(batches):
+            ids, starts, raw = unpack(ids, ends, text)
+            doc, at = hot_windows(raw, starts, length, _skips(skip), hot.value, bits)
+            if not len(at):
+                continue
+            w, back = np.unique(window_hashes(raw, at, length), return_inverse=True)
+            lo, hi = np.full(len(w), NULL_ID, np.int64), np.full(len(w), np.iinfo(np.int64).min, np.int64)
+            np.minimum.at(lo, back, ids[doc])
+            np.maximum.at(hi, back, ids[doc])
+            for a in range(0, len(w), 50_000):
+                part = slice(a, a + 50_000)
+                k = len(w[part])
+                yield pa.RecordBatch.from_arrays([pa.Array.from_buffers(pa.binary(16), k, [None, pa.py_buffer(w[part].tobytes())]).cast(pa.binary()), pa.array(np.full(k, block)), pa.array(lo[part]), pa.array(hi[part])], ["w", "block", "lo", "hi"])
+
+    rows = stored(blocks.select("block", "ids", "ends", "text", "skip").mapInArrow(windows, "w binary, block long, lo long, hi long"), "hot")
+    least = rows.groupBy("w").agg(F.min("lo").alias("least"), F.max("hi").alias("most"), F.count(F.lit(1)).alias("n")).filter("least < most").select("w", "least", "n")
+    hit = join_on_hot_key(rows, least, "w", "n", max(1, rows.count())).filter("least < hi").select("block", "w", "least")
+
+    def pack(table: pa.Table) -> pa.Table:
+        w = np.array(table.column("w").to_pylist(), "S16")
+        order = np.argsort(w)
+        return pa.table({"block": table.column("block")[:1], "hashes": [w[order].tobytes()], "least": [table.column("least").to_numpy()[order].tobytes()]})
+
+    return hit.groupBy("block").applyInArrow(pack, "block long, hashes binary, least binary")
+
+
 def _shard(table: pa.Table, length: int) -> pa.Table:
-    """Spans of bytes to remove, by block, from all chunks of a shard."""
+    """Spans of bytes to remove, by block, from all chunks of a shard. A row has the distinct chunks of a block: text and
+    sizes, the number of places of each, and the document id and first byte of each place."""
     block = np.array(table.column("block").to_pylist())
     unzip = zstandard.ZstdDecompressor().decompress
     texts = [np.frombuffer(unzip(t), np.uint8) for t in table.column("text").to_pylist()]
     sizes = [np.frombuffer(s, np.uint16).astype(np.int64) for s in table.column("sizes").to_pylist()]
+    times = np.concatenate([np.frombuffer(x, np.uint32) for x in table.column("times").to_pylist()]).astype(np.int64)
     ids = np.concatenate([np.frombuffer(x, np.int64) for x in table.column("ids").to_pylist()])
-    docs = np.concatenate([np.frombuffer(x, np.int32) for x in table.column("docs").to_pylist()])
-    firsts = np.concatenate([np.frombuffer(x, np.int64) for x in table.column("firsts").to_pylist()])
-    row = np.repeat(np.arange(len(block)), [len(s) for s in sizes])
+    firsts = [np.frombuffer(x, np.int64) for x in table.column("firsts").to_pylist()]
+    row = np.repeat(np.arange(len(block)), [len(f) for f in firsts])
+    firsts = np.concatenate(firsts)
     raw, size = np.concatenate(texts), np.concatenate(sizes)
     end = np.cumsum(size)
-    # Distinct chunks, each with its smallest document.
+    # Distinct chunks of all blocks, each with its smallest document; places are in order of id.
     h = span_hashes(raw, end - size, end)
     _, lead, chunk = np.unique(h, return_index=True, return_inverse=True)
     owner = np.full(len(lead), NULL_ID, np.int64)
-    np.minimum.at(owner, chunk, ids)
+    np.minimum.at(owner, chunk, ids[np.cumsum(times) - times])
     # One text: chunks as byte + 2 with a 1 after each, and a 0 at the end.
     csize, cbegin = size[lead], (end - size)[lead]
     at = np.cumsum(csize + 1) - (csize + 1)
@@ -139,43 +209,56 @@ def _shard(table: pa.Table, length: int) -> pa.Table:
     least = np.minimum.reduceat(np.where(window, np.r_[owner[whose], NULL_ID], NULL_ID)[sa], head)
     smallest = np.empty(len(text), np.int64)
     smallest[sa] = np.repeat(least, np.diff(np.r_[head, len(sa)]))
-    # Every occurrence of a chunk against the smallest document of each of its windows.
-    n = csize[chunk] - length + 1
-    occ = np.repeat(np.arange(len(chunk)), n)
-    step = np.arange(len(occ)) - np.repeat(np.cumsum(n) - n, n)
-    hit = smallest[at[chunk][occ] + step] < ids[occ]
-    edge = np.r_[True, occ[1:] != occ[:-1]]
-    begin = np.flatnonzero(hit & (edge | ~np.r_[False, hit[:-1]]))
-    stop = np.flatnonzero(hit & (np.r_[edge[1:], True] | ~np.r_[hit[1:], False]))
-    o = occ[begin]
-    s, e = firsts[o] + step[begin], firsts[o] + step[stop] + length
+    smallest[~window] = NULL_ID
+    # Every place of a chunk against the smallest document of each of its windows, a bounded number at a time.
+    of = np.repeat(chunk, times)
+    late = np.flatnonzero(np.minimum.reduceat(smallest, at)[of] < ids)
+    found = []
+    total = np.cumsum(csize[of[late]] - length + 1)
+    for part in np.split(late, np.searchsorted(total, np.arange(SLICE, total[-1] if len(total) else 0, SLICE))):
+        n = csize[of[part]] - length + 1
+        occ = np.repeat(part, n)
+        step = np.arange(len(occ)) - np.repeat(np.cumsum(n) - n, n)
+        hit = smallest[at[of[occ]] + step] < ids[occ]
+        edge = np.r_[True, occ[1:] != occ[:-1]] if len(occ) else hit
+        begin = np.flatnonzero(hit & (edge | ~np.r_[False, hit[:-1]])) if len(occ) else occ
+        stop = np.flatnonzero(hit & (np.r_[edge[1:], True] | ~np.r_[hit[1:], False])) if len(occ) else occ
+        found.append((row[occ[begin]], firsts[occ[begin]] + step[begin], firsts[occ[stop]] + step[stop] + length))
+    r, s, e = (np.concatenate(c) for c in zip(*found))
     out = []
-    cuts = np.flatnonzero(np.r_[True, row[o][1:] != row[o][:-1], True]) if len(o) else []
+    cuts = np.flatnonzero(np.r_[True, r[1:] != r[:-1], True]) if len(r) else []
     for a, b in zip(cuts[:-1], cuts[1:]):
-        out.append((int(block[row[o[a]]]), docs[o[a:b]].tobytes(), s[a:b].tobytes(), e[a:b].tobytes()))
-    cols = zip(*out) if out else ([], [], [], [])
-    return pa.table([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.binary(), pa.binary(), pa.binary()))], ["block", "docs", "starts", "ends"])
+        out.append((int(block[r[a]]), s[a:b].tobytes(), e[a:b].tobytes()))
+    cols = zip(*out) if out else ([], [], [])
+    return pa.table([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.binary(), pa.binary()))], ["block", "starts", "ends"])
 
 
-def repeated_spans(blocks: DataFrame, total_bytes: int, length: int = LENGTH) -> DataFrame:
-    """(block, skip, spans): whole copies, and packed spans (documents, starts, ends; relative to the block) to remove."""
-    bits = bucket_bits(total_bytes // 18)  # a run for about 18 bytes; only sets the number of buckets
+def repeated_spans(blocks: DataFrame, total_bytes: int, length: int = LENGTH) -> tuple[DataFrame, np.ndarray, int]:
+    """(block, skip, spans, hashes, least): whole copies, packed spans (starts, ends; relative to the block) to remove,
+    and the verdicts on hot windows. Also the hot minimisers, as ascending prefixes, and the bits of prefixes."""
+    spark = blocks.sparkSession
+    runs = total_bytes // 18  # a run for about 18 bytes; only sets the number of buckets
+    bits = bucket_bits(runs)
     skips = stored(_copies(blocks), "copies")
     blocks = blocks.join(skips, "block", "left").select("block", "ids", "ends", "text", "skip")
 
     def keys_of(ids: np.ndarray, starts: np.ndarray, raw: np.ndarray, skip: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Counts are runs, or 1 for a minimiser of a single document."""
         h, doc, _, _ = window_runs(raw, starts, length, GRAM, skip)
         order = np.argsort(h, kind="stable")
         h, doc = h[order], doc[order]
         if not len(h):
             return h, doc
-        head = np.r_[True, h[1:] != h[:-1]]
-        pair = head | np.r_[True, doc[1:] != doc[:-1]]
-        at = np.flatnonzero(head)
-        return h[at], np.add.reduceat(pair.astype(np.int64), at)
+        at = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+        stop = np.r_[at[1:], len(h)]
+        return h[at], np.where(doc[at] == doc[stop - 1], 1, stop - at)
 
-    found = stored(repeated_keys(blocks, keys_of, bits), "repeated")
-    release(blocks.sparkSession)
+    found = stored(repeated_keys(blocks, keys_of, bits, max(HOT, runs // HOT_KEYS)), "repeated")
+    release(spark)
+    listed = found.filter("block is null").select("found").first()
+    known = ranges(listed and [r.asDict() for r in listed.found])[0]
+    found = found.filter("block is not null")
+    hot = spark.sparkContext.broadcast(known)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         zip_ = zstandard.ZstdCompressor(level=1)
@@ -185,29 +268,39 @@ def repeated_spans(blocks: DataFrame, total_bytes: int, length: int = LENGTH) ->
                 continue
             ids, starts, raw = unpack(ids, ends, text)
             h, doc, first, n = window_runs(raw, starts, length, GRAM, _skips(skip))
-            keep = np.flatnonzero(look_up(h, bits, known, counts) > 1)
+            keep = np.flatnonzero((look_up(h, bits, known, counts) > 1) & ~_among(prefixes(h, bits), hot.value))
             if not len(keep):
                 continue
             h, doc, first, n = h[keep], doc[keep], first[keep], n[keep]
             shard = (mix(prefixes(h, bits)) >> np.uint64(64 - bits - SHARD_BITS)).astype(np.int64)
-            order = np.argsort(shard, kind="stable")
-            shard, doc, first, size = shard[order], doc[order], first[order], (n + length - 1)[order]
+            body = span_hashes(raw, first, first + n + length - 1)
+            order = np.lexsort((ids[doc], body, shard))
+            shard, body, own, first, size = shard[order], body[order], ids[doc[order]], first[order], (n + length - 1)[order]
+            lead = np.flatnonzero(np.r_[True, (body[1:] != body[:-1]) | (shard[1:] != shard[:-1])])
+            times = np.diff(np.r_[lead, len(body)]).astype(np.uint32)
+            place, size = first, size[lead].astype(np.int64)
+            shard, first = shard[lead], first[lead]
             cuts = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1], True])
             offset = np.cumsum(size) - size
-            body = raw[np.repeat(first, size) + np.arange(int(size.sum())) - np.repeat(offset, size)]
-            edge = np.r_[offset, len(body)]
-            cols = {"shard": shard[cuts[:-1]], "block": np.full(len(cuts) - 1, block), "text": [], "sizes": [], "ids": [], "docs": [], "firsts": []}
+            text = raw[np.repeat(first, size) + np.arange(int(size.sum())) - np.repeat(offset, size)]
+            edge, places = np.r_[offset, len(text)], np.r_[lead, len(own)]
+            cols = {"shard": shard[cuts[:-1]], "block": np.full(len(cuts) - 1, block), "text": [], "sizes": [], "times": [], "ids": [], "firsts": []}
             for a, b in zip(cuts[:-1], cuts[1:]):
-                cols["text"].append(zip_.compress(body[edge[a] : edge[b]].tobytes()))
+                cols["text"].append(zip_.compress(text[edge[a] : edge[b]].tobytes()))
                 cols["sizes"].append(size[a:b].astype(np.uint16).tobytes())
-                cols["ids"].append(ids[doc[a:b]].tobytes())
-                cols["docs"].append(doc[a:b].astype(np.int32).tobytes())
-                cols["firsts"].append(first[a:b].astype(np.int64).tobytes())
+                cols["times"].append(times[a:b].tobytes())
+                cols["ids"].append(own[places[a] : places[b]].tobytes())
+                cols["firsts"].append(place[places[a] : places[b]].astype(np.int64).tobytes())
             yield pa.RecordBatch.from_pydict(cols)
 
-    sent = blocks.join(found, "block", "left").select("block", "ids", "ends", "text", "skip", "found").mapInArrow(send, "shard long, block long, text binary, sizes binary, ids binary, docs binary, firsts binary")
-    spans = sent.groupBy("shard").applyInArrow(lambda t: _shard(t, length), "block long, docs binary, starts binary, ends binary")
-    return spans.groupBy("block").agg(F.collect_list(F.struct("docs", "starts", "ends")).alias("spans")).join(skips, "block", "full")
+    sent = blocks.join(found, "block", "left").select("block", "ids", "ends", "text", "skip", "found").mapInArrow(send, "shard long, block long, text binary, sizes binary, times binary, ids binary, firsts binary")
+    spans = sent.groupBy("shard").applyInArrow(lambda t: _shard(t, length), "block long, starts binary, ends binary")
+    marked = spans.groupBy("block").agg(F.collect_list(F.struct("starts", "ends")).alias("spans")).join(skips, "block", "full")
+    if len(known):
+        marked = marked.join(_hot_spans(blocks, hot, bits, length), "block", "full")
+    else:
+        marked = marked.withColumns({"hashes": F.lit(None).cast("binary"), "least": F.lit(None).cast("binary")})
+    return marked.select("block", "skip", "spans", "hashes", "least"), known, bits
 
 
 def cut_spans(raw: np.ndarray, starts: np.ndarray, length: int, skip: np.ndarray, spans: list[dict] | None) -> list[tuple[int, int, int, bytes]]:
@@ -237,19 +330,27 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     blocks = blocks_of(docs, id_col, text_col)
     size = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
-    marked = stored(repeated_spans(blocks, size, length), "spans")
+    marked, known, bits = repeated_spans(blocks, size, length)
+    marked, hot = stored(marked, "spans"), docs.sparkSession.sparkContext.broadcast(known)
     release(docs.sparkSession)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, ids, ends, text, skip, spans in rows_of(batches):
+        for _, ids, ends, text, skip, spans, hashes, least in rows_of(batches):
             ids, starts, raw = unpack(ids, ends, text)
+            spans = list(spans or [])
+            if hashes:
+                doc, at = hot_windows(raw, starts, length, _skips(skip), hot.value, bits)
+                w, mine = np.frombuffer(hashes, "S16"), window_hashes(raw, at, length)
+                where = np.minimum(np.searchsorted(w, mine), len(w) - 1)
+                late = at[(w[where] == mine) & (np.frombuffer(least, np.int64)[where] < ids[doc])]
+                spans.append({"starts": late.tobytes(), "ends": (late + length).tobytes()})
             rows = cut_spans(raw, starts, length, _skips(skip), spans)
             for at in range(0, len(rows), 256):
                 n, removed, runs, kept = zip(*rows[at : at + 256])
                 own = [None if i == NULL_ID else i for i in ids[at : at + 256].tolist()]
                 yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), *(pa.array(c, pa.int64()) for c in (n, removed, runs)), pa.array([hashlib.sha256(k).hexdigest() for k in kept]), pa.array(kept, pa.binary())], ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    rows = blocks.join(marked, "block", "left").select("block", "ids", "ends", "text", "skip", "spans")
+    rows = blocks.join(marked, "block", "left").select("block", "ids", "ends", "text", "skip", "spans", "hashes", "least")
     return rows.mapInArrow(cut, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary").withColumnRenamed("id", id_col)
 
 

@@ -11,7 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from codeloom.llm import jaccard_join
+from codeloom.llm import jaccard_join, suffix_dedup as suffix_module
 from codeloom.llm.components import components
 from codeloom.llm.exact_dedup import exact_dedup, first_copies
 from codeloom.llm.jaccard_join import Inverted, group_labels, jaccard_components, least_overlap
@@ -196,6 +196,26 @@ def test_suffix_dedup_matches_brute_force(spark, seed):
     assert sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got), key=str) == brute_spans(rows)
 
 
+@pytest.mark.parametrize("same", [True, False])
+def test_suffix_dedup_bounds_the_shard_of_a_hot_passage(spark, monkeypatch, same):
+    """A passage in every row, or in every second row with its own words in the middle; null and repeated ids."""
+    monkeypatch.setattr(suffix_module, "HOT", 100, raising=False)
+    rng = random.Random(9)
+    passage = words(rng, 16)
+    rows = [(i, f"{words(rng, 8, 10**6)} {passage if same or i % 2 else passage[:62] + words(rng, 3) + passage[60:]} {words(rng, 8, 10**6)}") for i in range(400)]
+    rows += [(None, rows[3][1] + "x"), (7, rows[9][1] + "y"), (7, passage), (500, "q" * 900), (501, "p" + "q" * 700)]
+    inner = suffix_module._shard
+
+    def bounded(table, length):
+        places = sum(len(x) for x in table.column("firsts").to_pylist()) // 8
+        assert places <= 350, f"{places} places in one shard"
+        return inner(table, length)
+
+    monkeypatch.setattr(suffix_module, "_shard", bounded)
+    got = suffix_dedup(table(spark, rows, False).repartition(9)).collect()
+    assert sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got), key=str) == brute_spans(rows)
+
+
 def test_suffix_dedup_of_nothing(spark):
     assert suffix_dedup(empty(spark)).count() == 0
 
