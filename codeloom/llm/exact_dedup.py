@@ -127,19 +127,25 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
 
 
-def first_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that exact_dedup keeps, with all their columns. Rows are met again by file and row number, so null
-    and repeated ids are safe; docs that are no plain file scan are written first."""
+def located_rows(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """docs as a plain file scan, and the same with _file and _row, which tell rows apart; what is no such scan is written first."""
     rows = docs
     if not rows.inputFiles() or any(not x.lower().endswith(".parquet") for x in rows.inputFiles()[:1]):
         rows = stored(docs, "docs")
+    place = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row")]
     try:
-        located = rows.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+        return rows, rows.select("*", *place)
     except Exception as e:
         if "UNRESOLVED_COLUMN" not in str(e) and "FIELD_NOT_FOUND" not in str(e):
             raise
         rows = stored(docs, "docs")
-        located = rows.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+        return rows, rows.select("*", *place)
+
+
+def first_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs that exact_dedup keeps, with all their columns. Rows are met again by file and row number, so null
+    and repeated ids are safe; docs that are no plain file scan are written first."""
+    rows, located = located_rows(docs)
     gone = exact_dedup(rows, id_col, text_col).filter(~F.col("kept")).select(F.col("file").alias("_file"), F.col("row").alias("_row"))
     return located.join(gone, ["_file", "_row"], "left_anti").select(*docs.columns)
 

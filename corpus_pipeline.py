@@ -8,9 +8,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import read_table, stored
+from codeloom.llm.common import join_on_hot_key, read_table, stored
 from codeloom.llm.decontaminate import contaminated, find_benchmark
-from codeloom.llm.exact_dedup import first_copies
+from codeloom.llm.exact_dedup import first_copies, located_rows
 from codeloom.llm.jaccard_join import jaccard_components
 from codeloom.llm.language_id import UNKNOWN, identify, train
 from codeloom.llm.piece_codec import encoded
@@ -28,9 +28,20 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that near-duplicate links connect, keeps the one with the smallest id. Null ids stay."""
-    gone = jaccard_components(docs).filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """Of documents that near-duplicate links connect, keeps the row with the smallest id, null ids last; of repeated rows
+    with that id, the one that comes first by file and row. Rows are told apart by file and row, not by id."""
+    _, located = located_rows(docs)
+    files = sorted(r[0] for r in located.select("_file").distinct().collect())
+    numbers = F.broadcast(spark.createDataFrame(list(enumerate(files)), "_number long, _file string"))
+    keyed = located.join(numbers, "_file").withColumn("_key", F.shiftleft("_number", 40) + F.col("_row"))
+    found = jaccard_components(keyed.select("_key", "text"), "_key").filter(F.col("_key") != F.col("component_id"))
+    linked = stored(found.select("_key", F.col("component_id").alias("_group")), "linked")
+    heads = linked.select(F.col("_group").alias("_key"), "_group").distinct()
+    order = F.struct(F.col("doc_id").isNull().alias("null"), F.col("doc_id").alias("id"), F.col("_key").alias("key"))
+    members = stored(linked.unionByName(heads).join(keyed.select("_key", order.alias("_order")), "_key"), "members")
+    least = members.groupBy("_group").agg(F.min("_order").alias("_least"), F.count(F.lit(1)).alias("_n"))
+    gone = join_on_hot_key(members, least, "_group", "_n", max(1, members.count())).filter(F.col("_order.key") != F.col("_least.key")).select("_key")
+    return keyed.join(gone, "_key", "left_anti").select(*docs.columns)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -193,6 +193,20 @@ def test_pipeline_stages(spark, tmp_path):
     assert sorted(r.doc_id for r in last) == [i for i, _ in clean] and all(r.round_trip for r in last)
 
 
+def test_near_stage_decides_by_row(spark, tmp_path):
+    rng = random.Random(12)
+    copy = lambda t, w: t.replace(t.split()[30], w)
+    a, b, c, d, e = (words(rng, 60, 10**6) for _ in range(5))
+    rows = [(7, copy(a, "x")), (1, a), (7, b), (3, c), (3, copy(c, "y")), (None, d), (None, copy(d, "z")), (None, copy(e, "u")), (9, e), (None, None), (None, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(str(tmp_path / "docs"))
+    for docs in (spark.read.parquet(str(tmp_path / "docs")), spark.createDataFrame(rows, "doc_id long, text string")):
+        got = corpus_pipeline.near(spark, docs, str(tmp_path)).collect()
+        assert sorted(r.doc_id for r in got if r.doc_id is not None) == [1, 3, 7, 9]
+        texts = [r.text for r in got]
+        assert a in texts and b in texts and e in texts and texts.count(None) == 2 and len(texts) == 7
+        assert len({c, rows[4][1]} & set(texts)) == 1 and len({d, rows[6][1]} & set(texts)) == 1
+
+
 def test_stages_on_odd_and_empty_tables(spark, tmp_path):
     spark.read.parquet(f"{SF}/benchmark.parquet").write.parquet(str(tmp_path / "benchmark.parquet"))
     for k, docs in enumerate((table(spark, odd_texts()).drop("n", "spans"), empty(spark))):
