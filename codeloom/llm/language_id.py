@@ -202,6 +202,17 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", pred_col: st
     return docs.mapInArrow(run, out)
 
 
+def with_letter(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """The rows of docs whose text has a letter: those that identify() gives a language under any model that has one."""
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array([bool(t and LETTER.search(t)) for t in batch.column(at).to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def predict(model: Model, texts: list[str | None]) -> tuple[list[str], list[float]]:
     pred, score = [UNKNOWN] * len(texts), [0.0] * len(texts)
     if model.languages:

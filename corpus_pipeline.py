@@ -12,13 +12,17 @@ from codeloom.llm.common import join_on_hot_key, read_table, stored
 from codeloom.llm.decontaminate import contaminated, find_benchmark
 from codeloom.llm.exact_dedup import first_copies, located_rows
 from codeloom.llm.jaccard_join import jaccard_components
-from codeloom.llm.language_id import UNKNOWN, identify, train
+from codeloom.llm.language_id import UNKNOWN, identify, train, with_letter
 from codeloom.llm.piece_codec import encoded
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents in one of the learned languages: those without a letter, null texts among them, go."""
-    kept = identify(docs, train(docs), pred_col="_lang_pred", score_col="_lang_score").filter(F.col("_lang_pred") != UNKNOWN)
+    """Keeps documents in one of the learned languages: those without a letter, null texts among them, go. If no row has a
+    language to learn from (all null or 'und'), every document with a letter stays."""
+    model = train(docs)
+    if not model.languages:
+        return with_letter(docs)
+    kept = identify(docs, model, pred_col="_lang_pred", score_col="_lang_score").filter(F.col("_lang_pred") != UNKNOWN)
     return kept.select(*docs.columns)
 
 

@@ -193,6 +193,13 @@ def test_pipeline_stages(spark, tmp_path):
     assert sorted(r.doc_id for r in last) == [i for i, _ in clean] and all(r.round_trip for r in last)
 
 
+@pytest.mark.parametrize("lang", [None, "und"])
+def test_language_stage_without_labels_keeps_all_texts_with_a_letter(spark, lang):
+    rows = [(i, t, lang) for i, t in [*odd_texts(), (90, "123 ... 45"), (91, "²³")]]
+    got = corpus_pipeline.language(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string"), "").collect()
+    assert sorted(map(str, got)) == sorted(str(r) for r in spark.createDataFrame(rows, "doc_id long, text string, lang string").collect() if r.doc_id not in (30, 31, 32, 90, 91))
+
+
 def test_near_stage_decides_by_row(spark, tmp_path):
     rng = random.Random(12)
     copy = lambda t, w: t.replace(t.split()[30], w)
