@@ -1,7 +1,8 @@
 """Operator 6: chat formatting by schema fingerprints.
 
 A record's nested field paths (`messages[].role`) are hashed; the hash selects a declarative mapping from that layout to
-canonical turns (conversation, number, role, text). The template then writes each turn as
+canonical turns (conversation, number, role, text); with fields of other layouts beside them, the first mapping whose
+required paths are all present. The template then writes each turn as
 `<|turn|>role<|text|>text<|end|>` and a line feed. In roles and texts a backslash is doubled, and one is put after the
 first character of every control string, so no control string of this or other common templates is left and the original
 comes back by dropping each backslash and keeping the character after it.
@@ -90,18 +91,25 @@ def value_paths(value: object, prefix: str = "") -> set[str]:
     return {prefix}
 
 
-def mapping_of(paths: set[str]) -> Mapping | None:
-    """The mapping that the fingerprint selects. Fields that no mapping knows do not count."""
-    return REGISTRY.get(fingerprint(paths & KNOWN))
+def mapping_of(paths: set[str], rows: bool) -> Mapping | None:
+    """The mapping for these paths: of tables with one turn in each row, or of whole records.
+
+    A fingerprint that matches all known fields comes first. Else it is the first of MAPPINGS whose required paths are all
+    there: lists of turns before flat layouts, in the order above. Fields that it does not name are further columns.
+    """
+    exact = REGISTRY.get(fingerprint(paths & KNOWN))
+    if exact and bool(exact.conversation) == rows:
+        return exact
+    return next((m for m in MAPPINGS if bool(m.conversation) == rows and m.paths() - set(m.optional) <= paths), None)
 
 
 def turns_of_rows(rows: DataFrame) -> DataFrame:
     """Canonical turns (conv_id, turn, role, text) of a table with one turn in each row; null roles and texts are empty.
 
-    Raises ValueError if no mapping for such a layout has the table's fingerprint.
+    Further columns are not read, whatever their names. Raises ValueError if a column of the layout is missing.
     """
-    m = mapping_of(schema_paths(rows.schema))
-    if m is None or not m.conversation:
+    m = mapping_of(schema_paths(rows.schema), rows=True)
+    if m is None:
         raise ValueError(f"no mapping for rows with the fields {sorted(schema_paths(rows.schema))}")
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     return rows.select(F.col(m.conversation).cast("long").alias("conv_id"), F.col(m.number).cast("long").alias("turn"), text(m.role).alias("role"), text(m.text).alias("text"))
@@ -109,8 +117,8 @@ def turns_of_rows(rows: DataFrame) -> DataFrame:
 
 def record_turns(record: object) -> tuple[str | None, list[tuple[str, str]]]:
     """Name of the mapping (None: unknown layout) and the turns of one parsed record."""
-    m = mapping_of(value_paths(record)) if isinstance(record, dict) else None
-    if m is None or m.conversation:
+    m = mapping_of(value_paths(record), rows=False) if isinstance(record, dict) else None
+    if m is None:
         return None, []
     said = lambda x: "" if x is None else x if isinstance(x, str) else json.dumps(x, ensure_ascii=False)
     if m.each:

@@ -193,6 +193,21 @@ def test_pipeline_stages(spark, tmp_path):
     assert sorted(r.doc_id for r in last) == [i for i, _ in clean] and all(r.round_trip for r in last)
 
 
+def test_layouts_with_fields_of_others(spark):
+    other = ["prompt", "system", "input", "output", "response", "instruction", "completion"]
+    plain = [(1, 0, "user", "hi"), (1, 1, "assistant", "yes")]
+    schema = "conv_id long, turn long, role string, text string"
+    for names in (other[:1], other[3:4], other):
+        rows = spark.createDataFrame([(*r, *names) for r in plain], schema + "".join(f", {n} string" for n in names))
+        assert sorted(map(tuple, chat_format.turns_of_rows(rows).collect())) == plain
+    said = chat_format.record_turns
+    assert said({"prompt": "p", "response": "r", "input": "x"}) == ("prompt and response", [("user", "p"), ("assistant", "r")])
+    assert said({"messages": [{"role": "user", "content": "a"}], "prompt": "p", "text": None}) == ("messages", [("user", "a")])
+    assert said({"instruction": "i", "output": "o", "completion": "c"}) == ("instruction", [("user", "i"), ("assistant", "o")])
+    assert said({"prompt": "p", "completion": "c", "response": "r"})[0] == "prompt and completion"
+    assert said({"prompt": "p"}) == (None, []) and said({"conv_id": 1, "turn": 0, "role": "user", "text": "t"}) == (None, [])
+
+
 @pytest.mark.parametrize("lang", [None, "und"])
 def test_language_stage_without_labels_keeps_all_texts_with_a_letter(spark, lang):
     rows = [(i, t, lang) for i, t in [*odd_texts(), (90, "123 ... 45"), (91, "²³")]]
