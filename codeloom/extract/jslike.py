@@ -99,12 +99,16 @@ class _Scan:
         """The opening brace of a function whose parameters begin at paren, past a return type."""
         i = self.t.match.get(paren, paren) + 1
         if self.t.text(i) == ":":
-            depth_end = min(i + 60, len(self.t))
-            i += 1
-            while i < depth_end and self.t.text(i) not in ("{", "=>", ";"):
-                i = self.t.match.get(i, i) + 1 if self.t.text(i) in ("(", "[") else i + 1
-            if self.t.text(i) == "{" and self.t.text(self.t.match.get(i, i) + 1) == "{":  # an object type before the body
-                i = self.t.match[i] + 1
+            i, angle = i + 1, 0
+            while i < len(self.t):
+                x = self.t.text(i)
+                if x in ("(", "[") or x == "{" and (angle or self.t.text(i - 1) in (":", "|", "&")):  # a bracket of the type
+                    i = self.t.match.get(i, i) + 1
+                    continue
+                if x in (")", "]", "}", ";") or not angle and x in ("{", "=>"):
+                    break
+                angle = max(0, angle + (x == "<") - (x == ">"))
+                i += 1
         return i if self.t.text(i) == "{" else None
 
     def function(self, name: str, paren: int, start: int, doc_at: int, arrow: int | None = None) -> int:

@@ -110,24 +110,26 @@ def up_and_down(facts: Facts, known: DataFrame) -> tuple[DataFrame, DataFrame]:
     return up, facts.keep("below", lambda: closure(known.select(F.col("base").alias("src"), F.col("class").alias("dst"))).select("src", "dst"))
 
 
-def ancestors(known: DataFrame) -> DataFrame:
+def ancestors(known: DataFrame, max_levels: int = 1000) -> DataFrame:
     """(class, base, path): every class with itself (path '') and its bases, path ordering them depth first by position.
 
     The hierarchy's closure gives the pairs; a path is rebuilt by following least positions level by level, which real
-    class trees have few of.
+    class trees have few of. Raises RuntimeError if there are more than max_levels levels.
     """
     checkpoint_dir(known.sparkSession)
     step = known.groupBy("class", "base").agg(F.min("pos").alias("pos"))
     own = step.select("class").unionByName(step.select(F.col("base").alias("class"))).distinct()
     level = own.select("class", F.col("class").alias("base"), F.lit("").alias("path"), F.array("class").alias("seen"))
     out = level
-    for _ in range(32):
+    for _ in range(max_levels + 1):
         nxt = level.join(step.select(F.col("class").alias("base"), F.col("base").alias("up"), "pos"), "base").filter(~F.array_contains("seen", F.col("up")))
         level = nxt.select("class", F.col("up").alias("base"), F.concat("path", F.format_string("%010d.", "pos")).alias("path"), F.array_append("seen", F.col("up")).alias("seen"))
         level = level.checkpoint()
         if level.isEmpty():
             break
         out = out.unionByName(level)
+    else:
+        raise RuntimeError(f"a class hierarchy has more than {max_levels} levels")
     return out.groupBy("class", "base").agg(F.min("path").alias("path"))
 
 

@@ -3,7 +3,7 @@
 import pytest
 from fixtures import SHOP
 
-from codeloom.operators import heal, lookup, relational, traverse
+from codeloom.operators import heal, lookup, relational, resolve, traverse
 from codeloom.plans.build import build
 from codeloom.sources.repo import files_table
 
@@ -212,6 +212,21 @@ def test_same_named_functions_do_not_cross_services(spark):
     assert [e.dst for e in g.edges.filter("relation = 'CALLS'").collect()] == ["external::shared"]
 
 
+def test_long_return_types_keep_the_body(spark):
+    union = " | ".join(f'"k{i}"' for i in range(40))
+    rows = [("", "m.ts", f"function g() {{ return 1; }}\nfunction f(a: number): {union} {{ return g(); }}\nfunction h(): Promise<{{ a: {union}; b: () => void }}> {{ return g(); }}\n")]
+    g = build(files_table(spark, rows), semantic=False)
+    assert {(e.src, e.dst) for e in g.edges.filter("relation = 'CALLS'").collect()} >= {("m.ts:f", "m.ts:g"), ("m.ts:h", "m.ts:g")}
+
+
+def test_ancestors_over_many_levels(spark):
+    known = spark.createDataFrame([(f"c{i}", f"c{i - 1}", 0, 1) for i in range(1, 37)], "class string, base string, pos int, k long")
+    up = {(r["class"], r.base) for r in resolve.ancestors(known).collect()}
+    assert len(up) == 37 * 38 // 2 and ("c36", "c0") in up
+    with pytest.raises(RuntimeError):
+        resolve.ancestors(known.limit(4), max_levels=2)
+
+
 def test_problem_files_do_not_stop_a_build(spark):
     rows = [("", "bad.py", "def f(:\n"), ("", "good.py", "def g():\n    return 1\n"), ("", "bad.js", "function ( { [ `"), ("", "bad.go", "func (")]
     g = build(files_table(spark, rows), semantic=False)
