@@ -9,11 +9,13 @@ fitted on all rows. The model then scores every whole text from the text alone.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom.llm.boosting import Boosted, Isotonic
@@ -125,10 +127,17 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     if {label for label, _ in totals} != {0, 1}:
         return Model({}, Boosted().fit(np.zeros((0, len(FEATURES))), np.zeros(0)), Isotonic().fit(np.zeros(0), np.zeros(0)))
     by_fold = rows.mapInArrow(words, "label int, fold int, entry string").groupBy("entry", "fold").agg(F.sum("label").alias("yes"), F.count(F.lit(1)).alias("n"))
-    # Entries that can reach MIN_DOCS and MIN_ODDS with some fold left out; at most max_rows texts' words.
-    sums = F.sum("yes"), F.sum("n") - F.sum("yes")
-    may = by_fold.groupBy("entry").agg(sums[0].alias("y"), sums[1].alias("z"), F.collect_list(F.struct("fold", "yes", "n")).alias("f"))
-    counts = [(r[0], f[0], f[1], f[2]) for r in may.filter(F.col("y") >= MIN_DOCS).filter("y > z / 8").select("entry", "f").toLocalIterator() for f in r[1]]
+    # Entries that reach MIN_DOCS and MIN_ODDS with some fold left out, or none; at most max_rows texts' words. The bound is
+    # that of _lexicon, lowered by a hair for rounding.
+    def reaches(without: int) -> Column:
+        toxic, clean = (sum(n for (label, fold), n in totals.items() if label == y and fold != without) for y in (1, 0))
+        left = F.col("fold") != without
+        y, z = F.sum(F.when(left, F.col("yes")).otherwise(0)), F.sum(F.when(left, F.col("n") - F.col("yes")).otherwise(0))
+        return (y >= MIN_DOCS) & ((y + 0.5) / (toxic + 1) > (z + 0.5) / (clean + 1) * float(np.exp(MIN_ODDS - 1e-6)))
+
+    some = reduce(or_, [reaches(k) for k in (*range(FOLDS), -1)])
+    may = by_fold.groupBy("entry").agg(some.alias("some"), F.collect_list(F.struct("fold", "yes", "n")).alias("f"))
+    counts = [(r[0], f[0], f[1], f[2]) for r in may.filter("some").select("entry", "f").toLocalIterator() for f in r[1]]
     lexicons = [_lexicon(counts, totals, k) for k in (*range(FOLDS), -1)]
     shared = docs.sparkSession.sparkContext.broadcast(lexicons)  # at most FOLDS + 1 times MAX_LEXICON entries
 

@@ -217,6 +217,14 @@ def test_toxicity_on_odd_rows(spark):
     assert {round(r.s, 6) for r in toxicity.score(table(spark, rows), flat, score_col="s").collect()} == {0.5}
 
 
+def test_toxicity_lexicon_where_toxic_texts_are_rare(spark):
+    """1 % are toxic; zork is in half of them and in 5 % of the others."""
+    rng = random.Random(4)
+    rows = [(i, f"w{rng.randrange(50)} w{rng.randrange(50)}" + (" zork" if (i // 100) % 2 == 0 and i % 100 == 0 or i % 20 == 1 else "")) for i in range(2000)]
+    labels = spark.createDataFrame([(i, int(i % 100 == 0)) for i, _ in rows], "doc_id long, toxic int")
+    assert "zork" in toxicity.train(table(spark, rows, False), labels).lexicon
+
+
 def test_features_see_obfuscation_and_address():
     f = dict(zip(toxicity.FEATURES, toxicity.Extractor({"idiot": 3.0, "idio*": 2.0})("You IDIOT!! st0pid sooooo idiotic")))
     assert f["distinct_hits"] == 2 and f["near_second_person"] == 1.0 and f["obfuscated"] > 0 and f["stretched"] > 0 and f["exclaims"] > 0 and f["shouted"] > 0
