@@ -116,9 +116,10 @@ def turns_of_rows(rows: DataFrame) -> DataFrame:
 
 
 def record_turns(record: object) -> tuple[str | None, list[tuple[str, str]]]:
-    """Name of the mapping (None: unknown layout) and the turns of one parsed record."""
+    """Name of the mapping (None: unknown layout) and the turns of one parsed record. A list of turns with an element that
+    is no object is an unknown layout too: no turn of it is guessed."""
     m = mapping_of(value_paths(record), rows=False) if isinstance(record, dict) else None
-    if m is None:
+    if m is None or m.each and not all(isinstance(e, dict) for e in record[m.each]):
         return None, []
     said = lambda x: "" if x is None else x if isinstance(x, str) else json.dumps(x, ensure_ascii=False)
     if m.each:

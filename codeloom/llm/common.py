@@ -12,6 +12,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: A digest or cluster with more than 1/HOT_SHARE of all rows is hot; there are fewer than HOT_SHARE such keys.
 HOT_SHARE = 64
@@ -23,10 +24,13 @@ NULL_ID = np.iinfo(np.int64).max
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir as the cluster names it; a new local one only where it is unset."""
+    """The folder all executors share: spark.checkpoint.dir as the cluster names it. Where it is unset, a local master gets
+    a new local folder; on a cluster, whose machines would each write to their own, it is an error."""
     sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not base:
+        if not sc.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="codeloom-"))
         base = sc.getCheckpointDir()
     return base.rstrip("/")
@@ -55,6 +59,23 @@ def release(spark: SparkSession, *tables: DataFrame) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def fresh(name: str, taken: list[str]) -> str:
+    """name, with underscores before it until no column of `taken` has it; Spark's names do not tell cases apart."""
+    known = {c.lower() for c in taken}
+    while name.lower() in known:
+        name = "_" + name
+    return name
+
+
+def with_outputs(docs: DataFrame, outputs: str) -> tuple[list[int], T.StructType]:
+    """Positions of the columns of docs that stay, and the schema of those followed by outputs (a DDL string). A column of
+    docs with the name of an output gives way to it."""
+    made = T.StructType.fromDDL(outputs)
+    names = {f.name.lower() for f in made}
+    kept = [i for i, c in enumerate(docs.columns) if c.lower() not in names]
+    return kept, T.StructType([*(docs.schema.fields[i] for i in kept), *made.fields])
+
+
 def text_bytes(text: Column) -> Column:
     return F.octet_length(F.coalesce(text, F.lit(""))).cast("long")
 

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import join_on_hot_key, read_table, shared_dir, stored, work_path
+from codeloom.llm.common import fresh, join_on_hot_key, read_table, shared_dir, stored, work_path
 
 #: One space for each run of these characters; fixed by the operator's definition of equality.
 SPACES = r"[\x20\x09-\x0D]+"
@@ -103,15 +103,16 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     hits = groups.filter("n > 1").select("digest", "n")
     texts = rows.select(digest(F.col("raw")).alias("digest"), "raw")
     checked = join_on_hot_key(texts, hits, "digest", "n", total).groupBy("digest").agg(F.min("raw").alias("a"), F.max("raw").alias("b"))
-    clash = [r[0] for r in checked.filter("a <> b").select("digest").limit(10_000).collect()]
+    clash = stored(checked.filter("a <> b").select("digest"), "clashes")
 
     whole = groups
-    if clash:  # digests that differ in bytes: their rows are keyed by the text as well
-        if len(clash) == 10_000:
-            raise ValueError("the digest is too weak: 10,000 digests or more stand for different texts")
-        slim = stored(slim.withColumn("digest", F.when(F.col("digest").isin(clash), F.concat_ws(":", "digest", "sha")).otherwise(F.col("digest"))), "digests")
-        split = slim.filter(F.substring_index("digest", ":", 1).isin(clash)).groupBy("digest").agg(F.min(F.struct("ord", "file", "row")).alias("keeper"), F.count(F.lit(1)).alias("n"))
-        whole = stored(groups.filter(~F.col("digest").isin(clash)).unionByName(split), "groups")
+    if clash.limit(1).count():  # digests that differ in bytes, however many: their rows are keyed by the text as well
+        clash = stored(clash.join(hits, "digest").withColumn("split", F.lit(True)), "clashes")
+        marked = join_on_hot_key(slim, clash.withColumnRenamed("n", "weight"), "digest", "weight", total, "left")
+        slim = stored(marked.withColumn("digest", F.when(F.col("split"), F.concat_ws(":", "digest", "sha")).otherwise(F.col("digest"))).drop("weight"), "digests")
+        split = slim.filter("split").groupBy("digest").agg(F.min(F.struct("ord", "file", "row")).alias("keeper"), F.count(F.lit(1)).alias("n"))
+        slim = slim.drop("split")
+        whole = stored(groups.join(clash.select("digest"), "digest", "left_anti").unionByName(split.select("digest", "keeper", "n")), "groups")
     joined = join_on_hot_key(slim, whole, "digest", "n", total)
     keep = F.when(F.col("keeper.ord") == LAST, F.lit(None).cast("long")).otherwise(F.col("keeper.ord"))
     return joined.select(
@@ -127,27 +128,28 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
 
 
-def located_rows(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """docs as a plain file scan, and the same with _file and _row, which tell rows apart; what is no such scan is written first."""
-    rows = docs
+def located_rows(docs: DataFrame) -> tuple[DataFrame, DataFrame, tuple[str, str]]:
+    """docs as a plain file scan; the same with two more columns, the file and the row number, which tell rows apart; and
+    the names of the two, which no column of docs has. What is no such scan is written first."""
+    rows, file, row = docs, fresh("_file", docs.columns), fresh("_row", docs.columns)
     if not rows.inputFiles() or any(not x.lower().endswith(".parquet") for x in rows.inputFiles()[:1]):
         rows = stored(docs, "docs")
-    place = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row")]
+    place = [F.col("_metadata.file_path").alias(file), F.col("_metadata.row_index").alias(row)]
     try:
-        return rows, rows.select("*", *place)
+        return rows, rows.select("*", *place), (file, row)
     except Exception as e:
         if "UNRESOLVED_COLUMN" not in str(e) and "FIELD_NOT_FOUND" not in str(e):
             raise
         rows = stored(docs, "docs")
-        return rows, rows.select("*", *place)
+        return rows, rows.select("*", *place), (file, row)
 
 
 def first_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that exact_dedup keeps, with all their columns. Rows are met again by file and row number, so null
-    and repeated ids are safe; docs that are no plain file scan are written first."""
-    rows, located = located_rows(docs)
-    gone = exact_dedup(rows, id_col, text_col).filter(~F.col("kept")).select(F.col("file").alias("_file"), F.col("row").alias("_row"))
-    return located.join(gone, ["_file", "_row"], "left_anti").select(*docs.columns)
+    """The rows of docs that exact_dedup keeps, with all their columns, whatever their names. Rows are met again by file
+    and row number, so null and repeated ids are safe; docs that are no plain file scan are written first."""
+    rows, located, place = located_rows(docs)
+    gone = exact_dedup(rows, id_col, text_col).filter(~F.col("kept")).select(F.col("file").alias(place[0]), F.col("row").alias(place[1]))
+    return located.join(gone, list(place), "left_anti").select(*(f"`{c}`" for c in docs.columns))
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """Operator 9: n-gram Jaccard join by T-occurrence search.
 
-A document's set holds the 64-bit hashes of its distinct word shingles. Two sets can only reach the threshold t if each
+A document's set holds its distinct word shingles, each made from keyed 128-bit digests of its words: 64 bits in the sets
+and inverted lists, 64 more that only decide which sets are equal. Two sets can only reach the threshold t if each
 has at least t * size elements that occur in another document, so
 1. all documents send their shingles to hash buckets as packed arrays and learn which are repeated (repeats.py);
 2. documents with too few repeated shingles have no partner; of the rest, equal sets fold into their smallest id;
@@ -8,7 +9,8 @@ has at least t * size elements that occur in another document, so
    sets are linked to the smallest id at each such shingle, and the components of those links hold all true pairs;
 4. inside a component an inverted index answers a T-occurrence search for each set: with DivideSkip, the short lists are
    merged and the few long lists probed by binary search, for candidates that can still reach T.
-Components above CLUSTER sets are first reduced by star rounds over all machines (see _star_rounds).
+In components above CLUSTER sets, rounds over all machines first gather stars (see _star_rounds); then only sets outside
+stars, and sets near another star's centre, search further (see _between_stars and _by_token).
 """
 
 from __future__ import annotations
@@ -24,38 +26,45 @@ from pyspark.sql import functions as F
 from codeloom.llm.common import NULL_ID, blocks_of, join_on_hot_key, mix, read_table, release, rows_of, stored, unpack
 from codeloom.llm.components import components
 from codeloom.llm.repeats import bucket_bits, look_up, ranges, repeated_keys, with_repeated
-from codeloom.llm.wordhash import LOWER, NOT_SPACE, span_hashes, word_bounds
+from codeloom.llm.wordhash import LOWER, WordDigests
 
 N_WORDS = 5
 #: The threshold as a fraction: 100 * intersection >= PERCENT * union.
 PERCENT = 80
+#: Odd multipliers of the two columns of a shingle.
+ODD = np.array([0x9FB21C651E98DF25, 0xD6E8FEB86659FD93], np.uint64)
 #: Sets of one component that a single search task takes.
 CLUSTER = 3000
 
 
-def shingle_sets(starts: np.ndarray, raw: np.ndarray, n: int) -> list[np.ndarray]:
-    """Ascending distinct shingle hashes of each document of a block; fewer words than n make one shingle, none no set."""
-    k = len(starts) - 1
-    spaced = LOWER[np.insert(raw, starts[1:-1], 32)] if k > 1 else LOWER[raw]
-    at, end = word_bounds(spaced, NOT_SPACE)
-    first = np.searchsorted(at, starts + np.arange(k + 1))
-    words = span_hashes(spaced, at, end)
-    odd = np.uint64(0x9FB21C651E98DF25)
-    full = words[: max(len(words) - n + 1, 0)].copy()
+def shingle_sets(starts: np.ndarray, raw: np.ndarray, n: int, digests: WordDigests) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Distinct shingles of each document of a block as two columns of 64 bits, by the first, which is ascending; fewer
+    words than n make one shingle, none no set."""
+    folded, counts = raw.tobytes().translate(LOWER), []
+    words: list[bytes] = []
+    for a, b in zip(starts[:-1].tolist(), starts[1:].tolist()):
+        own = folded[a:b].split()
+        words += own
+        counts.append(len(own))
+    w = digests(words)
+    full = w[: max(len(w) - n + 1, 0)].copy()
     for i in range(1, n):
-        full = full * odd + words[i : len(words) - n + 1 + i] if len(full) else full
+        full = mix(full * ODD) + w[i : len(w) - n + 1 + i] if len(full) else full
     full = mix(full)
-    out = []
-    for a, b in zip(first[:-1], first[1:]):
-        if b - a >= n:
-            out.append(np.unique(full[a : b - n + 1]))
-        elif b > a:
-            h = np.uint64(b - a)
-            for w in words[a:b]:
-                h = np.uint64((int(h) * int(odd) + int(w)) & (2**64 - 1))
-            out.append(mix(np.array([h])))
+    out, at = [], 0
+    for k in counts:
+        if k >= n:
+            a, place = np.unique(full[at : at + k - n + 1, 0], return_index=True)
+            out.append((a, full[at + place, 1]))
+        elif k:
+            h = np.full((1, 2), k, np.uint64)
+            for own in w[at : at + k]:
+                h = mix(h * ODD) + own
+            h = mix(h)
+            out.append((h[:, 0], h[:, 1]))
         else:
-            out.append(np.zeros(0, np.uint64))
+            out.append((np.zeros(0, np.uint64),) * 2)
+        at += k
     return out
 
 
@@ -159,11 +168,12 @@ def _sets(blocks: DataFrame, bits: int, n_words: int, percent: int) -> DataFrame
     frequency, and prefix."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digests = WordDigests()
         for _, ids, ends, text, found in rows_of(batches):
             ids, starts, raw = unpack(ids, ends, text)
             known, counts = ranges(found)
             out = []
-            for i, s in zip(ids.tolist(), shingle_sets(starts, raw, n_words)):
+            for i, (s, other) in zip(ids.tolist(), shingle_sets(starts, raw, n_words, digests)):
                 df = look_up(s, bits, known, counts)
                 rep = df > 1
                 least = least_overlap(len(s), percent)
@@ -172,8 +182,9 @@ def _sets(blocks: DataFrame, bits: int, n_words: int, percent: int) -> DataFrame
                     continue
                 keys = s[rep]
                 order = np.argsort(df[rep], kind="stable")  # hash order among equals
-                need = len(s) - least + 1 - (len(s) - len(keys))
-                a, b = int(mix(s).sum(dtype=np.uint64)), int(mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64))
+                # A set too small to reach the threshold with one more element has no partner but its equals.
+                need = len(s) - least + 1 - (len(s) - len(keys)) if 100 * len(s) >= percent * (len(s) + 1) else 0
+                a, b = int(mix(s).sum(dtype=np.uint64)), int(mix(other).sum(dtype=np.uint64))
                 sig = a.to_bytes(8, "big") + b.to_bytes(8, "big") + len(s).to_bytes(8, "big")
                 out.append((i, len(s), sig, keys.tobytes(), keys[order[:need]].astype(np.int64)))
             for at in range(0, len(out), 128):
@@ -183,76 +194,88 @@ def _sets(blocks: DataFrame, bits: int, n_words: int, percent: int) -> DataFrame
     return blocks.mapInArrow(run, SETS)
 
 
-def _star_rounds(members: DataFrame, percent: int, total: int) -> tuple[DataFrame, DataFrame]:
-    """Shrinks components above CLUSTER sets. members: (id, n, keys, cluster, size).
+def _star_rounds(members: DataFrame, percent: int, total: int) -> DataFrame:
+    """Finds stars in components above CLUSTER sets. members: (id, n, keys, cluster, size).
 
     In each round the smallest id of a component that no star has reached is compared with all others of the component,
-    wherever they are; those that link form its star. Rounds end when every component has at most CLUSTER sets outside
-    its largest star, or when a round reached fewer than one in eight of the sets left. Returns the star links (u, v) and
-    the members with a column star: the centre that reached them, or null.
+    wherever they are; those that link form its star. Rounds end when every component has at most CLUSTER sets that no
+    star reached, or when a round reached fewer than one in eight of the sets left. Returns the members with two more
+    columns: star, the first centre that reached them, or null; and near, all centres that are so close that a set of
+    their star may link with this one. Jaccard distance is a metric, so that is twice the distance of a link.
     """
-    spark = members.sparkSession
-    links, rest, reached = None, members.withColumn("star", F.lit(None).cast("long")), None
+    bound, reached = 2 * percent - 100, None
+    rest = members.withColumns({"star": F.lit(None).cast("long"), "near": F.array().cast("array<long>")})
     for _ in range(24):
-        open_ = rest.filter("star is null")
-        left = open_.groupBy("cluster").agg(F.count(F.lit(1)).alias("open"), F.min("id").alias("centre"))
+        left = rest.filter("star is null").groupBy("cluster").agg(F.count(F.lit(1)).alias("open"), F.min("id").alias("centre"))
         large = left.filter(F.col("open") > CLUSTER)
         n = large.agg(F.sum("open")).first()[0]
         if not n or (reached is not None and n > 0.875 * reached):
             break
         reached = n
-        centre = rest.select("id", F.col("n").alias("cn"), F.col("keys").alias("ck")).join(large.select(F.col("centre").alias("id"), "cluster", "open"), "id")
-        centre = stored(centre.withColumnRenamed("id", "cid"), "centres")
-        done = rest.join(centre.select("cluster").distinct(), "cluster", "left_anti")
-        tried = join_on_hot_key(rest.join(centre.select("cluster").distinct(), "cluster", "left_semi"), centre, "cluster", "open", total)
+        centre = rest.select(F.col("id").alias("cid"), F.col("n").alias("cn"), F.col("keys").alias("ck")).join(large.withColumnRenamed("centre", "cid"), "cid").withColumn("weight", F.col("open"))
+        centre = stored(centre.drop("open").dropDuplicates(["cluster"]), "centres")  # ids may repeat
+        done = rest.join(centre.select("cluster"), "cluster", "left_anti")
+        tried = join_on_hot_key(rest.join(centre.select("cluster"), "cluster", "left_semi"), centre, "cluster", "weight", total)
 
         def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                c = {k: batch.column(k).to_pylist() for k in ("id", "n", "keys", "star", "cid", "cn", "ck")}
-                star = []
-                for i, n, keys, s, cid, cn, ck in zip(*c.values()):
+                c = {k: batch.column(k).to_pylist() for k in ("n", "keys", "star", "near", "cid", "cn", "ck")}
+                star, near = [], []
+                for n, keys, s, close, cid, cn, ck in zip(*c.values()):
                     shared = len(np.intersect1d(np.frombuffer(keys, np.uint64), np.frombuffer(ck, np.uint64), assume_unique=True))
-                    star.append(s if s is not None or (i != cid and 100 * shared < percent * (n + cn - shared)) else cid)
-                yield pa.RecordBatch.from_arrays([batch.column(k) for k in ("id", "n", "keys", "cluster", "size")] + [pa.array(star, pa.int64())], ["id", "n", "keys", "cluster", "size", "star"])
+                    shared = n if n == cn and keys == ck else shared  # keys that no other set has are left out
+                    star.append(s if s is not None or 100 * shared < percent * (n + cn - shared) else cid)
+                    near.append(close + [cid] if 100 * shared >= bound * (n + cn - shared) else close)
+                yield pa.RecordBatch.from_arrays([batch.column(k) for k in MEMBERS[:5]] + [pa.array(star, pa.int64()), pa.array(near, pa.list_(pa.int64()))], MEMBERS)
 
-        tried = tried.select("id", "n", "keys", "star", "cid", "cn", "ck", "cluster", "size").mapInArrow(compare, "id long, n long, keys binary, cluster long, size long, star long")
-        rest = stored(done.select("id", "n", "keys", "cluster", "size", "star").unionByName(tried), "stars")
-    links = rest.filter("star is not null and star <> id").select(F.col("id").alias("u"), F.col("star").alias("v"))
-    return links, rest
+        tried = tried.select(*MEMBERS, "cid", "cn", "ck").mapInArrow(compare, "id long, n long, keys binary, cluster long, size long, star long, near array<long>")
+        rest = stored(done.select(*MEMBERS).unionByName(tried), "stars")
+    return rest
 
 
-def _search(members: DataFrame, percent: int) -> DataFrame:
-    """Links (u, v) from T-occurrence searches. members: (id, n, keys, cluster, size, star).
+MEMBERS = ["id", "n", "keys", "cluster", "size", "star", "near"]
+LINKS = "u long, v long"
 
-    Components of at most CLUSTER sets are whole in one task. Of a larger one, the sets outside its largest star are the
-    queries; its sets are dealt to parts with an index each, and the queries go to every part.
-    """
-    small = members.filter(F.col("size") <= CLUSTER)
-    big = members.filter(F.col("size") > CLUSTER)
+
+def _labelled(percent: int, *group: str):
+    """Links of each set to the smallest id that it is linked with inside its group."""
 
     def one(table: pa.Table) -> pa.Table:
-        cluster = table.column("cluster").to_numpy()
         ids, sizes = table.column("id").to_numpy(), table.column("n").to_numpy()
         keys = [np.frombuffer(k, np.uint64) for k in table.column("keys").to_pylist()]
+        of = [table.column(g).to_numpy() for g in group]
         u, v = [], []
-        order = np.lexsort((ids, cluster))
-        for part in np.split(order, np.flatnonzero(np.diff(cluster[order])) + 1):
+        order = np.lexsort((ids, *of))
+        new = np.any([np.diff(g[order]) != 0 for g in of], axis=0) if of else np.zeros(max(len(order) - 1, 0), bool)
+        for part in np.split(order, np.flatnonzero(new) + 1):
             labels = group_labels([keys[i] for i in part], sizes[part], percent)
             linked = np.flatnonzero(labels != np.arange(len(part)))
             u += ids[part[linked]].tolist()
             v += ids[part[labels[linked]]].tolist()
         return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
-    bins = max(1, -(-members.select("id").count() // CLUSTER))
-    links = small.withColumn("bin", F.pmod(F.xxhash64("cluster"), F.lit(bins))).groupBy("bin").applyInArrow(one, "u long, v long")
-    if big.limit(1).count() == 0:
-        return links
-    stars = big.groupBy("cluster", "star").agg(F.count(F.lit(1)).alias("k"))
-    top = stars.filter("star is not null").groupBy("cluster").agg(F.max_by("star", "k").alias("top"))
-    parts = F.ceil(F.col("size") / CLUSTER).cast("long")
-    big = stored(big.join(top, "cluster", "left").withColumn("query", ~F.coalesce(F.col("star") == F.col("top"), F.lit(False))), "big")
-    dealt = big.select("id", "n", "keys", "cluster", F.lit(False).alias("query"), F.pmod(F.xxhash64("id"), parts).alias("part"))
-    asked = big.filter("query").select("id", "n", "keys", "cluster", "query", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part"))
+    return one
+
+
+def _small(members: DataFrame, percent: int) -> DataFrame:
+    """Links inside components of at most CLUSTER sets (id, n, keys, cluster), some of which share a task."""
+    bins = max(1, -(-members.count() // CLUSTER))
+    return members.withColumn("bin", F.pmod(F.xxhash64("cluster"), F.lit(bins))).groupBy("bin").applyInArrow(_labelled(percent, "cluster"), LINKS)
+
+
+def _by_token(sets: DataFrame, percent: int, total: int) -> DataFrame:
+    """Links of sets (id, n, keys, prefix) that no star gathers: linked sets share a token of both prefixes, so the sets of
+    each token search one another. The sets of a token are dealt to blocks of about CLUSTER, and every two blocks meet."""
+    rows = stored(sets.select("id", "n", "keys", F.explode("prefix").alias("token")), "tokens")
+    count = rows.groupBy("token").agg(F.count(F.lit(1)).alias("k")).filter("k > 1")
+    blocks = F.ceil(F.col("k") / CLUSTER).cast("long")
+    rows = join_on_hot_key(rows, count, "token", "k", max(1, rows.count())).withColumn("own", F.pmod(F.xxhash64("id"), blocks))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    return rows.select("id", "n", "keys", "token", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b")).groupBy("token", "a", "b").applyInArrow(_labelled(percent), LINKS)
+
+
+def _probe(percent: int):
+    """One link at most of each query of a group to the sets of a part of a star."""
 
     def probe(table: pa.Table) -> pa.Table:
         query = table.column("query").to_numpy(zero_copy_only=False)
@@ -263,12 +286,63 @@ def _search(members: DataFrame, percent: int) -> DataFrame:
         u, v = [], []
         for q in np.flatnonzero(query):
             found = ids[own[index.search(keys[q], int(sizes[q]), percent)]]
-            found = found[found != ids[q]]
-            u += [int(ids[q])] * len(found)
-            v += found.tolist()
+            if len(found):
+                u.append(int(ids[q]))
+                v.append(int(found.min()))
         return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
-    return links.unionByName(dealt.unionByName(asked).groupBy("cluster", "part").applyInArrow(probe, "u long, v long"))
+    return probe
+
+
+def _between_stars(members: DataFrame, percent: int, total: int) -> DataFrame:
+    """Links (u, v) that connect stars, and sets outside all stars, with other stars.
+
+    A set visits a star only if the star's centre is near enough for a link, and only one of two stars visits the other.
+    A star's sets are dealt to parts of about CLUSTER and its visitors to blocks as large, so that a group is bounded.
+    Every visitor first goes to one part; then those go to all parts whose own star is not connected with the star yet.
+    """
+    visits = stored(members.select("id", "n", "keys", F.col("star").alias("home"), F.explode("near").alias("star")).filter("home is null or star < home"), "visits")
+    sizes = members.filter("star is not null").groupBy("star").agg(F.count(F.lit(1)).alias("k"))
+    sizes = stored(visits.groupBy("star").agg(F.count(F.lit(1)).alias("guests")).join(sizes, "star"), "sizes")
+    parts, blocks = F.ceil(F.col("k") / CLUSTER).cast("long"), F.ceil(F.col("guests") / CLUSTER).cast("long")
+    deal = lambda n, seed: F.pmod(F.xxhash64("id", F.lit(seed)), n)
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
+    hosts = join_on_hot_key(members.filter("star is not null").select("id", "n", "keys", "star"), sizes, "star", "k", total)
+    hosts = hosts.withColumn("part", deal(parts, 1)).withColumn("block", each(blocks)).withColumn("query", F.lit(False))
+    guests = join_on_hot_key(visits, sizes, "star", "guests", max(1, visits.count())).withColumn("block", deal(blocks, 2)).withColumn("query", F.lit(True))
+    cols = ["id", "n", "keys", "star", "part", "block", "query"]
+    search = lambda asked: asked.select(*cols).unionByName(hosts.select(*cols)).groupBy("star", "part", "block").applyInArrow(_probe(percent), LINKS)
+    links = stored(search(guests.withColumn("part", deal(parts, 3))), "links")
+    tied = links.join(members.select(F.col("id").alias("u"), "star"), "u").withColumnRenamed("star", "a").join(members.select(F.col("id").alias("v"), F.col("star").alias("b")), "v")
+    met = stored(tied.select(F.col("u").alias("id"), F.col("b").alias("star")).distinct(), "met")
+    group = stored(components(tied.filter("a is not null").select(F.col("a").alias("u"), F.col("b").alias("v"))), "groups")
+    pair = F.concat_ws(":", "home", "star")
+    pairs = visits.filter("home is not null").groupBy("home", "star").agg(F.count(F.lit(1)).alias("times")).withColumn("pair", pair)
+    for c in ("home", "star"):  # a star has few neighbours, so neither join has a hot key
+        pairs = pairs.join(group.select(F.col("id").alias(c), F.col("component").alias(f"{c}_group")), c, "left")
+    pairs = stored(pairs.filter("home_group = star_group").select("pair", "times"), "pairs").withColumn("met", F.lit(True))
+    open_ = guests.filter(F.col("k") > CLUSTER).withColumn("pair", F.when(F.col("home").isNotNull(), pair))
+    open_ = join_on_hot_key(open_, pairs, "pair", "times", max(1, visits.count()), "left").filter("met is null").join(met, ["id", "star"], "left_anti")
+    return links.unionByName(search(open_.withColumn("part", each(parts))))
+
+
+def _links(members: DataFrame, reps: DataFrame, percent: int, total: int) -> DataFrame:
+    """Links (u, v) that connect just the sets that links of the threshold connect. members: (id, n, keys, cluster, size)."""
+    members = _star_rounds(members, percent, total)
+    big = members.filter(F.col("size") > CLUSTER)
+    links = _small(members.filter(F.col("size") <= CLUSTER), percent)
+    if not big.limit(1).count():
+        return links
+    links = links.unionByName(big.filter("star is not null and star <> id").select(F.col("id").alias("u"), F.col("star").alias("v")))
+    links = links.unionByName(_between_stars(big, percent, total))
+    open_ = big.filter("star is null")
+    left = open_.groupBy("cluster").agg(F.count(F.lit(1)).alias("open"))
+    open_ = stored(join_on_hot_key(open_.select("id", "n", "keys", "cluster"), left, "cluster", "open", total), "open")
+    links = links.unionByName(_small(open_.filter(F.col("open") <= CLUSTER), percent))
+    many = open_.filter(F.col("open") > CLUSTER)
+    if many.limit(1).count():
+        links = links.unionByName(_by_token(many.join(reps.select("id", "prefix"), "id"), percent, total))
+    return links
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_words: int = N_WORDS, percent: int = PERCENT) -> DataFrame:
@@ -281,8 +355,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     blocks = blocks_of(docs, id_col, text_col)
 
+    digests = WordDigests()  # empty here; each task fills its own
+
     def keys_of(ids: np.ndarray, starts: np.ndarray, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        sets = shingle_sets(starts, raw, n_words)
+        sets = [x for x, _ in shingle_sets(starts, raw, n_words, digests)]
         return np.unique(np.concatenate(sets), return_counts=True) if sets else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
 
     # A shingle for about six bytes of text; the figure only sets the number of buckets.
@@ -301,11 +377,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     sizes = cluster.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))
     members = join_on_hot_key(cluster, sizes, "cluster", "size", total)
     members = stored(reps.select("id", "n", "keys").join(members, "id"), "members")
-    if members.filter(F.col("size") > CLUSTER).limit(1).count():
-        stars, members = _star_rounds(members, percent, total)
-        links = stars.unionByName(_search(members, percent))
-    else:
-        links = _search(members.withColumn("star", F.lit(None).cast("long")), percent)
+    links = _links(members, reps, percent, total)
     repeated = sets.groupBy("id").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1")
     shared = repeated.limit(1).count() > 0
     if shared:  # rows with one id are one node: each is tied to the set that stands for its own

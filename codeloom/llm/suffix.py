@@ -5,8 +5,9 @@ from __future__ import annotations
 import numpy as np
 
 
-#: Induction works bucket by bucket; a reduced text over more symbols than this is sorted by prefix doubling.
-MAX_ALPHABET = 1024
+#: Suffixes of a symbol, on average, from which induction goes symbol by symbol; below that, all symbols at once. Both
+#: give the same array.
+BUCKET = 100
 
 
 def suffix_types(text: np.ndarray) -> np.ndarray:
@@ -24,34 +25,6 @@ def suffix_types(text: np.ndarray) -> np.ndarray:
     return s_type
 
 
-def doubled(text: np.ndarray) -> np.ndarray:
-    """Suffix array by prefix doubling that only sorts again the suffixes whose place is still open."""
-    n = len(text)
-    order = np.argsort(text, kind="stable")
-    ranked = text[order]
-    head = np.r_[True, ranked[1:] != ranked[:-1]]
-    # A suffix's rank is where its group begins; a group of one is at its place.
-    rank = np.empty(n + 1, np.int64)
-    rank[n] = -1
-    rank[order] = np.maximum.accumulate(np.where(head, np.arange(n), 0))
-    k = 1
-    while k < n:
-        alone = head & np.r_[head[1:], True]
-        at = np.flatnonzero(~alone)
-        if not len(at):
-            break
-        members = order[at]
-        key = rank[members] * (n + 1) + rank[np.minimum(members + k, n)] + 1
-        by = np.argsort(key, kind="stable")
-        members, key = members[by], key[by]
-        order[at] = members
-        new = np.r_[True, key[1:] != key[:-1]]
-        head[at] = new
-        rank[members] = np.maximum.accumulate(np.where(new, at, 0))
-        k *= 2
-    return order
-
-
 class _Buckets:
     def __init__(self, text: np.ndarray, sigma: int):
         self.count = np.bincount(text, minlength=sigma)
@@ -113,53 +86,78 @@ def _induce(text: np.ndarray, s_type: np.ndarray, b: _Buckets, lms: np.ndarray)
     return sa
 
 
+def ordered(text: np.ndarray, sigma: int, starts: np.ndarray, lengths: np.ndarray, end_last: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """The order of substrings, and flags of those in that order that differ from the one before. Equal ones stay in the
+    order given. end_last: whether the end of a substring counts as above or below all symbols.
+
+    As many symbols as fit an integer are compared at a time, and only substrings that are still equal to another go on.
+    """
+    n, width = len(text), int(sigma + 1).bit_length()
+    per, end, up = 62 // width, sigma if end_last else 0, int(not end_last)
+    order, head = np.arange(len(starts)), np.zeros(len(starts), bool)
+    head[:1] = True
+    at, offset = np.arange(len(starts)), 0  # places of the order that are still open, whole groups of equal substrings
+    group = np.zeros(len(starts), np.int64)
+    while len(at):
+        own = order[at]
+        key, size, first = np.zeros(len(at), np.int64), lengths[own], starts[own]
+        for k in range(offset, offset + per):
+            key = key << width | np.where(k < size, text[np.minimum(first + k, n - 1)].astype(np.int64) + up, end)
+        by = np.lexsort((key, group)) if offset else np.argsort(key, kind="stable")
+        own, key, group = own[by], key[by], group[by]
+        order[at] = own
+        new = np.r_[True, (key[1:] != key[:-1]) | (group[1:] != group[:-1])]
+        head[at] = new
+        offset += per
+        number = np.cumsum(new) - 1
+        longest = np.maximum.reduceat(lengths[own], np.flatnonzero(new))
+        go = (np.bincount(number)[number] > 1) & (longest[number] > offset)
+        at, group = at[go], number[go]
+    return order, head
+
+
+def _induce_runs(text: np.ndarray, sigma: int, s_type: np.ndarray, b: _Buckets, lms: np.ndarray) -> np.ndarray:
+    """As _induce, for all symbols at once: an L suffix is ordered by its symbols up to the LMS suffix that its run of L
+    suffixes ends in, and by that one's rank; then an S suffix by its symbols up to the next L suffix, and its rank. Where
+    one run ends and the other goes on with the same symbol, L comes before S."""
+    sa, rank = np.zeros(len(text), np.int32), np.zeros(len(text), np.int64)
+    rank[lms] = np.arange(len(lms))
+    ends = np.sort(lms)
+    for is_s in (False, True):
+        own = np.flatnonzero(s_type[:-1] == is_s)
+        stop = ends[np.searchsorted(ends, own)]
+        by = np.argsort(rank[stop], kind="stable")
+        own, stop = own[by], stop[by]
+        own = own[ordered(text, sigma, own, stop - own + 1, end_last=not is_s)[0]]
+        count = np.bincount(text[own], minlength=sigma)
+        first = b.end - count if is_s else b.begin
+        sa[np.arange(len(own)) + np.repeat(first - (np.cumsum(count) - count), count)] = own
+        rank[own] = np.arange(len(own))
+        ends = np.sort(own)
+    return sa
+
+
 def induced(text: np.ndarray, sigma: int) -> np.ndarray:
     """Suffix array of a text whose last symbol is 0 and occurs nowhere else; symbols are below sigma.
 
-    Suffixes are classified, leftmost-smaller (LMS) substrings sorted by one induction, named, and the text of their
-    names sorted recursively; a second induction from the sorted LMS suffixes gives the array.
+    Suffixes are classified, leftmost-smaller (LMS) substrings sorted and named, and the text of their names sorted
+    recursively until all names differ; induction from the sorted LMS suffixes gives the array.
     """
     n = len(text)
     if n == 1:
         return np.zeros(1, np.int32)
     s_type = suffix_types(text)
     lms = np.flatnonzero(s_type[1:] & ~s_type[:-1]) + 1
+    # Of two LMS substrings that agree up to the end of one, the longer is smaller: its symbol there is of L type.
+    order, head = ordered(text, sigma, lms, np.r_[np.diff(lms) + 1, 1])
+    if not head.all():
+        reduced = np.empty(len(lms), np.int32)
+        reduced[order] = np.cumsum(head) - 1
+        top = int(head.sum())
+        order = induced(reduced.astype(np.uint16) if top <= 1 << 16 else reduced, top)  # numpy deals 16-bit symbols by radix
     b = _Buckets(text, sigma)
-    sa = _with_sentinel(text, s_type, b, lms)
-    is_lms = np.zeros(n, bool)
-    is_lms[lms] = True
-    ranked = sa[is_lms[sa]]
-    # Names: equal LMS substrings get equal numbers.
-    length = np.ones(n, np.int32)
-    length[lms[:-1]] = np.diff(lms) + 1
-    sizes = length[ranked]
-    same = sizes[:-1] == sizes[1:]
-    live, step = np.flatnonzero(same), 0
-    a, z, left = ranked[:-1][live], ranked[1:][live], sizes[:-1][live]
-    while len(live):
-        equal = text[a + step] == text[z + step]
-        same[live[~equal]] = False
-        step += 1
-        keep = equal & (left > step)
-        live, a, z, left = live[keep], a[keep], z[keep], left[keep]
-    name = np.empty(n, np.int32)
-    name[ranked] = np.cumsum(np.r_[0, ~same])
-    reduced = name[lms]
-    top = int(reduced.max()) + 1
-    reduced = reduced.astype(np.uint16) if top <= MAX_ALPHABET else reduced
-    if top == len(lms):
-        order = np.empty(len(lms), np.int64)
-        order[reduced] = np.arange(len(lms))
-    elif top <= MAX_ALPHABET:
-        order = induced(reduced, top)
-    else:
-        order = doubled(reduced)
-    return _with_sentinel(text, s_type, b, lms[order])
-
-
-def _with_sentinel(text: np.ndarray, s_type: np.ndarray, b: _Buckets, lms: np.ndarray) -> np.ndarray:
-    sa = _induce(text, s_type, b, lms)
-    sa[0] = len(text) - 1  # the sentinel, which nothing induces
+    sa = _induce(text, s_type, b, lms[order]) if n >= BUCKET * sigma else _induce_runs(text, sigma, s_type, b, lms[order])
+    sa[0] = n - 1  # the sentinel, which nothing induces
     return sa
 
 

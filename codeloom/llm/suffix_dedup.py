@@ -10,7 +10,7 @@ equal windows of all documents meet in one shard, whatever surrounds them.
    with 50 bytes in common are neighbours there; each group of them takes its smallest document id, and every occurrence
    in a document with a larger id is answered with its byte span.
    A minimiser with more than HOT runs would make its shard too large. Its windows do not go to shards: each block folds
-   equal ones, their 128-bit hashes get the smallest document id by a partial aggregation, and blocks are answered
+   equal ones, each window's bytes get the smallest document id by a partial aggregation, and blocks are answered
    through join_on_hot_key.
 5. Blocks merge the spans of each document and drop those bytes.
 """
@@ -29,7 +29,6 @@ from pyspark.sql import functions as F
 from codeloom.llm.common import NULL_ID, blocks_of, join_on_hot_key, mix, read_table, release, rows_of, stored, unpack
 from codeloom.llm.repeats import bucket_bits, look_up, prefixes, ranges, repeated_keys
 from codeloom.llm.suffix import induced, permuted_lcp
-from codeloom.llm.wordhash import span_hashes
 
 LENGTH = 50
 GRAM = 16
@@ -114,16 +113,15 @@ def _copies(blocks: DataFrame) -> DataFrame:
     return join_on_hot_key(rows, least, "sha", "n", max(1, rows.count())).filter("id > least").groupBy("block").agg(F.collect_list("doc").alias("skip"))
 
 
-def window_hashes(raw: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
-    """128-bit hashes of raw[i:i + length] for each i of at, as byte strings."""
-    e = raw.astype(np.uint64)
-    for done in (1, 2, 4):  # eight bytes as one integer
-        e = e[:-done] | e[done:] << np.uint64(8 * done)
-    out = np.zeros((len(at), 2), np.uint64)
-    for k, odd in enumerate((0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)):
-        for off in [*range(0, length - 8, 8), length - 8]:
-            out[:, k] = mix((out[:, k] ^ e[at + off]) * np.uint64(odd))
-    return out.view("S16").ravel()
+def windows_at(raw: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
+    """raw[i:i + length] for each i of at, as an array of fixed byte strings that compare as bytes."""
+    return np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(raw, length)[at]).view(f"V{length}").ravel()
+
+
+def numbered(data: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A number for each data[start:end]; equal strings, and only they, have equal numbers."""
+    seen: dict[bytes, int] = {}
+    return np.fromiter((seen.setdefault(data[a:b], len(seen)) for a, b in zip(starts.tolist(), ends.tolist())), np.int64, len(starts))
 
 
 def hot_windows(raw: np.ndarray, starts: np.ndarray, length: int, skip: np.ndarray, hot: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -142,8 +140,8 @@ def _among(keys: np.ndarray, known: np.ndarray) -> np.ndarray:
 
 
 def _hot_spans(blocks: DataFrame, hot, bits: int, length: int) -> DataFrame:
-    """(block, hashes, least): packed hashes of the block's hot windows that occur in a document with a smaller id than
-    one of the block's that holds them, and the smallest id of each. hot: a broadcast array."""
+    """(block, found, least): the block's hot windows that occur in a document with a smaller id than one of the block's
+    that holds them, one after another in order, and the smallest id of each. hot: a broadcast array."""
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, ids, ends, text, skip in rows_of(batches):
@@ -151,25 +149,25 @@ def _hot_spans(blocks: DataFrame, hot, bits: int, length: int) -> DataFrame:
             doc, at = hot_windows(raw, starts, length, _skips(skip), hot.value, bits)
             if not len(at):
                 continue
-            w, back = np.unique(window_hashes(raw, at, length), return_inverse=True)
+            w, back = np.unique(windows_at(raw, at, length), return_inverse=True)
             lo, hi = np.full(len(w), NULL_ID, np.int64), np.full(len(w), np.iinfo(np.int64).min, np.int64)
             np.minimum.at(lo, back, ids[doc])
             np.maximum.at(hi, back, ids[doc])
             for a in range(0, len(w), 50_000):
                 part = slice(a, a + 50_000)
                 k = len(w[part])
-                yield pa.RecordBatch.from_arrays([pa.Array.from_buffers(pa.binary(16), k, [None, pa.py_buffer(w[part].tobytes())]).cast(pa.binary()), pa.array(np.full(k, block)), pa.array(lo[part]), pa.array(hi[part])], ["w", "block", "lo", "hi"])
+                yield pa.RecordBatch.from_arrays([pa.Array.from_buffers(pa.binary(length), k, [None, pa.py_buffer(w[part].tobytes())]).cast(pa.binary()), pa.array(np.full(k, block)), pa.array(lo[part]), pa.array(hi[part])], ["w", "block", "lo", "hi"])
 
     rows = stored(blocks.select("block", "ids", "ends", "text", "skip").mapInArrow(windows, "w binary, block long, lo long, hi long"), "hot")
     least = rows.groupBy("w").agg(F.min("lo").alias("least"), F.max("hi").alias("most"), F.count(F.lit(1)).alias("n")).filter("least < most").select("w", "least", "n")
     hit = join_on_hot_key(rows, least, "w", "n", max(1, rows.count())).filter("least < hi").select("block", "w", "least")
 
     def pack(table: pa.Table) -> pa.Table:
-        w = np.array(table.column("w").to_pylist(), "S16")
+        w = np.frombuffer(b"".join(table.column("w").to_pylist()), f"V{length}")
         order = np.argsort(w)
-        return pa.table({"block": table.column("block")[:1], "hashes": [w[order].tobytes()], "least": [table.column("least").to_numpy()[order].tobytes()]})
+        return pa.table({"block": table.column("block")[:1], "found": [w[order].tobytes()], "least": [table.column("least").to_numpy()[order].tobytes()]})
 
-    return hit.groupBy("block").applyInArrow(pack, "block long, hashes binary, least binary")
+    return hit.groupBy("block").applyInArrow(pack, "block long, found binary, least binary")
 
 
 def _shard(table: pa.Table, length: int) -> pa.Table:
@@ -187,8 +185,8 @@ def _shard(table: pa.Table, length: int) -> pa.Table:
     raw, size = np.concatenate(texts), np.concatenate(sizes)
     end = np.cumsum(size)
     # Distinct chunks of all blocks, each with its smallest document; places are in order of id.
-    h = span_hashes(raw, end - size, end)
-    _, lead, chunk = np.unique(h, return_index=True, return_inverse=True)
+    chunk = numbered(raw.tobytes(), end - size, end)
+    lead = np.unique(chunk, return_index=True)[1]
     owner = np.full(len(lead), NULL_ID, np.int64)
     np.minimum.at(owner, chunk, ids[np.cumsum(times) - times])
     # One text: chunks as byte + 2 with a 1 after each, and a 0 at the end.
@@ -234,7 +232,7 @@ def _shard(table: pa.Table, length: int) -> pa.Table:
 
 
 def repeated_spans(blocks: DataFrame, total_bytes: int, length: int = LENGTH) -> tuple[DataFrame, np.ndarray, int]:
-    """(block, skip, spans, hashes, least): whole copies, packed spans (starts, ends; relative to the block) to remove,
+    """(block, skip, spans, found, least): whole copies, packed spans (starts, ends; relative to the block) to remove,
     and the verdicts on hot windows. Also the hot minimisers, as ascending prefixes, and the bits of prefixes."""
     spark = blocks.sparkSession
     runs = total_bytes // 18  # a run for about 18 bytes; only sets the number of buckets
@@ -273,7 +271,7 @@ def repeated_spans(blocks: DataFrame, total_bytes: int, length: int = LENGTH) ->
                 continue
             h, doc, first, n = h[keep], doc[keep], first[keep], n[keep]
             shard = (mix(prefixes(h, bits)) >> np.uint64(64 - bits - SHARD_BITS)).astype(np.int64)
-            body = span_hashes(raw, first, first + n + length - 1)
+            body = numbered(raw.tobytes(), first, first + n + length - 1)
             order = np.lexsort((ids[doc], body, shard))
             shard, body, own, first, size = shard[order], body[order], ids[doc[order]], first[order], (n + length - 1)[order]
             lead = np.flatnonzero(np.r_[True, (body[1:] != body[:-1]) | (shard[1:] != shard[:-1])])
@@ -299,8 +297,8 @@ def repeated_spans(blocks: DataFrame, total_bytes: int, length: int = LENGTH) ->
     if len(known):
         marked = marked.join(_hot_spans(blocks, hot, bits, length), "block", "full")
     else:
-        marked = marked.withColumns({"hashes": F.lit(None).cast("binary"), "least": F.lit(None).cast("binary")})
-    return marked.select("block", "skip", "spans", "hashes", "least"), known, bits
+        marked = marked.withColumns({"found": F.lit(None).cast("binary"), "least": F.lit(None).cast("binary")})
+    return marked.select("block", "skip", "spans", "found", "least"), known, bits
 
 
 def cut_spans(raw: np.ndarray, starts: np.ndarray, length: int, skip: np.ndarray, spans: list[dict] | None) -> list[tuple[int, int, int, bytes]]:
@@ -335,12 +333,12 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     release(docs.sparkSession)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, ids, ends, text, skip, spans, hashes, least in rows_of(batches):
+        for _, ids, ends, text, skip, spans, found, least in rows_of(batches):
             ids, starts, raw = unpack(ids, ends, text)
             spans = list(spans or [])
-            if hashes:
+            if found:
                 doc, at = hot_windows(raw, starts, length, _skips(skip), hot.value, bits)
-                w, mine = np.frombuffer(hashes, "S16"), window_hashes(raw, at, length)
+                w, mine = np.frombuffer(found, f"V{length}"), windows_at(raw, at, length)
                 where = np.minimum(np.searchsorted(w, mine), len(w) - 1)
                 late = at[(w[where] == mine) & (np.frombuffer(least, np.int64)[where] < ids[doc])]
                 spans.append({"starts": late.tobytes(), "ends": (late + length).tobytes()})
@@ -350,7 +348,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 own = [None if i == NULL_ID else i for i in ids[at : at + 256].tolist()]
                 yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), *(pa.array(c, pa.int64()) for c in (n, removed, runs)), pa.array([hashlib.sha256(k).hexdigest() for k in kept]), pa.array(kept, pa.binary())], ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    rows = blocks.join(marked, "block", "left").select("block", "ids", "ends", "text", "skip", "spans", "hashes", "least")
+    rows = blocks.join(marked, "block", "left").select("block", "ids", "ends", "text", "skip", "spans", "found", "least")
     return rows.mapInArrow(cut, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary").withColumnRenamed("id", id_col)
 
 

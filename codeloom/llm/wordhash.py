@@ -1,58 +1,58 @@
-"""Words of many texts at once: byte classes, word bounds and 64-bit word hashes as numpy arrays."""
+"""Words of texts: byte classes, and 128-bit digests of words."""
 
 from __future__ import annotations
 
-import numpy as np
-
-from codeloom.llm.common import mix
-
-BASE = 0x2545F4914F6CDD1D | 1
-INVERSE = pow(BASE, -1, 1 << 64)
+from hashlib import blake2b
 
+import numpy as np
 
-def lowered() -> np.ndarray:
-    """Byte table that maps A-Z to a-z."""
-    table = np.arange(256, dtype=np.uint8)
-    table[65:91] += 32
-    return table
+#: Words whose digests a worker remembers; more words than this make it start again.
+MEMO = 400_000
+KEY = b"codeloom words"
+#: Maps A-Z to a-z. Of the bytes that are left, bytes.split() parts words just at `[\x20\x09-\x0D]+`.
+LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
+#: The same, and every byte outside `[^\x00-\x2F\x3A-\x60\x7B-\x7F]+` (digits, letters and all beyond ASCII) to a space.
+ALNUM = bytes(b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 32 for b in LOWER)
 
 
-LOWER = lowered()
-#: Word bytes of `[^\x20\x09-\x0D]+`.
-NOT_SPACE = np.array([b != 0x20 and not 0x09 <= b <= 0x0D for b in range(256)])
-#: Word bytes of `[^\x00-\x2F\x3A-\x60\x7B-\x7F]+`: digits, a-z and everything outside ASCII.
-ALNUM = np.array([0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 for b in range(256)])
+def word_bounds(folded: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the words of a text folded by ALNUM."""
+    inside = np.empty(len(folded) + 2, np.int8)
+    inside[0] = inside[-1] = 0
+    inside[1:-1] = np.frombuffer(folded, np.uint8) != 32
+    change = np.flatnonzero(inside[1:] != inside[:-1])
+    return change[::2], change[1::2]
 
 
-class Powers:
-    """Powers of the base and of its inverse modulo 2**64, grown on demand."""
+class _Numbers(dict):
+    """Numbers words in the order they are met."""
 
     def __init__(self):
-        self.up = self.down = np.ones(1, np.uint64)
+        super().__init__()
+        self.new: list[bytes] = []
 
-    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if n > len(self.up):
-            n = 1 << n.bit_length()
-            with np.errstate(over="ignore"):
-                self.up, self.down = (np.cumprod(np.r_[np.uint64(1), np.full(n - 1, b, np.uint64)], dtype=np.uint64) for b in (BASE, INVERSE))
-        return self.up, self.down
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        self.new.append(word)
+        return n
 
 
-POWERS = Powers()
+class WordDigests:
+    """Keyed 128-bit BLAKE2 digests of words, as two uint64 columns. No texts are known that share one, and none can be
+    built as for a polynomial hash; each distinct word is digested once while it is remembered."""
 
-
-def word_bounds(raw: np.ndarray, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of maximal runs of word bytes."""
-    inside = np.empty(len(raw) + 2, np.int8)
-    inside[0] = inside[-1] = 0
-    inside[1:-1] = is_word[raw]
-    change = np.flatnonzero(inside[1:] != inside[:-1])
-    return change[::2], change[1::2]
-
-
-def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of raw[start:end] for each span, the same wherever the bytes stand."""
-    up, down = POWERS.upto(len(raw) + 1)
-    sums = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[: len(raw)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    def __init__(self):
+        self.numbers, self.table = _Numbers(), np.zeros((1024, 2), np.uint64)
+
+    def __call__(self, words: list[bytes]) -> np.ndarray:
+        if len(self.numbers) > MEMO:
+            self.numbers = _Numbers()
+        numbers = self.numbers
+        at = np.fromiter(map(numbers.__getitem__, words), np.int64, len(words))
+        if numbers.new:
+            made = b"".join([blake2b(w, digest_size=16, key=KEY).digest() for w in numbers.new])
+            first, numbers.new = len(numbers) - len(numbers.new), []
+            if len(numbers) > len(self.table):
+                self.table = np.concatenate([self.table[:first], np.zeros((2 * len(numbers) - first, 2), np.uint64)])
+            self.table[first : len(numbers)] = np.frombuffer(made, np.uint64).reshape(-1, 2)
+        return self.table[at]

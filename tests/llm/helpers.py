@@ -5,7 +5,7 @@ from __future__ import annotations
 import random
 
 #: Column names that operators use inside.
-CLASHES = {"digest": "x", "id": 5, "block": 1, "n": 2, "score": 0.5, "sig": "s", "text_crc32": 3, "bucket": 4, "kept": False, "spans": "p", "row": 9, "ord": 8}
+CLASHES = {"n_words": 6, "n_hit": 7, "items": "i", "_n_words": 1, "_spans": "q", "ids": "z", "decoded": "d", "_lang": "l", "_lang_pred": "l", "lang_pred": "l", "_file": "f", "_row": 4, "_key": 2, "_number": 3, "component_id": 8, "predicted": 1, "digest": "x", "id": 5, "block": 1, "n": 2, "score": 0.5, "sig": "s", "text_crc32": 3, "bucket": 4, "kept": False, "spans": "p", "row": 9, "ord": 8}
 
 
 def words(rng: random.Random, n: int, size: int = 400) -> str:
@@ -25,7 +25,8 @@ def odd_texts(seed: int = 1) -> list[tuple[int | None, str | None]]:
 def table(spark, rows, clash: bool = True, name: str = "text"):
     """documents-like rows; with clash, further columns named like the operators' own."""
     data = [(i, t, "en", "s", *(CLASHES.values() if clash else ())) for i, t in rows]
-    schema = f"doc_id long, {name} string, lang string, source string" + (", digest string, id int, block int, n int, score double, sig string, text_crc32 int, bucket int, kept boolean, spans string, `row` int, ord int" if clash else "")
+    kinds = {str: "string", int: "int", float: "double", bool: "boolean"}
+    schema = f"doc_id long, {name} string, lang string, source string" + ("".join(f", `{c}` {kinds[type(v)]}" for c, v in CLASHES.items()) if clash else "")
     return spark.createDataFrame(data, schema)
 
 

@@ -15,7 +15,8 @@ from codeloom.llm import jaccard_join, suffix_dedup as suffix_module
 from codeloom.llm.components import components
 from codeloom.llm.exact_dedup import exact_dedup, first_copies
 from codeloom.llm.jaccard_join import Inverted, group_labels, jaccard_components, least_overlap
-from codeloom.llm.suffix import doubled, induced, permuted_lcp
+from codeloom.llm import suffix
+from codeloom.llm.suffix import induced, permuted_lcp
 from codeloom.llm.suffix_dedup import suffix_dedup
 
 BIG = 2**62
@@ -225,8 +226,12 @@ def test_suffix_dedup_of_nothing(spark):
 def test_suffix_arrays(symbols):
     text = [*symbols, 0]
     want = sorted(range(len(text)), key=lambda i: text[i:])
-    assert induced(np.array(text, np.uint16), 5).tolist() == want
-    assert doubled(np.array(text)).tolist() == want
+    for bucket in (0, 10**9):  # symbol by symbol, and all symbols at once, at every depth
+        suffix.BUCKET, kept = bucket, suffix.BUCKET
+        try:
+            assert induced(np.array(text, np.uint16), 5).tolist() == want
+        finally:
+            suffix.BUCKET = kept
     plcp = permuted_lcp(np.array(text), np.array(want), stop=1)
     for a, b in zip(want, want[1:]):
         n = 0

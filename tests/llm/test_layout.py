@@ -17,6 +17,7 @@ import corpus_pipeline
 from codeloom.llm import chat_format, decontaminate, sharding
 from codeloom.llm.catalogue import ORACLES, QUERIES
 from codeloom.llm.decontaminate import contaminated, find_benchmark
+from codeloom.llm.jaccard_join import jaccard_components
 from codeloom.llm.fm_index import FMIndex, WaveletMatrix
 
 SF = "/root/testdata/sf0.001"
@@ -143,31 +144,53 @@ def brute_benchmark(t, items, k=13):
             for p in range(len(w) - len(win) + 1):
                 if w[p : p + len(win)] == win:
                     hit |= set(range(p, p + len(win)))
-                    met.add(str(item))
-    return len(w), len(hit), sorted(met)
+                    met.add(item if item is None else str(item))
+    return len(w), len(hit), sorted(met, key=lambda x: (x is None, x))
 
 
 @pytest.mark.parametrize("bound", [64 << 20, 300])
 def test_decontamination_matches_brute_force(spark, monkeypatch, bound):
     monkeypatch.setattr(decontaminate, "MAX_BENCHMARK_BYTES", bound)  # the small one makes parts
+    monkeypatch.setattr(decontaminate, "SLICE", 7)
     rng = random.Random(6)
-    items = [(i, words(rng, rng.randint(9, 40), 60)) for i in range(8)] + [(8, None), (9, "..."), (10, "w1 Rare-Pair"), (10, "w1 Rare-Pair")]
+    items = [(i, words(rng, rng.randint(9, 40), 60)) for i in range(8)] + [(8, None), (9, "..."), (10, "w1 Rare-Pair"), (10, "w1 Rare-Pair"), (None, "Tail-words")]
     rows = odd_texts(6)
     for i in range(60, 90):
         item = rng.choice(items[:8])[1].split()
         a = rng.randrange(len(item))
-        rows.append((i, f"{words(rng, rng.randint(0, 40), 60)}, {' '.join(item[a : a + rng.randint(5, 30)]).upper()}. {words(rng, 9, 60)} rare pair"))
+        rows.append((i, f"{words(rng, rng.randint(0, 40), 60)}, {' '.join(item[a : a + rng.randint(5, 30)]).upper()}. {words(rng, 9, 60)} rare pair" + " tail words" * (i % 3)))
     bench = spark.createDataFrame([(i, t, 1) for i, t in items], "item_id long, text string, n_words int")
     docs = table(spark, rows)
-    got = find_benchmark(docs.drop("spans"), bench, prefix="_").collect()
+    got = find_benchmark(docs, bench).collect()
     assert len(got) == len(rows)
-    assert any(r._n_hit for r in got)
+    assert any(r.n_hit for r in got) and any(None in r.items for r in got)
+    assert [c for c in docs.columns if c not in decontaminate.OUTPUTS] == got[0].__fields__[:-4]
     for r in got:
-        assert (r._n_words, r._n_hit, r._items) == brute_benchmark(r.text, items)
+        assert (r.n_words, r.n_hit, r.items) == brute_benchmark(r.text, items)
         raw = (r.text or "").encode()
-        assert sum(len(bench_words(raw[s.start : s.end].decode())) for s in r._spans) == r._n_hit
+        assert sum(len(bench_words(raw[s.start : s.end].decode())) for s in r.spans) == r.n_hit
     assert find_benchmark(empty(spark), bench).count() == 0
-    assert find_benchmark(docs.drop("spans"), bench.limit(0), prefix="_").filter("_n_hit > 0").count() == 0
+    assert find_benchmark(docs, bench.limit(0)).filter("n_hit > 0").count() == 0
+
+
+def mirror_words(n):
+    """A word over a and b, and the same with both letters changed, that a polynomial modulo 2**64 cannot tell apart."""
+    word = "a"
+    while len(word) < n:
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+def test_words_that_collide_under_polynomial_hashes(spark):
+    a, b = mirror_words(1024)
+    rng = random.Random(3)
+    tail = words(rng, 40)
+    rows = [(1, a), (2, b), (3, f"{tail} {a}"), (4, f"{tail} {b}"), (5, f"x {a} y"), (6, f"x {b} y"), (7, a), (8, f"{a} {b}")]
+    items = [(1, a), (2, f"x {b} y"), (3, f"{tail} {a}")]
+    for r in find_benchmark(table(spark, rows, False), spark.createDataFrame(items, "item_id long, text string")).collect():
+        assert (r.n_words, r.n_hit, r.items) == brute_benchmark(r.text, items)
+    got = {r.doc_id: r.component_id for r in jaccard_components(table(spark, rows, False)).collect()}
+    assert got == {i: 1 if i == 7 else 3 if i == 4 else i for i, _ in rows}  # 3 and 4 share 36 of 38 shingles
 
 
 def test_pipeline_stages(spark, tmp_path):
@@ -178,7 +201,7 @@ def test_pipeline_stages(spark, tmp_path):
     near = clean[3][1].split()
     near[30] = "changed"
     rows = [*clean, (100, "12 34 ..."), (101, None), (102, clean[5][1].replace(" ", "\n")), (103, " ".join(near)), (104, f"{words(rng, 20)} {bench}")]
-    table(spark, rows).withColumnRenamed("n", "m").write.parquet(str(tmp_path / "documents.parquet"))
+    table(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(1, bench)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
     left, gone = [i for i, _ in rows], {"language": {100, 101}, "exact": {102}, "near": {103}, "decontaminated": {104}}
@@ -205,6 +228,9 @@ def test_layouts_with_fields_of_others(spark):
     assert said({"messages": [{"role": "user", "content": "a"}], "prompt": "p", "text": None}) == ("messages", [("user", "a")])
     assert said({"instruction": "i", "output": "o", "completion": "c"}) == ("instruction", [("user", "i"), ("assistant", "o")])
     assert said({"prompt": "p", "completion": "c", "response": "r"})[0] == "prompt and completion"
+    for odd in ("oops", None, 3, ["x"]):
+        assert said({"messages": [{"role": "user", "content": "a"}, odd]}) == (None, [])
+    assert said({"messages": []}) == (None, [])
     assert said({"prompt": "p"}) == (None, []) and said({"conv_id": 1, "turn": 0, "role": "user", "text": "t"}) == (None, [])
 
 
@@ -231,7 +257,7 @@ def test_near_stage_decides_by_row(spark, tmp_path):
 
 def test_stages_on_odd_and_empty_tables(spark, tmp_path):
     spark.read.parquet(f"{SF}/benchmark.parquet").write.parquet(str(tmp_path / "benchmark.parquet"))
-    for k, docs in enumerate((table(spark, odd_texts()).drop("n", "spans"), empty(spark))):
+    for k, docs in enumerate((table(spark, odd_texts()), empty(spark))):
         for name, stage in corpus_pipeline.STAGES:
             out = stage(spark, docs, str(tmp_path))
             out.write.parquet(str(tmp_path / f"{k}{name}"))
