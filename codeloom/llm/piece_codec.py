@@ -4,6 +4,11 @@ The search walks over a text once. Each position keeps one backpointer, to the s
 positions of the last longest-piece characters can still start a piece. Whenever the paths of all those positions pass
 one boundary, the ids before it are final and are put out, so the search holds a window and never a text.
 
+A space mark begins a piece or stands in a run of them, so before a space mark that follows another character all paths
+pass one boundary: the search commits there, and what lies between two such boundaries is a span. The ids of a span depend
+on nothing else, so spans met before are skipped by a memo, of bounded size. A span that begins like the one before it
+goes on from the columns that are still in the window.
+
 Path scores. In a unigram model a path adds its pieces' log probabilities. In a BPE model the scores are merge ranks, and
 their sum does not order segmentations as the library does; there a path may only be extended by a piece that is
 compatible with its last piece: merging the two pieces' characters by rank must give just these two. Exactly one path
@@ -13,6 +18,7 @@ reaches each position that way, and it is the library's result (the tests compar
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,10 +27,11 @@ import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import read_table
+from codeloom.llm.common import read_table, with_outputs
 
 SPACE = "▁"
 RUNS = re.compile(rf"{SPACE}+[^{SPACE}]*").findall
+#: Spans that a worker remembers, and characters of one of them at most; both only bound the memo's size.
 MEMO, MEMO_CHARS = 600_000, 48
 PAIRS = 2_000_000
 #: Characters of one batch, unless a single text is longer.
@@ -59,6 +66,7 @@ class Vocabulary:
         for p in pieces:
             self.kind[p] = self.kind.get(p, 0) | 2
         self.text = {i: p for p, (i, _) in pieces.items()}
+        self.id = {p: i for p, (i, _) in pieces.items()}
         self.byte_of = {i: b for b, i in enumerate(byte_ids)}
         # The bytes that each id stands for; control ids stand for none.
         known = {i: p.encode() for i, p in self.text.items()} | {i: bytes([b]) for i, b in self.byte_of.items()} | {unknown: UNKNOWN_TEXT.encode()}
@@ -117,10 +125,10 @@ class Lattice:
     def extend(self, text: str) -> None:
         """Reads more characters. A position asks the starts before it, nearest first, until no piece ends that far back."""
         v, last, back, score = self.v, self.last, self.back, self.score
-        kind, longest, bpe, none = v.kind.get, v.longest, v.bpe, {}
+        kind, longest, bpe, none, pairs, fits_of = v.kind.get, v.longest, v.bpe, {}, v.pairs.get, v.compatible
         self.chars = chars = self.chars + text
         for j in range(len(last), len(chars) + 1):
-            best, start = None, -1
+            best, start = 0.0, -1
             for i in range(j - 1, max(-1, j - longest - 1), -1):
                 piece = chars[i:j]
                 what = kind(piece, 0)
@@ -128,18 +136,17 @@ class Lattice:
                     if bpe:
                         # One path reaches each position: the only piece that ends there needs no test.
                         if start >= 0:
-                            last_piece = chars[start:j]
-                            fits = v.pairs.get(last[start], none).get(last_piece)
-                            if v.compatible(last[start], last_piece) if fits is None else fits:
+                            fits = pairs(last[start], none).get(chosen)
+                            if fits_of(last[start], chosen) if fits is None else fits:
                                 break
-                        best, start = 0.0, i
+                        start, chosen = i, piece
                     else:
                         s = score[i] + (v.pieces[piece][1] if what > 1 else v.least)
-                        if best is None or s >= best:
-                            best, start = s, i
+                        if start < 0 or s >= best:
+                            best, start, chosen = s, i, piece
                 if not what & 1:
                     break
-            last.append(chars[start:j])
+            last.append(chosen)
             back.append(start)
             score.append(best)
 
@@ -148,30 +155,58 @@ class Lattice:
         self.chars = self.chars[:n]
         del self.back[n + 1 :], self.last[n + 1 :], self.score[n + 1 :]
 
-    def pieces(self, upto: int) -> list[str]:
-        out = []
+    def ids(self, upto: int) -> list[int]:
+        """Ids of the best path to a position."""
+        out, known, last, back = [], self.v.id.get, self.last, self.back
         while upto:
-            out.append(self.last[upto])
-            upto = self.back[upto]
-        return out[::-1]
+            found = known(last[upto])
+            if found is None:
+                out += reversed(self.v.ids(last[upto]))
+            else:
+                out.append(found)
+            upto = back[upto]
+        out.reverse()
+        return out
 
 
 class StreamEncoder(Lattice):
     """Encodes characters as they come; push() and end() return the ids that have become final."""
 
-    CHECK = 64
+    def __init__(self, vocabulary: Vocabulary):
+        super().__init__(vocabulary)
+        #: Characters read between two looks for a boundary that all paths pass; with the longest piece, the window.
+        self.check = max(32, 2 * vocabulary.longest)
+        self.whole = True  # nothing of the span was put out yet
+        self.commits = 0
 
     def push(self, text: str) -> list[int]:
         out: list[int] = []
-        for at in range(0, len(text), self.CHECK):
-            self.extend(text[at : at + self.CHECK])
-            out += self._commit(max(0, len(self.chars) - self.v.longest + 1))
+        for at in range(0, len(text), self.check):
+            self.extend(text[at : at + self.check])
+            if len(self.chars) >= self.check:
+                out += self._commit(len(self.chars) - self.v.longest + 1)
         return out
 
     def end(self) -> list[int]:
-        out = self._commit(len(self.chars))
-        self.clear()
-        return out
+        """The rest of a text or span: its end is a boundary that the only path left passes."""
+        self.commits += 1
+        return self.ids(len(self.chars))
+
+    def span(self, text: str) -> list[int]:
+        """Ids of a whole span. Columns of the span before that hold for this one as well are kept."""
+        n = 0
+        if self.whole:
+            for x, y in zip(text, self.chars):
+                if x != y:
+                    break
+                n += 1
+        if n:
+            self.rewind(n)
+        else:
+            self.clear()
+        self.whole = True
+        out = self.push(text[n:] if n else text)
+        return out + self.end() if out else self.end()
 
     def _commit(self, first: int) -> list[int]:
         """Puts out what the paths to all positions from `first` on have in common: only there may a later piece start."""
@@ -181,8 +216,10 @@ class StreamEncoder(Lattice):
             live.discard(top)
             live.add(self.back[top])
         at = live.pop()
-        ids = [i for p in self.pieces(at) for i in self.v.ids(p)]
+        ids = self.ids(at)
         if at:  # the piece before the boundary stays known, as the next one must fit it
+            self.commits += 1
+            self.whole = False
             base = self.score[at]
             self.chars, self.last = self.chars[at:], self.last[at:]
             self.back, self.score = [max(0, b - at) for b in self.back[at:]], [s - base for s in self.score[at:]]
@@ -190,12 +227,12 @@ class StreamEncoder(Lattice):
 
 
 class Codec:
-    """Encodes and decodes whole texts. Words, which no piece can reach out of, are remembered up to a bound. New words of
-    a batch are searched in order, so that each goes on from the beginning that it shares with the one before."""
+    """Encodes and decodes whole texts, span by span. New spans of a batch are searched in order, so that each goes on
+    from the beginning that it shares with the one before."""
 
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
-        self.lattice, self.stream = Lattice(vocabulary), StreamEncoder(vocabulary)
+        self.stream = StreamEncoder(vocabulary)
         self.memo: dict[str, bytes] = {}  # by word after a space, "\n" and word after a line feed, run of spaces with word
         self.feed = np.array(vocabulary.ids("\n"), np.int32).tobytes()
 
@@ -211,24 +248,12 @@ class Codec:
             out += words
         return out
 
-    def _learn(self, words: set[str]) -> dict[str, bytes]:
-        """Ids of new words by key."""
-        v, lattice, made, before = self.v, self.lattice, {}, ""
-        lattice.clear()
-        for text, key in sorted((k[1:] if k[0] == "\n" else k if k[0] == SPACE else SPACE + k, k) for k in words):
-            if len(text) > MEMO_CHARS:
-                ids = self.stream.push(text) + self.stream.end()
-            else:
-                n = 0
-                for x, y in zip(text, before):
-                    if x != y:
-                        break
-                    n += 1
-                lattice.rewind(n)
-                lattice.extend(text[n:])
-                before = text
-                ids = [i for p in lattice.pieces(len(text)) for i in v.ids(p)]
-            made[key] = (self.feed if key[0] == "\n" else b"") + np.array(ids, np.int32).tobytes()
+    def _learn(self, spans: set[str]) -> dict[str, bytes]:
+        """Ids of new spans by key."""
+        made = {}
+        for text, key in sorted((k[1:] if k[0] == "\n" else k if k[0] == SPACE else SPACE + k, k) for k in spans):
+            ids = array("i", self.stream.span(text)).tobytes()
+            made[key] = self.feed + ids if key[0] == "\n" else ids
         return made
 
     def encode_many(self, texts: list[str | None]) -> list[bytes]:
@@ -247,7 +272,7 @@ class Codec:
             if part:
                 out.append(b"".join([made[w] if p is None else p for w, p in zip(own, part)] if None in part else part))
             else:
-                out.append(np.array(self.stream.push(SPACE + t.replace(" ", SPACE)) + self.stream.end(), np.int32).tobytes() if t else b"")
+                out.append(np.array(self.stream.span(SPACE + t.replace(" ", SPACE)), np.int32).tobytes() if t else b"")
         return out
 
     def encode(self, text: str | None) -> bytes:
@@ -272,12 +297,11 @@ def encode_texts(docs: DataFrame, model: bytes, text_col: str = "text", ids_col:
     """docs with the ids of each whole text, and if asked for the text decoded from them.
 
     Null and empty texts have no ids and decode to an empty text. Decoding gives the text back exactly, but for U+2581,
-    which the model reads as a space. All rows and columns stay.
+    which the model reads as a space. All rows stay, and all columns but those with the name of an output, which give way.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # one vocabulary file, of fixed size
     at = docs.columns.index(text_col)
-    out = docs.withColumn(ids_col, F.array().cast("array<int>"))
-    out = (out.withColumn(decoded_col, F.lit("").cast("string")) if decoded_col else out).schema
+    kept, out = with_outputs(docs, f"`{ids_col}` array<int>" + (f", `{decoded_col}` string" if decoded_col else ""))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = None
@@ -292,7 +316,7 @@ def encode_texts(docs: DataFrame, model: bytes, text_col: str = "text", ids_col:
                 parts = codec.encode_many(b.column(at).to_pylist())
                 ends = np.cumsum([0, *(len(p) // 4 for p in parts)]).astype(np.int32)
                 flat = np.frombuffer(b"".join(parts), np.int32)
-                cols = [*b.columns, pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))]
+                cols = [*(b.column(i) for i in kept), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))]
                 if decoded_col:
                     cols.append(pa.array(codec.decode_many(flat, ends[1:]), pa.string()))
                 yield pa.RecordBatch.from_arrays(cols, out.names)
@@ -301,15 +325,16 @@ def encode_texts(docs: DataFrame, model: bytes, text_col: str = "text", ids_col:
 
 
 def decode_ids(rows: DataFrame, model: bytes, ids_col: str = "ids", text_col: str = "text") -> DataFrame:
-    """rows with the text of their ids; null ids give an empty text, unknown ids the library's mark for them."""
+    """rows with the text of their ids, in place of a column of that name; null ids give an empty text, unknown ids the
+    library's mark for them."""
     shared = rows.sparkSession.sparkContext.broadcast(model)
     at = rows.columns.index(ids_col)
-    out = rows.withColumn(text_col, F.lit("").cast("string")).schema
+    kept, out = with_outputs(rows, f"`{text_col}` string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(Vocabulary(shared.value))
         for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([codec.decode(i or []) for i in b.column(at).to_pylist()], pa.string())], out.names)
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in kept), pa.array([codec.decode(i or []) for i in b.column(at).to_pylist()], pa.string())], out.names)
 
     return rows.mapInArrow(run, out)
 

@@ -68,6 +68,22 @@ def test_stream_in_small_pushes_equals_one_push(codec, texts):
         assert held < 400  # a window, not the text
 
 
+def test_ordinary_texts_are_committed_span_by_span(library, texts):
+    """Every id comes from a commit of the stream; long spans commit before they end; nothing else is searched."""
+    fresh = piece_codec.Codec(piece_codec.Vocabulary(piece_codec.model_bytes()))
+    said: list[int] = []
+    span = fresh.stream.span
+    fresh.stream.span = lambda text: [said.append(len(text)), span(text)][1]
+    for t in texts[:40]:
+        before, spans = fresh.stream.commits, len(said)
+        assert ids(fresh.encode(t)) == library.encode(t or "")
+        assert fresh.stream.commits - before >= len(said) - spans
+    assert len(said) > 1000 and len(said) == len(fresh.memo) + sum(n > piece_codec.MEMO_CHARS for n in said)
+    commits = fresh.stream.commits
+    fresh.encode("no" * 4000)
+    assert fresh.stream.commits - commits > 50
+
+
 def test_unigram_paths_are_the_best_of_all():
     pieces = {"a": -2.0, "b": -2.5, "ab": -3.0, "ba": -3.2, "aba": -4.9, "▁": -1.0, "▁a": -2.2, "bb": -6.0}
     v = piece_codec.Vocabulary.of(pieces, bpe=False)
@@ -93,7 +109,7 @@ def test_codec_query_handles_odd_rows(spark):
     out = piece_codec.encoded(table(spark, rows)).collect()
     assert len(out) == len(rows) and all(r.round_trip and r.n_tokens == len(r.ids) for r in out)
     assert piece_codec.encoded(empty(spark)).count() == 0
-    docs = table(spark, rows, False)
+    docs = table(spark, rows)
     back = piece_codec.decode_ids(piece_codec.encode_texts(docs, piece_codec.model_bytes()), piece_codec.model_bytes(), text_col="again")
     assert all(r.again == (r.text or "") for r in back.collect())
 
@@ -187,13 +203,13 @@ def test_language_operator_on_odd_rows(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     model = language_id.train(docs.limit(60))
     rows = odd_texts() + [(90, "123 ... 45"), (91, "²³")]
-    out = language_id.identify(table(spark, rows), model, pred_col="p", score_col="q").collect()
+    out = language_id.identify(table(spark, rows), model).collect()
     assert len(out) == len(rows)
     by = {r.doc_id: r for r in out}
-    assert [by[i].p for i in (30, 31, 32, 90, 91)] == ["und"] * 5 and by[38].p != "und"
+    assert [by[i].lang_pred for i in (30, 31, 32, 90, 91)] == ["und"] * 5 and by[38].lang_pred != "und"
     assert language_id.identify(empty(spark), model).count() == 0
     none = language_id.train(empty(spark))
-    assert {r.p for r in language_id.identify(table(spark, rows), none, pred_col="p", score_col="q").collect()} == {"und"}
+    assert {r.lang_pred for r in language_id.identify(table(spark, rows), none).collect()} == {"und"}
 
 
 def test_toxicity_on_held_out_documents(spark):
@@ -210,11 +226,11 @@ def test_toxicity_on_odd_rows(spark):
     rows = odd_texts()
     labels = spark.createDataFrame([(i, 1 if i % 2 else 0) for i, _ in rows if i is not None] + [(None, 1), (1, None)], "doc_id long, toxic int")
     model = toxicity.train(table(spark, rows), labels)
-    out = toxicity.score(table(spark, rows), model, score_col="s").collect()
-    assert len(out) == len(rows) and all(0 <= r.s <= 1 for r in out)
+    out = toxicity.score(table(spark, rows), model).collect()
+    assert len(out) == len(rows) and all(0 <= r.score <= 1 for r in out)
     assert toxicity.score(empty(spark), model).count() == 0
     flat = toxicity.train(empty(spark), labels)
-    assert {round(r.s, 6) for r in toxicity.score(table(spark, rows), flat, score_col="s").collect()} == {0.5}
+    assert {round(r.score, 6) for r in toxicity.score(table(spark, rows), flat).collect()} == {0.5}
 
 
 def test_toxicity_lexicon_where_toxic_texts_are_rare(spark):
