@@ -17,11 +17,12 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import crc_of_id, read_table
+from codeloom.llm.common import crc_of_id, read_table, with_outputs
 
 ORDER = 3
-#: Bytes of training text for one language, on average of the hash sample. Bounds the model and the driver's work.
-TRAIN_BYTES = 3_000_000
+#: Bytes of training text for one language, and for all together, on average of the hash sample. They bound the strings
+#: counted, and so the model, which has a row for each distinct string and a column for each language.
+TRAIN_BYTES, TOTAL_BYTES = 3_000_000, 24_000_000
 UNKNOWN = "und"
 LETTER = regex.compile(r"\p{L}")
 
@@ -47,10 +48,9 @@ class Model:
         for k in range(len(counts[0]) if counts else 0):
             keys = np.unique(np.concatenate([counts[g][k][0] for g in range(n_lang)]))
             ctx = np.unique(keys >> np.uint64(8))
-            leave = np.zeros((len(ctx), n_lang), np.float64)
-            cost = np.zeros((len(keys), n_lang), np.float64)
+            leave, cost = np.zeros((len(ctx), n_lang), np.float32), np.zeros((len(keys), n_lang), np.float32)
             at = np.searchsorted(ctx, keys >> np.uint64(8))
-            shorter = np.full((len(keys), n_lang), 8.0) if below is None else below(keys & np.uint64((1 << (8 * k)) - 1))
+            shorter = np.float32(8.0) if below is None else below.rows[np.searchsorted(below.own, keys & np.uint64((1 << (8 * k)) - 1))]  # was counted too
             for g in range(n_lang):
                 own, n = counts[g][k]
                 full = np.zeros(len(keys))
@@ -61,19 +61,19 @@ class Model:
                 leave[met, g] = np.log2((total[met] + distinct[met]) / distinct[met])
                 with np.errstate(divide="ignore", invalid="ignore"):
                     seen = np.log2((total + distinct)[at]) - np.log2(full)
-                cost[:, g] = np.where(full > 0, seen, leave[at, g] + shorter[:, g])
-            self.tables.append(Lookup(keys, cost.astype(np.float32)))
-            self.leave.append(Lookup(ctx, leave.astype(np.float32)))
-            below = lambda s, k=k: self.cost(s, k).astype(np.float64)
+                cost[:, g] = np.where(full > 0, seen, leave[at, g] + (shorter if below is None else shorter[:, g]))
+            below = Lookup(keys, cost)
+            self.tables.append(below)
+            self.leave.append(Lookup(ctx, leave))
 
     def cost(self, strings: np.ndarray, k: int) -> np.ndarray:
         """Code lengths of the last byte of strings of k + 1 bytes, given the bytes before it: one column per language."""
         row = self.tables[k].find(strings)
-        out = self.tables[k].rows[row]
-        lost = np.flatnonzero(row == len(self.tables[k].rows) - 1)
+        out = self.tables[k].of(row)
+        lost = np.flatnonzero(row < 0)
         if len(lost):
             s = strings[lost]
-            up = self.leave[k].rows[self.leave[k].find(s >> np.uint64(8))]
+            up = self.leave[k].of(self.leave[k].find(s >> np.uint64(8)))
             out[lost] = up + (8.0 if k == 0 else self.cost(s & np.uint64((1 << (8 * k)) - 1), k - 1))
         return out
 
@@ -101,10 +101,24 @@ class Model:
 
 
 class Lookup:
-    """Sorted uint64 keys to rows by open addressing; absent keys get the last, all-zero row."""
+    """Sorted uint64 keys to rows by open addressing; absent keys get row -1, which is all zeros. The slots are made where
+    they are first used, so that the model travels without them."""
 
-    def __init__(self, keys: np.ndarray, rows: np.ndarray):
-        self.rows = np.vstack([rows, np.zeros((1, rows.shape[1]), rows.dtype)])
+    def __init__(self, own: np.ndarray, rows: np.ndarray):
+        self.own, self.rows, self.slot = own, rows, None
+
+    def __getstate__(self) -> dict:
+        return {"own": self.own, "rows": self.rows, "slot": None}
+
+    def of(self, row: np.ndarray) -> np.ndarray:
+        if not len(self.rows):
+            return np.zeros((len(row), self.rows.shape[1]), self.rows.dtype)
+        out = self.rows[row]
+        out[row < 0] = 0
+        return out
+
+    def _build(self) -> None:
+        keys = self.own
         self.mask = (1 << max(4, int(4 * max(1, len(keys))).bit_length())) - 1
         self.keys = np.zeros(self.mask + 1, np.uint64)
         self.slot = np.full(self.mask + 1, -1, np.int32)
@@ -123,6 +137,8 @@ class Lookup:
         return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(34)).astype(np.int64) & self.mask
 
     def find(self, keys: np.ndarray) -> np.ndarray:
+        if self.slot is None:
+            self._build()
         at = self._hash(keys)
         row = self.slot[at].astype(np.int64)
         wrong = np.flatnonzero((row >= 0) & (self.keys[at] != keys))
@@ -130,27 +146,28 @@ class Lookup:
             at[wrong] = (at[wrong] + 1) & self.mask
             row[wrong] = self.slot[at[wrong]]
             wrong = wrong[(row[wrong] >= 0) & (self.keys[at[wrong]] != keys[wrong])]
-        row[row < 0] = len(self.rows) - 1
         return row
 
 
-def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", key_col: str = "doc_id", max_bytes: int = TRAIN_BYTES, order: int = ORDER) -> Model:
+def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", key_col: str = "doc_id", max_bytes: int = TRAIN_BYTES, order: int = ORDER, total_bytes: int = TOTAL_BYTES) -> Model:
     """Counts byte strings of 1 to order + 1 bytes per language over a sample of rows with text and language.
 
-    A language with more than max_bytes of text is sampled by a hash of key and text with probability max_bytes / bytes;
-    the counts are summed by Spark, and what reaches the driver is bounded by that sample. Languages of texts without
+    A language with more than max_bytes of text (less where many share total_bytes) is sampled by a hash of key and text
+    with probability max_bytes / bytes; the counts are summed by Spark, and what reaches the driver is bounded by that sample. Languages of texts without
     letters, and null languages, teach nothing.
     """
     rows = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"), F.col(key_col).alias("key")).filter("lang is not null and text is not null and lang <> 'und'")
     sizes = {r[0]: r[1] for r in rows.groupBy("lang").agg(F.sum(F.octet_length("text"))).collect()}
     if not sizes:
         return Model([], [])
+    names, max_bytes = sorted(sizes), min(max_bytes, total_bytes // len(sizes))
     share = F.create_map(*[x for g, n in sizes.items() for x in (F.lit(g), F.lit(min(1.0, max_bytes / max(1, n))))])
+    number = F.create_map(*[x for i, g in enumerate(names) for x in (F.lit(g), F.lit(i))])
     pick = F.pmod(F.xxhash64("key", "text"), F.lit(1_000_003)) < share[F.col("lang")] * 1_000_003
-    sample = rows.filter(pick).select("lang", F.col("text").cast("binary").alias("raw"))
+    sample = rows.filter(pick).select(number[F.col("lang")].alias("lang"), F.col("text").cast("binary").alias("raw"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[str, int], list[tuple[np.ndarray, np.ndarray]]] = {}
+        held: dict[tuple[int, int], list[tuple[np.ndarray, np.ndarray]]] = {}
         for batch in batches:
             for lang, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 for k in range(1, order + 2):
@@ -160,21 +177,21 @@ def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", key_c
                     held[key] = [_summed(parts)]
         for (lang, k), parts in held.items():
             keys, n = _summed(parts)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys)), pa.array([k] * len(keys), pa.int32()), pa.array(keys.astype(np.int64)), pa.array(n)], ["lang", "k", "gram", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), lang, np.int32)), pa.array(np.full(len(keys), k, np.int32)), pa.array(keys.astype(np.int64)), pa.array(n)], ["lang", "k", "gram", "n"])
 
-    found = sample.mapInArrow(count, "lang string, k int, gram long, n long").groupBy("lang", "k", "gram").agg(F.sum("n").alias("n")).toArrow()
-    langs, ks = np.array(found["lang"].to_pylist(), object), found["k"].to_numpy()
-    gram, n = found["gram"].to_numpy().astype(np.uint64), found["n"].to_numpy()
-    names = sorted(set(langs.tolist()))
+    found = sample.mapInArrow(count, "lang int, k int, gram long, n long").groupBy("lang", "k", "gram").agg(F.sum("n").alias("n")).toArrow()
+    lang, ks, gram, n = (found.column(c).to_numpy() for c in ("lang", "k", "gram", "n"))
+    order_of = np.lexsort((gram, ks, lang))
+    lang, ks, gram, n = lang[order_of], ks[order_of], gram[order_of].astype(np.uint64), n[order_of]
+    learned = np.unique(lang).tolist()
     counts = []
-    for g in names:
-        own = langs == g
+    for g in learned:
         counts.append([])
         for k in range(1, order + 2):
-            at = np.flatnonzero(own & (ks == k))
-            at = at[np.argsort(gram[at])]
-            counts[-1].append((gram[at], n[at]))
-    return Model(names, counts)
+            a, b = np.searchsorted(lang, [g, g + 1])
+            a, b = a + np.searchsorted(ks[a:b], [k, k + 1])
+            counts[-1].append((gram[a:b], n[a:b]))
+    return Model([names[g] for g in learned], counts)
 
 
 def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -186,18 +203,19 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", pred_col: st
     """docs with two more columns: the language with the shortest code and its posterior under equal priors.
 
     Null texts, texts without any letter, and all texts under a model without languages are 'und' with score 0. Ties go
-    to the alphabetically first language. All rows and columns stay; the whole text is scored.
+    to the alphabetically first language. All rows stay, and all columns but those with the name of an output, which give
+    way; the whole text is scored.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the training sample
     at = docs.columns.index(text_col)
-    out = docs.withColumns({pred_col: F.lit("").cast("string"), score_col: F.lit(0.0)}).schema
+    kept, out = with_outputs(docs, f"`{pred_col}` string, `{score_col}` double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
             for begin in range(0, big.num_rows, 64):
                 batch = big.slice(begin, 64)
                 pred, score = predict(shared.value, batch.column(at).to_pylist())
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pred, pa.string()), pa.array(score, pa.float64())], out.names)
+                yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), pa.array(pred, pa.string()), pa.array(score, pa.float64())], out.names)
 
     return docs.mapInArrow(run, out)
 

@@ -38,7 +38,12 @@ class MergeTable:
     """Merge ranks of a byte-level BPE file as an open-addressing table keyed by (left id, right id)."""
 
     def __init__(self, spec: dict):
-        model = spec["model"]
+        """Only files that ask for what counter() does are taken; others raise ValueError."""
+        model, before = spec["model"], spec.get("pre_tokenizer") or {}
+        plain = model.get("type", "BPE") == "BPE" and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+        bare = not any(t.get(k) for t in spec.get("added_tokens", []) for k in ("lstrip", "rstrip", "single_word"))
+        if not (plain and bare and not spec.get("normalizer") and before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True)):
+            raise ValueError("not a plain byte-level BPE file with the usual pre-token pattern")
         vocab = model["vocab"]
         self.bytes = np.array([vocab[c] for c in byte_symbols()], np.int64)
         pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom.llm.boosting import Boosted, Isotonic
-from codeloom.llm.common import crc_of_id, read_table
+from codeloom.llm.common import crc_of_id, read_table, with_outputs
 
 #: Labelled rows that training uses at most, on average of the hash sample.
 MAX_ROWS = 16_000
@@ -161,10 +161,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", score_col: str = "score") -> DataFrame:
     """docs with one more column, the calibrated probability of the label. Null and empty texts get the score of an empty
-    text; all rows and columns stay."""
+    text; all rows stay, and all columns but one with the name of the score, which gives way."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by MAX_LEXICON and the number of trees
     at = docs.columns.index(text_col)
-    out = docs.withColumn(score_col, F.lit(0.0)).schema
+    kept, out = with_outputs(docs, f"`{score_col}` double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
@@ -173,7 +173,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", score_col: str
             for begin in range(0, big.num_rows, 512):
                 b = big.slice(begin, 512)
                 x = np.array([extract(t) for t in b.column(at).to_pylist()], float).reshape(-1, len(FEATURES))
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(model.scores(x), pa.float64())], out.names)
+                yield pa.RecordBatch.from_arrays([*(b.column(i) for i in kept), pa.array(model.scores(x), pa.float64())], out.names)
 
     return docs.mapInArrow(run, out)
 
