@@ -8,8 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import join_on_hot_key, read_table, stored
-from codeloom.llm.decontaminate import contaminated, find_benchmark
+from codeloom.llm.common import fresh, join_on_hot_key, read_table, stored
+from codeloom.llm.decontaminate import OUTPUTS, contaminated, find_benchmark
 from codeloom.llm.exact_dedup import first_copies, located_rows
 from codeloom.llm.jaccard_join import jaccard_components
 from codeloom.llm.language_id import UNKNOWN, identify, train, with_letter
@@ -22,8 +22,9 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = train(docs)
     if not model.languages:
         return with_letter(docs)
-    kept = identify(docs, model, pred_col="_lang_pred", score_col="_lang_score").filter(F.col("_lang_pred") != UNKNOWN)
-    return kept.select(*docs.columns)
+    lang, score = fresh("_lang", docs.columns), fresh("_score", docs.columns)
+    kept = identify(docs, model, pred_col=lang, score_col=score).filter(F.col(lang) != UNKNOWN)
+    return kept.drop(lang, score)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,24 +35,30 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents that near-duplicate links connect, keeps the row with the smallest id, null ids last; of repeated rows
     with that id, the one that comes first by file and row. Rows are told apart by file and row, not by id."""
-    _, located = located_rows(docs)
-    files = sorted(r[0] for r in located.select("_file").distinct().collect())
-    numbers = F.broadcast(spark.createDataFrame(list(enumerate(files)), "_number long, _file string"))
-    keyed = located.join(numbers, "_file").withColumn("_key", F.shiftleft("_number", 40) + F.col("_row"))
-    found = jaccard_components(keyed.select("_key", "text"), "_key").filter(F.col("_key") != F.col("component_id"))
-    linked = stored(found.select("_key", F.col("component_id").alias("_group")), "linked")
-    heads = linked.select(F.col("_group").alias("_key"), "_group").distinct()
-    order = F.struct(F.col("doc_id").isNull().alias("null"), F.col("doc_id").alias("id"), F.col("_key").alias("key"))
-    members = stored(linked.unionByName(heads).join(keyed.select("_key", order.alias("_order")), "_key"), "members")
-    least = members.groupBy("_group").agg(F.min("_order").alias("_least"), F.count(F.lit(1)).alias("_n"))
-    gone = join_on_hot_key(members, least, "_group", "_n", max(1, members.count())).filter(F.col("_order.key") != F.col("_least.key")).select("_key")
-    return keyed.join(gone, "_key", "left_anti").select(*docs.columns)
+    _, located, (file, row) = located_rows(docs)
+    files = sorted(r[0] for r in located.select(file).distinct().collect())
+    number, key = fresh("_number", docs.columns), fresh("_key", docs.columns)
+    numbers = F.broadcast(spark.createDataFrame(list(enumerate(files)), f"{number} long, {file} string"))
+    keyed = located.join(numbers, file).withColumn(key, F.shiftleft(number, 40) + F.col(row))
+    slim = keyed.select(F.col(key).alias("key"), "doc_id", "text")
+    found = jaccard_components(slim, "key").filter(F.col("key") != F.col("component_id"))
+    linked = stored(found.select("key", F.col("component_id").alias("group")), "linked")
+    heads = linked.select(F.col("group").alias("key"), "group").distinct()
+    order = F.struct(F.col("doc_id").isNull().alias("null"), F.col("doc_id").alias("id"), F.col("key").alias("key"))
+    members = stored(linked.unionByName(heads).join(slim.select("key", order.alias("order")), "key"), "members")
+    least = members.groupBy("group").agg(F.min("order").alias("least"), F.count(F.lit(1)).alias("n"))
+    gone = join_on_hot_key(members, least, "group", "n", max(1, members.count())).filter(F.col("order.key") != F.col("least.key")).select(F.col("key").alias(key))
+    return keyed.join(gone, key, "left_anti").select(*(f"`{c}`" for c in docs.columns))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents that are not contaminated with benchmark passages."""
-    found = find_benchmark(docs, read_table(spark, sf_dir, "benchmark"), prefix="_")
-    return found.filter(~contaminated(F.col("_n_words"), F.col("_n_hit"))).select(*docs.columns)
+    prefix = "_"
+    while {f"{prefix}{c}" for c in OUTPUTS} & {c.lower() for c in docs.columns}:
+        prefix += "_"
+    found = find_benchmark(docs, read_table(spark, sf_dir, "benchmark"), prefix=prefix)
+    clean = found.filter(~contaminated(F.col(f"{prefix}n_words"), F.col(f"{prefix}n_hit")))
+    return clean.drop(*(f"{prefix}{c}" for c in OUTPUTS))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
