@@ -1,6 +1,6 @@
 """Operator 9: n-gram Jaccard join by T-occurrence search.
 
-A document's set holds its distinct word shingles, each made from keyed 128-bit digests of its words: 64 bits in the sets
+A document's set holds its distinct word shingles, each made from 128-bit digests of its words: 64 bits in the sets
 and inverted lists, 64 more that only decide which sets are equal. Two sets can only reach the threshold t if each
 has at least t * size elements that occur in another document, so
 1. all documents send their shingles to hash buckets as packed arrays and learn which are repeated (repeats.py);
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from codeloom.llm.common import NULL_ID, blocks_of, join_on_hot_key, mix, read_table, release, rows_of, stored, unpack
 from codeloom.llm.components import components
 from codeloom.llm.repeats import bucket_bits, look_up, ranges, repeated_keys, with_repeated
-from codeloom.llm.wordhash import LOWER, WordDigests
+from codeloom.llm.wordhash import WORDS, word_bounds, word_digests
 
 N_WORDS = 5
 #: The threshold as a fraction: 100 * intersection >= PERCENT * union.
@@ -37,31 +37,36 @@ ODD = np.array([0x9FB21C651E98DF25, 0xD6E8FEB86659FD93], np.uint64)
 CLUSTER = 3000
 
 
-def shingle_sets(starts: np.ndarray, raw: np.ndarray, n: int, digests: WordDigests) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Distinct shingles of each document of a block as two columns of 64 bits, by the first, which is ascending; fewer
+def shingle_sets(starts: np.ndarray, raw: np.ndarray, n: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Distinct shingles of each document of a block: their first 64 bits, ascending, and their others in any order. Fewer
     words than n make one shingle, none no set."""
-    folded, counts = raw.tobytes().translate(LOWER), []
-    words: list[bytes] = []
-    for a, b in zip(starts[:-1].tolist(), starts[1:].tolist()):
-        own = folded[a:b].split()
-        words += own
-        counts.append(len(own))
-    w = digests(words)
-    full = w[: max(len(w) - n + 1, 0)].copy()
-    for i in range(1, n):
-        full = mix(full * ODD) + w[i : len(w) - n + 1 + i] if len(full) else full
-    full = mix(full)
+    k = len(starts) - 1
+    folded = (np.insert(raw, starts[1:-1], 32) if k > 1 else raw).tobytes().translate(WORDS)  # a space between documents
+    begins, ends = word_bounds(folded)
+    counts = np.diff(np.searchsorted(begins, starts + np.arange(k + 1))).tolist()
+    digests = word_digests(folded, begins, ends)
+    # Digests look random, so a sum weighted by place needs no mixing on the way.
+    columns, many = [], max(len(begins) - n + 1, 0)
+    for w, odd in zip(digests, ODD):
+        full = w[:many].copy()
+        for i in range(1, n):
+            full *= odd
+            full += w[i : many + i]
+        columns.append(mix(full))
     out, at = [], 0
     for k in counts:
         if k >= n:
-            a, place = np.unique(full[at : at + k - n + 1, 0], return_index=True)
-            out.append((a, full[at + place, 1]))
+            a, b = (c[at : at + k - n + 1] for c in columns)
+            ranked = np.sort(a)
+            if (ranked[1:] == ranked[:-1]).any():
+                ranked, place = np.unique(a, return_index=True)
+                b = b[place]
+            out.append((ranked, b))
         elif k:
-            h = np.full((1, 2), k, np.uint64)
-            for own in w[at : at + k]:
-                h = mix(h * ODD) + own
-            h = mix(h)
-            out.append((h[:, 0], h[:, 1]))
+            h = [np.full(1, k, np.uint64)] * 2
+            for i in range(at, at + k):
+                h = [x * odd + w[i] for x, odd, w in zip(h, ODD, digests)]
+            out.append((mix(h[0]), mix(h[1])))
         else:
             out.append((np.zeros(0, np.uint64),) * 2)
         at += k
@@ -168,12 +173,11 @@ def _sets(blocks: DataFrame, bits: int, n_words: int, percent: int) -> DataFrame
     frequency, and prefix."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digests = WordDigests()
         for _, ids, ends, text, found in rows_of(batches):
             ids, starts, raw = unpack(ids, ends, text)
             known, counts = ranges(found)
             out = []
-            for i, (s, other) in zip(ids.tolist(), shingle_sets(starts, raw, n_words, digests)):
+            for i, (s, other) in zip(ids.tolist(), shingle_sets(starts, raw, n_words)):
                 df = look_up(s, bits, known, counts)
                 rep = df > 1
                 least = least_overlap(len(s), percent)
@@ -355,10 +359,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     blocks = blocks_of(docs, id_col, text_col)
 
-    digests = WordDigests()  # empty here; each task fills its own
-
     def keys_of(ids: np.ndarray, starts: np.ndarray, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        sets = [x for x, _ in shingle_sets(starts, raw, n_words, digests)]
+        sets = [x for x, _ in shingle_sets(starts, raw, n_words)]
         return np.unique(np.concatenate(sets), return_counts=True) if sets else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
 
     # A shingle for about six bytes of text; the figure only sets the number of buckets.

@@ -6,17 +6,22 @@ from hashlib import blake2b
 
 import numpy as np
 
-#: Words whose digests a worker remembers; more words than this make it start again.
-MEMO = 400_000
-KEY = b"codeloom words"
-#: Maps A-Z to a-z. Of the bytes that are left, bytes.split() parts words just at `[\x20\x09-\x0D]+`.
+from codeloom.llm.common import mix
+
+#: Words above this many bytes are digested by BLAKE2 one by one, all others together.
+SHORT = 64
+#: Keys and odd multipliers of the two halves of a digest.
+KEYS = ((0x243F6A8885A308D3, 0x9FB21C651E98DF25), (0x13198A2E03707344, 0xD6E8FEB86659FD93))
+#: Maps A-Z to a-z.
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
-#: The same, and every byte outside `[^\x00-\x2F\x3A-\x60\x7B-\x7F]+` (digits, letters and all beyond ASCII) to a space.
+#: The same, and every byte outside `[^\x20\x09-\x0D]+` to a space.
+WORDS = bytes(32 if 9 <= b <= 13 else b for b in LOWER)
+#: The same as LOWER, and every byte outside `[^\x00-\x2F\x3A-\x60\x7B-\x7F]+` (digits, letters and all beyond ASCII) to a space.
 ALNUM = bytes(b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 32 for b in LOWER)
 
 
 def word_bounds(folded: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of the words of a text folded by ALNUM."""
+    """Starts and ends of the words of a text folded by WORDS or ALNUM."""
     inside = np.empty(len(folded) + 2, np.int8)
     inside[0] = inside[-1] = 0
     inside[1:-1] = np.frombuffer(folded, np.uint8) != 32
@@ -24,35 +29,25 @@ def word_bounds(folded: bytes) -> tuple[np.ndarray, np.ndarray]:
     return change[::2], change[1::2]
 
 
-class _Numbers(dict):
-    """Numbers words in the order they are met."""
-
-    def __init__(self):
-        super().__init__()
-        self.new: list[bytes] = []
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = n = len(self)
-        self.new.append(word)
-        return n
-
-
-class WordDigests:
-    """Keyed 128-bit BLAKE2 digests of words, as two uint64 columns. No texts are known that share one, and none can be
-    built as for a polynomial hash; each distinct word is digested once while it is remembered."""
-
-    def __init__(self):
-        self.numbers, self.table = _Numbers(), np.zeros((1024, 2), np.uint64)
-
-    def __call__(self, words: list[bytes]) -> np.ndarray:
-        if len(self.numbers) > MEMO:
-            self.numbers = _Numbers()
-        numbers = self.numbers
-        at = np.fromiter(map(numbers.__getitem__, words), np.int64, len(words))
-        if numbers.new:
-            made = b"".join([blake2b(w, digest_size=16, key=KEY).digest() for w in numbers.new])
-            first, numbers.new = len(numbers) - len(numbers.new), []
-            if len(numbers) > len(self.table):
-                self.table = np.concatenate([self.table[:first], np.zeros((2 * len(numbers) - first, 2), np.uint64)])
-            self.table[first : len(numbers)] = np.frombuffer(made, np.uint64).reshape(-1, 2)
-        return self.table[at]
+def word_digests(folded: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits for each word, in two halves. Eight bytes at a time are mixed into each half by a bijection of 64 bits that
+    is not linear, so unlike under a polynomial no pattern of bytes collapses; a collision takes two words that agree in
+    both halves by chance."""
+    size = ends - starts
+    eight = np.frombuffer(folded + bytes(8), np.uint8).astype(np.uint64)
+    for done in (1, 2, 4):  # the eight bytes from each position as one integer
+        eight = eight[:-done] | eight[done:] << np.uint64(8 * done)
+    halves = tuple(size.astype(np.uint64) ^ np.uint64(key) for key, _ in KEYS)
+    for at in range(0, SHORT, 8):
+        live = np.flatnonzero((size > at) & (size <= SHORT))
+        if not len(live):
+            break
+        part = eight[starts[live] + at]
+        spare = np.minimum(size[live] - at, 8)
+        part &= np.uint64(0xFFFFFFFFFFFFFFFF) >> (np.uint64(64) - np.uint64(8) * spare.astype(np.uint64))
+        for half, (_, odd) in zip(halves, KEYS):
+            half[live] = mix((half[live] ^ part) * np.uint64(odd))
+    for i in np.flatnonzero(size > SHORT).tolist():
+        own = np.frombuffer(blake2b(memoryview(folded)[starts[i] : ends[i]], digest_size=16).digest(), np.uint64)
+        halves[0][i], halves[1][i] = own
+    return halves
