@@ -45,16 +45,17 @@ def coded(n: np.ndarray) -> np.ndarray:
     return (np.searchsorted(CODES, n, "right") - 1).astype(np.uint8)
 
 
-def repeated_keys(blocks: DataFrame, keys_of: KeysOf, bits: int, hot: int | None = None) -> DataFrame:
+def repeated_keys(blocks: DataFrame, keys_of: KeysOf, bits: int, hot: int | None = None, packed: bool = True) -> DataFrame:
     """(block, found): for each block with any, a list of structs (bucket, prints, counts) of its repeated keys.
 
     prints: ascending uint32 fingerprints; counts: uint8 numbers of documents, up to 255. With `hot`, a row with a null
-    block lists the keys that blocks count more than `hot` times together.
+    block lists the keys that blocks count more than `hot` times together. Not packed: keys_of gets the columns after
+    block as they are.
     """
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, ids, ends, text, *more in rows_of(batches):
-            keys, n = keys_of(*unpack(ids, ends, text), *(np.array(x or [], np.int64) for x in more))
+        for block, *own in rows_of(batches):
+            keys, n = keys_of(*unpack(*own[:3]), *(np.array(x or [], np.int64) for x in own[3:])) if packed else keys_of(*own)
             fp = prefixes(keys, bits)
             if not len(fp):
                 continue

@@ -164,29 +164,38 @@ def induced(text: np.ndarray, sigma: int) -> np.ndarray:
 def permuted_lcp(text: np.ndarray, sa: np.ndarray, stop: int = 0) -> np.ndarray:
     """For each text position, the common prefix with the suffix before it in sa, ending before any `stop` symbol.
 
-    A position whose left neighbours agree takes its left neighbour's value less 1; only the others are compared.
+    A position whose left neighbours agree takes its left neighbour's value less 1; only the others are compared. Symbols
+    have 16 bits.
     """
     n = len(text)
     before = np.empty(n, np.int32)
     before[sa[1:]] = sa[:-1]
     before[sa[0]] = -1
     pos = np.arange(n)
-    derived = (pos > 0) & (before > 0)
-    derived[derived] = (text[pos[derived] - 1] == text[before[derived] - 1]) & (text[pos[derived] - 1] != stop)
     # The rule holds where the left neighbour has the neighbour's left as its own predecessor.
-    derived[1:] &= before[:-1] == before[1:] - 1
+    derived = np.zeros(n, bool)
+    derived[1:] = (before[:-1] == before[1:] - 1) & (before[1:] > 0) & (text[:-1] != stop)
+    may = np.flatnonzero(derived)
+    derived[may] = text[may - 1] == text[before[may] - 1]
+    live = np.flatnonzero(~derived & (before >= 0))
+    at, other, same = live.copy(), before[live].astype(np.int64), np.zeros(len(live), np.int64)
+    longer = np.append(text, [stop] * 4).astype(np.uint64)  # ends every comparison
+    four = longer[:-3] | longer[1:-2] << np.uint64(16) | longer[2:-1] << np.uint64(32) | longer[3:] << np.uint64(48)
+    ends = longer == stop
+    ends = ends[:-3] | ends[1:-2] | ends[2:-1] | ends[3:]
+    go = np.arange(len(live))
+    while len(go):  # four symbols at a time
+        x, y = at[go], other[go]
+        go = go[(four[x] == four[y]) & ~ends[x]]
+        same[go] += 4
+        at[go] += 4
+        other[go] = np.minimum(other[go] + 4, n)
+    x, y, equal = four[at], four[other], np.ones(len(live), bool)
+    for lane in range(4):  # and the rest
+        own = x >> np.uint64(16 * lane) & np.uint64(0xFFFF)
+        equal &= (own == y >> np.uint64(16 * lane) & np.uint64(0xFFFF)) & (own != stop)
+        same += equal
     value = np.zeros(n, np.int32)
-    live, step = np.flatnonzero(~derived & (before >= 0)), 0
-    other = before[live]
-    longer = np.append(text, stop)  # ends every comparison
-    while len(live):
-        left = longer[live + step]
-        go = (left == longer[np.minimum(other + step, n)]) & (left != stop)
-        value[live[~go]] = step
-        live, other, step = live[go], other[go], step + 1
-        inside = live + step <= n
-        if not inside.all():
-            value[live[~inside]] = step
-            live, other = live[inside], other[inside]
+    value[live] = same
     source = np.maximum.accumulate(np.where(derived, -1, pos))
     return np.where(derived, np.maximum(value[np.maximum(source, 0)] - (pos - source), 0), value)

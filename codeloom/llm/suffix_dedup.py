@@ -10,8 +10,8 @@ equal windows of all documents meet in one shard, whatever surrounds them.
    with 50 bytes in common are neighbours there; each group of them takes its smallest document id, and every occurrence
    in a document with a larger id is answered with its byte span.
    A minimiser with more than HOT runs would make its shard too large. Its windows do not go to shards: each block folds
-   equal ones, each window's bytes get the smallest document id by a partial aggregation, and blocks are answered
-   through join_on_hot_key.
+   equal ones, those whose fingerprint is repeated get their smallest document id by a partial aggregation on their
+   bytes, and blocks are answered through join_on_hot_key.
 5. Blocks merge the spans of each document and drop those bytes.
 """
 
@@ -124,50 +124,132 @@ def numbered(data: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return np.fromiter((seen.setdefault(data[a:b], len(seen)) for a, b in zip(starts.tolist(), ends.tolist())), np.int64, len(starts))
 
 
-def hot_windows(raw: np.ndarray, starts: np.ndarray, length: int, skip: np.ndarray, hot: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Document and first byte of each window whose minimiser is in hot (ascending prefixes)."""
-    h, doc, first, n = window_runs(raw, starts, length, GRAM, skip)
-    key = prefixes(h, bits)
-    mine = np.flatnonzero(_among(key, hot))
-    n = n[mine]
-    return np.repeat(doc[mine], n), np.repeat(first[mine], n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-
-
 def _among(keys: np.ndarray, known: np.ndarray) -> np.ndarray:
     if not len(known):
         return np.zeros(len(keys), bool)
     return known[np.minimum(np.searchsorted(known, keys), len(known) - 1)] == keys
 
 
+PACKED = "text binary, sizes binary, times binary, ids binary, firsts binary"
+
+
+def _packed(raw: np.ndarray, group: np.ndarray, ids: np.ndarray, first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, dict[str, list[bytes]]]:
+    """Chunks raw[first:first + size] by group: the groups, and for each its distinct chunks (text and sizes), the number of
+    places of each, and the document id and first byte of each place, in order of id."""
+    zip_ = zstandard.ZstdCompressor(level=1)
+    body = numbered(raw.tobytes(), first, first + size)
+    order = np.lexsort((ids, body, group))
+    group, body, ids, place, size = group[order], body[order], ids[order], first[order].astype(np.int64), size[order]
+    lead = np.flatnonzero(np.r_[True, (body[1:] != body[:-1]) | (group[1:] != group[:-1])])
+    times = np.diff(np.r_[lead, len(body)]).astype(np.uint32)
+    group, first, size = group[lead], place[lead], size[lead].astype(np.int64)
+    cuts = np.flatnonzero(np.r_[True, group[1:] != group[:-1], True])
+    offset = np.cumsum(size) - size
+    text = raw[np.repeat(first, size) + np.arange(int(size.sum())) - np.repeat(offset, size)]
+    edge, places = np.r_[offset, len(text)], np.r_[lead, len(ids)]
+    out: dict[str, list[bytes]] = {"text": [], "sizes": [], "times": [], "ids": [], "firsts": []}
+    for a, b in zip(cuts[:-1], cuts[1:]):
+        out["text"].append(zip_.compress(text[edge[a] : edge[b]].tobytes()))
+        out["sizes"].append(size[a:b].astype(np.uint16).tobytes())
+        out["times"].append(times[a:b].tobytes())
+        out["ids"].append(ids[places[a] : places[b]].tobytes())
+        out["firsts"].append(place[places[a] : places[b]].tobytes())
+    return group[cuts[:-1]], out
+
+
+def _windows(text: bytes, sizes: bytes, times: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of packed chunks: the text, the first byte of each window in it, its chunk, its place in the chunk, and the first of
+    the chunk's places (with one more entry: the number of places)."""
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(text), np.uint8)
+    size = np.frombuffer(sizes, np.uint16).astype(np.int64)
+    n = size - length + 1
+    chunk = np.repeat(np.arange(len(size)), n)
+    step = np.arange(len(chunk)) - np.repeat(np.cumsum(n) - n, n)
+    return raw, (np.cumsum(size) - size)[chunk] + step, chunk, step, np.r_[0, np.cumsum(np.frombuffer(times, np.uint32).astype(np.int64))]
+
+
 def _hot_spans(blocks: DataFrame, hot, bits: int, length: int) -> DataFrame:
-    """(block, found, least): the block's hot windows that occur in a document with a smaller id than one of the block's
-    that holds them, one after another in order, and the smallest id of each. hot: a broadcast array."""
+    """(block, starts, ends): spans of windows of hot minimisers that occur in a document with a smaller id. hot: a
+    broadcast array of ascending prefixes.
 
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    The blocks are read once for the chunks of these minimisers. What follows works on those: fingerprints of their
+    windows tell which are repeated at all, and only these meet by their bytes.
+    """
+
+    def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, ids, ends, text, skip in rows_of(batches):
             ids, starts, raw = unpack(ids, ends, text)
-            doc, at = hot_windows(raw, starts, length, _skips(skip), hot.value, bits)
-            if not len(at):
+            h, doc, first, n = window_runs(raw, starts, length, GRAM, _skips(skip))
+            own = np.flatnonzero(_among(prefixes(h, bits), hot.value))
+            if len(own):
+                _, cols = _packed(raw, np.zeros(len(own), np.int64), ids[doc[own]], first[own], n[own] + length - 1)
+                yield pa.RecordBatch.from_pydict({"block": [block], **cols})
+
+    held = stored(blocks.select("block", "ids", "ends", "text", "skip").mapInArrow(chunks, f"block long, {PACKED}"), "hot")
+
+    def bounds(ids: np.ndarray, chunk: np.ndarray, of: np.ndarray, w: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """The smallest and the largest document of each of n windows; w: the number of each window."""
+        lo, hi = np.full(n, NULL_ID, np.int64), np.full(n, np.iinfo(np.int64).min, np.int64)
+        np.minimum.at(lo, w, ids[of[:-1]][chunk])
+        np.maximum.at(hi, w, ids[of[1:] - 1][chunk])
+        return lo, hi
+
+    def prints_of(text: bytes, sizes: bytes, times: bytes, ids: bytes) -> tuple[np.ndarray, np.ndarray]:
+        raw, at, chunk, _, of = _windows(text, sizes, times, length)
+        keys, w = np.unique(window_prints(raw, at, length), return_inverse=True)
+        lo, hi = bounds(np.frombuffer(ids, np.int64), chunk, of, w, len(keys))
+        return keys, np.where(lo < hi, 2, 1)
+
+    few = bucket_bits(held.agg(F.sum(F.octet_length("sizes"))).first()[0] or 0)
+    found = repeated_keys(held.select("block", "text", "sizes", "times", "ids"), prints_of, few, packed=False)
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, text, sizes, times, ids, firsts, found in rows_of(batches):
+            raw, at, chunk, step, of = _windows(text, sizes, times, length)
+            own = np.flatnonzero(look_up(window_prints(raw, at, length), few, *ranges(found)) > 1)
+            if not len(own):
                 continue
-            w, back = np.unique(windows_at(raw, at, length), return_inverse=True)
-            lo, hi = np.full(len(w), NULL_ID, np.int64), np.full(len(w), np.iinfo(np.int64).min, np.int64)
-            np.minimum.at(lo, back, ids[doc])
-            np.maximum.at(hi, back, ids[doc])
-            for a in range(0, len(w), 50_000):
-                part = slice(a, a + 50_000)
-                k = len(w[part])
-                yield pa.RecordBatch.from_arrays([pa.Array.from_buffers(pa.binary(length), k, [None, pa.py_buffer(w[part].tobytes())]).cast(pa.binary()), pa.array(np.full(k, block)), pa.array(lo[part]), pa.array(hi[part])], ["w", "block", "lo", "hi"])
-
-    rows = stored(blocks.select("block", "ids", "ends", "text", "skip").mapInArrow(windows, "w binary, block long, lo long, hi long"), "hot")
+            ids, firsts, chunk, step = np.frombuffer(ids, np.int64), np.frombuffer(firsts, np.int64), chunk[own], step[own]
+            values, w = np.unique(windows_at(raw, at[own], length), return_inverse=True)
+            lo, hi = bounds(ids, chunk, of, w, len(values))
+            # All places of each distinct window.
+            times = (of[1:] - of[:-1])[chunk]
+            place = np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times) + np.repeat(of[chunk], times)
+            which, start = np.repeat(w, times), firsts[place] + np.repeat(step, times)
+            order = np.argsort(which, kind="stable")
+            edge = np.searchsorted(which[order], np.arange(len(values) + 1))
+            own, start = ids[place][order], start[order]
+            for a in range(0, len(values), 50_000):
+                part = range(a, min(a + 50_000, len(values)))
+                spans = [(edge[i], edge[i + 1]) for i in part]
+                yield pa.RecordBatch.from_pydict({
+                    "w": pa.array([values[i].tobytes() for i in part], pa.binary()), "block": np.full(len(part), block), "lo": lo[a : part.stop], "hi": hi[a : part.stop],
+                    "own": pa.array([own[x:y].tobytes() for x, y in spans], pa.binary()), "starts": pa.array([start[x:y].tobytes() for x, y in spans], pa.binary()),
+                })
+
+    asked = held.join(found, "block").select("block", "text", "sizes", "times", "ids", "firsts", "found")
+    rows = stored(asked.mapInArrow(windows, "w binary, block long, lo long, hi long, own binary, starts binary"), "windows")
     least = rows.groupBy("w").agg(F.min("lo").alias("least"), F.max("hi").alias("most"), F.count(F.lit(1)).alias("n")).filter("least < most").select("w", "least", "n")
-    hit = join_on_hot_key(rows, least, "w", "n", max(1, rows.count())).filter("least < hi").select("block", "w", "least")
+    hit = join_on_hot_key(rows, least, "w", "n", max(1, rows.count())).filter("least < hi").select("block", "least", "own", "starts")
+
+    def late(table: pa.Table) -> pa.Table:
+        own, starts = (np.frombuffer(b"".join(table.column(c).to_pylist()), np.int64) for c in ("own", "starts"))
+        times = [len(x) // 8 for x in table.column("own").to_pylist()]
+        starts = np.sort(starts[own > np.repeat(table.column("least").to_numpy(), times)])
+        return pa.table({"block": table.column("block")[:1], "starts": [starts.tobytes()], "ends": [(starts + length).tobytes()]})
 
-    def pack(table: pa.Table) -> pa.Table:
-        w = np.frombuffer(b"".join(table.column("w").to_pylist()), f"V{length}")
-        order = np.argsort(w)
-        return pa.table({"block": table.column("block")[:1], "found": [w[order].tobytes()], "least": [table.column("least").to_numpy()[order].tobytes()]})
+    return hit.groupBy("block").applyInArrow(late, "block long, starts binary, ends binary")
 
-    return hit.groupBy("block").applyInArrow(pack, "block long, found binary, least binary")
+
+def window_prints(raw: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
+    """64-bit hashes of raw[i:i + length] for each i of at; they only choose which windows are compared."""
+    eight = raw.astype(np.uint64)
+    for done in (1, 2, 4):  # eight bytes as one integer
+        eight = eight[:-done] | eight[done:] << np.uint64(8 * done)
+    out = np.zeros(len(at), np.uint64)
+    for off in [*range(0, length - 8, 8), length - 8]:
+        out = mix((out ^ eight[at + off]) * np.uint64(0x9E3779B97F4A7C15))
+    return out
 
 
 def _shard(table: pa.Table, length: int) -> pa.Table:
@@ -231,9 +313,8 @@ def _shard(table: pa.Table, length: int) -> pa.Table:
     return pa.table([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.binary(), pa.binary()))], ["block", "starts", "ends"])
 
 
-def repeated_spans(blocks: DataFrame, total_bytes: int, length: int = LENGTH) -> tuple[DataFrame, np.ndarray, int]:
-    """(block, skip, spans, found, least): whole copies, packed spans (starts, ends; relative to the block) to remove,
-    and the verdicts on hot windows. Also the hot minimisers, as ascending prefixes, and the bits of prefixes."""
+def repeated_spans(blocks: DataFrame, total_bytes: int, length: int = LENGTH) -> DataFrame:
+    """(block, skip, spans): whole copies, and packed spans (starts, ends; relative to the block) to remove."""
     spark = blocks.sparkSession
     runs = total_bytes // 18  # a run for about 18 bytes; only sets the number of buckets
     bits = bucket_bits(runs)
@@ -259,7 +340,6 @@ def repeated_spans(blocks: DataFrame, total_bytes: int, length: int = LENGTH) ->
     hot = spark.sparkContext.broadcast(known)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        zip_ = zstandard.ZstdCompressor(level=1)
         for block, ids, ends, text, skip, found in rows_of(batches):
             known, counts = ranges(found)
             if not len(known):
@@ -269,36 +349,15 @@ def repeated_spans(blocks: DataFrame, total_bytes: int, length: int = LENGTH) ->
             keep = np.flatnonzero((look_up(h, bits, known, counts) > 1) & ~_among(prefixes(h, bits), hot.value))
             if not len(keep):
                 continue
-            h, doc, first, n = h[keep], doc[keep], first[keep], n[keep]
-            shard = (mix(prefixes(h, bits)) >> np.uint64(64 - bits - SHARD_BITS)).astype(np.int64)
-            body = numbered(raw.tobytes(), first, first + n + length - 1)
-            order = np.lexsort((ids[doc], body, shard))
-            shard, body, own, first, size = shard[order], body[order], ids[doc[order]], first[order], (n + length - 1)[order]
-            lead = np.flatnonzero(np.r_[True, (body[1:] != body[:-1]) | (shard[1:] != shard[:-1])])
-            times = np.diff(np.r_[lead, len(body)]).astype(np.uint32)
-            place, size = first, size[lead].astype(np.int64)
-            shard, first = shard[lead], first[lead]
-            cuts = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1], True])
-            offset = np.cumsum(size) - size
-            text = raw[np.repeat(first, size) + np.arange(int(size.sum())) - np.repeat(offset, size)]
-            edge, places = np.r_[offset, len(text)], np.r_[lead, len(own)]
-            cols = {"shard": shard[cuts[:-1]], "block": np.full(len(cuts) - 1, block), "text": [], "sizes": [], "times": [], "ids": [], "firsts": []}
-            for a, b in zip(cuts[:-1], cuts[1:]):
-                cols["text"].append(zip_.compress(text[edge[a] : edge[b]].tobytes()))
-                cols["sizes"].append(size[a:b].astype(np.uint16).tobytes())
-                cols["times"].append(times[a:b].tobytes())
-                cols["ids"].append(own[places[a] : places[b]].tobytes())
-                cols["firsts"].append(place[places[a] : places[b]].astype(np.int64).tobytes())
-            yield pa.RecordBatch.from_pydict(cols)
-
-    sent = blocks.join(found, "block", "left").select("block", "ids", "ends", "text", "skip", "found").mapInArrow(send, "shard long, block long, text binary, sizes binary, times binary, ids binary, firsts binary")
+            shard = (mix(prefixes(h[keep], bits)) >> np.uint64(64 - bits - SHARD_BITS)).astype(np.int64)
+            shards, cols = _packed(raw, shard, ids[doc[keep]], first[keep], n[keep] + length - 1)
+            yield pa.RecordBatch.from_pydict({"shard": shards, "block": np.full(len(shards), block), **cols})
+
+    sent = blocks.join(found, "block", "left").select("block", "ids", "ends", "text", "skip", "found").mapInArrow(send, f"shard long, block long, {PACKED}")
     spans = sent.groupBy("shard").applyInArrow(lambda t: _shard(t, length), "block long, starts binary, ends binary")
-    marked = spans.groupBy("block").agg(F.collect_list(F.struct("starts", "ends")).alias("spans")).join(skips, "block", "full")
     if len(known):
-        marked = marked.join(_hot_spans(blocks, hot, bits, length), "block", "full")
-    else:
-        marked = marked.withColumns({"found": F.lit(None).cast("binary"), "least": F.lit(None).cast("binary")})
-    return marked.select("block", "skip", "spans", "found", "least"), known, bits
+        spans = spans.unionByName(_hot_spans(blocks, hot, bits, length))
+    return spans.groupBy("block").agg(F.collect_list(F.struct("starts", "ends")).alias("spans")).join(skips, "block", "full").select("block", "skip", "spans")
 
 
 def cut_spans(raw: np.ndarray, starts: np.ndarray, length: int, skip: np.ndarray, spans: list[dict] | None) -> list[tuple[int, int, int, bytes]]:
@@ -328,27 +387,19 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     blocks = blocks_of(docs, id_col, text_col)
     size = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
-    marked, known, bits = repeated_spans(blocks, size, length)
-    marked, hot = stored(marked, "spans"), docs.sparkSession.sparkContext.broadcast(known)
+    marked = stored(repeated_spans(blocks, size, length), "spans")
     release(docs.sparkSession)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, ids, ends, text, skip, spans, found, least in rows_of(batches):
+        for _, ids, ends, text, skip, spans in rows_of(batches):
             ids, starts, raw = unpack(ids, ends, text)
-            spans = list(spans or [])
-            if found:
-                doc, at = hot_windows(raw, starts, length, _skips(skip), hot.value, bits)
-                w, mine = np.frombuffer(found, f"V{length}"), windows_at(raw, at, length)
-                where = np.minimum(np.searchsorted(w, mine), len(w) - 1)
-                late = at[(w[where] == mine) & (np.frombuffer(least, np.int64)[where] < ids[doc])]
-                spans.append({"starts": late.tobytes(), "ends": (late + length).tobytes()})
             rows = cut_spans(raw, starts, length, _skips(skip), spans)
             for at in range(0, len(rows), 256):
                 n, removed, runs, kept = zip(*rows[at : at + 256])
                 own = [None if i == NULL_ID else i for i in ids[at : at + 256].tolist()]
                 yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), *(pa.array(c, pa.int64()) for c in (n, removed, runs)), pa.array([hashlib.sha256(k).hexdigest() for k in kept]), pa.array(kept, pa.binary())], ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    rows = blocks.join(marked, "block", "left").select("block", "ids", "ends", "text", "skip", "spans", "found", "least")
+    rows = blocks.join(marked, "block", "left").select("block", "ids", "ends", "text", "skip", "spans")
     return rows.mapInArrow(cut, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary").withColumnRenamed("id", id_col)
 
 
