@@ -11,7 +11,9 @@ class Emitter:
 
     Kinds and their columns: node (a id, b type, c layer, d name, n line), edge (a src, b dst, c relation, d layer, n
     scope depth), symbol (a name, b id, c type), call (a caller, b spelling, n depth), attr_call (a caller, b variable,
-    c method), route (a method, b path, c handler id, d handler name), http_call (a caller, b path, c method), import (a
+    c method), route (a method, b path, c handler id, d handler name), decorator (a handler id, b spelling, c handler
+    name, d strings of the first argument, pairs: strings of the named ones; JSON lists), http_call (a caller, b path, c
+    method), literal_call (a caller, b spelling, c strings of the first argument), import (a
     alias, b target), import_spec (a alias, b specifier, c source name), base (a class, b spelling, n depth), var_type (a
     scope, b variable, c type), client_var (a variable, b service), rpc_call (a caller, b service, c method),
     go_type_var (a variable, b type), go_register (a service, b argument, c scope), servicer (a class, b service),

@@ -8,7 +8,6 @@ from codeloom.extract.emit import MODULE, Emitter
 from codeloom.extract.tokens import Tokens
 
 IMPORT_LINE = re.compile(r'^\s*(?:import\s+)?(?:([A-Za-z_.][\w.]*)\s+)?"([\w./-]+)"\s*$')
-CHAINED = re.compile(r"^(\w+)\.New(\w+)Client\([^)]*\)\.\s*(\w+)$", re.S)
 KEYWORDS = frozenset("if for switch select func return go defer range case type struct interface map chan var const import package else".split())
 ASSIGN = frozenset("= += -= *= /= %= ++ --".split())
 NONE: frozenset[str] = frozenset()
@@ -25,6 +24,18 @@ def imports(text: str) -> list[tuple[str, str]]:
     return out
 
 
+def within(name: str, head: str, tail: str) -> str:
+    """What stands between head and tail in a name; '' if the name is not made so."""
+    return name[len(head) : len(name) - len(tail)] if name.startswith(head) and name.endswith(tail) else ""
+
+
+def path_of(url: str) -> str:
+    """The path of a literal URL with or without its host; '' if it has none but the root."""
+    _, scheme, rest = url.partition("://")
+    path = "/" + rest.partition("/")[2] if scheme else url
+    return path if path[:1] == "/" and len(path) > 1 else ""
+
+
 class _Scan:
     def __init__(self, e: Emitter, t: Tokens):
         self.e, self.t = e, t
@@ -144,10 +155,10 @@ class _Scan:
     def bind(self, names: list[str], v: int) -> None:
         """What := gives its names: service clients and concrete types."""
         t, e = self.t, self.e
-        m = re.fullmatch(r"New(\w+)Client", t.text(v + 2)) if t.text(v + 1) == "." and t.text(v + 3) == "(" else None
+        service = within(t.text(v + 2), "New", "Client") if t.text(v + 1) == "." and t.text(v + 3) == "(" else ""
         for name in names:
-            if m:
-                e.add("client_var", name, m.group(1))
+            if service:
+                e.add("client_var", name, service)
             elif t.text(v) == "new" and t.text(v + 1) == "(":
                 e.add("go_type_var", name, t.span(v + 2, t.match[v + 1]))
             elif t.text(v) == "&" and t.kind(v + 1) == "id":
@@ -184,30 +195,32 @@ class _Scan:
         return j
 
     def call(self, i: int, paren: int) -> None:
+        """A call whose callee is the tokens from i to its parenthesis."""
         t, e = self.t, self.e
-        raw, scope = t.span(i, paren), e.scope_id()
-        args = [t.span(a, b) for a, b in t.split(paren + 1, t.match[paren])]
-        spelled = raw
-        chained = CHAINED.match(raw.strip())
-        if chained:
-            e.add("rpc_call", scope, chained.group(2), chained.group(3))
-            spelled = f"grpc.{chained.group(2)}.{chained.group(3)}"
-        elif m := re.fullmatch(r"(\w+)\.(\w+)", raw):
-            e.add("attr_call", scope, m.group(1), m.group(2))
-        if (m := re.fullmatch(r"\w+\.Register(\w+)Server", raw)) and len(args) > 1:
-            e.add("go_register", m.group(1), args[1].strip("& "), scope)
-        if raw == "http.HandleFunc" and len(args) > 1:
-            path = args[0].strip("'\"`")
-            if path.startswith("/"):
-                handler = args[1].rsplit(".", 1)[-1]
-                for method in ("GET", "POST"):
-                    e.add("route", method, path, None, handler)
-        if raw in ("http.Get", "http.Post") and args:
-            m = re.match(r"['\"`](?:https?://[^/'\"`]+)?(/[^'\"`]+)['\"`]", args[0])
-            if m:
-                e.add("http_call", scope, m.group(1), raw[5:].upper())
+        scope, spelled = e.scope_id(), t.span(i, paren)
+        args = t.split(paren + 1, t.match[paren])
+        owner, name = t.text(i), t.text(i + 2) if t.text(i + 1) == "." else ""
+        if name and paren == i + 3:
+            e.add("attr_call", scope, owner, name)
+            if (service := within(name, "Register", "Server")) and len(args) > 1:
+                e.add("go_register", service, t.span(*args[1]).strip("& "), scope)
+            if owner == "http" and args:
+                self.net_http(name, args, scope)
+        elif name and t.text(i + 3) == "(" and paren == t.match.get(i + 3, -1) + 3 and (service := within(name, "New", "Client")):
+            method = t.text(paren - 1)  # on the client that the call before made
+            e.add("rpc_call", scope, service, method)
+            spelled = f"grpc.{service}.{method}"
         e.add("call", scope, spelled, n=e.depth)
 
+    def net_http(self, name: str, args: list[tuple[int, int]], scope: str) -> None:
+        t, e = self.t, self.e
+        said = t.literal(args[0][0]) or ""
+        if name == "HandleFunc" and len(args) > 1 and said[:1] == "/":
+            for method in ("GET", "POST"):
+                e.add("route", method, said, None, t.text(args[1][1] - 1))
+        elif name in ("Get", "Post") and (path := path_of(said)):
+            e.add("http_call", scope, path, name.upper())
+
 
 def extract(e: Emitter, text: str) -> None:
     lines = len(text.splitlines())

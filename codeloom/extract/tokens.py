@@ -67,6 +67,7 @@ class Tokens:
                         break
         for j in stack:
             self.match[j] = len(self.items) - 1
+        self.opened = {j: i for i, j in self.match.items()}
 
     def __len__(self) -> int:
         return len(self.items)
@@ -91,6 +92,10 @@ class Tokens:
             k = self.match[k] + 1 if k in self.match else k + 1
         return out + [(begin, j)] if j > begin else out
 
+    def literal(self, i: int) -> str | None:
+        """The text of a string or template token without its quotes."""
+        return self.text(i).strip("'\"`") if self.kind(i) in ("str", "tmpl") else None
+
     def doc(self, i: int, wrappers: frozenset[str]) -> str:
         """Comments before token i or before the wrapper keywords that precede it, without comment marks."""
         while i not in self.docs and self.text(i - 1) in wrappers:

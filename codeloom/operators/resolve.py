@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeloom.extract.emit import EXTERNAL, SYMBOL
-from codeloom.functions.text import module_key
+from codeloom.functions.text import module_key, url_path
 from codeloom.operators import text as T
 from codeloom.operators.relational import first_rule
 from codeloom.operators.traverse import checkpoint_dir, closure
@@ -210,9 +210,35 @@ def polymorphic(candidates: DataFrame, callers: DataFrame, nodes: DataFrame, tau
     return T.softmax(T.group_cosine(cand.unionByName(call), stop), "score", ["g"], tau).select(F.col("g").alias("call"), "id", "confidence")
 
 
+#: Verbs of route decorators and of the requests library; fixed values.
+VERBS = ("get", "post", "put", "patch", "delete")
+
+
+def listed(json: Column) -> Column:
+    return F.from_json(json, "array<string>")
+
+
+def decorated(facts: Facts) -> DataFrame:
+    """X6. Routes of Python decorators: the last part of the spelling is a verb or `route`, which means GET; a list of
+    methods that has any takes their place. One row for each path and method."""
+    action, methods = F.lower(F.element_at(F.split("b", r"\."), -1)), listed(F.element_at("pairs", "methods"))
+    rows = facts.facts.filter("kind = 'decorator'").withColumn("action", action).filter(F.col("action").isin(*VERBS, "route"))
+    own = F.when(F.col("action") == "route", "GET").otherwise(F.col("action"))
+    rows = rows.withColumn("path", F.explode(listed(F.col("d")))).withColumn("method", F.explode(F.when(F.size(methods) > 0, methods).otherwise(F.array(own))))
+    return rows.select("repo", "file", "ctx", "seq", F.upper("method").alias("method"), "path", F.col("a").alias("handler"), F.col("c").alias("name"))
+
+
+def requests(facts: Facts) -> DataFrame:
+    """X8. Calls requests.<verb>("literal") whose literal has a path, without its host."""
+    verb, path = F.element_at(F.split("b", r"\."), -1), url_path(F.get(listed(F.col("c")), F.lit(0)))
+    rows = facts.of("literal_call", "repo", "ctx", "file", "seq", F.col("a").alias("caller"), path.alias("path"), F.upper(verb).alias("method"), "b")
+    return rows.filter(F.col("b").startswith("requests.") & F.lower("method").isin(*VERBS) & F.col("path").startswith("/")).drop("b")
+
+
 def routes(facts: Facts) -> DataFrame:
     """(repo, method, path, handler): routes whose handler was named are resolved as references, else by its scope."""
     rows = facts.of("route", "repo", "file", "ctx", "seq", F.upper("a").alias("method"), F.col("b").alias("path"), F.col("c").alias("handler"), F.col("d").alias("name"))
+    rows = rows.unionByName(decorated(facts))
     rows = rows.withColumn("key", F.concat_ws("\x1f", "ctx", F.col("seq").cast("string")))
     named = rows.filter("handler is null and name is not null")
     found = references(named.select("key", "repo", "file", F.col("name").alias("spelling")), facts).select("key", F.col("id").alias("found"))
@@ -225,7 +251,7 @@ def routes(facts: Facts) -> DataFrame:
 def http(facts: Facts, across: bool = False) -> tuple[DataFrame, DataFrame]:
     """J9, J14. HTTP_CALLS edges of literal calls to routes of the same repository, and if asked for, of calls that none
     of its own routes answers to routes of other repositories. Also the calls that no route answers (R5)."""
-    made = facts.of("http_call", "repo", "ctx", "file", "seq", F.col("a").alias("caller"), F.col("b").alias("path"), F.upper("c").alias("method"))
+    made = facts.of("http_call", "repo", "ctx", "file", "seq", F.col("a").alias("caller"), F.col("b").alias("path"), F.upper("c").alias("method")).unionByName(requests(facts))
     r = routes(facts)
     own = made.join(r, ["repo", "method", "path"])
     bound = own

@@ -36,7 +36,7 @@ def scan_workspace(spark: SparkSession, ws: Workspace) -> tuple[DataFrame, dict[
     for r in ws.repositories:
         one = scan(spark, r.path, r.id, ws.ignore_patterns)
         files = one if files is None else files.unionByName(one)
-        configs[r.id] = read_config(r.path)
+        configs[r.id] = read_config(r.path, spark)
     shared = shared_contracts(spark, [s for s in ws.shared_contracts if not is_ignored(s, ws.ignore_patterns)])
     if shared is not None:
         files = shared if files is None else files.unionByName(shared)
@@ -51,7 +51,7 @@ def build_workspace(spark: SparkSession, ws: Workspace) -> Graph:
 
 
 def build_repo(spark: SparkSession, root: str, repo: str = "", extra_ignores: list[str] | None = None) -> Graph:
-    return build(scan(spark, root, repo, extra_ignores), {repo: read_config(root)})
+    return build(scan(spark, root, repo, extra_ignores), {repo: read_config(root, spark)})
 
 
 def union_graphs(graphs: list[tuple[str, DataFrame, DataFrame]]) -> tuple[DataFrame, DataFrame]:

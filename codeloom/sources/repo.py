@@ -37,16 +37,46 @@ def local_path(root: str) -> str:
     return unquote(urlparse(root).path) if root.startswith("file:") else root
 
 
-def ignore_patterns(root: str, extra: list[str] | None = None) -> list[str]:
-    """Default patterns, those of the repository's .ckgignore, and the caller's."""
-    out = list(DEFAULT_IGNORES)
+def remote_texts(spark: SparkSession, root: str, names: tuple[str, ...]) -> dict[str, str]:
+    """Texts of the files with these names below a root that only Spark's readers open, by path from the root."""
+    out = {}
+    for name in names:
+        glob = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", name)
+        for path, raw in glob.load(root).select("path", "content").collect():  # configuration files, few and small
+            out[unquote(urlparse(path).path).removeprefix(unquote(urlparse(root).path).rstrip("/") + "/")] = bytes(raw).decode("utf-8", "replace")
+    return out
+
+
+def ignore_patterns(root: str, extra: list[str] | None = None, spark: SparkSession | None = None) -> list[str]:
+    """Default patterns, those of the repository's .ckgignore, and the caller's. A root that is not local is read through
+    Spark; its readers hide names that begin with a dot, so the file is asked for by its whole path."""
+    out, text = list(DEFAULT_IGNORES), ""
     path = os.path.join(local_path(root), ".ckgignore")
-    if is_local(root) and os.path.isfile(path):
+    if not is_local(root):
+        if spark is None:
+            raise ValueError("a repository that is not local needs a session")
+        text = _hidden_text(spark, f"{root.rstrip('/')}/.ckgignore")
+    elif os.path.isfile(path):
         with open(path, encoding="utf-8") as f:
-            out += [line.strip() for line in f if line.strip() and not line.lstrip().startswith("#")]
+            text = f.read()
+    out += [line.strip() for line in text.splitlines() if line.strip() and not line.lstrip().startswith("#")]
     return out + list(extra or [])
 
 
+def _hidden_text(spark: SparkSession, path: str) -> str:
+    """The text of one small file that Spark's listing hides; '' if there is none."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    system = place.getFileSystem(conf)
+    if not system.exists(place):
+        return ""
+    stream = system.open(place)
+    try:
+        return jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
 def _unlisted(root: str, patterns: list[str]) -> list[tuple[str, bytes]]:
     """Files below a folder or with a name that begins with _ or ., which Spark's readers do not list."""
     top, out = local_path(root), []
@@ -68,7 +98,7 @@ def scan(spark: SparkSession, root: str, repo: str = "", extra_ignores: list[str
     Content is read by the binaryFile source on the executors. The filter looks at paths only, so ignored files are not
     read. Names that Spark hides are read on the driver from a local folder.
     """
-    patterns = ignore_patterns(root, extra_ignores)
+    patterns = ignore_patterns(root, extra_ignores, spark)
     base = root if not is_local(root) else "file://" + os.path.abspath(local_path(root))
     prefix = base.rstrip("/") + "/"
     listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base)
@@ -102,11 +132,15 @@ def config_of(texts: dict[str, str]) -> RepoConfig:
     return out
 
 
-def read_config(root: str) -> RepoConfig:
-    """Configuration files of a local repository; folders node_modules and .git are passed over."""
+def read_config(root: str, spark: SparkSession | None = None) -> RepoConfig:
+    """Configuration files of a repository; folders node_modules and .git are passed over."""
     texts, top = {}, local_path(root)
     if not is_local(root):
-        return RepoConfig()
+        if spark is None:
+            raise ValueError("a repository that is not local needs a session")
+        found = remote_texts(spark, root, ("package.json", "tsconfig.json"))
+        skip = {"node_modules", ".git"}
+        return config_of({p: t for p, t in found.items() if not skip & set(p.split("/")) and (p == "tsconfig.json" or p.endswith("package.json"))})
     for folder, names, files in os.walk(top):
         names[:] = [n for n in names if n not in ("node_modules", ".git")]
         rel = os.path.relpath(folder, top).replace(os.sep, "/")

@@ -15,7 +15,7 @@ from codeloom.plans.build import build
 from codeloom.plans.workspace import build_workspace, cached_graph, scan_workspace, union_graphs
 from codeloom.sources import manifest, sinks
 from codeloom.sources.modules import candidates
-from codeloom.sources.repo import config_of, files_table, lines_of, scan
+from codeloom.sources.repo import config_of, files_table, lines_of, read_config, scan
 from codeloom.storage import content_key, load_graph, save_graph
 from codeloom.streaming.incremental import FactStore, change_rows
 
@@ -201,3 +201,30 @@ def test_workspace_facade(spark, places):
     report = g.verify_graph()
     assert {r["repo"] for r in report["repositories"]} >= {"front", "back"} and report["skews"]
     assert g.rag_query("items of the shop catalogue")["top_matches"][0]["id"] == "back/api.py:items"
+
+
+def test_repositories_that_only_spark_can_open(spark, tmp_path):
+    root = tmp_path / "remote"
+    for path, said in {
+        "a.ts": "import { x } from '@lib/k';\n", "src/lib/k.ts": "export function x() {}\n", "gen/b.ts": "let y = 1;\n", ".ckgignore": "# made\ngen/*\n",
+        "tsconfig.json": json.dumps({"compilerOptions": {"paths": {"@lib/*": ["src/lib/*"]}}}), "ui/package.json": json.dumps({"name": "@w/ui", "main": "m.ts"}), "node_modules/z/package.json": json.dumps({"name": "z"}),
+    }.items():
+        (root / path).parent.mkdir(parents=True, exist_ok=True)
+        (root / path).write_text(said)
+    spark.sparkContext._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.far.link./in", f"file://{root}")
+    assert {r.path for r in scan(spark, "viewfs://far/in").select("path").collect()} == {"a.ts", "src/lib/k.ts"}
+    config = read_config("viewfs://far/in", spark)
+    assert config.ts_paths == [("@lib/*", ["src/lib/*"])] and set(config.packages) == {"@w/ui"} and config.packages["@w/ui"]["directory"] == "ui"
+    with pytest.raises(ValueError):
+        read_config("viewfs://far/in")
+
+
+def test_imports_by_tokens():
+    from codeloom.extract import jslike
+    from codeloom.extract.proto import services
+    from codeloom.extract.tokens import Tokens
+
+    text = "import d, { a as b, type T, c } from 'm'; import * as n from \"k\"; import type { Z } from 'z'; import 's';\nconst { p: q, r } = require('x'), one = require(`y`); // import no from 'no'\nlet { e } = require('f').g; foo(require('h'));"
+    assert jslike.imports(Tokens(text)) == [("d", "m", ""), ("b", "m", "a"), ("T", "m", "T"), ("c", "m", "c"), ("n", "k", ""), ("q", "x", "p"), ("r", "x", "r"), ("e", "f", "e")]
+    proto = "package a.b ; service S { rpc A(X) returns (Y) { option (o) = { k: 1 }; } rpc B(stream X) returns (Y); rpc C(X) returns (a.Y); /* rpc D(X) returns (Y); */ rpc E ( X )\n returns ( Y ); }"
+    assert services(proto) == [("S", [("A", "X", "Y"), ("E", "X", "Y")])]
