@@ -67,11 +67,17 @@ def vocabulary(posts: DataFrame, n_docs: Column | int, smooth: bool = True, max_
     return vocab.select("term", "df", idf.alias("idf"))
 
 
-def weights(posts: DataFrame, vocab: DataFrame) -> DataFrame:
-    """(id, term, w): tf times idf, each document of length 1."""
+def norms(posts: DataFrame, vocab: DataFrame) -> DataFrame:
+    """(id, norm): the length of each document's vector of tf times idf."""
+    w = F.col("tf") * F.col("idf")
+    return posts.join(vocab, "term").groupBy("id").agg(F.sqrt(F.sum(w * w)).alias("norm"))
+
+
+def weights(posts: DataFrame, vocab: DataFrame, lengths: DataFrame | None = None) -> DataFrame:
+    """(id, term, w): tf times idf, each document of length 1. lengths: norms() of all postings, where posts are some."""
     raw = posts.join(vocab, "term").select("id", "term", (F.col("tf") * F.col("idf")).alias("w"))
-    norms = raw.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return raw.join(norms, "id").select("id", "term", (F.col("w") / F.col("norm")).alias("w"))
+    lengths = norms(posts, vocab) if lengths is None else lengths
+    return raw.join(lengths, "id").select("id", "term", (F.col("w") / F.col("norm")).alias("w"))
 
 
 def query_terms(spark: SparkSession, tokens: Sequence[str]) -> DataFrame:

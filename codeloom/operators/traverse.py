@@ -7,15 +7,16 @@ their lineage by reliable checkpoints.
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from codeloom.functions.text import approx_tokens, service_of
+from codeloom.storage import shared_dir
 
 DOWN, UP, BOTH = "out", "in", "both"
+#: What a graft follows; fixed values of the graph's vocabulary.
 GRAFT_RELATIONS = ("CALLS", "DEFINES", "PASSES_ARG", "CONTAINS")
 GRAFT_LAYERS = ("Ldep", "Lflow", "Lsyn")
 BUDGET_OUT = ("CALLS", "POLYMORPHIC_CALL", "CONSUMES", "IMPLEMENTS", "EXTENDS", "MUTATES", "RETURNS", "HTTP_CALLS", "SEMANTIC_SIMILAR", "DEFINES_RPC")
@@ -23,10 +24,10 @@ BUDGET_IN = ("IMPLEMENTS", "CONSUMES", "CONTAINS", "DEFINES_RPC", "SEMANTIC_SIMI
 
 
 def checkpoint_dir(spark: SparkSession) -> None:
-    """Sets a checkpoint folder only where the cluster names none."""
-    sc = spark.sparkContext
-    if not sc.getCheckpointDir() and not sc.getConf().get("spark.checkpoint.dir"):
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="codeloom-graph-"))
+    """Makes sure that checkpoints go to the folder the cluster names."""
+    sc, base = spark.sparkContext, shared_dir(spark)
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(base)
 
 
 def roots(spark: SparkSession, *ids: str) -> DataFrame:
@@ -48,9 +49,9 @@ def bfs(moves: DataFrame, start: DataFrame, depth: int) -> DataFrame:
     """(id, dist): nodes within depth moves of the start ids, each with its least distance."""
     reached = start.select("id").distinct().withColumn("dist", F.lit(0))
     frontier = reached
-    pairs = moves.select("at", "to").distinct() if depth > 1 else moves.select("at", "to")
-    for hop in range(1, depth + 1):
-        near = frontier.join(pairs, frontier["id"] == pairs["at"]).select(F.col("to").alias("id")).distinct()
+    pairs = moves.select("at", "to")
+    for hop in range(1, depth + 1):  # the frontier filters the stored edges before anything is made distinct
+        near = pairs.join(frontier.select(F.col("id").alias("at")), "at", "left_semi").select(F.col("to").alias("id")).distinct()
         frontier = near.join(reached, "id", "left_anti").withColumn("dist", F.lit(hop))
         reached = reached.unionByName(frontier)
     return reached

@@ -86,6 +86,11 @@ def contract_skews(facts: DataFrame) -> DataFrame:
     return agg.filter("definitions > 1 and size(variants) > 1").withColumn("versions", F.map_from_entries(F.array_distinct(F.transform("by_repo", lambda x: F.struct(x["repo"], F.lit(""))))))
 
 
+def lines_of_code(facts: DataFrame) -> DataFrame:
+    """A7. One row: loc, the lines of all parsed sources."""
+    return facts.filter("kind = 'loc'").agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("loc"))
+
+
 def build(files: DataFrame, configs: dict[str, RepoConfig] | None = None, workspace: bool = False, semantic: bool = True) -> Graph:
     """A graph of a file table (repo, path, ext, content)."""
     facts = stored(extract_facts(files), "facts")
@@ -131,7 +136,7 @@ def from_facts(facts: DataFrame, sources: DataFrame, configs: dict[str, RepoConf
         else:
             similar = T.semantic_edges(weights.join(corpus.filter("length(trim(docstring)) > 10").select("id"), "id", "left_semi"))
         edges = stored(edges.unionByName(as_edges(similar)), "edges")
-    loc = facts.filter("kind = 'loc'").agg(F.sum("n")).first()[0] or 0
+    loc = lines_of_code(facts).first()[0]
     return Graph(nodes, edges, facts, sources, corpus, posts, vocab, weights, unresolved, dangling, skews, loc)
 
 

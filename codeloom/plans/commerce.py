@@ -6,6 +6,7 @@ rpc contracts. Edges: containment, calls (customer to order, order to supplier),
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -15,6 +16,7 @@ from codeloom.functions.similarity import sequence_ratio, unified_diff
 from codeloom.functions.text import camel_words, service_of, url_path, word_tokens
 from codeloom.operators import metrics, relational, text, traverse
 from codeloom.schema import LAYERS
+from codeloom.storage import kept
 
 ROOT = "C:1"
 BLAST_RELATIONS = ("CALLS", "USES", "IMPLEMENTS")
@@ -27,6 +29,12 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def graph(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges, stored once for all queries; edges in a folder for each layer."""
+    made = functools.cache(lambda: _graph(spark, sf))
+    return kept(spark, (sf, "graph-nodes"), lambda: made()[0]), kept(spark, (sf, "graph-edges"), lambda: made()[1], ("layer",))
+
+
+def _graph(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     t = lambda n: table(spark, sf, n)
     s = lambda c: F.col(c).cast("string")
     place = t("nation").join(F.broadcast(t("region")), F.col("n_regionkey") == F.col("r_regionkey"))  # nation and region are dimension tables of fixed size
@@ -223,12 +231,15 @@ def brand(spark, sf):
 _BRAND_SQL = "b AS (SELECT 'contract::' || min(p_brand) AS id FROM part), targets AS (SELECT id FROM b UNION SELECT dst FROM edges, b WHERE relation = 'DEFINES_RPC' AND src = b.id)"
 
 
-@query(f"{G}, {_BRAND_SQL} SELECT src AS entity, dst AS contract FROM edges JOIN targets ON dst = id WHERE relation = 'CONSUMES'")
+_BRAND_PARTS = "WITH p AS (SELECT p_partkey, 'contract::' || p_brand || '.' || CAST(p_partkey AS VARCHAR) AS id FROM part WHERE p_brand = (SELECT min(p_brand) FROM part))"
+
+
+@query(f"{_BRAND_PARTS} SELECT DISTINCT 'C:' || o_custkey AS entity, id AS contract FROM p JOIN lineitem ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey")
 def who_consumes(spark, sf):
     return traverse.bound_entities(graph(spark, sf)[1], brand(spark, sf), "CONSUMES")
 
 
-@query(f"{G}, {_BRAND_SQL} SELECT src AS entity, dst AS contract FROM edges JOIN targets ON dst = id WHERE relation = 'IMPLEMENTS'")
+@query(f"{_BRAND_PARTS} SELECT DISTINCT 'S:' || l_suppkey AS entity, id AS contract FROM p JOIN lineitem ON l_partkey = p_partkey")
 def who_implements(spark, sf):
     return traverse.bound_entities(graph(spark, sf)[1], brand(spark, sf), "IMPLEMENTS")
 
@@ -397,7 +408,19 @@ def graph_union_first_wins(spark, sf):
 
 
 def doc_postings(spark, sf):
-    return text.postings(table(spark, sf, "documents"), word_tokens(F.col("text")), "doc_id")
+    """Postings of the documents, stored once for all queries."""
+    return kept(spark, (sf, "postings"), lambda: text.postings(table(spark, sf, "documents"), word_tokens(F.col("text")), "doc_id"))
+
+
+def doc_vocabulary(spark, sf):
+    """The vocabulary of the documents, stored once."""
+    posts = doc_postings(spark, sf)
+    return kept(spark, (sf, "vocabulary"), lambda: text.vocabulary(posts, posts.agg(F.count_distinct("id")).first()[0]))
+
+
+def doc_norms(spark, sf):
+    """The length of each document's vector, stored once."""
+    return kept(spark, (sf, "norms"), lambda: text.norms(doc_postings(spark, sf), doc_vocabulary(spark, sf)))
 
 
 _POST = """t AS (SELECT doc_id AS id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM documents),
@@ -417,19 +440,16 @@ bm AS (SELECT id, sum(qtf * bq.idf * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.2
 @query(f"WITH {_POST}, r AS (SELECT id, term, round(w, 4) AS w, row_number() OVER (PARTITION BY id ORDER BY round(w, 4) DESC, term) AS k FROM weights) SELECT id, term, w, CAST(k AS INTEGER) AS k FROM r WHERE k <= 3")
 def tfidf_topk(spark, sf):
     """The three heaviest terms of each document."""
-    posts = doc_postings(spark, sf)
-    n = posts.agg(F.count_distinct("id")).first()[0]
-    w = text.weights(posts, text.vocabulary(posts, n)).withColumn("w", F.round("w", 4))
+    w = text.weights(doc_postings(spark, sf), doc_vocabulary(spark, sf), doc_norms(spark, sf)).withColumn("w", F.round("w", 4))
     k = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("w"), "term"))
     return w.withColumn("k", k).filter("k <= 3").select("id", "term", "w", "k")
 
 
 def _scores(spark, sf):
-    posts = doc_postings(spark, sf)
-    n = posts.agg(F.count_distinct("id")).first()[0]
-    vocab = text.vocabulary(posts, n)
+    posts, vocab = doc_postings(spark, sf), doc_vocabulary(spark, sf)
     q = text.query_terms(spark, text.driver_tokens(QUERY_TEXT))
-    return text.cosine(text.weights(posts, vocab), vocab, q), text.bm25(posts, q)
+    asked = posts.join(F.broadcast(q.select("term")), "term", "left_semi")  # only the postings of the query's terms are weighted
+    return text.cosine(text.weights(asked, vocab, doc_norms(spark, sf)), vocab, q), text.bm25(posts, q)
 
 
 @query(f"WITH {_POST}, {_COS} SELECT id, round(score, 4) AS score FROM cos WHERE score > 0 ORDER BY 2 DESC, 1 LIMIT 20")
@@ -466,32 +486,23 @@ def chunk_retrieve(spark, sf):
     return text.top_k(parts, 20, tie=["id", "start"]).select("id", "start", "score")
 
 
-def vectors(spark, sf):
-    """Embeddings as postings of dimensions, so that the similarity join is the inverted-index join of the text layer."""
-    e = table(spark, sf, "embeddings")
-    return e.select(F.col("vec_id").alias("id"), F.posexplode(F.transform("embedding", lambda x: x.cast("double")))).select("id", F.col("pos").alias("term"), F.col("col").alias("w"))
-
-
 _VEC = "v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings)"
 
 
-def _blocked_pairs(spark, sf):
-    """All pairs of dense vectors in blocks: each vector is in the same few dimensions, so an inverted index prunes
-    nothing; rows are packed into blocks of 64 and each pair of blocks is one task row."""
-    e = table(spark, sf, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("e"))
-    return e
+def _vectors(spark, sf):
+    return table(spark, sf, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("e"))
 
 
 @query(f"WITH {_VEC} SELECT a.vec_id AS a, b.vec_id AS b, round(list_dot_product(a.e, b.e), 4) AS score FROM v a JOIN v b ON a.vec_id < b.vec_id WHERE list_dot_product(a.e, b.e) >= {TAU}")
 def semantic_pairs(spark, sf):
     from codeloom.operators.dense import dense_pairs
 
-    return dense_pairs(_blocked_pairs(spark, sf), "vec_id", "e", TAU).withColumn("score", F.round("score", 4))
+    return dense_pairs(_vectors(spark, sf), "vec_id", "e", TAU).withColumn("score", F.round("score", 4))
 
 
 @query(f"WITH {_VEC} SELECT a.vec_id AS a, b.vec_id AS b, round(list_dot_product(a.e, b.e), 4) AS score FROM v a JOIN v b ON b.vec_id > a.vec_id AND b.vec_id < a.vec_id + 30 WHERE list_dot_product(a.e, b.e) >= 0.3")
 def semantic_band_pairs(spark, sf):
-    pairs = text.band_pairs(_blocked_pairs(spark, sf), 30, "vec_id")
+    pairs = text.band_pairs(_vectors(spark, sf), 30, "vec_id")
     dot = F.aggregate(F.zip_with("l.e", "r.e", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
     return pairs.select(F.col("l.vec_id").alias("a"), F.col("r.vec_id").alias("b"), F.round(dot, 4).alias("score"), dot.alias("d")).filter("d >= 0.3").drop("d")
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -13,10 +13,13 @@ from codeloom.schema import EDGES, NODES
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a new local one only where none is set."""
+    """The cluster's checkpoint folder. Where none is set, a local master gets a new local one; on a cluster, whose machines
+    would each write to their own, it is an error."""
     sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not base:
+        if sc.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="codeloom-"))
         base = sc.getCheckpointDir()
     return base.rstrip("/")
@@ -29,6 +32,21 @@ def stored(df: DataFrame, name: str, by: tuple[str, ...] = ()) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_KEPT: dict[tuple[str, ...], DataFrame] = {}
+
+
+def kept(spark: SparkSession, key: tuple[str, ...], make: Callable[[], DataFrame], by: tuple[str, ...] = ()) -> DataFrame:
+    """The table that make() gives, stored once for an application and key, as a graph is that many queries ask."""
+    key = (spark.sparkContext.applicationId, *key)
+    found = _KEPT.get(key)
+    if found is not None:
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(found.inputFiles()[0]) if found.inputFiles() else None
+        if place is None or place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place):
+            return found
+    _KEPT[key] = stored(make(), key[-1], by)
+    return _KEPT[key]
+
+
 def numbered(df: DataFrame, by: Sequence[str], column: str, first: int = 1) -> DataFrame:
     """df with a gapless number in the order of the given columns, which must order its rows totally.
 

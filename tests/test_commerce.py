@@ -4,7 +4,7 @@ import duckdb
 import pytest
 
 import __spark_entry__
-from codeloom.plans import commerce
+from codeloom.plans import commerce, generated
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -18,9 +18,12 @@ def db():
     return con
 
 
-@pytest.mark.parametrize("name", sorted(commerce.ORACLES))
+ORACLES = commerce.ORACLES | generated.ORACLES
+
+
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_equals_its_sql(spark, db, name):
-    got, want = commerce.QUERIES[name](spark, SF).toPandas(), db.execute(commerce.ORACLES[name]).df()
+    got, want = (commerce.QUERIES | generated.QUERIES)[name](spark, SF).toPandas(), db.execute(ORACLES[name]).df()
     cols = sorted(got.columns)
     assert cols == sorted(want.columns)
     rows = lambda d: sorted(tuple(str(v) for v in r) for r in d[cols].astype(object).where(d[cols].notna(), None).values.tolist())
