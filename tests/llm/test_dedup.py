@@ -238,3 +238,29 @@ def test_suffix_arrays(symbols):
         while b + n < len(text) and a + n < len(text) and text[a + n] == text[b + n] != 1:
             n += 1
         assert plcp[b] == n
+
+
+def test_two_stars_give_few_links(spark, monkeypatch):
+    """Two clouds of near copies around texts that differ in a quarter: links grow with the sets, not with their pairs."""
+    monkeypatch.setattr(jaccard_join, "CLUSTER", 100)
+    rng = random.Random(11)
+    base = words(rng, 160, 10**6).split()
+    other = [*base[:125], *words(rng, 35, 10**6).split()]
+    rows = []
+    for k, text in enumerate((base, other)):
+        for i in range(600):
+            t = list(text)
+            t[rng.randrange(10, 150)] = f"e{rng.randrange(10**6)}"
+            rows.append((k * 1000 + i, " ".join(t)))
+    made = []
+    inner = jaccard_join._links
+
+    def counted(*args):
+        links = inner(*args).cache()
+        made.append(links.count())
+        return links
+
+    monkeypatch.setattr(jaccard_join, "_links", counted)
+    got = {r.doc_id: r.component_id for r in jaccard_components(table(spark, rows, False)).collect()}
+    assert got == {i: 0 if i < 1000 else 1000 for i, _ in rows}
+    assert made[0] <= 3 * len(rows)

@@ -261,3 +261,83 @@ def test_training_is_stable(spark):
     docs, labels = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
     a, b = toxicity.train(docs, labels), toxicity.train(docs.repartition(7), labels.orderBy(F.rand(3)))
     assert a.lexicon == b.lexicon and np.array_equal(a.curve.value, b.curve.value)
+
+
+def brute_features(text, lexicon):
+    """The dense features one character and one word at a time."""
+    import math
+
+    text = text or ""
+    words = toxicity.WORDS.findall(text.lower())
+    odds = [max([lexicon.get(e, 0.0) for e in (w, *(w[:k] + "*" for k in (4, 5, 6) if len(w) > k))]) for w in words]
+    hits = [i for i, o in enumerate(odds) if o]
+    raw, n = text.encode(), max(1, len(words))
+    letter = lambda b: 65 <= b <= 90 or 97 <= b <= 122 or b >= 128
+    letters = max(1, sum(map(letter, raw)))
+    three = list(zip(raw, raw[1:], raw[2:]))
+    return [
+        math.log1p(len(words)), math.log1p(len(hits)), len(hits) / n, max([odds[i] for i in hits], default=0.0), math.log1p(sum(odds[i] for i in hits)), len({words[i] for i in hits}),
+        sum(any(words[j] in toxicity.SECOND_PERSON for j in range(len(words)) if abs(i - j) <= 5) for i in hits) / max(1, len(hits)), sum(w in toxicity.SECOND_PERSON for w in words) / n,
+        sum(65 <= b <= 90 for b in raw) / letters, sum(all(65 <= b <= 90 for b in t) for t in three) / letters, text.count("!") / n,
+        sum(33 <= b < 127 and not chr(b).isalnum() for b in raw) / max(1, len(raw)), sum(letter(a) and b in b"0123456789@$*" and letter(c) for a, b, c in three) / n,
+        sum(a == b == c and letter(c) for a, b, c in three) / letters,
+    ]
+
+
+@settings(max_examples=120, deadline=None)
+@given(st.lists(st.sampled_from(["You", "idiot", "IDIOTIC", "st0pid!", "sooo", "a", "ß", "tu", "...", "1a2", "@b", "\n", "ABC", "漢字"]), max_size=25).map(" ".join))
+def test_features_match_brute_force(text):
+    lexicon = {"idiot": 3.0, "idio*": 2.0, "sooo": 1.7, "st": 1.8, "漢字": 2.5}
+    assert np.allclose(toxicity.Extractor(lexicon)(text), brute_features(text, lexicon))
+
+
+def check_tree(m, tree, x, g, h, edges, node, rows, depth):
+    """Every cut of a tree gains as much as the best of all, and leaves hold what their rows give; leaf values by row."""
+    total = lambda own: (sum(g[i] for i in own), sum(h[i] for i in own))
+    score = lambda s: s[0] ** 2 / (s[1] + m.penalty)
+
+    def split(f, c):
+        left, right = [i for i in rows if x[i][f] < c], [i for i in rows if x[i][f] >= c]
+        return score(total(left)) + score(total(right)) - score(total(rows)) if min(len(left), len(right)) >= m.least else 0.0, left, right
+
+    if depth == 0:
+        s, value = total(rows), tree["leaf"][node - len(tree["feature"])]
+        assert not rows or np.isclose(value, -m.rate * s[0] / (s[1] + m.penalty))
+        return dict.fromkeys(rows, value)
+    best = max((split(f, c)[0] for f, cuts in enumerate(edges) for c in cuts), default=0.0)
+    f, left, right = tree["feature"][node], rows, []
+    if f >= 0:
+        gain, left, right = split(f, tree["cut"][node])
+        assert gain >= best - 1e-9
+    else:
+        assert best < 1e-8
+    return check_tree(m, tree, x, g, h, edges, 2 * node + 1, left, depth - 1) | check_tree(m, tree, x, g, h, edges, 2 * node + 2, right, depth - 1)
+
+
+def test_boosting_matches_brute_force():
+    for seed in range(4):
+        rng = np.random.default_rng(seed)
+        x = rng.normal(size=(120, 3))
+        y = ((x[:, 0] + rng.normal(size=120) > 0.3) ^ (x[:, 1] > 0.5)).astype(int)
+        m = Boosted(trees=6, bins=9).fit(x, y)
+        margin = np.full(len(y), m.base)
+        assert len(m.trees) == 6 and np.isclose(m.base, np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5)))
+        for tree in m.trees:
+            p = 1 / (1 + np.exp(-margin))
+            leaf = check_tree(m, tree, x.tolist(), (p - y).tolist(), (p * (1 - p)).tolist(), [e.tolist() for e in m.edges], 0, list(range(len(y))), m.depth)
+            margin = margin + np.array([leaf[i] for i in range(len(y))])
+        assert np.allclose(m.margin(x), margin)
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(0, 1), min_size=1, max_size=30))
+def test_isotonic_matches_brute_force(labels):
+    """The fit is the greatest over beginnings of the least mean over ends; blocks are runs of equal values."""
+    y, n = labels, len(labels)
+    mean = lambda a, b: sum(y[a : b + 1]) / (b - a + 1)
+    raw = [max(min(mean(a, b) for b in range(i, n)) for a in range(i + 1)) for i in range(n)]
+    blocks = [[i for i in range(n) if abs(raw[i] - v) < 1e-12] for v in dict.fromkeys(round(r, 12) for r in raw)]
+    blocks = [b or [i for i in range(n) if abs(raw[i] - v) < 1e-9] for b, v in zip(blocks, dict.fromkeys(round(r, 12) for r in raw))]
+    curve = Isotonic().fit(np.arange(n, dtype=float), np.array(y))
+    assert np.allclose(curve.at, [np.mean(b) for b in blocks])
+    assert np.allclose(curve.value, np.maximum.accumulate([(sum(y[i] for i in b) + 0.5) / (len(b) + 1) for b in blocks]))
