@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from codeloom.llm import chat_format, decontaminate, exact_dedup, jaccard_join, language_id, piece_codec, sharding, suffix_dedup, token_count, toxicity
+from codeloom.llm import chat_format, conversation_repair, decontaminate, divergence, exact_dedup, jaccard_join, language_id, piece_codec, sharding, suffix_dedup, token_count, toxicity
 
 QUERIES = {
     "op1_piece_codec": piece_codec.op1_piece_codec,
@@ -15,6 +15,8 @@ QUERIES = {
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     "op9_jaccard_join": jaccard_join.op9_jaccard_join,
     "op10_decontaminate": decontaminate.op10_decontaminate,
+    "op11_source_divergence": divergence.op11_source_divergence,
+    "op12_conversation_repair": conversation_repair.op12_conversation_repair,
 }
 #: Queries that learn from data or run a tokenizer have no SQL; tests/llm holds them against brute force.
 ORACLES = {
@@ -24,4 +26,6 @@ ORACLES = {
     "op8_exact_dedup": exact_dedup.ORACLE,
     "op9_jaccard_join": jaccard_join.ORACLE,
     "op10_decontaminate": decontaminate.ORACLE,
+    "op11_source_divergence": divergence.ORACLE,
+    "op12_conversation_repair": conversation_repair.ORACLE,
 }
