@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from codeloom.llm import chat_format, conversation_repair, decontaminate, divergence, exact_dedup, jaccard_join, language_id, piece_codec, sharding, suffix_dedup, token_count, toxicity
+from codeloom.llm import chat_format, conversation_repair, decontaminate, divergence, exact_dedup, jaccard_join, language_id, minhash, piece_codec, sharding, suffix_dedup, token_count, toxicity
 
 QUERIES = {
     "op1_piece_codec": piece_codec.op1_piece_codec,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_decontaminate": decontaminate.op10_decontaminate,
     "op11_source_divergence": divergence.op11_source_divergence,
     "op12_conversation_repair": conversation_repair.op12_conversation_repair,
+    "op13_minhash_dedup": minhash.op13_minhash_dedup,
 }
 #: Queries that learn from data or run a tokenizer have no SQL; tests/llm holds them against brute force.
 ORACLES = {
@@ -28,4 +29,5 @@ ORACLES = {
     "op10_decontaminate": decontaminate.ORACLE,
     "op11_source_divergence": divergence.ORACLE,
     "op12_conversation_repair": conversation_repair.ORACLE,
+    "op13_minhash_dedup": minhash.ORACLE,
 }

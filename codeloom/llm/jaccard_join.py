@@ -1,88 +1,30 @@
 """Operator 9: n-gram Jaccard join by T-occurrence search.
 
-A document's set holds its distinct word shingles, each made from 128-bit digests of its words: 64 bits in the sets
-and inverted lists, 64 more that only decide which sets are equal. Two sets can only reach the threshold t if each
-has at least t * size elements that occur in another document, so
-1. all documents send their shingles to hash buckets as packed arrays and learn which are repeated (repeats.py);
-2. documents with too few repeated shingles have no partner; of the rest, equal sets fold into their smallest id;
-3. the rarest (1 - t) * size + 1 shingles of a set, less its unrepeated ones, must meet a partner's (prefix filter):
-   sets are linked to the smallest id at each such shingle, and the components of those links hold all true pairs;
-4. inside a component an inverted index answers a T-occurrence search for each set: with DivideSkip, the short lists are
-   merged and the few long lists probed by binary search, for candidates that can still reach T.
-In components above CLUSTER sets, rounds over all machines first gather stars (see _star_rounds); then only sets outside
-stars, and sets near another star's centre, search further (see _between_stars and _by_token).
+The join itself, over all machines, is in similar_sets.py. Here is the search: the rarest (1 - t) * size + 1 shingles of
+a set, less its unrepeated ones, must meet a partner's (prefix filter), so these are its tokens; in a task an inverted
+index answers a T-occurrence search for each set: with DivideSkip, the short lists are merged and the few long lists
+probed by binary search, for candidates that can still reach T.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from codeloom.llm.common import NULL_ID, blocks_of, join_on_hot_key, mix, read_table, release, rows_of, stored, unpack
-from codeloom.llm.components import components
-from codeloom.llm.repeats import bucket_bits, look_up, ranges, repeated_keys, with_repeated
-from codeloom.llm.wordhash import WORDS, word_bounds, word_digests
+from codeloom.llm.common import read_table
+from codeloom.llm.similar_sets import N_WORDS, least_overlap, similar_components
 
-N_WORDS = 5
 #: The threshold as a fraction: 100 * intersection >= PERCENT * union.
 PERCENT = 80
-#: Odd multipliers of the two columns of a shingle.
-ODD = np.array([0x9FB21C651E98DF25, 0xD6E8FEB86659FD93], np.uint64)
-#: Sets of one component that a single search task takes.
-CLUSTER = 3000
-
-
-def shingle_sets(starts: np.ndarray, raw: np.ndarray, n: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Distinct shingles of each document of a block: their first 64 bits, ascending, and their others in any order. Fewer
-    words than n make one shingle, none no set."""
-    k = len(starts) - 1
-    folded = (np.insert(raw, starts[1:-1], 32) if k > 1 else raw).tobytes().translate(WORDS)  # a space between documents
-    begins, ends = word_bounds(folded)
-    counts = np.diff(np.searchsorted(begins, starts + np.arange(k + 1))).tolist()
-    digests = word_digests(folded, begins, ends)
-    # Digests look random, so a sum weighted by place needs no mixing on the way.
-    columns, many = [], max(len(begins) - n + 1, 0)
-    for w, odd in zip(digests, ODD):
-        full = w[:many].copy()
-        for i in range(1, n):
-            full *= odd
-            full += w[i : many + i]
-        columns.append(mix(full))
-    out, at = [], 0
-    for k in counts:
-        if k >= n:
-            a, b = (c[at : at + k - n + 1] for c in columns)
-            ranked = np.sort(a)
-            if (ranked[1:] == ranked[:-1]).any():
-                ranked, place = np.unique(a, return_index=True)
-                b = b[place]
-            out.append((ranked, b))
-        elif k:
-            h = [np.full(1, k, np.uint64)] * 2
-            for i in range(at, at + k):
-                h = [x * odd + w[i] for x, odd, w in zip(h, ODD, digests)]
-            out.append((mix(h[0]), mix(h[1])))
-        else:
-            out.append((np.zeros(0, np.uint64),) * 2)
-        at += k
-    return out
-
-
-def least_overlap(n: int, percent: int) -> int:
-    """Elements that a set of n shares with any partner, at least."""
-    return -(-percent * n // 100)
 
 
 class Inverted:
     """Inverted lists over sets: for each key the ascending numbers of the sets that hold it."""
 
-    def __init__(self, sets: list[np.ndarray], sizes: np.ndarray):
-        self.sets, self.sizes = sets, sizes
+    def __init__(self, sets: list[np.ndarray], sizes: np.ndarray, percent: int):
+        self.sizes, self.percent = sizes, percent
         every = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
         owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
         order = np.argsort(every, kind="stable")
@@ -91,8 +33,9 @@ class Inverted:
         head = np.flatnonzero(np.r_[True, ranked[1:] != ranked[:-1]]) if len(ranked) else np.zeros(0, np.int64)
         self.keys, self.begin = ranked[head], np.r_[head, len(ranked)]
 
-    def search(self, keys: np.ndarray, size: int, percent: int) -> np.ndarray:
+    def search(self, payload: bytes, size: int) -> np.ndarray:
         """Numbers of all sets with percent or more Jaccard similarity to a set of `size` elements that has these keys."""
+        keys, percent = np.frombuffer(payload, np.uint64), self.percent
         t = least_overlap(size, percent)
         if not len(self.keys):
             return np.zeros(0, np.int64)
@@ -126,290 +69,44 @@ class Inverted:
         return cand[100 * count >= percent * (size + self.sizes[cand] - count)]
 
 
-def group_labels(sets: list[np.ndarray], sizes: np.ndarray, percent: int) -> np.ndarray:
-    """The smallest number of its component for each set, exact.
-
-    Stars first: each set that no star has reached yet searches the index. Then every set outside the largest component
-    searches it; a link between components has at least one such end, so none is lost, and copies of one text in
-    thousands of variants cost one search for each star, not one for each pair.
-    """
-    index = Inverted(sets, sizes)
-    parent = np.arange(len(sets))
-
-    def root(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return int(x)
-
-    def join(x: int, others: np.ndarray) -> None:
-        for y in others.tolist():
-            a, b = root(x), root(y)
-            parent[max(a, b)] = min(a, b)
-
-    searched, reached = np.zeros(len(sets), bool), np.zeros(len(sets), bool)
-
-    def look(i: int) -> None:
-        found = index.search(sets[i], int(sizes[i]), percent)
-        searched[i] = reached[i] = True
-        reached[found] = True
-        join(i, found)
-
-    for i in range(len(sets)):
-        if not reached[i]:
-            look(i)
-    labels = np.array([root(i) for i in range(len(sets))])
-    largest = np.bincount(labels).argmax() if len(sets) else 0
-    for i in np.flatnonzero((labels != largest) & ~searched):
-        look(int(i))
-    return np.array([root(i) for i in range(len(sets))], np.int64)
-
-
-SETS = "id long, n long, sig binary, keys binary, prefix array<long>"
-
-
-def _sets(blocks: DataFrame, bits: int, n_words: int, percent: int) -> DataFrame:
-    """A row for each document: id, set size, and for those that may have a partner: signature, repeated keys by rising
-    frequency, and prefix."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, ids, ends, text, found in rows_of(batches):
-            ids, starts, raw = unpack(ids, ends, text)
-            known, counts = ranges(found)
-            out = []
-            for i, (s, other) in zip(ids.tolist(), shingle_sets(starts, raw, n_words)):
-                df = look_up(s, bits, known, counts)
-                rep = df > 1
-                least = least_overlap(len(s), percent)
-                if not len(s) or rep.sum() < least:
-                    out.append((i, len(s), None, None, None))
-                    continue
-                keys = s[rep]
-                order = np.argsort(df[rep], kind="stable")  # hash order among equals
-                # A set too small to reach the threshold with one more element has no partner but its equals.
-                need = len(s) - least + 1 - (len(s) - len(keys)) if 100 * len(s) >= percent * (len(s) + 1) else 0
-                a, b = int(mix(s).sum(dtype=np.uint64)), int(mix(other).sum(dtype=np.uint64))
-                sig = a.to_bytes(8, "big") + b.to_bytes(8, "big") + len(s).to_bytes(8, "big")
-                out.append((i, len(s), sig, keys.tobytes(), keys[order[:need]].astype(np.int64)))
-            for at in range(0, len(out), 128):
-                cols = zip(*out[at : at + 128])
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64())))], ["id", "n", "sig", "keys", "prefix"])
-
-    return blocks.mapInArrow(run, SETS)
-
-
-def _star_rounds(members: DataFrame, percent: int, total: int) -> DataFrame:
-    """Finds stars in components above CLUSTER sets. members: (id, n, keys, cluster, size).
-
-    In each round the smallest id of a component that no star has reached is compared with all others of the component,
-    wherever they are; those that link form its star. Rounds end when every component has at most CLUSTER sets that no
-    star reached, or when a round reached fewer than one in eight of the sets left. Returns the members with two more
-    columns: star, the first centre that reached them, or null; and near, all centres that are so close that a set of
-    their star may link with this one. Jaccard distance is a metric, so that is twice the distance of a link.
-    """
-    bound, reached = 2 * percent - 100, None
-    rest = members.withColumns({"star": F.lit(None).cast("long"), "near": F.array().cast("array<long>")})
-    for _ in range(24):
-        left = rest.filter("star is null").groupBy("cluster").agg(F.count(F.lit(1)).alias("open"), F.min("id").alias("centre"))
-        large = left.filter(F.col("open") > CLUSTER)
-        n = large.agg(F.sum("open")).first()[0]
-        if not n or (reached is not None and n > 0.875 * reached):
-            break
-        reached = n
-        centre = rest.select(F.col("id").alias("cid"), F.col("n").alias("cn"), F.col("keys").alias("ck")).join(large.withColumnRenamed("centre", "cid"), "cid").withColumn("weight", F.col("open"))
-        centre = stored(centre.drop("open").dropDuplicates(["cluster"]), "centres")  # ids may repeat
-        done = rest.join(centre.select("cluster"), "cluster", "left_anti")
-        tried = join_on_hot_key(rest.join(centre.select("cluster"), "cluster", "left_semi"), centre, "cluster", "weight", total)
-
-        def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                c = {k: batch.column(k).to_pylist() for k in ("n", "keys", "star", "near", "cid", "cn", "ck")}
-                star, near = [], []
-                for n, keys, s, close, cid, cn, ck in zip(*c.values()):
-                    shared = len(np.intersect1d(np.frombuffer(keys, np.uint64), np.frombuffer(ck, np.uint64), assume_unique=True))
-                    shared = n if n == cn and keys == ck else shared  # keys that no other set has are left out
-                    star.append(s if s is not None or 100 * shared < percent * (n + cn - shared) else cid)
-                    near.append(close + [cid] if 100 * shared >= bound * (n + cn - shared) else close)
-                yield pa.RecordBatch.from_arrays([batch.column(k) for k in MEMBERS[:5]] + [pa.array(star, pa.int64()), pa.array(near, pa.list_(pa.int64()))], MEMBERS)
-
-        tried = tried.select(*MEMBERS, "cid", "cn", "ck").mapInArrow(compare, "id long, n long, keys binary, cluster long, size long, star long, near array<long>")
-        rest = stored(done.select(*MEMBERS).unionByName(tried), "stars")
-    return rest
-
+class TOccurrence:
+    """Sets carry their repeated keys; tokens are the rarest of them."""
 
-MEMBERS = ["id", "n", "keys", "cluster", "size", "star", "near"]
-LINKS = "u long, v long"
+    def __init__(self, percent: int):
+        self.percent = percent
 
+    def carried(self, keys: np.ndarray, repeated: np.ndarray, least: int) -> tuple[bytes, np.ndarray]:
+        return repeated.tobytes(), repeated[:least].astype(np.int64)
 
-def _labelled(percent: int, *group: str):
-    """Links of each set to the smallest id that it is linked with inside its group."""
+    def index(self, payloads: list[bytes], sizes: np.ndarray) -> Inverted:
+        return Inverted([np.frombuffer(p, np.uint64) for p in payloads], sizes, self.percent)
 
-    def one(table: pa.Table) -> pa.Table:
-        ids, sizes = table.column("id").to_numpy(), table.column("n").to_numpy()
-        keys = [np.frombuffer(k, np.uint64) for k in table.column("keys").to_pylist()]
-        of = [table.column(g).to_numpy() for g in group]
-        u, v = [], []
-        order = np.lexsort((ids, *of))
-        new = np.any([np.diff(g[order]) != 0 for g in of], axis=0) if of else np.zeros(max(len(order) - 1, 0), bool)
-        for part in np.split(order, np.flatnonzero(new) + 1):
-            labels = group_labels([keys[i] for i in part], sizes[part], percent)
-            linked = np.flatnonzero(labels != np.arange(len(part)))
-            u += ids[part[linked]].tolist()
-            v += ids[part[labels[linked]]].tolist()
-        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
-
-    return one
-
-
-def _small(members: DataFrame, percent: int) -> DataFrame:
-    """Links inside components of at most CLUSTER sets (id, n, keys, cluster), some of which share a task."""
-    bins = max(1, -(-members.count() // CLUSTER))
-    return members.withColumn("bin", F.pmod(F.xxhash64("cluster"), F.lit(bins))).groupBy("bin").applyInArrow(_labelled(percent, "cluster"), LINKS)
-
-
-def _by_token(sets: DataFrame, percent: int, total: int) -> DataFrame:
-    """Links of sets (id, n, keys, prefix) that no star gathers: linked sets share a token of both prefixes, so the sets of
-    each token search one another. The sets of a token are dealt to blocks of about CLUSTER, and every two blocks meet."""
-    rows = stored(sets.select("id", "n", "keys", F.explode("prefix").alias("token")), "tokens")
-    count = rows.groupBy("token").agg(F.count(F.lit(1)).alias("k")).filter("k > 1")
-    blocks = F.ceil(F.col("k") / CLUSTER).cast("long")
-    rows = join_on_hot_key(rows, count, "token", "k", max(1, rows.count())).withColumn("own", F.pmod(F.xxhash64("id"), blocks))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-    return rows.select("id", "n", "keys", "token", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b")).groupBy("token", "a", "b").applyInArrow(_labelled(percent), LINKS)
-
-
-def _probe(percent: int):
-    """One link at most of each query of a group to the sets of a part of a star."""
-
-    def probe(table: pa.Table) -> pa.Table:
-        query = table.column("query").to_numpy(zero_copy_only=False)
-        ids, sizes = table.column("id").to_numpy(), table.column("n").to_numpy()
-        keys = [np.frombuffer(k, np.uint64) for k in table.column("keys").to_pylist()]
-        own = np.flatnonzero(~query)
-        index = Inverted([keys[i] for i in own], sizes[own])
-        u, v = [], []
-        for q in np.flatnonzero(query):
-            found = ids[own[index.search(keys[q], int(sizes[q]), percent)]]
-            if len(found):
-                u.append(int(ids[q]))
-                v.append(int(found.min()))
-        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
-
-    return probe
-
-
-def _between_stars(members: DataFrame, percent: int, total: int) -> DataFrame:
-    """Links (u, v) that connect stars, and sets outside all stars, with other stars.
-
-    A set visits a star only if the star's centre is near enough for a link, and only one of two stars visits the other.
-    A star's sets are dealt to parts of about CLUSTER and its visitors to blocks as large, so that a group is bounded.
-    Every visitor first goes to one part; then those go to all parts whose own star is not connected with the star yet.
-    """
-    visits = stored(members.select("id", "n", "keys", F.col("star").alias("home"), F.explode("near").alias("star")).filter("home is null or star < home"), "visits")
-    sizes = members.filter("star is not null").groupBy("star").agg(F.count(F.lit(1)).alias("k"))
-    sizes = stored(visits.groupBy("star").agg(F.count(F.lit(1)).alias("guests")).join(sizes, "star"), "sizes")
-    parts, blocks = F.ceil(F.col("k") / CLUSTER).cast("long"), F.ceil(F.col("guests") / CLUSTER).cast("long")
-    deal = lambda n, seed: F.pmod(F.xxhash64("id", F.lit(seed)), n)
-    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
-    hosts = join_on_hot_key(members.filter("star is not null").select("id", "n", "keys", "star"), sizes, "star", "k", total)
-    hosts = hosts.withColumn("part", deal(parts, 1)).withColumn("block", each(blocks)).withColumn("query", F.lit(False))
-    guests = join_on_hot_key(visits, sizes, "star", "guests", max(1, visits.count())).withColumn("block", deal(blocks, 2)).withColumn("query", F.lit(True))
-    cols = ["id", "n", "keys", "star", "part", "block", "query"]
-    search = lambda asked: asked.select(*cols).unionByName(hosts.select(*cols)).groupBy("star", "part", "block").applyInArrow(_probe(percent), LINKS)
-    links = stored(search(guests.withColumn("part", deal(parts, 3))), "links")
-    tied = links.join(members.select(F.col("id").alias("u"), "star"), "u").withColumnRenamed("star", "a").join(members.select(F.col("id").alias("v"), F.col("star").alias("b")), "v")
-    met = stored(tied.select(F.col("u").alias("id"), F.col("b").alias("star")).distinct(), "met")
-    group = stored(components(tied.filter("a is not null").select(F.col("a").alias("u"), F.col("b").alias("v"))), "groups")
-    pair = F.concat_ws(":", "home", "star")
-    pairs = visits.filter("home is not null").groupBy("home", "star").agg(F.count(F.lit(1)).alias("times")).withColumn("pair", pair)
-    for c in ("home", "star"):  # a star has few neighbours, so neither join has a hot key
-        pairs = pairs.join(group.select(F.col("id").alias(c), F.col("component").alias(f"{c}_group")), c, "left")
-    pairs = stored(pairs.filter("home_group = star_group").select("pair", "times"), "pairs").withColumn("met", F.lit(True))
-    open_ = guests.filter(F.col("k") > CLUSTER).withColumn("pair", F.when(F.col("home").isNotNull(), pair))
-    open_ = join_on_hot_key(open_, pairs, "pair", "times", max(1, visits.count()), "left").filter("met is null").join(met, ["id", "star"], "left_anti")
-    return links.unionByName(search(open_.withColumn("part", each(parts))))
-
-
-def _links(members: DataFrame, reps: DataFrame, percent: int, total: int) -> DataFrame:
-    """Links (u, v) that connect just the sets that links of the threshold connect. members: (id, n, keys, cluster, size)."""
-    members = _star_rounds(members, percent, total)
-    big = members.filter(F.col("size") > CLUSTER)
-    links = _small(members.filter(F.col("size") <= CLUSTER), percent)
-    if not big.limit(1).count():
-        return links
-    links = links.unionByName(big.filter("star is not null and star <> id").select(F.col("id").alias("u"), F.col("star").alias("v")))
-    links = links.unionByName(_between_stars(big, percent, total))
-    open_ = big.filter("star is null")
-    left = open_.groupBy("cluster").agg(F.count(F.lit(1)).alias("open"))
-    open_ = stored(join_on_hot_key(open_.select("id", "n", "keys", "cluster"), left, "cluster", "open", total), "open")
-    links = links.unionByName(_small(open_.filter(F.col("open") <= CLUSTER), percent))
-    many = open_.filter(F.col("open") > CLUSTER)
-    if many.limit(1).count():
-        links = links.unionByName(_by_token(many.join(reps.select("id", "prefix"), "id"), percent, total))
-    return links
+    def shared(self, one: bytes, n: int, other: bytes, m: int, percent: int) -> int:
+        return len(np.intersect1d(np.frombuffer(one, np.uint64), np.frombuffer(other, np.uint64), assume_unique=True))
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_words: int = N_WORDS, percent: int = PERCENT) -> DataFrame:
-    """One row per input row: id, n_shingles, component_id (the smallest id that links reach, itself included).
-
-    Words are runs of anything but ASCII white space, A-Z lower-cased. Documents without words have no set and link with
-    nothing; one with fewer words than a shingle has the whole sequence as its one element. Rows that share
-    an id are one node and have one component. So have null ids, which sort after all others; a component of them alone
-    is null. An empty table gives no rows; further columns are not read.
-    """
-    blocks = blocks_of(docs, id_col, text_col)
-
-    def keys_of(ids: np.ndarray, starts: np.ndarray, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        sets = [x for x, _ in shingle_sets(starts, raw, n_words)]
-        return np.unique(np.concatenate(sets), return_counts=True) if sets else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-
-    # A shingle for about six bytes of text; the figure only sets the number of buckets.
-    size = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
-    bits = bucket_bits(size // 6)
-    sets = stored(_sets(with_repeated(blocks, repeated_keys(blocks, keys_of, bits)), bits, n_words, percent), "sets")
-    total = max(1, sets.count())
-    release(docs.sparkSession, blocks)
-
-    maybe = sets.filter("sig is not null")
-    reps = stored(maybe.groupBy("sig").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"), F.min_by(F.struct("n", "keys", "prefix"), "id").alias("s")).select("sig", "id", "copies", "s.n", "s.keys", "s.prefix"), "reps")
-    tokens = reps.select("id", F.explode("prefix").alias("token"))
-    least = tokens.groupBy("token").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("times")).filter("times > 1")
-    edges = join_on_hot_key(tokens, least, "token", "times", total).filter("id <> least").select(F.col("id").alias("u"), F.col("least").alias("v"))
-    cluster = stored(components(edges).withColumnRenamed("component", "cluster"), "clusters")
-    sizes = cluster.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))
-    members = join_on_hot_key(cluster, sizes, "cluster", "size", total)
-    members = stored(reps.select("id", "n", "keys").join(members, "id"), "members")
-    links = _links(members, reps, percent, total)
-    repeated = sets.groupBy("id").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1")
-    shared = repeated.limit(1).count() > 0
-    if shared:  # rows with one id are one node: each is tied to the set that stands for its own
-        repeated = stored(repeated, "repeated")
-        own = join_on_hot_key(maybe.select("id", "sig"), repeated, "id", "rows", total).select("id", "sig").distinct()
-        links = links.unionByName(own.join(reps.select("sig", F.col("id").alias("v")), "sig").select(F.col("id").alias("u"), "v"))
-    linked = components(links)
-    named = reps.select("sig", "id", "copies").join(linked, "id", "left").select("sig", "copies", F.coalesce("component", "id").alias("component"))
-    with_class = join_on_hot_key(maybe.select("id", "n", "sig"), stored(named, "named"), "sig", "copies", total)
-    alone = sets.filter("sig is null").select("id", "n", F.col("id").alias("component"))
-    rows = with_class.select("id", "n", "component").unionByName(alone)
-    if shared:
-        of_node = stored(repeated.join(linked.withColumnRenamed("component", "whole"), "id"), "nodes")
-        rows = join_on_hot_key(rows, of_node, "id", "rows", total, "left").select("id", "n", F.coalesce("whole", "component").alias("component"))
-    null_back = lambda c: F.when(F.col(c) == NULL_ID, F.lit(None).cast("long")).otherwise(F.col(c))
-    return rows.select(null_back("id").alias(id_col), F.col("n").alias("n_shingles"), null_back("component").alias("component_id"))
+    """One row per input row: id, n_shingles, component_id (the smallest id that links reach, itself included); nulls, ties,
+    empty texts and repeated ids as similar_components says."""
+    return similar_components(docs, TOccurrence(percent), id_col, text_col, n_words)
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(read_table(spark, sf_dir, "documents"))
 
 
-ORACLE = r"""
+def oracle(percent: int, more: str = "") -> str:
+    return r"""
 WITH RECURSIVE d AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
 s AS (SELECT DISTINCT doc_id, array_to_string(w[i + 1 : i + least(len(w), 5)], ' ') AS g FROM (SELECT doc_id, w, unnest(range(greatest(len(w) - 4, 1))) AS i FROM d WHERE len(w) > 0)),
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
 p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
-e AS MATERIALIZED (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 80 * (a.n + b.n - c)),
+e AS MATERIALIZED (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= {percent} * (a.n + b.n - c)),
 both_ways AS MATERIALIZED (SELECT x, y FROM e UNION ALL SELECT y, x FROM e),
 r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, y FROM r JOIN both_ways ON r.b = x)
-SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, m.c AS component_id
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, m.c AS component_id{more}
 FROM d LEFT JOIN n ON d.doc_id = n.doc_id JOIN (SELECT a, min(b) AS c FROM r GROUP BY a) m ON m.a = d.doc_id
-"""
+""".replace("{percent}", str(percent)).replace("{more}", more)
+
+
+ORACLE = oracle(PERCENT)

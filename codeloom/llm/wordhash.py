@@ -1,4 +1,4 @@
-"""Words of texts: byte classes, and 128-bit digests of words."""
+"""Words of texts: byte classes, and keyed 128-bit digests of words."""
 
 from __future__ import annotations
 
@@ -6,12 +6,6 @@ from hashlib import blake2b
 
 import numpy as np
 
-from codeloom.llm.common import mix
-
-#: Words above this many bytes are digested by BLAKE2 one by one, all others together.
-SHORT = 64
-#: Keys and odd multipliers of the two halves of a digest.
-KEYS = ((0x243F6A8885A308D3, 0x9FB21C651E98DF25), (0x13198A2E03707344, 0xD6E8FEB86659FD93))
 #: Maps A-Z to a-z.
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 #: The same, and every byte outside `[^\x20\x09-\x0D]+` to a space.
@@ -29,25 +23,25 @@ def word_bounds(folded: bytes) -> tuple[np.ndarray, np.ndarray]:
     return change[::2], change[1::2]
 
 
-def word_digests(folded: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """128 bits for each word, in two halves. Eight bytes at a time are mixed into each half by a bijection of 64 bits that
-    is not linear, so unlike under a polynomial no pattern of bytes collapses; a collision takes two words that agree in
-    both halves by chance."""
-    size = ends - starts
-    eight = np.frombuffer(folded + bytes(8), np.uint8).astype(np.uint64)
-    for done in (1, 2, 4):  # the eight bytes from each position as one integer
-        eight = eight[:-done] | eight[done:] << np.uint64(8 * done)
-    halves = tuple(size.astype(np.uint64) ^ np.uint64(key) for key, _ in KEYS)
-    for at in range(0, SHORT, 8):
-        live = np.flatnonzero((size > at) & (size <= SHORT))
-        if not len(live):
-            break
-        part = eight[starts[live] + at]
-        spare = np.minimum(size[live] - at, 8)
-        part &= np.uint64(0xFFFFFFFFFFFFFFFF) >> (np.uint64(64) - np.uint64(8) * spare.astype(np.uint64))
-        for half, (_, odd) in zip(halves, KEYS):
-            half[live] = mix((half[live] ^ part) * np.uint64(odd))
-    for i in np.flatnonzero(size > SHORT).tolist():
-        own = np.frombuffer(blake2b(memoryview(folded)[starts[i] : ends[i]], digest_size=16).digest(), np.uint64)
-        halves[0][i], halves[1][i] = own
-    return halves
+class WordDigests(dict):
+    """128-bit digests of words under a secret key, each word digested once: nobody can build words that collide.
+
+    halves(words) gives the two 64-bit halves of each. What is remembered is bounded by `most` words.
+    """
+
+    def __init__(self, key: bytes, most: int = 400_000):
+        super().__init__()
+        self.key, self.most, self.raw = key, most, bytearray()
+
+    def __missing__(self, word: bytes) -> int:
+        at = self[word] = len(self)
+        self.raw += blake2b(word, digest_size=16, key=self.key).digest()
+        return at
+
+    def halves(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        if len(self) > self.most:
+            self.clear()
+            self.raw = bytearray()
+        at = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        table = np.frombuffer(bytes(self.raw), np.uint64).reshape(-1, 2)[at]
+        return table[:, 0].copy(), table[:, 1].copy()

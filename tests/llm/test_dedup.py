@@ -11,10 +11,11 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from codeloom.llm import jaccard_join, suffix_dedup as suffix_module
+from codeloom.llm import similar_sets, suffix_dedup as suffix_module
 from codeloom.llm.components import components
 from codeloom.llm.exact_dedup import exact_dedup, first_copies
-from codeloom.llm.jaccard_join import Inverted, group_labels, jaccard_components, least_overlap
+from codeloom.llm.jaccard_join import Inverted, TOccurrence, jaccard_components
+from codeloom.llm.similar_sets import group_links, least_overlap
 from codeloom.llm import suffix
 from codeloom.llm.suffix import induced, permuted_lcp
 from codeloom.llm.suffix_dedup import suffix_dedup
@@ -84,7 +85,7 @@ def shingles(t, n=5):
     return set() if not w else {tuple(w)} if len(w) < n else {tuple(w[i : i + n]) for i in range(len(w) - n + 1)}
 
 
-def brute_near(rows):
+def brute_near(rows, percent=80):
     """Rows that share an id are one node."""
     sets = [(order(i), shingles(t)) for i, t in rows]
     parent = {i: i for i, _ in sets}
@@ -96,7 +97,7 @@ def brute_near(rows):
 
     for a, (i, s) in enumerate(sets):
         for j, u in sets[a + 1 :]:
-            if s and u and 100 * len(s & u) >= 80 * len(s | u):
+            if s and u and 100 * len(s & u) >= percent * len(s | u):
                 x, y = root(i), root(j)
                 parent[max(x, y)] = min(x, y)
     return sorted(((i, len(s), None if root(order(i)) == BIG else root(order(i))) for (i, _), (_, s) in zip(rows, sets)), key=str)
@@ -122,7 +123,7 @@ def test_jaccard_components_match_brute_force(spark, seed):
 
 
 def test_jaccard_large_components_go_through_star_rounds(spark, monkeypatch):
-    monkeypatch.setattr(jaccard_join, "CLUSTER", 6)
+    monkeypatch.setattr(similar_sets, "CLUSTER", 6)
     rows = near_rows(4)
     got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_components(table(spark, rows, False)).collect()), key=str)
     assert got == brute_near(rows)
@@ -134,20 +135,30 @@ def test_jaccard_of_nothing(spark):
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == [(1, 0, 1), (2, 0, 2), (3, 0, 3)]
 
 
+def connected(n, links):
+    """The smallest number of its component for each of n."""
+    at = list(range(n))
+    for _ in range(n):
+        for i, j in links:
+            at[i] = at[j] = min(at[i], at[j])
+    return at
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.sets(st.integers(0, 25), min_size=1, max_size=14), min_size=1, max_size=24), st.sampled_from([50, 80, 100]))
 def test_t_occurrence_search_finds_all_partners(sets, percent):
     arrays = [np.array(sorted(s), np.uint64) for s in sets]
     sizes = np.array([len(s) for s in sets])
-    index = Inverted(arrays, sizes)
+    index = Inverted(arrays, sizes, percent)
     for s, a in zip(sets, arrays):
         want = [j for j, u in enumerate(sets) if 100 * len(s & u) >= percent * len(s | u)]
-        assert sorted(index.search(a, len(s), percent).tolist()) == want
-    other = Inverted(arrays[::2], sizes[::2])  # queries need not be in the index
+        assert sorted(index.search(a.tobytes(), len(s)).tolist()) == want
+    other = Inverted(arrays[::2], sizes[::2], percent)  # queries need not be in the index
     for s, a in zip(sets, arrays):
-        assert sorted(other.search(a, len(s), percent).tolist()) == [j for j, u in enumerate(sets[::2]) if 100 * len(s & u) >= percent * len(s | u)]
-    labels = group_labels(arrays, sizes, percent)
-    assert all(labels[labels[i]] == labels[i] for i in range(len(sets)))
+        assert sorted(other.search(a.tobytes(), len(s)).tolist()) == [j for j, u in enumerate(sets[::2]) if 100 * len(s & u) >= percent * len(s | u)]
+    links = group_links([a.tobytes() for a in arrays], sizes, TOccurrence(percent))
+    assert all(100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j]) for i, j in links)
+    assert connected(len(sets), links) == connected(len(sets), [(i, j) for i in range(len(sets)) for j in range(i) if 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j])])
     assert least_overlap(10, 80) == 8
 
 
@@ -242,7 +253,7 @@ def test_suffix_arrays(symbols):
 
 def test_two_stars_give_few_links(spark, monkeypatch):
     """Two clouds of near copies around texts that differ in a quarter: links grow with the sets, not with their pairs."""
-    monkeypatch.setattr(jaccard_join, "CLUSTER", 100)
+    monkeypatch.setattr(similar_sets, "CLUSTER", 100)
     rng = random.Random(11)
     base = words(rng, 160, 10**6).split()
     other = [*base[:125], *words(rng, 35, 10**6).split()]
@@ -253,14 +264,14 @@ def test_two_stars_give_few_links(spark, monkeypatch):
             t[rng.randrange(10, 150)] = f"e{rng.randrange(10**6)}"
             rows.append((k * 1000 + i, " ".join(t)))
     made = []
-    inner = jaccard_join._links
+    inner = similar_sets._links
 
     def counted(*args):
         links = inner(*args).cache()
         made.append(links.count())
         return links
 
-    monkeypatch.setattr(jaccard_join, "_links", counted)
+    monkeypatch.setattr(similar_sets, "_links", counted)
     got = {r.doc_id: r.component_id for r in jaccard_components(table(spark, rows, False)).collect()}
     assert got == {i: 0 if i < 1000 else 1000 for i, _ in rows}
     assert made[0] <= 3 * len(rows)
