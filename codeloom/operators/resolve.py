@@ -17,7 +17,7 @@ from codeloom.extract.emit import EXTERNAL, SYMBOL
 from codeloom.functions.text import module_key, url_path
 from codeloom.operators import text as T
 from codeloom.operators.relational import first_rule
-from codeloom.operators.traverse import checkpoint_dir, closure
+from codeloom.operators.traverse import closure
 from codeloom.storage import stored
 
 TAU = 0.2
@@ -113,24 +113,22 @@ def up_and_down(facts: Facts, known: DataFrame) -> tuple[DataFrame, DataFrame]:
 def ancestors(known: DataFrame, max_levels: int = 1000) -> DataFrame:
     """(class, base, path): every class with itself (path '') and its bases, path ordering them depth first by position.
 
-    The hierarchy's closure gives the pairs; a path is rebuilt by following least positions level by level, which real
-    class trees have few of. Raises RuntimeError if there are more than max_levels levels.
+    Of each class and base the least path is kept, and only pairs whose path got less go on, so a level holds no more rows than
+    there are pairs, however many paths lead to a base. A path does not come back to a class on it. Raises RuntimeError
+    if there are more than max_levels levels.
     """
-    checkpoint_dir(known.sparkSession)
     step = known.groupBy("class", "base").agg(F.min("pos").alias("pos"))
     own = step.select("class").unionByName(step.select(F.col("base").alias("class"))).distinct()
-    level = own.select("class", F.col("class").alias("base"), F.lit("").alias("path"), F.array("class").alias("seen"))
-    out = level
+    best = stored(own.select("class", F.col("class").alias("base"), F.lit("").alias("path"), F.array("class").alias("seen"), F.lit(True).alias("new")), "ancestors")
+    up = stored(step.select(F.col("class").alias("base"), F.col("base").alias("up"), "pos"), "bases")
     for _ in range(max_levels + 1):
-        nxt = level.join(step.select(F.col("class").alias("base"), F.col("base").alias("up"), "pos"), "base").filter(~F.array_contains("seen", F.col("up")))
-        level = nxt.select("class", F.col("up").alias("base"), F.concat("path", F.format_string("%010d.", "pos")).alias("path"), F.array_append("seen", F.col("up")).alias("seen"))
-        level = level.checkpoint()
-        if level.isEmpty():
-            break
-        out = out.unionByName(level)
-    else:
-        raise RuntimeError(f"a class hierarchy has more than {max_levels} levels")
-    return out.groupBy("class", "base").agg(F.min("path").alias("path"))
+        nxt = best.filter("new").join(up, "base").filter(~F.array_contains("seen", F.col("up")))
+        nxt = nxt.select("class", F.col("up").alias("base"), F.concat("path", F.format_string("%010d.", "pos")).alias("path"), F.array_append("seen", F.col("up")).alias("seen"), F.lit(True).alias("new"))
+        every = best.withColumn("new", F.lit(False)).unionByName(nxt)
+        best = stored(every.groupBy("class", "base").agg(F.min_by(F.struct("path", "seen", "new"), F.struct("path", "new")).alias("b")).select("class", "base", "b.*"), "ancestors")
+        if best.filter("new").isEmpty():
+            return best.select("class", "base", "path")
+    raise RuntimeError(f"a class hierarchy has more than {max_levels} levels")
 
 
 def methods(facts: Facts) -> DataFrame:

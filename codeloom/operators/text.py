@@ -121,13 +121,51 @@ def top_k(scores: DataFrame, k: int = 5, digits: int = 4, tie: Sequence[Column |
     return scores.filter("score > 0").withColumn("score", F.round("score", digits)).orderBy(F.desc("score"), *tie).limit(k)
 
 
+#: Prefix postings of one term that a task joins with as many.
+HEAVY = 2000
+
+
+def prefixes(doc_weights: DataFrame, threshold: float) -> DataFrame:
+    """(id, term, w, rest): the terms of each document by which a partner must be met, and the length of its vector after
+    each.
+
+    A document's terms stand in the order of their document frequency, rarest first. A term is in the prefix while the vector
+    from it on can still reach the threshold: its length, and its product with the largest weight of each term in any
+    document, bound what it adds. Two documents whose common terms begin after either prefix are below the threshold, so
+    partners share a prefix term.
+    """
+    stats = doc_weights.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.max("w").alias("most"))
+    rows = doc_weights.join(stats, "term")
+    from_here = Window.partitionBy("id").orderBy("df", "term").rowsBetween(0, Window.unboundedFollowing)
+    rows = rows.withColumns({"length": F.sqrt(F.sum(F.col("w") * F.col("w")).over(from_here)), "most": F.sum(F.col("w") * F.col("most")).over(from_here)})
+    after = F.coalesce(F.lead("length").over(Window.partitionBy("id").orderBy("df", "term")), F.lit(0.0))
+    slack = threshold - 1e-9
+    return rows.withColumn("rest", after).filter((F.col("df") > 1) & (F.col("length") >= slack) & (F.col("most") >= slack)).select("id", "term", "w", "rest")
+
+
+def candidate_pairs(doc_weights: DataFrame, threshold: float, heavy: int = HEAVY) -> DataFrame:
+    """Distinct (a, b), a < b, that share a prefix term and, were it the first term they share, could reach the threshold:
+    the product there and those of the vectors after it. The first common term of a pair passes this, so no pair is lost.
+    Terms with many prefix postings are dealt to parts, and every two parts meet in a key of their own."""
+    rows = prefixes(doc_weights, threshold)
+    parts = rows.groupBy("term").agg(F.ceil(F.count(F.lit(1)) / heavy).alias("parts"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    rows = rows.join(parts.select("term", "parts"), "term").withColumn("own", F.pmod(F.xxhash64("id"), F.col("parts")))
+    each = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
+    a = rows.select("term", F.col("own").alias("i"), each.alias("j"), F.col("id").alias("a"), F.col("w").alias("wa"), F.col("rest").alias("ra"))
+    b = rows.select("term", each.alias("i"), F.col("own").alias("j"), F.col("id").alias("b"), F.col("w").alias("wb"), F.col("rest").alias("rb"))
+    met = a.join(b, ["term", "i", "j"]).filter((F.col("a") < F.col("b")) & (F.col("wa") * F.col("wb") + F.col("ra") * F.col("rb") >= threshold - 1e-9))
+    return met.select("a", "b").distinct()
+
+
 def similar_pairs(doc_weights: DataFrame, threshold: float) -> DataFrame:
-    """(a, b, score), a < b, of documents with cosine at least threshold: a join of postings on their terms. Terms of one
-    document only cannot make a pair and are dropped before the join."""
-    shared = doc_weights.groupBy("term").agg(F.count(F.lit(1)).alias("df")).filter("df > 1").select("term")
-    w = doc_weights.join(shared, "term", "left_semi")
-    a, b = w.select("term", F.col("id").alias("a"), F.col("w").alias("wa")), w.select("term", F.col("id").alias("b"), F.col("w").alias("wb"))
-    return a.join(b, "term").filter("a < b").groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("score")).filter(F.col("score") >= threshold)
+    """(a, b, score), a < b, of documents with cosine at least threshold, which must be positive: candidate pairs, then exact
+    products. doc_weights: (id, term, w) of vectors of length 1 without negative weights."""
+    if threshold <= 0:
+        raise ValueError("the threshold must be positive")
+    pairs = candidate_pairs(doc_weights, threshold)
+    wa = doc_weights.select(F.col("id").alias("a"), "term", F.col("w").alias("wa"))
+    wb = doc_weights.select(F.col("id").alias("b"), "term", F.col("w").alias("wb"))
+    return pairs.join(wa, "a").join(wb, ["b", "term"]).groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("score")).filter(F.col("score") >= threshold)
 
 
 def band_pairs(rows: DataFrame, width: int, ord_col: str = "ord") -> DataFrame:

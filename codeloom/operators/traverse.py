@@ -1,19 +1,21 @@
 """Graph traversal as iterated frontier joins over an edge DataFrame (src, dst, relation, layer, ...).
 
-A traversal of bounded depth is a chain of joins between a small frontier and the edges, so the edges are only scanned and
-filtered; adaptive execution broadcasts the frontier while it is small and shuffles when it is not. Unbounded closures cut
-their lineage by reliable checkpoints.
+A traversal of bounded depth is a chain of joins between a small frontier and the edges. Edges that many queries ask are
+stored as an Adjacency, whose hops read the frontier's row groups only. Unbounded closures double their paths and write each
+round to the shared folder.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom.functions.text import approx_tokens, service_of
-from codeloom.storage import shared_dir
+from codeloom.storage import ROW_GROUP, clustered, running, shared_dir, stored
 
 DOWN, UP, BOTH = "out", "in", "both"
 #: What a graft follows; fixed values of the graph's vocabulary.
@@ -45,78 +47,159 @@ def steps(edges: DataFrame, direction: str, layers: Sequence[str] | None = None,
     return {DOWN: out, UP: back}.get(direction) if direction != BOTH else out.unionByName(back)
 
 
-def bfs(moves: DataFrame, start: DataFrame, depth: int) -> DataFrame:
-    """(id, dist): nodes within depth moves of the start ids, each with its least distance."""
-    reached = start.select("id").distinct().withColumn("dist", F.lit(0))
-    frontier = reached
+#: Nodes of a frontier that go into a scan's filter as values, and ranges of them that its statistics are asked for.
+FRONTIER, RANGES = 1000, 16
+
+
+@dataclass(frozen=True)
+class Adjacency:
+    """Edges stored twice, ordered by their source and by their target. A hop from a frontier of at most FRONTIER nodes reads
+    the row groups that hold them, both ways; a larger one filters by a join."""
+
+    out: DataFrame
+    back: DataFrame
+
+    @staticmethod
+    def of(edges: DataFrame, row_group: int = ROW_GROUP) -> Adjacency:
+        return Adjacency(clustered(edges, "edges-out", "src", "dst", row_group=row_group), clustered(edges, "edges-in", "dst", "src", row_group=row_group))
+
+    @property
+    def columns(self) -> list[str]:
+        return self.out.columns
+
+    def at(self, ids: list[str] | DataFrame, direction: str, layers: Sequence[str] | None = None, relations: Sequence[str] | None = None) -> DataFrame:
+        """The moves that begin at these nodes."""
+        found = []
+        for way, edges, end in ((DOWN, self.out, "src"), (UP, self.back, "dst")):
+            if direction in (way, BOTH):
+                if isinstance(ids, list):
+                    edges = edges.filter(in_ranges(F.col(end), ids))
+                else:
+                    edges = edges.join(ids.select(F.col("id").alias(end)), end, "left_semi").select(*edges.columns)
+                found.append(steps(edges, way, layers, relations))
+        return found[0] if len(found) == 1 else found[0].unionByName(found[1])
+
+
+def in_ranges(column: Column, ids: list[str]) -> Column:
+    """Whether a column is one of the ids, said twice: as values, and as a few ranges that file statistics can rule out."""
+    ids = sorted(ids)
+    if not ids:
+        return F.lit(False)
+    step = -(-len(ids) // RANGES)
+    ranges = [column.between(ids[i], ids[min(i + step, len(ids)) - 1]) for i in range(0, len(ids), step)]
+    return functools.reduce(Column.__or__, ranges) & column.isin(*ids)
+
+
+def bfs(edges: DataFrame | Adjacency, start: DataFrame, depth: int, direction: str = DOWN, layers: Sequence[str] | None = None, relations: Sequence[str] | None = None) -> DataFrame:
+    """(id, dist): nodes within depth moves of the start ids, each with its least distance. edges: moves, or an Adjacency,
+    whose small frontiers are looked up and whose large ones are joined."""
+    if isinstance(edges, Adjacency):
+        return _looked_up(edges, start, depth, [(direction, layers, relations)])
+    return _joined(edges, start.select("id").distinct().withColumn("dist", F.lit(0)), 1, depth)
+
+
+def _joined(moves: DataFrame, reached: DataFrame, first: int, depth: int) -> DataFrame:
+    frontier = reached.filter(F.col("dist") == first - 1)
     pairs = moves.select("at", "to")
-    for hop in range(1, depth + 1):  # the frontier filters the stored edges before anything is made distinct
+    for hop in range(first, depth + 1):  # the frontier filters the stored edges before anything is made distinct
         near = pairs.join(frontier.select(F.col("id").alias("at")), "at", "left_semi").select(F.col("to").alias("id")).distinct()
         frontier = near.join(reached, "id", "left_anti").withColumn("dist", F.lit(hop))
         reached = reached.unionByName(frontier)
     return reached
 
 
-def closure(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
+def _looked_up(edges: Adjacency, start: DataFrame, depth: int, ways: list[tuple]) -> DataFrame:
+    """bfs over an Adjacency along any of the ways (direction, layers, relations)."""
+    spark = edges.out.sparkSession
+    dist: dict[str, int] = {}
+    near = start.select("id").distinct()
+    for hop in range(depth + 1):
+        taken = [r[0] for r in near.limit(FRONTIER + len(dist) + 1).collect()]
+        new = [i for i in taken if i not in dist]
+        if len(taken) > FRONTIER + len(dist) or len(new) > FRONTIER:
+            known = spark.createDataFrame(list(dist.items()), "id string, dist int")
+            frontier = near.join(known, "id", "left_anti").withColumn("dist", F.lit(hop))
+            moves = functools.reduce(DataFrame.unionByName, [steps(e, way, layers, relations) for d, layers, relations in ways for way, e in ((DOWN, edges.out), (UP, edges.back)) if d in (way, BOTH)])
+            return _joined(moves, known.unionByName(frontier), hop + 1, depth)
+        dist |= dict.fromkeys(new, hop)
+        if hop == depth or not new:
+            break
+        near = functools.reduce(DataFrame.unionByName, [edges.at(new, *way) for way in ways]).select(F.col("to").alias("id")).distinct()
+    return spark.createDataFrame(list(dist.items()), "id string, dist int")
+
+
+def closure(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     """(src, dst, dist): all pairs with a path over the given edges, with the least number of moves.
 
-    Semi-naive: each round joins only the pairs found in the last one, until none is new. Cycles end.
+    Paths double: with all pairs up to distance k known, a pair at up to 2k is one at just k and one at up to k, so rounds
+    grow with the logarithm of the longest distance. Each round writes what is new; what was found is not written again.
+    Cycles end, as a round without new pairs is the last.
     """
-    checkpoint_dir(edges.sparkSession)
-    base = edges.select("src", "dst").filter("src is not null and dst is not null").distinct()
-    found = base.withColumn("dist", F.lit(1))
-    fresh = found
-    for hop in range(2, max_rounds + 2):
-        step = fresh.select("src", F.col("dst").alias("mid")).join(base.select(F.col("src").alias("mid"), "dst"), "mid").select("src", "dst").distinct()
-        fresh = step.join(found, ["src", "dst"], "left_anti").withColumn("dist", F.lit(hop)).checkpoint()
-        if fresh.isEmpty():
+    base = edges.select("src", "dst").filter("src is not null and dst is not null").distinct().withColumn("dist", F.lit(1))
+    found, last, k = stored(base, "closure"), None, 1
+    last = found
+    for _ in range(max_rounds):
+        ahead = found.select(F.col("src").alias("mid"), "dst", (F.col("dist") + k).alias("dist"))
+        longer = last.select("src", F.col("dst").alias("mid")).join(ahead, "mid").groupBy("src", "dst").agg(F.min("dist").alias("dist"))
+        new = stored(longer.join(found.select("src", "dst"), ["src", "dst"], "left_anti"), "closure")
+        if new.isEmpty():
             return found
-        found = found.unionByName(fresh).checkpoint()
+        found, k = found.unionByName(new), 2 * k
+        last = new.filter(F.col("dist") == k)
     raise RuntimeError(f"the closure did not end within {max_rounds} rounds")
 
 
 def reachable(edges: DataFrame, start: DataFrame, max_rounds: int = 100) -> DataFrame:
-    """Ids that the start ids reach over the edges, themselves included."""
-    checkpoint_dir(edges.sparkSession)
+    """Ids that the start ids reach over the edges, themselves included. Each round writes its frontier alone."""
     seen = start.select("id").distinct()
     frontier = seen
     for _ in range(max_rounds):
         step = frontier.join(edges, frontier["id"] == edges["src"]).select(F.col("dst").alias("id")).distinct()
-        frontier = step.join(seen, "id", "left_anti").checkpoint()
+        frontier = stored(step.join(seen, "id", "left_anti"), "frontier")
         if frontier.isEmpty():
             return seen
-        seen = seen.unionByName(frontier).checkpoint()
+        seen = seen.unionByName(frontier)
     raise RuntimeError(f"more than {max_rounds} rounds")
 
 
-def adjacency(edges: DataFrame, start: DataFrame, layers: Sequence[str] | None = None, direction: str = BOTH, depth: int = 1, relations: Sequence[str] | None = None) -> DataFrame:
+def adjacency(edges: DataFrame | Adjacency, start: DataFrame, layers: Sequence[str] | None = None, direction: str = BOTH, depth: int = 1, relations: Sequence[str] | None = None) -> DataFrame:
     """Every incident edge of every node nearer than depth, once for each direction in which it is met: (source, target,
     direction, relation, layer, d_scope, f_call, c_type, id_ctx, hop)."""
-    moves = steps(edges, direction, layers, relations)
-    inner = bfs(moves, start, depth - 1).filter(F.col("dist") < depth)
     meta = [F.col(c) for c in ("d_scope", "f_call", "c_type", "id_ctx") if c in edges.columns]
+    if isinstance(edges, Adjacency):
+        inner = bfs(edges, start, depth - 1, direction, layers, relations)
+        ids = [r[0] for r in inner.select("id").limit(FRONTIER + 1).collect()]
+        moves = edges.at(ids if len(ids) <= FRONTIER else inner, direction, layers, relations)
+    else:
+        moves = steps(edges, direction, layers, relations)
+        inner = bfs(moves, start, depth - 1)
     return inner.join(moves, inner["id"] == moves["at"]).select(F.col("src").alias("source"), F.col("dst").alias("target"), "direction", "relation", "layer", *meta, (F.col("dist") + 1).alias("hop"))
 
 
-def nhop(nodes: DataFrame, edges: DataFrame, start: DataFrame, depth: int, direction: str = BOTH, layers: Sequence[str] | None = None) -> DataFrame:
+def within(edges: DataFrame | Adjacency, start: DataFrame, depth: int, direction: str, layers: Sequence[str] | None = None, relations: Sequence[str] | None = None) -> DataFrame:
+    """bfs over edges in any form."""
+    return bfs(edges, start, depth, direction, layers, relations) if isinstance(edges, Adjacency) else bfs(steps(edges, direction, layers, relations), start, depth)
+
+
+def nhop(nodes: DataFrame, edges: DataFrame | Adjacency, start: DataFrame, depth: int, direction: str = BOTH, layers: Sequence[str] | None = None) -> DataFrame:
     """Nodes within depth moves with their hop."""
-    reached = bfs(steps(edges, direction, layers), start, depth).withColumnRenamed("dist", "hop")
+    reached = within(edges, start, depth, direction, layers).withColumnRenamed("dist", "hop")
     return nodes.join(reached, "id")
 
 
-def blast_edges(edges: DataFrame, start: DataFrame, depth: int = 2, direction: str = BOTH, layers: Sequence[str] | None = None) -> DataFrame:
+def blast_edges(edges: DataFrame | Adjacency, start: DataFrame, depth: int = 2, direction: str = BOTH, layers: Sequence[str] | None = None, relations: Sequence[str] | None = None) -> DataFrame:
     tag = F.when(F.col("direction") == "out", "downstream").otherwise("upstream")
-    return adjacency(edges, start, layers, direction, depth).select("source", "target", "relation", "layer", tag.alias("direction"), F.col("hop").alias("depth"))
+    return adjacency(edges, start, layers, direction, depth, relations).select("source", "target", "relation", "layer", tag.alias("direction"), F.col("hop").alias("depth"))
 
 
-def blast_radius(nodes: DataFrame, edges: DataFrame, start: DataFrame, depth: int = 2, direction: str = BOTH, layers: Sequence[str] | None = None) -> DataFrame:
+def blast_radius(nodes: DataFrame, edges: DataFrame | Adjacency, start: DataFrame, depth: int = 2, direction: str = BOTH, layers: Sequence[str] | None = None, relations: Sequence[str] | None = None) -> DataFrame:
     """One row: impacted nodes, traversed edges, affected files and services, and the impact score
     nodes + 2 * files + 5 * services."""
-    reached = bfs(steps(edges, direction, layers), start, depth).join(nodes.select("id", "file"), "id", "left")
+    reached = within(edges, start, depth, direction, layers, relations).join(nodes.select("id", "file"), "id", "left")
     file = F.when(F.col("file") != "", F.col("file"))
     contract = F.when(F.col("id").startswith("contract::") & (F.col("dist") > 0), F.split_part(F.split_part("id", F.lit("::"), F.lit(2)), F.lit("."), F.lit(1)))
     totals = reached.agg(F.count(F.lit(1)).alias("impacted_nodes"), F.count_distinct(file).alias("affected_files"), F.count_distinct(F.coalesce(F.when(file.isNotNull(), service_of(file)), contract)).alias("affected_services"))
-    traversed = adjacency(edges, start, layers, direction, depth).agg(F.count(F.lit(1)).alias("traversed_edges"))
+    traversed = adjacency(edges, start, layers, direction, depth, relations).agg(F.count(F.lit(1)).alias("traversed_edges"))
     score = F.col("impacted_nodes") * 1.0 + F.col("affected_files") * 2.0 + F.col("affected_services") * 5.0
     return totals.crossJoin(F.broadcast(traversed)).withColumn("impact_score", F.round(score, 2))  # one row with one row
 
@@ -162,6 +245,18 @@ def explain(edges: DataFrame) -> DataFrame:
     )
 
 
+def explain_pages(edges: DataFrame, size: int = 1000) -> DataFrame:
+    """explain() in bounded rows: (id, section, page, items) with items of (other, relation, similarity) in the section's order,
+    `size` to a page from 0. A hub's section is ranked by range partitions, so neither a task nor a row holds it whole."""
+    way = lambda name, layer, own, other: edges.filter(F.col("layer") == layer).select(F.col(own).alias("id"), F.lit(name).alias("section"), F.col(other).alias("other"), "relation", F.when(F.lit(layer == "Lsem"), F.col("c_type")).alias("similarity"), "edge_id")
+    sections = [way("parents", "Lsyn", "dst", "src"), way("children", "Lsyn", "src", "dst"), way("outward_calls", "Ldep", "src", "dst"), way("inward_callers", "Ldep", "dst", "src"), way("variables", "Lflow", "src", "dst"), way("similar", "Lsem", "src", "dst")]
+    rows = functools.reduce(DataFrame.unionByName, sections).withColumn("least", -F.coalesce("similarity", F.lit(0.0)))
+    ranked = running(rows, ["id", "section"], ["least", "other", "relation", "edge_id"], F.lit(1), "place")
+    item = F.struct("place", "other", "relation", "similarity")
+    paged = ranked.groupBy("id", "section", F.floor((F.col("place") - 1) / size).cast("int").alias("page")).agg(F.array_sort(F.collect_list(item)).alias("items"))
+    return paged.withColumn("items", F.transform("items", lambda x: F.struct(x["other"].alias("other"), x["relation"].alias("relation"), x["similarity"].alias("similarity"))))
+
+
 def explain_counts(edges: DataFrame) -> DataFrame:
     """Sizes of the sections of explain() for each node, by partial aggregation only."""
     flag = lambda layer: (F.col("layer") == layer).cast("long")
@@ -171,10 +266,9 @@ def explain_counts(edges: DataFrame) -> DataFrame:
     return out.join(back, "id", "full").select("id", *[zero(c) for c in ("parents", "children", "outward_calls", "inward_callers", "variables", "similar")])
 
 
-def subtree(edges: DataFrame, start: DataFrame, depth: int = 2) -> tuple[DataFrame, DataFrame]:
+def subtree(edges: DataFrame | Adjacency, start: DataFrame, depth: int = 2) -> tuple[DataFrame, DataFrame]:
     """Grafted nodes (id, dist) and edges of an outward slice over calls, definitions, arguments and containment."""
-    moves = steps(edges, DOWN, GRAFT_LAYERS, GRAFT_RELATIONS)
-    return bfs(moves, start, depth), adjacency(edges, start, GRAFT_LAYERS, DOWN, depth, GRAFT_RELATIONS)
+    return within(edges, start, depth, DOWN, GRAFT_LAYERS, GRAFT_RELATIONS), adjacency(edges, start, GRAFT_LAYERS, DOWN, depth, GRAFT_RELATIONS)
 
 
 def subtree_text(nodes: DataFrame, grafted: DataFrame) -> DataFrame:
@@ -185,18 +279,20 @@ def subtree_text(nodes: DataFrame, grafted: DataFrame) -> DataFrame:
     return with_code.agg(F.array_join(F.transform(blocks, lambda b: b["block"]), "\n\n").alias("context"))
 
 
-def budget_selection(edges: DataFrame, start: DataFrame, layers: Sequence[str] | None = None, depth: int = 2) -> DataFrame:
+def budget_selection(edges: DataFrame | Adjacency, start: DataFrame, layers: Sequence[str] | None = None, depth: int = 2) -> DataFrame:
     """Ids within depth of the start over dependencies outward and bindings inward."""
+    if isinstance(edges, Adjacency):
+        return _looked_up(edges, start, depth, [(DOWN, layers, BUDGET_OUT), (UP, layers, BUDGET_IN)])
     out = steps(edges, DOWN, layers, BUDGET_OUT)
     back = steps(edges, UP, layers, BUDGET_IN)
     return bfs(out.unionByName(back), start, depth)
 
 
-def within_budget(blocks: DataFrame, order: Sequence[str | Column], tokens: str, budget: float, used: float = 0.0, partition: Sequence[str] = ()) -> DataFrame:
-    """Rows, in order, until the first whose tokens would exceed the budget. As tokens are not negative this is a bound on
-    the running sum. Give partition columns where there is more than one context to fill."""
-    w = Window.partitionBy(*partition).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return blocks.withColumn("running", F.sum(tokens).over(w)).filter(F.col("running") + used <= budget)
+def within_budget(blocks: DataFrame, order: Sequence[str], tokens: str, budget: float, used: float = 0.0, partition: Sequence[str] = ()) -> DataFrame:
+    """Rows, in a total order, until the first whose tokens would exceed the budget. As tokens are not negative this is a bound
+    on the running sum, which storage.running() makes without a task that holds a context. Give partition columns where
+    there is more than one context to fill."""
+    return running(blocks, partition, order, F.col(tokens), "running", budget - used)
 
 
 def budget_blocks(nodes: DataFrame, selected: DataFrame) -> DataFrame:
@@ -210,23 +306,39 @@ def budget_blocks(nodes: DataFrame, selected: DataFrame) -> DataFrame:
     return rows.select("id", "dist", "block", approx_tokens(F.col("block")).alias("tokens"))
 
 
-def budget_graft(nodes: DataFrame, edges: DataFrame, start: DataFrame, max_tokens: int = 2048, layers: Sequence[str] | None = None) -> DataFrame:
+def budget_graft(nodes: DataFrame, edges: DataFrame | Adjacency, start: DataFrame, max_tokens: int = 2048, layers: Sequence[str] | None = None) -> DataFrame:
     """Blocks of a token-budgeted context: the root always, then neighbours by id while they fit. (id, block, tokens, running)"""
-    blocks = budget_blocks(nodes, budget_selection(edges, start, layers))
-    # The root sorts first and is kept whatever its size.
-    w = Window.orderBy(F.col("dist") != 0, "id").rowsBetween(Window.unboundedPreceding, 0)  # one context: a neighbourhood of depth 2
-    return blocks.withColumn("running", F.sum("tokens").over(w)).filter((F.col("dist") == 0) | (F.col("running") <= max_tokens))
+    blocks = stored(budget_blocks(nodes, budget_selection(edges, start, layers)).withColumn("other", F.col("dist") != 0), "blocks")
+    # The roots are kept whatever their size, so what they use leaves the budget of the rest.
+    roots = running(blocks.filter("not other"), [], ["id"], F.col("tokens"), "running")
+    used = roots.agg(F.coalesce(F.max("running"), F.lit(0.0))).first()[0]
+    rest = within_budget(blocks.filter("other"), ["id"], "tokens", max_tokens, used).withColumn("running", F.col("running") + used)
+    return roots.unionByName(rest).drop("other")
 
 
-def ast_graft(edges: DataFrame, start: DataFrame, depth: int = 2) -> DataFrame:
+def ast_graft(edges: DataFrame | Adjacency, start: DataFrame, depth: int = 2) -> DataFrame:
     """Baseline: nodes within depth over containment, both ways."""
-    return bfs(steps(edges, BOTH, None, ("CONTAINS",)), start, depth)
+    return within(edges, start, depth, BOTH, None, ("CONTAINS",))
+
+
+#: Edges of one side of a middle node that a task of two_hop_pairs holds.
+SIDE = 2000
 
 
-def two_hop_pairs(pairs: DataFrame) -> DataFrame:
-    """Distinct (src, dst) joined by one edge or by two."""
+def two_hop_pairs(pairs: DataFrame, side: int = SIDE) -> DataFrame:
+    """Distinct (src, dst) joined by one edge or by two.
+
+    A middle node with many edges on both sides makes their product. Its incoming and outgoing edges are dealt to parts of
+    about `side`, each incoming part meets each outgoing part in a key of its own, and light nodes have one part each.
+    """
     base = pairs.select("src", "dst").distinct()
-    second = base.select("src", F.col("dst").alias("mid")).join(base.select(F.col("src").alias("mid"), "dst"), "mid").select("src", "dst")
+    into = base.groupBy(F.col("dst").alias("mid")).agg(F.ceil(F.count(F.lit(1)) / side).alias("ins"))
+    out = base.groupBy(F.col("src").alias("mid")).agg(F.ceil(F.count(F.lit(1)) / side).alias("outs"))
+    parts = into.join(out, "mid")
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    left = base.select("src", F.col("dst").alias("mid")).join(parts, "mid").withColumns({"i": F.pmod(F.xxhash64("src"), F.col("ins")), "o": each("outs")})
+    right = base.select(F.col("src").alias("mid"), "dst").join(parts, "mid").withColumns({"o": F.pmod(F.xxhash64("dst"), F.col("outs")), "i": each("ins")})
+    second = left.select("src", "mid", "i", "o").join(right.select("mid", "i", "o", "dst"), ["mid", "i", "o"]).select("src", "dst")
     return base.unionByName(second).distinct()
 
 

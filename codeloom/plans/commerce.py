@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 
 from codeloom.functions.similarity import sequence_ratio, unified_diff
 from codeloom.functions.text import camel_words, service_of, url_path, word_tokens
-from codeloom.operators import metrics, relational, text, traverse
+from codeloom.operators import grams, heal, lookup, metrics, ranked, relational, text, traverse
 from codeloom.schema import LAYERS
-from codeloom.storage import kept
+from codeloom.storage import clustered, kept
 
 ROOT = "C:1"
 BLAST_RELATIONS = ("CALLS", "USES", "IMPLEMENTS")
@@ -31,7 +31,19 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 def graph(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """Nodes and edges, stored once for all queries; edges in a folder for each layer."""
     made = functools.cache(lambda: _graph(spark, sf))
-    return kept(spark, (sf, "graph-nodes"), lambda: made()[0]), kept(spark, (sf, "graph-edges"), lambda: made()[1], ("layer",))
+    inputs = files(sf, "region", "nation", "customer", "supplier", "part", "orders", "lineitem")
+    return kept(spark, (sf, "graph-nodes"), lambda: made()[0], inputs=inputs), kept(spark, (sf, "graph-edges"), lambda: made()[1], ("layer",), inputs)
+
+
+def files(sf: str, *tables: str) -> list[str]:
+    return [f"{sf}/{t}.parquet" for t in tables]
+
+
+def around(spark: SparkSession, sf: str) -> traverse.Adjacency:
+    """The edges for traversals, stored once in the order of their sources and once in that of their targets."""
+    edges, inputs = (lambda: graph(spark, sf)[1]), files(sf, "region", "nation", "customer", "supplier", "part", "orders", "lineitem")
+    out = kept(spark, (sf, "edges-out"), edges, inputs=inputs, write=lambda df, name: clustered(df, name, "src", "dst"))
+    return traverse.Adjacency(out, kept(spark, (sf, "edges-in"), edges, inputs=inputs, write=lambda df, name: clustered(df, name, "dst", "src")))
 
 
 def _graph(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
@@ -155,8 +167,7 @@ def call_frequency(spark, sf):
 
 
 def _adjacency(spark, sf, direction, depth, layers=None):
-    edges = graph(spark, sf)[1]
-    return traverse.adjacency(edges, root(spark), layers, direction, depth).select("source", "target", "direction", "relation", "layer", "f_call", "hop")
+    return traverse.adjacency(around(spark, sf), root(spark), layers, direction, depth).select("source", "target", "direction", "relation", "layer", "f_call", "hop")
 
 
 def _adjacency_sql(direction: str, depth: int, where: str = "true") -> str:
@@ -184,8 +195,7 @@ def adjacency_both(spark, sf):
 
 @query(f"{R}, {reach_sql(ROOT, 2, 'both')} SELECT reached.id, type, name, CAST(dist AS INTEGER) AS hop FROM reached JOIN nodes ON nodes.id = reached.id")
 def nhop_nodes(spark, sf):
-    nodes, edges = graph(spark, sf)
-    return traverse.nhop(nodes, edges, root(spark), 2).select("id", "type", "name", "hop")
+    return traverse.nhop(graph(spark, sf)[0], around(spark, sf), root(spark), 2).select("id", "type", "name", "hop")
 
 
 _IN_BLAST = "relation IN ('CALLS', 'USES', 'IMPLEMENTS')"
@@ -198,14 +208,13 @@ t AS (SELECT CAST(count(*) AS BIGINT) AS impacted_nodes, CAST(count(DISTINCT nul
 e AS (SELECT CAST(count(*) AS BIGINT) AS traversed_edges FROM reached JOIN moves ON id = a WHERE dist < 2)
 SELECT *, round(impacted_nodes * 1.0::DOUBLE + affected_files * 2.0::DOUBLE + affected_services * 5.0::DOUBLE, 2) AS impact_score FROM t, e""")
 def blast_radius_summary(spark, sf):
-    nodes, edges = graph(spark, sf)
-    return traverse.blast_radius(nodes, edges.filter(F.col("relation").isin(*BLAST_RELATIONS)), root(spark), 2)
+    return traverse.blast_radius(graph(spark, sf)[0], around(spark, sf), root(spark), 2, relations=BLAST_RELATIONS)
 
 
 @query(f"""{R}, {reach_sql(ROOT, 2, 'both', _IN_BLAST)}
 SELECT src AS source, dst AS target, relation, layer, CASE direction WHEN 'out' THEN 'downstream' ELSE 'upstream' END AS direction, CAST(dist + 1 AS INTEGER) AS depth FROM reached JOIN moves ON id = a WHERE dist < 2""")
 def blast_radius_edges(spark, sf):
-    return traverse.blast_edges(graph(spark, sf)[1].filter(F.col("relation").isin(*BLAST_RELATIONS)), root(spark), 2)
+    return traverse.blast_edges(around(spark, sf), root(spark), 2, relations=BLAST_RELATIONS)
 
 
 @query(f"""{R}, c AS (SELECT src, dst FROM edges WHERE relation = 'CONTAINS'),
@@ -270,8 +279,8 @@ def explain_sections(spark, sf):
 @query(f"""{R}, {reach_sql(ROOT, 2, 'out', "layer IN ('Ldep', 'Lflow', 'Lsyn') AND relation IN ('CALLS', 'DEFINES', 'PASSES_ARG', 'CONTAINS')")}
 SELECT CAST(count(*) AS BIGINT) AS total_nodes, string_agg('[' || upper(type) || '] ' || reached.id || ' (Line 0):' || chr(10) || code, chr(10) || chr(10) ORDER BY reached.id) FILTER (WHERE code <> '') AS context FROM reached JOIN nodes ON nodes.id = reached.id""")
 def subtree_graft(spark, sf):
-    nodes, edges = graph(spark, sf)
-    found, _ = traverse.subtree(edges, root(spark))
+    nodes = graph(spark, sf)[0]
+    found, _ = traverse.subtree(around(spark, sf), root(spark))
     n = found.agg(F.count(F.lit(1)).alias("total_nodes"))
     return n.crossJoin(F.broadcast(traverse.subtree_text(nodes.withColumn("line_no", F.lit(0)), found)))
 
@@ -409,18 +418,18 @@ def graph_union_first_wins(spark, sf):
 
 def doc_postings(spark, sf):
     """Postings of the documents, stored once for all queries."""
-    return kept(spark, (sf, "postings"), lambda: text.postings(table(spark, sf, "documents"), word_tokens(F.col("text")), "doc_id"))
+    return kept(spark, (sf, "postings"), inputs=files(sf, "documents"), make=lambda: text.postings(table(spark, sf, "documents"), word_tokens(F.col("text")), "doc_id"))
 
 
 def doc_vocabulary(spark, sf):
     """The vocabulary of the documents, stored once."""
     posts = doc_postings(spark, sf)
-    return kept(spark, (sf, "vocabulary"), lambda: text.vocabulary(posts, posts.agg(F.count_distinct("id")).first()[0]))
+    return kept(spark, (sf, "vocabulary"), inputs=files(sf, "documents"), make=lambda: text.vocabulary(posts, posts.agg(F.count_distinct("id")).first()[0]))
 
 
 def doc_norms(spark, sf):
     """The length of each document's vector, stored once."""
-    return kept(spark, (sf, "norms"), lambda: text.norms(doc_postings(spark, sf), doc_vocabulary(spark, sf)))
+    return kept(spark, (sf, "norms"), inputs=files(sf, "documents"), make=lambda: text.norms(doc_postings(spark, sf), doc_vocabulary(spark, sf)))
 
 
 _POST = """t AS (SELECT doc_id AS id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM documents),
@@ -445,28 +454,28 @@ def tfidf_topk(spark, sf):
     return w.withColumn("k", k).filter("k <= 3").select("id", "term", "w", "k")
 
 
-def _scores(spark, sf):
-    posts, vocab = doc_postings(spark, sf), doc_vocabulary(spark, sf)
-    q = text.query_terms(spark, text.driver_tokens(QUERY_TEXT))
-    asked = posts.join(F.broadcast(q.select("term")), "term", "left_semi")  # only the postings of the query's terms are weighted
-    return text.cosine(text.weights(asked, vocab, doc_norms(spark, sf)), vocab, q), text.bm25(posts, q)
+def doc_index(spark, sf) -> ranked.Index:
+    """The index of the documents, stored once."""
+    made = functools.cache(lambda: ranked.Index.tables(doc_postings(spark, sf)))
+    keep = lambda name, i, write: kept(spark, (sf, name), lambda: made()[i], inputs=files(sf, "documents"), write=write)
+    return ranked.Index(keep("blocks", 0, ranked.Index.store_blocks), keep("index-terms", 1, ranked.Index.store_terms))
 
 
 @query(f"WITH {_POST}, {_COS} SELECT id, round(score, 4) AS score FROM cos WHERE score > 0 ORDER BY 2 DESC, 1 LIMIT 20")
 def tfidf_query(spark, sf):
-    return text.top_k(_scores(spark, sf)[0], 20)
+    return doc_index(spark, sf).cosine(text.driver_tokens(QUERY_TEXT), 20)
 
 
 @query(f"WITH {_POST}, query(term, qtf) AS (VALUES {_Q}), {_BM} SELECT id, round(score, 4) AS score FROM bm WHERE score > 0 ORDER BY 2 DESC, 1 LIMIT 20")
 def bm25_topk(spark, sf):
-    return text.top_k(_scores(spark, sf)[1], 20)
+    return doc_index(spark, sf).bm25(text.driver_tokens(QUERY_TEXT), 20)
 
 
 @query(f"""WITH {_POST}, {_COS}, {_BM}, top AS (SELECT max(score) AS top FROM bm),
 h AS (SELECT coalesce(cos.id, bm.id) AS id, coalesce(cos.score, 0) * 0.5::DOUBLE + coalesce(bm.score / CASE WHEN top > 0 THEN top ELSE 1 END, 0) * 0.5::DOUBLE AS score FROM cos FULL JOIN bm ON cos.id = bm.id, top)
 SELECT id, round(score, 4) AS score FROM h WHERE score > 0 ORDER BY 2 DESC, 1 LIMIT 20""")
 def hybrid_topk(spark, sf):
-    return text.top_k(text.hybrid(*_scores(spark, sf)), 20)
+    return doc_index(spark, sf).hybrid(text.driver_tokens(QUERY_TEXT), 20)
 
 
 _CHUNKS = """t AS (SELECT doc_id AS id, list_filter(string_split_regex(text, '[ \\t\\n\\r\\f\\x0B]+'), lambda x: x <> '') AS t FROM documents),
@@ -512,8 +521,27 @@ _FIND = ("steel", "brass", "small", "red", "1")
 
 @query(f"""WITH h AS (SELECT p_partkey, ({' + '.join(f"CAST(contains(lower(p_name || ' ' || p_type || ' ' || p_brand), '{t}') AS BIGINT)" for t in _FIND)}) AS hits FROM part) SELECT p_partkey, hits FROM h WHERE hits > 0 ORDER BY hits DESC, p_partkey LIMIT 25""")
 def containment_search(spark, sf):
-    rows = text.containment(table(spark, sf, "part"), F.concat_ws(" ", "p_name", "p_type", "p_brand"), _FIND)
-    return rows.select("p_partkey", "hits").filter("hits > 0").orderBy(F.desc("hits"), "p_partkey").limit(25)
+    """T12 over the parts' stored trigrams."""
+    return part_grams(spark, sf).hits(list(_FIND)).select(F.col("id").alias("p_partkey"), "hits").orderBy(F.desc("hits"), "p_partkey").limit(25)
+
+
+def part_grams(spark, sf) -> grams.GramIndex:
+    """Trigrams of the parts' names, types and brands, stored once."""
+    made = functools.cache(lambda: grams.GramIndex.of(table(spark, sf, "part"), "p_partkey", F.concat_ws(" ", "p_name", "p_type", "p_brand")))
+    keep = lambda name: kept(spark, (sf, f"part-{name}"), lambda: getattr(made(), name), inputs=files(sf, "part"), write=lambda df, _: df)
+    return grams.GramIndex(keep("postings"), keep("counts"), keep("texts"))
+
+
+@query("SELECT p_partkey AS id, p_name || ' ' || p_type || ' ' || p_brand AS text FROM part WHERE contains(lower(p_name || ' ' || p_type || ' ' || p_brand), 'ed bra')")
+def substring_search(spark, sf):
+    """J17's search for a text inside others, by trigrams."""
+    return part_grams(spark, sf).contains("Ed Bra")
+
+
+@query("SELECT p_partkey AS id, p_name || ' ' || p_type || ' ' || p_brand AS text FROM part WHERE contains(p_name || ' ' || p_type || ' ' || p_brand, 'EP')")
+def substring_search_short(spark, sf):
+    """A needle shorter than a trigram, in its own case."""
+    return part_grams(spark, sf).contains("EP", ignore_case=False)
 
 
 @query(f"{G} SELECT DISTINCT repo, file, split_part(file, '/', 1) AS service FROM nodes WHERE file <> ''")

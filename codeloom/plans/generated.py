@@ -17,9 +17,9 @@ from codeloom.extract.facts import extract_facts
 from codeloom.functions.text import ignored
 from codeloom.operators import heal, text
 from codeloom.plans.build import Graph, build, contract_skews, lines_of_code
-from codeloom.plans.commerce import table
+from codeloom.plans.commerce import files, table
 from codeloom.sources.repo import DEFAULT_IGNORES, lines_of
-from codeloom.storage import kept, shared_dir
+from codeloom.storage import kept, shared_dir, signature
 from codeloom.streaming.incremental import FactStore
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -81,15 +81,15 @@ class Built:
     nodes: DataFrame
 
 
-_BUILT: dict[tuple[str, str], Built] = {}
+_BUILT: dict[tuple[str, str, str], Built] = {}
 
 
 def built(spark: SparkSession, sf: str) -> Built:
-    """The graph of the generated repository, built once for an application."""
-    key = (spark.sparkContext.applicationId, sf)
+    """The graph of the generated repository, built once for an application and state of the tables."""
+    key = (spark.sparkContext.applicationId, sf, signature(spark, *files(sf, "nation", "customer", "supplier")))
     if key not in _BUILT:
-        files = kept(spark, (sf, "generated-files"), lambda: sources(spark, sf))
-        g = build(files, semantic=False)
+        made = kept(spark, (sf, "generated-files"), lambda: sources(spark, sf), inputs=files(sf, "nation", "customer", "supplier"))
+        g = build(made, semantic=False)
         _BUILT[key] = Built(g, g.edges, g.nodes)
     return _BUILT[key]
 
@@ -240,9 +240,9 @@ def incremental_calls(spark, sf):
     """The generated repository, then one file rewritten and one deleted, through the store; the graph is derived again."""
     import uuid
 
-    files = kept(spark, (sf, "generated-files"), lambda: sources(spark, sf)).filter("path not like '%web.py' and path not like '%client.py'")
+    made = kept(spark, (sf, "generated-files"), lambda: sources(spark, sf), inputs=files(sf, "nation", "customer", "supplier")).filter("path not like '%web.py' and path not like '%client.py'")
     store = FactStore(spark, f"{shared_dir(spark)}/codeloom/store-{uuid.uuid4().hex}")
-    store.upsert(files.withColumns({"version": F.lit(1).cast("long"), "deleted": F.lit(False)}), 0)
+    store.upsert(made.withColumns({"version": F.lit(1).cast("long"), "deleted": F.lit(False)}), 0)
     new = "from n5.helpers import price\n\n\ndef fresh():\n    return price([])\n"
     changed = spark.createDataFrame([(2, "", "n3/svc.py", ".py", bytearray(new.encode()), False), (2, "", "n6/helpers.py", ".py", bytearray(), True)], "version long, repo string, path string, ext string, content binary, deleted boolean")
     store.upsert(changed, 1)

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from codeloom.schema import EDGES, NODES
@@ -32,21 +33,67 @@ def stored(df: DataFrame, name: str, by: tuple[str, ...] = ()) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of a row group of a clustered table: what a look-up reads at least.
+ROW_GROUP = 1 << 20
+
+
+def clustered(df: DataFrame, name: str, *by: str, row_group: int = ROW_GROUP) -> DataFrame:
+    """df written to the shared folder in the order of `by`, in small row groups, and read back: a filter on these columns
+    reads the row groups whose least and largest values admit it, and of those the pages."""
+    path = f"{shared_dir(df.sparkSession)}/codeloom/{name}-{uuid.uuid4().hex}"
+    df.repartitionByRange(*by).sortWithinPartitions(*by).write.option("parquet.block.size", row_group).option("parquet.page.row.count.limit", 2000).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def signature(spark: SparkSession, *paths: str) -> str:
+    """A digest of names, sizes and times of the files at these paths: another one once any of them is written again."""
+    sc, seen = spark.sparkContext, []
+    for path in paths:
+        place = sc._jvm.org.apache.hadoop.fs.Path(path)
+        fs = place.getFileSystem(sc._jsc.hadoopConfiguration())
+        if fs.exists(place):
+            seen += [f"{f.getPath()} {f.getLen()} {f.getModificationTime()}" for f in fs.listStatus(place)]
+    return hashlib.sha256("\n".join(sorted(seen)).encode()).hexdigest()
+
+
 _KEPT: dict[tuple[str, ...], DataFrame] = {}
 
 
-def kept(spark: SparkSession, key: tuple[str, ...], make: Callable[[], DataFrame], by: tuple[str, ...] = ()) -> DataFrame:
-    """The table that make() gives, stored once for an application and key, as a graph is that many queries ask."""
-    key = (spark.sparkContext.applicationId, *key)
+def kept(spark: SparkSession, key: tuple[str, ...], make: Callable[[], DataFrame], by: tuple[str, ...] = (), inputs: Sequence[str] = (), write: Callable[[DataFrame, str], DataFrame] | None = None) -> DataFrame:
+    """The table that make() gives, stored once for an application, key and state of the input files, as a graph is that
+    many queries ask. write(df, name) stores it, if not plainly."""
+    key = (spark.sparkContext.applicationId, signature(spark, *inputs), *key)
     found = _KEPT.get(key)
     if found is not None:
         place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(found.inputFiles()[0]) if found.inputFiles() else None
         if place is None or place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place):
             return found
-    _KEPT[key] = stored(make(), key[-1], by)
+    _KEPT[key] = write(make(), key[-1]) if write else stored(make(), key[-1], by)
     return _KEPT[key]
 
 
+def running(df: DataFrame, partition: Sequence[str], order: Sequence[str], value: Column, name: str, upto: float | None = None) -> DataFrame:
+    """df with `name`, the sum of value over the rows of its partition up to and with each row, in an order that must be total.
+
+    Rows are range-partitioned by partition and order; sums of the pieces give what stands before each, and only pieces are
+    summed row by row, so no task holds a partition. With `upto`, and no value negative, rows with a larger sum are left
+    out, and of pieces that begin beyond it no row is read again.
+    """
+    keys = [*partition, *order]
+    rows = df.withColumn("_value", value)
+    rows = stored(rows.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_piece", F.spark_partition_id()), "running")
+    rows = rows.withColumn("_at", F.to_json(F.struct(*partition, "_piece")))
+    sums = rows.groupBy(*partition, "_piece", "_at").agg(F.sum("_value").alias("_sum"))
+    before = F.coalesce(F.sum("_sum").over(Window.partitionBy(*partition).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sums.select("_at", before.alias("_before"))
+    if upto is not None:
+        starts = starts.filter(F.col("_before") <= upto)
+    within = F.sum("_value").over(Window.partitionBy("_at").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    out = rows.join(starts, "_at").withColumn(name, F.col("_before") + within)
+    out = out if upto is None else out.filter(F.col(name) <= upto)
+    return out.drop("_at", "_piece", "_value", "_before")
+
+
 def numbered(df: DataFrame, by: Sequence[str], column: str, first: int = 1) -> DataFrame:
     """df with a gapless number in the order of the given columns, which must order its rows totally.
 
