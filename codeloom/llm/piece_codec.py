@@ -1,13 +1,13 @@
 """Operator 1: SentencePiece encoding and decoding by a streaming Viterbi search.
 
-The search walks over a text once. Each position keeps one backpointer, to the start of the best last piece, and only the
-positions of the last longest-piece characters can still start a piece. Whenever the paths of all those positions pass
-one boundary, the ids before it are final and are put out, so the search holds a window and never a text.
+The search walks over a text once. Each position keeps one backpointer, to the start of the best last piece. Only positions
+whose following characters begin a piece that is longer still can start a later one: these survive, and none is further
+back than the longest piece. Whenever the paths of all surviving positions pass one boundary, the ids before it are
+final and are put out, so the search holds a window and never a text.
 
-A space mark begins a piece or stands in a run of them, so before a space mark that follows another character all paths
-pass one boundary: the search commits there, and what lies between two such boundaries is a span. The ids of a span depend
-on nothing else, so spans met before are skipped by a memo, of bounded size. A span that begins like the one before it
-goes on from the columns that are still in the window.
+What lies between two boundaries found so depends on nothing else, so it is remembered, in a memo of bounded size: a span that
+was met before is skipped, a new one is read with the space mark after it until the surviving paths converge. A span that
+begins like the one before it goes on from the columns that are still in the window.
 
 Path scores. In a unigram model a path adds its pieces' log probabilities. In a BPE model the scores are merge ranks, and
 their sum does not order segmentations as the library does; there a path may only be extended by a piece that is
@@ -32,7 +32,7 @@ from codeloom.llm.common import read_table, with_outputs
 SPACE = "▁"
 RUNS = re.compile(rf"{SPACE}+[^{SPACE}]*").findall
 #: Spans that a worker remembers, and characters of one of them at most; both only bound the memo's size.
-MEMO, MEMO_CHARS = 600_000, 48
+MEMO, MEMO_CHARS = 500_000, 48
 PAIRS = 2_000_000
 #: Characters of one batch, unless a single text is longer.
 BATCH_CHARS = 4_000_000
@@ -65,6 +65,8 @@ class Vocabulary:
         self.kind = dict.fromkeys((p[k:] for p in pieces for k in range(1, len(p))), 1)
         for p in pieces:
             self.kind[p] = self.kind.get(p, 0) | 2
+        #: Strings with which a longer piece begins.
+        self.opens = {p[:k] for p in pieces for k in range(1, len(p))}
         self.text = {i: p for p, (i, _) in pieces.items()}
         self.id = {p: i for p, (i, _) in pieces.items()}
         self.byte_of = {i: b for b, i in enumerate(byte_ids)}
@@ -170,30 +172,57 @@ class Lattice:
 
 
 class StreamEncoder(Lattice):
-    """Encodes characters as they come; push() and end() return the ids that have become final."""
+    """Encodes characters as they come; push() and end() return the ids that have become final.
+
+    A position survives while the characters from it on begin a longer piece, as only there, or at the end, can a later piece
+    start. Where the paths of all that survive pass one boundary, the ids before it are put out. That is looked for after
+    every space mark and every `look` characters, wherever the boundary then turns out to be.
+    """
 
     def __init__(self, vocabulary: Vocabulary):
         super().__init__(vocabulary)
-        #: Characters read between two looks for a boundary that all paths pass; with the longest piece, the window.
-        self.check = max(32, 2 * vocabulary.longest)
+        self.look = max(32, 2 * vocabulary.longest)
         self.whole = True  # nothing of the span was put out yet
+        #: Boundaries at which surviving paths converged; the ends of texts are not among them.
         self.commits = 0
 
+    def boundary(self) -> int:
+        """The last boundary that the paths of all surviving positions pass."""
+        chars, opens, n = self.chars, self.v.opens, len(self.chars)
+        live = {i for i in range(max(0, n - self.v.longest + 1), n) if chars[i:] in opens}
+        live.add(n)
+        while len(live) > 1:
+            top = max(live)
+            live.discard(top)
+            live.add(self.back[top])
+        return live.pop()
+
     def push(self, text: str) -> list[int]:
-        out: list[int] = []
-        for at in range(0, len(text), self.check):
-            self.extend(text[at : at + self.check])
-            if len(self.chars) >= self.check:
-                out += self._commit(len(self.chars) - self.v.longest + 1)
+        out, at = [], 0
+        while at < len(text):
+            stop = (text.find(SPACE, at, at + self.look) + 1) or min(at + self.look, len(text))
+            self.extend(text[at:stop])
+            at, out = stop, out + self._commit()
         return out
 
+    def _commit(self) -> list[int]:
+        at = self.boundary()
+        ids = self.ids(at)
+        if at:  # the piece before the boundary stays known, as the next one must fit it
+            self.commits += 1
+            self.whole = False
+            base = self.score[at]
+            self.chars, self.last = self.chars[at:], self.last[at:]
+            self.back, self.score = [max(0, b - at) for b in self.back[at:]], [s - base for s in self.score[at:]]
+        return ids
+
     def end(self) -> list[int]:
-        """The rest of a text or span: its end is a boundary that the only path left passes."""
-        self.commits += 1
+        """The rest of a text, at whose end only one path is left."""
         return self.ids(len(self.chars))
 
-    def span(self, text: str) -> list[int]:
-        """Ids of a whole span. Columns of the span before that hold for this one as well are kept."""
+    def span(self, text: str, follow: str) -> list[int]:
+        """Ids of what stands between two marks: it is read with the character that follows, and all surviving paths must pass
+        the boundary before that. Columns of the span before that hold for this one as well are kept."""
         n = 0
         if self.whole:
             for x, y in zip(text, self.chars):
@@ -204,26 +233,17 @@ class StreamEncoder(Lattice):
             self.rewind(n)
         else:
             self.clear()
-        self.whole = True
-        out = self.push(text[n:] if n else text)
-        return out + self.end() if out else self.end()
-
-    def _commit(self, first: int) -> list[int]:
-        """Puts out what the paths to all positions from `first` on have in common: only there may a later piece start."""
-        live = set(range(first, len(self.chars) + 1))
-        while len(live) > 1:
-            top = max(live)
-            live.discard(top)
-            live.add(self.back[top])
-        at = live.pop()
-        ids = self.ids(at)
-        if at:  # the piece before the boundary stays known, as the next one must fit it
-            self.commits += 1
-            self.whole = False
-            base = self.score[at]
-            self.chars, self.last = self.chars[at:], self.last[at:]
-            self.back, self.score = [max(0, b - at) for b in self.back[at:]], [s - base for s in self.score[at:]]
-        return ids
+        self.whole, out = True, []
+        if len(text) > self.look:
+            out = self.push(text[n:])
+        else:
+            self.extend(text[n:])
+        self.extend(follow)
+        last, at = len(self.chars) - 1, self.boundary()
+        if last not in (at, self.back[at]):
+            raise ValueError(f"paths do not converge before {follow!r}")
+        self.commits += 1
+        return out + self.ids(last)
 
 
 class Codec:
@@ -252,7 +272,8 @@ class Codec:
         """Ids of new spans by key."""
         made = {}
         for text, key in sorted((k[1:] if k[0] == "\n" else k if k[0] == SPACE else SPACE + k, k) for k in spans):
-            ids = array("i", self.stream.span(text)).tobytes()
+            # No piece holds a line feed, so nothing goes on over one; it stands for the end of a run of spaces.
+            ids = array("i", self.stream.span(text, "\n" if text[-1:] == SPACE else SPACE)).tobytes()
             made[key] = self.feed + ids if key[0] == "\n" else ids
         return made
 
@@ -272,9 +293,16 @@ class Codec:
             if part:
                 out.append(b"".join([made[w] if p is None else p for w, p in zip(own, part)] if None in part else part))
             else:
-                out.append(np.array(self.stream.span(SPACE + t.replace(" ", SPACE)), np.int32).tobytes() if t else b"")
+                out.append(self._whole(t) if t else b"")
         return out
 
+    def _whole(self, text: str) -> bytes:
+        self.stream.clear()
+        ids = self.stream.push(SPACE + text.replace(" ", SPACE))
+        ids += self.stream.end()
+        self.stream.clear()
+        return np.array(ids, np.int32).tobytes()
+
     def encode(self, text: str | None) -> bytes:
         return self.encode_many([text])[0]
 

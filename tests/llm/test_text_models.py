@@ -68,20 +68,41 @@ def test_stream_in_small_pushes_equals_one_push(codec, texts):
         assert held < 400  # a window, not the text
 
 
-def test_ordinary_texts_are_committed_span_by_span(library, texts):
-    """Every id comes from a commit of the stream; long spans commit before they end; nothing else is searched."""
+def test_ordinary_texts_are_committed_where_paths_converge(library, texts):
+    """Commits are counted where surviving paths pass one boundary only: one for each word of a text that is pushed, and one
+    for each span that the memo does not know."""
     fresh = piece_codec.Codec(piece_codec.Vocabulary(piece_codec.model_bytes()))
-    said: list[int] = []
+    said: list[str] = []
     span = fresh.stream.span
-    fresh.stream.span = lambda text: [said.append(len(text)), span(text)][1]
+    fresh.stream.span = lambda text, follow: [said.append(text), span(text, follow)][1]
     for t in texts[:40]:
         before, spans = fresh.stream.commits, len(said)
         assert ids(fresh.encode(t)) == library.encode(t or "")
         assert fresh.stream.commits - before >= len(said) - spans
-    assert len(said) > 1000 and len(said) == len(fresh.memo) + sum(n > piece_codec.MEMO_CHARS for n in said)
+    assert len(said) > 1000 and len(said) == len(fresh.memo) + sum(len(n) > piece_codec.MEMO_CHARS for n in said)
     commits = fresh.stream.commits
     fresh.encode("no" * 4000)
     assert fresh.stream.commits - commits > 50
+    for t in texts[:12]:
+        s = piece_codec.StreamEncoder(fresh.v)
+        whole = piece_codec.SPACE + (t or "").replace(" ", piece_codec.SPACE)
+        got = s.push(whole)
+        assert s.commits >= len((t or "").split(" ")) - (t or "").count("  ") - 2
+        assert len(s.chars) <= 2 * s.look  # what is left is a window
+        assert got + s.end() == library.encode(t or "") or not t
+
+
+def test_boundaries_are_found_and_not_taken_for_granted():
+    """With pieces that run over space marks there is no boundary there, and the paths say so."""
+    v = piece_codec.Vocabulary.of({"a": -1.0, "b": -1.0, "▁": -1.0, "b▁a": -1.5, "a▁": -1.5, "▁a▁b": -1.0}, bpe=False)
+    s = piece_codec.StreamEncoder(v)
+    s.extend("▁ab▁")
+    assert s.boundary() < 3
+    s.extend("b")
+    assert s.boundary() == 4
+    with pytest.raises(ValueError):
+        piece_codec.StreamEncoder(v).span("▁ab", "▁")
+    assert not v.cuts
 
 
 def test_unigram_paths_are_the_best_of_all():
