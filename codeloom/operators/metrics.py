@@ -51,6 +51,14 @@ def context_recall(context: DataFrame, required: DataFrame) -> DataFrame:
     return required.groupBy("query").agg(F.count(F.lit(1)).alias("required")).join(hit, "query", "left").select("query", "required", F.coalesce("covered", F.lit(0)).alias("covered"), F.round(F.coalesce("covered", F.lit(0)) / F.col("required"), 4).alias("recall"))
 
 
+def token_ratio(contexts: DataFrame, whole: DataFrame) -> DataFrame:
+    """One row (queries, tokens, baseline, ratio): tokens of the contexts (query, tokens) of all queries as a percentage of those of
+    the baseline (query, tokens); a query without a context has none. An empty baseline gives 0."""
+    rows = whole.select("query", F.col("tokens").alias("b")).join(contexts.select("query", "tokens"), "query", "left")
+    sums = rows.agg(F.count(F.lit(1)).alias("queries"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"), F.coalesce(F.sum("b"), F.lit(0)).alias("baseline"))
+    return sums.withColumn("ratio", F.when(F.col("baseline") > 0, F.round(F.col("tokens") * 100.0 / F.col("baseline"), 1)).otherwise(0.0))
+
+
 def layer_ablation(edges: DataFrame, recall_of, layers=("Lsyn", "Ldep", "Lflow", "Lsem", "Lcontract")) -> dict[str, float]:
     """Change of a recall figure when one layer's edges are missing. recall_of maps edges to a number."""
     full = recall_of(edges)

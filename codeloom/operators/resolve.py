@@ -7,8 +7,10 @@ inside one repository; contracts and cross-repository routes are global.
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from threading import RLock
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,7 +19,6 @@ from codeloom.extract.emit import EXTERNAL, SYMBOL
 from codeloom.functions.text import module_key, url_path
 from codeloom.operators import text as T
 from codeloom.operators.relational import first_rule
-from codeloom.operators.traverse import closure
 from codeloom.storage import stored
 
 TAU = 0.2
@@ -30,12 +31,14 @@ class Facts:
     facts: DataFrame
     sources: DataFrame
     kept: dict[str, DataFrame] = field(default_factory=dict)
+    locks: dict[str, RLock] = field(default_factory=lambda: defaultdict(RLock))
 
     def keep(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
-        """A table that several joins read: written once to the shared folder."""
-        if name not in self.kept:
-            self.kept[name] = stored(make(), name)
-        return self.kept[name]
+        """A table that several joins read: written once to the shared folder, whichever thread asks first."""
+        with self.locks[name]:
+            if name not in self.kept:
+                self.kept[name] = stored(make(), name)
+            return self.kept[name]
 
     def of(self, kind: str, *cols: Column | str) -> DataFrame:
         return self.facts.filter(F.col("kind") == kind).select(*cols)
@@ -105,9 +108,9 @@ def hierarchy(facts: Facts) -> tuple[DataFrame, DataFrame]:
 
 
 def up_and_down(facts: Facts, known: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """ancestors() and the closure (src, dst: a base and a class below it) of a hierarchy, made once."""
+    """ancestors() of a hierarchy, made once, and the same pairs from above (src, dst: a base and a class below it)."""
     up = facts.keep("ancestors", lambda: ancestors(known))
-    return up, facts.keep("below", lambda: closure(known.select(F.col("base").alias("src"), F.col("class").alias("dst"))).select("src", "dst"))
+    return up, up.filter("path <> ''").select(F.col("base").alias("src"), F.col("class").alias("dst"))
 
 
 def ancestors(known: DataFrame, max_levels: int = 1000) -> DataFrame:

@@ -6,7 +6,11 @@ change of some files' facts gives what a build from scratch gives. A repository
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from typing import Any
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -91,6 +95,12 @@ def lines_of_code(facts: DataFrame) -> DataFrame:
     return facts.filter("kind = 'loc'").agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("loc"))
 
 
+def at_once(*steps: Callable[[], Any]) -> list[Any]:
+    """The results of steps that do not depend on one another, run by a thread each; the first failure is raised."""
+    with ThreadPoolExecutor(len(steps)) as pool:
+        return [f.result() for f in [pool.submit(step) for step in steps]]
+
+
 def build(files: DataFrame, configs: dict[str, RepoConfig] | None = None, workspace: bool = False, semantic: bool = True) -> Graph:
     """A graph of a file table (repo, path, ext, content)."""
     facts = stored(extract_facts(files), "facts")
@@ -104,22 +114,31 @@ def from_facts(facts: DataFrame, sources: DataFrame, configs: dict[str, RepoConf
     f = resolve.Facts(facts, sources)
     declared = stored(fact_nodes(facts), "declared")
 
-    known, extends = resolve.hierarchy(f)
-    known = stored(known, "hierarchy")
-    calls = resolve.calls(f, known, declared)
-    http, dangling = resolve.http(f, across=workspace)
-    made, (used, unresolved) = resolve.producers(f, known), resolve.consumers(f)
     base = facts.filter("kind = 'edge'").select(F.col("a").alias("src"), F.col("b").alias("dst"), F.col("c").alias("relation"), F.col("d").alias("layer"), F.col("n").alias("d_scope"), F.col("ctx").alias("id_ctx"), "seq")
-    edges = as_edges(base)
-    for derived in (extends, calls, http, made, used):
-        edges = edges.unionByName(as_edges(derived))
-    edges = stored(edges, "edges")
+
+    def classes() -> list[DataFrame]:
+        known, extends = resolve.hierarchy(f)
+        known = stored(known, "hierarchy")
+        resolve.up_and_down(f, known)
+        made, called = at_once(lambda: stored(as_edges(resolve.producers(f, known)), "produced"), lambda: stored(as_edges(resolve.calls(f, known, declared)), "called"))
+        return [stored(as_edges(extends), "extended"), called, made]
+
+    def requests() -> tuple[DataFrame, DataFrame]:
+        http, dangling = resolve.http(f, across=workspace)
+        return stored(as_edges(http), "requested"), dangling
+
+    def uses() -> tuple[DataFrame, DataFrame]:
+        used, unresolved = resolve.consumers(f)
+        return stored(as_edges(used), "used"), unresolved
+
+    # What does not follow from one another is derived at once: on a small repository a build is waiting for small jobs.
+    parts, (http, dangling), (used, unresolved), skews = at_once(classes, requests, uses, lambda: stored(contract_skews(facts), "skews"))
+    edges = functools.reduce(DataFrame.unionByName, [as_edges(base), *parts, http, used])
 
     ends = edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct().join(declared, "id", "left_anti")
     kind = F.when(F.col("id").startswith("external::"), "external_func").when(F.col("id").startswith("symbol::"), "symbol_ref").when(F.col("id").startswith("module::"), "module").otherwise("unknown")
     stubs = ends.select("id", kind.alias("type"), F.lit("Ldep").alias("layer"), F.element_at(F.split("id", "::"), -1).alias("name"), F.lit(0).alias("line_no"))
     routed = resolve.routes(f).groupBy(F.col("handler").alias("id")).agg(F.min("path").alias("http_path"), F.array_sort(F.collect_set("method")).alias("http_methods"))
-    skews = stored(contract_skews(facts), "skews")
     skewed = skews.select(F.explode(F.array(F.concat(F.lit("contract::"), "service"), F.when(F.col("rpc") != "", F.concat(F.lit("contract::"), "service", F.lit("."), "rpc")))).alias("id")).filter("id is not null").distinct().withColumn("skew", F.lit(True))
     nodes = declared.join(definitions(facts), "id", "left").join(routed, "id", "left").join(skewed, "id", "left")
     nodes = nodes.withColumn("tier", F.lit(0)).unionByName(stubs.withColumn("tier", F.lit(1)), allowMissingColumns=True)

@@ -4,7 +4,7 @@ import duckdb
 import pytest
 
 import __spark_entry__
-from codeloom.plans import commerce, generated
+from codeloom.plans import answers, commerce, generated, polyglot
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -18,12 +18,13 @@ def db():
     return con
 
 
-ORACLES = commerce.ORACLES | generated.ORACLES
+MODULES = (commerce, generated, polyglot, answers)
+QUERIES, ORACLES = ({k: v for m in MODULES for k, v in getattr(m, kind).items()} for kind in ("QUERIES", "ORACLES"))
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_equals_its_sql(spark, db, name):
-    got, want = (commerce.QUERIES | generated.QUERIES)[name](spark, SF).toPandas(), db.execute(ORACLES[name]).df()
+    got, want = QUERIES[name](spark, SF).toPandas(), db.execute(ORACLES[name]).df()
     cols = sorted(got.columns)
     assert cols == sorted(want.columns)
     rows = lambda d: sorted(tuple(str(v) for v in r) for r in d[cols].astype(object).where(d[cols].notna(), None).values.tolist())
