@@ -6,6 +6,12 @@ from __future__ import annotations
 FILE, MODULE, SYMBOL, EXTERNAL, CONTRACT = "file::", "module::", "symbol::", "external::", "contract::"
 
 
+def stem(spelling: str, tail: str) -> str:
+    """The last part of a dotted name without its tail; '' if it does not end so or is nothing else."""
+    last = spelling.rpartition(".")[2]
+    return last.removesuffix(tail) if last.endswith(tail) else ""
+
+
 class Emitter:
     """Collects fact rows of a file and keeps the scope while it is walked.
 

@@ -2,25 +2,32 @@
 
 from __future__ import annotations
 
-import re
-
 from codeloom.extract.emit import MODULE, Emitter
 from codeloom.extract.tokens import Tokens
 
-IMPORT_LINE = re.compile(r'^\s*(?:import\s+)?(?:([A-Za-z_.][\w.]*)\s+)?"([\w./-]+)"\s*$')
 KEYWORDS = frozenset("if for switch select func return go defer range case type struct interface map chan var const import package else".split())
 ASSIGN = frozenset("= += -= *= /= %= ++ --".split())
 NONE: frozenset[str] = frozenset()
 
 
-def imports(text: str) -> list[tuple[str, str]]:
-    """(alias, path) of import lines and import blocks."""
-    out = []
-    for block in re.finditer(r"(?m)^import\s*(?:\(([^)]*)\)|(.*)$)", text):
-        for line in (block.group(1) or "").splitlines() if block.group(1) is not None else ["import " + block.group(2)]:
-            m = IMPORT_LINE.match(re.sub(r"//.*", "", line))
-            if m:
-                out.append((m.group(1) or m.group(2).rsplit("/", 1)[-1], m.group(2)))
+def imports(t: Tokens) -> list[tuple[str, str]]:
+    """(alias, path) of imports, alone and in blocks: a path may have a name, a dot or an underscore before it."""
+    out, i = [], 0
+    while i < len(t):
+        if t.text(i) != "import":
+            i = t.match.get(i, i) + 1
+            continue
+        block = i + 1 in t.match
+        at, end, alias = (i + 2, t.match[i + 1], "") if block else (i + 1, i + 3, "")
+        while at < end:
+            if t.kind(at) in ("str", "tmpl"):
+                path = t.literal(at)
+                out.append((alias or path.rpartition("/")[2], path))
+                alias, end = "", end if block else at
+            elif t.kind(at) == "id" or t.text(at) == ".":
+                alias = t.text(at)
+            at += 1
+        i = end + 1
     return out
 
 
@@ -226,7 +233,8 @@ def extract(e: Emitter, text: str) -> None:
     lines = len(text.splitlines())
     e.node(e.file_id, "file", "Lsyn", e.path.rsplit("/", 1)[-1], 1, "", f"// File: {e.path}\n// Lines: {lines}")
     e.add("loc", n=lines)
-    for alias, path in imports(text):
+    t = Tokens(text, go=True)
+    for alias, path in imports(t):
         e.add("import", alias, path)
         e.module(MODULE, path, path)
-    _Scan(e, Tokens(text, go=True)).top()
+    _Scan(e, t).top()

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import re
 
-from codeloom.extract.emit import Emitter
+from codeloom.extract.emit import Emitter, stem
 from codeloom.extract.tokens import Tokens
 
 WRAPPERS = frozenset("export default async abstract const let var declare public private protected static readonly".split())
+#: What routes hang on, and the verbs of routes and of the axios client; fixed values.
+ROUTERS, VERBS = frozenset(("app", "router")), frozenset(("get", "post", "put", "delete", "patch"))
 DECLARE = frozenset(("const", "let", "var"))
 MUTATING = frozenset("= += -= *= /= %= **= &&= ||= ??= ++ --".split())
 NO_CALL = frozenset("if for while switch catch function return typeof await new in of do else class super import require constructor".split()) - {"require", "super", "import"}
@@ -218,7 +220,7 @@ class _Scan:
                 last = v + 1
                 while t.text(last + 1) == "." and t.kind(last + 2) == "id":
                     last += 2
-                if re.search(r"\w+Service$", t.text(last)):
+                if stem(t.text(last), "Service"):
                     e.add("client_var", name, t.text(last))
         if e.scope and e.types.get(e.scope_id()) == "function":
             e.variable(e.scope_id(), name, t.items[at].line)
@@ -274,21 +276,20 @@ class _Scan:
         t, e = self.t, self.e
         raw = t.span(i, paren)
         args = t.split(paren + 1, t.match[paren])
-        route = re.fullmatch(r"(?:app|router)\.(get|post|put|delete|patch)", raw)
-        if route and len(args) >= 2:
+        owner, _, verb = raw.partition(".")
+        known = verb in VERBS
+        if known and owner in ROUTERS and len(args) >= 2:
             path = t.literal(args[0][0])
             if path and path.startswith("/"):
                 a, b = args[1]
                 named = b == a + 1 and t.kind(a) == "id"
-                e.add("route", route.group(1).upper(), path, None if named else e.scope_id(), t.text(a) if named else None)
+                e.add("route", verb.upper(), path, None if named else e.scope_id(), t.text(a) if named else None)
         if not e.scope:
             return
         scope = e.scope_id()
-        client = re.fullmatch(r"axios\.(get|post|put|patch|delete)", raw)
-        if (raw == "fetch" or client) and args and t.kind(args[0][0]) == "str":
-            method = client.group(1).upper() if client else "GET"
-            given = re.search(r"\bmethod\s*:\s*['\"]([A-Za-z]+)['\"]", t.span(paren, t.match[paren] + 1)) if raw == "fetch" else None
-            e.add("http_call", scope, t.literal(args[0][0]), given.group(1).upper() if given else method)
+        if (raw == "fetch" or known and owner == "axios") and args and t.kind(args[0][0]) == "str":
+            method = verb if known else self.option(args[1:], "method") or "get"
+            e.add("http_call", scope, t.literal(args[0][0]), method.upper())
         spelled = raw.replace("this.", "self.")
         if spelled.startswith("super."):
             spelled = "super()." + spelled[6:]
@@ -299,6 +300,15 @@ class _Scan:
         if t.text(paren - 1) == "addService" and len(args) >= 2:
             self.add_service(args)
 
+    def option(self, args: list[tuple[int, int]], name: str) -> str | None:
+        """The literal that an object literal among the arguments gives to a name."""
+        t = self.t
+        for brace, _ in args:
+            for a, _ in t.split(brace + 1, t.match[brace]) if t.text(brace) == "{" else ():
+                if (t.literal(a) or t.text(a)) == name and t.text(a + 1) == ":":
+                    return t.literal(a + 2)
+        return None
+
     def add_service(self, args: list[tuple[int, int]]) -> None:
         """The handlers of `pkg.Name.service` that an object literal gives, by rpc name."""
         t, (_, end), (brace, _) = self.t, args[0], args[1]

@@ -201,10 +201,25 @@ def chunks(docs: DataFrame, text: Column, id_col: str = "id", size: int = CHUNK,
     return t.select("id", F.explode(F.sequence(F.lit(0), F.size("t") - 1, F.lit(step))).alias("start"), "t").select("id", "start", F.slice("t", F.col("start") + 1, size).alias("tokens"))
 
 
-def chunk_scores(parts: DataFrame, query: Sequence[str]) -> DataFrame:
-    """Query tokens found (repeats count) over the square root of the chunk's length."""
-    found = sum((F.array_contains("tokens", t).cast("long") for t in query), F.lit(0))
-    return parts.withColumn("overlap", found).filter("overlap > 0").withColumn("score", F.col("overlap") / (F.sqrt(F.size("tokens")) + 1e-5))
+def chunk_scores(docs: DataFrame, text: Column, query: Sequence[str], id_col: str = "id", size: int = CHUNK, step: int = STRIDE) -> DataFrame:
+    """(id, start, overlap, score) of the chunks() that hold a query token: query tokens found (repeats count) over the square root of
+    the chunk's length. Inside a row only the places of query tokens are kept, and all chunks are scored from them, so
+    neither chunks nor texts are copied."""
+    times: dict[str, int] = {}
+    for t in query:
+        times[t] = times.get(t, 0) + 1
+    tokens = space_tokens(text)
+    marked = F.transform(tokens, lambda t, i: F.when(t.isin(*times), F.struct(t.alias("t"), i.alias("i"))))
+    rows = docs.select(F.col(id_col).alias("id"), F.size(tokens).alias("n"), F.array_compact(marked).alias("hits")).filter(F.size("hits") > 0)
+
+    def scored(start: Column) -> Column:
+        mine = F.filter("hits", lambda h: (h["i"] >= start) & (h["i"] < start + size))
+        known = F.array_distinct(F.transform(mine, lambda h: h["t"]))
+        found = F.aggregate(known, F.lit(0).cast("long"), lambda s, t: s + F.element_at(F.create_map(*[F.lit(x) for kv in times.items() for x in kv]), t))
+        return F.struct(start.alias("start"), found.alias("overlap"), F.least(F.lit(size), F.col("n") - start).alias("length"))
+
+    each = rows.select("id", F.explode(F.transform(F.sequence(F.lit(0), F.col("n") - 1, F.lit(step)), scored)).alias("c")).select("id", "c.*")
+    return each.filter("overlap > 0").select("id", "start", "overlap", (F.col("overlap") / (F.sqrt("length") + 1e-5)).alias("score"))
 
 
 def containment(rows: DataFrame, text: Column, query: Sequence[str]) -> DataFrame:

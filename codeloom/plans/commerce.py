@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from codeloom.functions.similarity import sequence_ratio, unified_diff
 from codeloom.functions.text import camel_words, service_of, url_path, word_tokens
-from codeloom.operators import grams, heal, lookup, metrics, ranked, relational, text, traverse
+from codeloom.operators import grams, metrics, ranked, relational, text, traverse
 from codeloom.schema import LAYERS
 from codeloom.storage import clustered, kept
 
@@ -491,7 +491,7 @@ def chunk_tokens(spark, sf):
 @query(f"""WITH {_CHUNKS}, s AS (SELECT id, start, ({' + '.join(f"CAST(list_contains(tokens, '{t}') AS INTEGER)" for t in QUERY_TEXT.split())}) AS overlap, len(tokens) AS n FROM c)
 SELECT id, CAST(start AS INTEGER) AS start, round(overlap / (sqrt(n) + 1e-5::DOUBLE), 4) AS score FROM s WHERE overlap > 0 ORDER BY 3 DESC, 1, 2 LIMIT 20""")
 def chunk_retrieve(spark, sf):
-    parts = text.chunk_scores(text.chunks(table(spark, sf, "documents"), F.col("text"), "doc_id"), QUERY_TEXT.split())
+    parts = text.chunk_scores(table(spark, sf, "documents"), F.col("text"), QUERY_TEXT.split(), "doc_id")
     return text.top_k(parts, 20, tie=["id", "start"]).select("id", "start", "score")
 
 

@@ -130,7 +130,7 @@ def build_extends(spark, sf):
 @query(f"WITH {C}, {S}, e AS (SELECT id AS src, 'n' || m || '/helpers.py:price' AS dst FROM c UNION ALL SELECT id, 'n' || n || '/base.py:Base' || n || '.audit' FROM c UNION ALL SELECT id, 'external::requests.post' FROM c "
        "UNION ALL SELECT web, 'external::app.route' FROM s UNION ALL SELECT client, CASE WHEN x % 3 <> 0 AND x % 2 = 0 THEN 'n' || n || '/impl.py:Impl' || n || '.Get' || x ELSE 'external::stub.' || CASE WHEN x % 3 = 0 THEN 'Gone' ELSE 'Get' END || x END FROM s) SELECT src, dst, 'CALLS' AS relation FROM e")
 def build_calls(spark, sf):
-    """Calls through an import's alias, of an inherited method, of a method whose name only one class
+    """Calls through an import's alias, of an inherited method, of a method whose name only one class
     has, and of what stays external."""
     return related(spark, sf, "CALLS")
 
@@ -173,7 +173,7 @@ def build_variables(spark, sf):
 @query(f"WITH {N}, {C}, {S} SELECT id || '.var::total' AS variable, id AS scope FROM c UNION ALL SELECT 'n' || n || '/helpers.py:price.var::amount', 'n' || n || '/helpers.py:price' FROM n "
        "UNION ALL SELECT 'n' || n || '/base.py:Base' || n || '.audit.var::x', 'n' || n || '/base.py:Base' || n || '.audit' FROM n UNION ALL SELECT 'n' || n || '/impl.py:Impl' || n || '.Get' || x || '.var::request', 'n' || n || '/impl.py:Impl' || n || '.Get' || x FROM s WHERE x % 2 = 0")
 def build_returned(spark, sf):
-    """Variables that flow into a return of their scope."""
+    """X11: variables that flow into a return of their scope."""
     flows = related(spark, sf, "FLOWS_TO").select(F.col("src").alias("variable"), F.col("dst").alias("id"))
     returns = related(spark, sf, "RETURNS").select(F.col("src").alias("scope"), F.col("dst").alias("id"))
     return flows.join(returns, "id").select("variable", "scope")
@@ -230,7 +230,7 @@ def shop(spark: SparkSession, sf: str, repo: str, every: int) -> DataFrame:
 
 @query("WITH d AS (SELECT s_nationkey AS n, s_suppkey AS x FROM supplier) SELECT 'Api' || n AS service, 'Get' || x AS rpc, CAST(2 AS BIGINT) AS definitions, '(New)->(Res)|(Req)->(Res)' AS variants FROM d WHERE (x + 1) % 5 = 0")
 def contract_divergence(spark, sf):
-    """Rpcs that two repositories define differently."""
+    """A5: rpcs that two repositories define differently."""
     files = shop(spark, sf, "front", 5).unionByName(shop(spark, sf, "back", 10**9))
     return contract_skews(extract_facts(files)).filter("rpc <> ''").select("service", "rpc", "definitions", F.array_join("variants", "|").alias("variants"))
 
