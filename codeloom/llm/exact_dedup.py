@@ -106,10 +106,12 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     clash = stored(checked.filter("a <> b").select("digest"), "clashes")
 
     whole = groups
-    if clash.limit(1).count():  # digests that differ in bytes, however many: their rows are keyed by the text as well
+    if clash.limit(1).count():  # digests that differ in bytes, however many: their rows are keyed by the text itself
         clash = stored(clash.join(hits, "digest").withColumn("split", F.lit(True)), "clashes")
-        marked = join_on_hot_key(slim, clash.withColumnRenamed("n", "weight"), "digest", "weight", total, "left")
-        slim = stored(marked.withColumn("digest", F.when(F.col("split"), F.concat_ws(":", "digest", "sha")).otherwise(F.col("digest"))).drop("weight"), "digests")
+        known = rows.select("id", "ord", "file", "row", digest(F.col("raw")).alias("digest"), sha256(F.col("raw")).alias("sha"), "raw")
+        marked = join_on_hot_key(known, clash.withColumnRenamed("n", "weight"), "digest", "weight", total, "left")
+        by_text = F.when(F.col("split"), F.concat_ws(":", "digest", F.col("raw").cast("string"))).otherwise(F.col("digest"))
+        slim = stored(marked.withColumn("digest", by_text).drop("weight", "raw"), "digests")
         split = slim.filter("split").groupBy("digest").agg(F.min(F.struct("ord", "file", "row")).alias("keeper"), F.count(F.lit(1)).alias("n"))
         slim = slim.drop("split")
         whole = stored(groups.join(clash.select("digest"), "digest", "left_anti").unionByName(split.select("digest", "keeper", "n")), "groups")
