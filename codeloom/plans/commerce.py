@@ -620,12 +620,13 @@ def unified_diff_pages(spark, sf):
 
 @query()
 def extract_python_facts(spark, sf):
-    """Facts of one generated Python source for each nation: its customers are functions of its class."""
+    """Facts of generated Python sources: a nation's customers are functions of its class, those of 500 keys in one file, so files
+    grow in number with the table and not in size."""
     from codeloom.extract.facts import extract_facts
 
     nation = table(spark, sf, "nation").select(F.col("n_nationkey").alias("k"), F.regexp_replace("n_name", "[^A-Za-z]", "_").alias("name"))
-    people = table(spark, sf, "customer").groupBy(F.col("c_nationkey").alias("k")).agg(F.array_sort(F.collect_list("c_custkey")).alias("c"))
+    people = table(spark, sf, "customer").groupBy(F.col("c_nationkey").alias("k"), F.floor(F.col("c_custkey") / 500).alias("part")).agg(F.array_sort(F.collect_list("c_custkey")).alias("c"))
     methods = F.array_join(F.transform("c", lambda c: F.concat(F.lit("    def c"), c.cast("string"), F.lit("(self, x):\n        y = helper(x)\n        return y\n"))), "")
     source = F.concat(F.lit("import helpers\nfrom helpers import helper\n\nclass "), "name", F.lit(":\n"), F.coalesce(methods, F.lit("    pass\n")))
-    files = nation.join(people, "k", "left").select(F.lit("").alias("repo"), F.concat("name", F.lit(".py")).alias("path"), F.lit(".py").alias("ext"), F.col("k").cast("long").alias("ord"), source.cast("binary").alias("content"))
+    files = nation.join(people, "k", "left").select(F.lit("").alias("repo"), F.concat("name", F.coalesce("part", F.lit(0)).cast("string"), F.lit(".py")).alias("path"), F.lit(".py").alias("ext"), F.col("k").cast("long").alias("ord"), source.cast("binary").alias("content"))
     return extract_facts(files).select("file", "kind", "seq", "a", "b", "c", "d", "n")
