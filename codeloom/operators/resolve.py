@@ -122,11 +122,13 @@ def ancestors(known: DataFrame, max_levels: int = 1000) -> DataFrame:
     """
     step = known.groupBy("class", "base").agg(F.min("pos").alias("pos"))
     own = step.select("class").unionByName(step.select(F.col("base").alias("class"))).distinct()
-    best = stored(own.select("class", F.col("class").alias("base"), F.lit("").alias("path"), F.array("class").alias("seen"), F.lit(True).alias("new")), "ancestors")
+    at = F.format_string("%010d.", "pos")
+    best = own.select("class", F.col("class").alias("base"), F.lit("").alias("path"), F.array("class").alias("seen"), F.lit(False).alias("new"))
+    best = stored(best.unionByName(step.filter(F.col("class") != F.col("base")).select("class", "base", at.alias("path"), F.array("class", "base").alias("seen"), F.lit(True).alias("new"))), "ancestors")
     up = stored(step.select(F.col("class").alias("base"), F.col("base").alias("up"), "pos"), "bases")
-    for _ in range(max_levels + 1):
+    for _ in range(max_levels):
         nxt = best.filter("new").join(up, "base").filter(~F.array_contains("seen", F.col("up")))
-        nxt = nxt.select("class", F.col("up").alias("base"), F.concat("path", F.format_string("%010d.", "pos")).alias("path"), F.array_append("seen", F.col("up")).alias("seen"), F.lit(True).alias("new"))
+        nxt = nxt.select("class", F.col("up").alias("base"), F.concat("path", at).alias("path"), F.array_append("seen", F.col("up")).alias("seen"), F.lit(True).alias("new"))
         every = best.withColumn("new", F.lit(False)).unionByName(nxt)
         best = stored(every.groupBy("class", "base").agg(F.min_by(F.struct("path", "seen", "new"), F.struct("path", "new")).alias("b")).select("class", "base", "b.*"), "ancestors")
         if best.filter("new").isEmpty():

@@ -110,7 +110,8 @@ def build(files: DataFrame, configs: dict[str, RepoConfig] | None = None, worksp
 def from_facts(facts: DataFrame, sources: DataFrame, configs: dict[str, RepoConfig] | None = None, workspace: bool = False, semantic: bool = True) -> Graph:
     """A graph of a fact table; see build()."""
     sources = stored(sources.distinct(), "sources")
-    facts = stored(with_js_imports(facts, sources, configs or {}), "facts")
+    if not facts.filter("kind = 'import_spec'").isEmpty():
+        facts = stored(with_js_imports(facts, sources, configs or {}), "facts")
     f = resolve.Facts(facts, sources)
     declared = stored(fact_nodes(facts), "declared")
 
