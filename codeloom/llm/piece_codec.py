@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import re
 from array import array
+from bisect import insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -188,14 +189,21 @@ class StreamEncoder(Lattice):
 
     def boundary(self) -> int:
         """The last boundary that the paths of all surviving positions pass."""
-        chars, opens, n = self.chars, self.v.opens, len(self.chars)
-        live = {i for i in range(max(0, n - self.v.longest + 1), n) if chars[i:] in opens}
-        live.add(n)
-        while len(live) > 1:
-            top = max(live)
-            live.discard(top)
-            live.add(self.back[top])
-        return live.pop()
+        chars, opens, back, n = self.chars, self.v.opens, self.back, len(self.chars)
+        first = max(0, n - self.v.longest + 1)
+        if self.v.cuts and chars[-1:] == SPACE:  # what begins a piece and ends in a mark then holds marks alone
+            first = max(first, len(chars.rstrip(SPACE)))
+        live = [i for i in range(first, n) if chars[i:] in opens]
+        at = n
+        while live:  # the highest path steps back until it meets the next
+            while at > live[-1]:
+                at = back[at]
+            if at < live[-1]:
+                insort(live, at)
+                at = live.pop()
+            while live and live[-1] == at:
+                live.pop()
+        return at
 
     def push(self, text: str) -> list[int]:
         out, at = [], 0
@@ -236,9 +244,8 @@ class StreamEncoder(Lattice):
         self.whole, out = True, []
         if len(text) > self.look:
             out = self.push(text[n:])
-        else:
-            self.extend(text[n:])
-        self.extend(follow)
+            n = len(text)
+        self.extend(text[n:] + follow)
         last, at = len(self.chars) - 1, self.boundary()
         if last not in (at, self.back[at]):
             raise ValueError(f"paths do not converge before {follow!r}")
