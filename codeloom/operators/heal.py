@@ -11,6 +11,7 @@ from codeloom.functions.similarity import python_parses, sequence_ratio, unified
 from codeloom.functions.text import balanced, utf8
 from codeloom.operators.relational import best
 from codeloom.plans.build import Graph
+from codeloom.storage import stored
 
 #: Variable names that are taken for clients when there is exactly one service; fixed values.
 CLIENT_NAMES = ("stub", "client", "shipping_client", "order_client")
@@ -76,11 +77,29 @@ def diagnose(g: Graph) -> DataFrame:
 def attribute(defects: DataFrame) -> DataFrame:
     """R6. defects with target and confidence: for renamed rpcs the most similar valid one, else 1.0 or 0.8."""
     key = F.sha2(F.to_json(F.struct(*defects.columns)), 256)
-    d = defects.withColumn("defect", key)
+    d = stored(defects.withColumn("defect", key), "defects")
     pairs = d.filter("type = 'RENAMED_RPC'").select("defect", "old", F.explode("valid").alias("target"))
     top = best(pairs.withColumn("confidence", F.round(sequence_ratio("old", "target"), 2)), ["defect"], "confidence", ["target"]).select("defect", "target", "confidence")
     rest = F.when(F.col("type").isin("CONTRACT_SKEW", "MISSING_IMPLEMENTATION"), 1.0).otherwise(0.8)
-    return d.join(top, "defect", "left").withColumn("confidence", F.coalesce("confidence", rest))
+    return stored(d.join(top, "defect", "left").withColumn("confidence", F.coalesce("confidence", rest)), "causes")
+
+
+#: Characters of a stem by which it first looks for paths.
+HEAD = 3
+
+
+def homes(absent: DataFrame, files: DataFrame) -> DataFrame:
+    """absent (defect, rpc, stem) with path, ctx and ext of the first of files (path, ctx, ext, base) by path whose base holds
+    the stem. Every place of a base whose first characters begin some stem gives its cuts of the lengths of these stems, and
+    cuts meet stems as equals, so no stem is held against all paths."""
+    head = F.substring("stem", 1, HEAD)
+    heads = absent.groupBy(head.alias("head")).agg(F.collect_set(F.length("stem")).alias("lengths"))
+    places = F.explode(F.sequence(F.lit(1), F.length("base")))
+    at = files.filter("base <> ''").select("path", "ctx", "ext", "base", places.alias("i")).withColumn("head", F.explode(F.array_distinct(F.array(*[F.substr("base", F.col("i"), F.lit(n)) for n in range(1, HEAD + 1)]))))
+    cuts = at.join(F.broadcast(heads), "head").select("path", "ctx", "ext", "base", "i", F.explode("lengths").alias("n"))  # heads are three characters at most
+    cuts = cuts.filter(F.col("i") + F.col("n") <= F.length("base") + 1).select("path", "ctx", "ext", F.substr("base", F.col("i"), F.col("n")).alias("stem"))
+    first = cuts.join(absent.select("stem").distinct(), "stem", "left_semi").groupBy("stem").agg(F.min(F.struct("path", "ctx", "ext")).alias("h"))
+    return absent.distinct().join(first, "stem").select("defect", "rpc", "h.path", "h.ctx", "h.ext")
 
 
 def patches(causes: DataFrame, files: DataFrame) -> DataFrame:
@@ -97,8 +116,8 @@ def patches(causes: DataFrame, files: DataFrame) -> DataFrame:
     out = rename.select("defect", "path", "ctx", "ext", "old_code", new.alias("new_code"))
     stem = F.lower(F.regexp_replace("service", "Service$", ""))
     absent = causes.filter("type = 'MISSING_IMPLEMENTATION'").select("defect", "rpc", stem.alias("stem")).filter("stem <> ''")
-    homes = text.filter("ext in ('.py', '.js', '.ts', '.go')").withColumn("base", F.lower(F.regexp_replace("path", "[-_]", "")))
-    home = absent.join(homes.select("path", "ctx", "ext", "base"), F.contains("base", F.col("stem"))).groupBy("defect", "rpc").agg(F.min(F.struct("path", "ctx", "ext")).alias("h")).select("defect", "rpc", "h.path", "h.ctx", "h.ext")
+    bases = text.filter("ext in ('.py', '.js', '.ts', '.go')").select("path", "ctx", "ext", F.lower(F.regexp_replace("path", "[-_]", "")).alias("base"))
+    home = homes(absent, bases)
     stub = F.when(F.col("ext") == ".py", F.concat(F.lit("\n    def "), "rpc", F.lit("(self, request, context):\n        raise NotImplementedError(\""), "rpc", F.lit("\")\n"))).when(F.col("ext") == ".go", F.concat(F.lit("\n// "), "rpc", F.lit(" is not implemented.\nfunc "), "rpc", F.lit("() error {\n\treturn nil\n}\n"))).otherwise(F.concat(F.lit("\nfunction "), "rpc", F.lit("(call, callback) {\n  callback(new Error(\"not implemented\"));\n}\n")))
     add = home.join(text.select("ctx", "old_code"), "ctx").select("defect", "path", "ctx", "ext", "old_code", F.concat("old_code", stub).alias("new_code"))
     both = out.unionByName(add).filter("old_code <> new_code")

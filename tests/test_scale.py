@@ -228,3 +228,57 @@ def test_kept_tables_follow_their_files(spark, tmp_path):
     assert ask() == 5
     spark.range(9).write.mode("overwrite").parquet(path)
     assert ask() == 9
+
+
+def test_source_segments_are_cut_in_one_pass():
+    import ast
+
+    from codeloom.extract import python
+    from codeloom.extract.emit import Emitter
+
+    text = "class Ä:\r\n    def f(self, x='ß€'): return x; \r    def g(self):\n        def h(): pass\n        return 'é'\n\x0c\nasync def last(): return 1"
+    walk = python._Walk(Emitter("", "a.py"), text)
+    nodes = [n for n in ast.walk(ast.parse(text)) if hasattr(n, "lineno")]
+    assert len(nodes) > 10 and all(walk.code(n) == ast.get_source_segment(text, n) for n in nodes)
+
+
+def test_files_are_dealt_to_all_cores(spark):
+    from codeloom.extract.facts import extract_facts
+
+    files = spark.createDataFrame([("", f"m{i}.py", bytearray(b"x = 1\n")) for i in range(200)], "repo string, path string, content binary").coalesce(1)
+    facts = extract_facts(files)
+    assert facts.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    assert facts.filter("kind = 'loc'").count() == 200
+
+
+def test_homes_hold_their_stems(spark):
+    from codeloom.operators import heal
+
+    paths = ["svc1/model.py", "svc12/a.py", "svc120/model.py", "x/usvc12.go", "a.py", "éß/svc.js", "svcsvc7.ts", "-"]
+    files = [(p, f"back/{p}", "." + p.rsplit(".", 1)[-1], p.replace("-", "")) for p in paths]
+    stems = ["svc1", "svc12", "svc", "a", "é", "ß/", "svc7", "none", "vc120/model.py", "model.pyx"]
+    absent = [(f"d{i}", f"R{i}", t) for i, t in enumerate(stems)]
+    want = {(d, r, min(f for f in files if t in f[3])[:3]) for d, r, t in absent if any(t in f[3] for f in files)}
+    got = heal.homes(spark.createDataFrame(absent, "defect string, rpc string, stem string"), spark.createDataFrame(files, "path string, ctx string, ext string, base string"))
+    assert {(x.defect, x.rpc, (x.path, x.ctx, x.ext)) for x in got.collect()} == want and len(want) == 8
+    assert "NestedLoop" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_renames_compare_each_name_once(spark):
+    from codeloom.operators import relational
+
+    names = spark.createDataFrame([("b", "gear"), ("b", "bolt"), ("b", "gear")] * 50 + [("c", "rod"), ("c", None)], "g string, candidate string")
+    lost = spark.createDataFrame([("b", "ear"), ("b", "olt")] * 100 + [("c", None), (None, "x")], "g string, old string")
+    got = sorted((r.g, r.old or "", r.candidate or "", r.score) for r in relational.renames(lost, names, ["g"]).collect())
+    assert got == [("b", "ear", "gear", 0.86), ("b", "olt", "bolt", 0.86), ("c", "", "", 1.0)]
+
+
+def test_equal_vectors_are_compared_once(spark):
+    sets = [{"a", "b", "c"}] * 40 + [{"a", "b", "d"}] * 30 + [{"x", "y"}] * 3 + [{"z"}] + [{"x", "q", "r"}]
+    rows = [(i, t, 1 / math.sqrt(len(s))) for i, s in enumerate(sets) for t in sorted(s)]
+    w = spark.createDataFrame(rows, "id long, term string, w double")
+    members, classes = text.similar_classes(w, 0.6)
+    assert members.count() == len(sets) and sorted((r.a, r.b) for r in classes.collect()) == [(0, 0), (0, 40), (40, 40), (70, 70), (73, 73), (74, 74)]
+    want = {(i, j): len(sets[i] & sets[j]) / math.sqrt(len(sets[i]) * len(sets[j])) for i in range(len(sets)) for j in range(i + 1, len(sets))}
+    got = text.similar_pairs(w, 0.6, heavy=7).collect()
+    assert sorted((r.a, r.b, round(r.score, 9)) for r in got) == sorted((a, b, round(s, 9)) for (a, b), s in want.items() if s > 0.6)
