@@ -165,7 +165,7 @@ def query(sql: str):
 
 def edges_of(spark: SparkSession, sf: str, *relations: str) -> DataFrame:
     """Edges with their metadata and how often each is there."""
-    e = built(spark, sf).graph.edges.filter(F.col("relation").isin(*relations))
+    e = built(spark, sf).graph.related(*relations)
     return e.groupBy("src", "dst", "relation", "layer", "d_scope", "f_call", "c_type").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -314,3 +314,51 @@ def test_folders_are_written_without_a_sort(spark, tmp_path):
     storage.by_folder(rows.filter("layer < 'L2'"), str(tmp_path / "few"), "layer")
     assert spark.read.parquet(str(tmp_path / "many")).count() == 1000 and spark.conf.get(key) == before
     assert sorted(r.id for r in spark.read.parquet(str(tmp_path / "few")).collect()) == sorted(r.id for r in rows.filter("layer < 'L2'").collect())
+
+
+def test_relations_take_only_their_steps(spark):
+    """A query on some relations or layers of a built graph resolves no others, and gives what the whole graph has of them."""
+    from codeloom.plans.build import build
+
+    texts = {"a.py": "class A:\n    def run(self):\n        return 1\n", "b.py": "from a import A\n\n\nclass B(A):\n    def go(self):\n        return self.run()\n", "p.proto": "service S { rpc R(Q) returns (P); }\n"}
+    files = spark.createDataFrame([("", p, "." + p.split(".")[1], bytearray(t.encode())) for p, t in texts.items()], "repo string, path string, ext string, content binary")
+    g = build(files, semantic=False)
+    rows = lambda df: sorted((r.src, r.dst, r.relation, r.layer) for r in df.collect())
+    some = rows(g.related("CONTAINS", "DEFINES_RPC"))
+    assert some and not {"hierarchy", "called", "produced", "requests", "uses", "edges"} & set(g.kept)
+    extends, syntax = rows(g.related("EXTENDS")), rows(g.layered("Lsyn", "Lcontract"))
+    assert ("b.py:B", "a.py:A", "EXTENDS", "Ldep") in extends and not {"called", "requests", "edges"} & set(g.kept)
+    whole = rows(g.edges)
+    assert any(r[2] == "CALLS" and r[1] == "a.py:A.run" for r in whole)
+    assert some == [r for r in whole if r[2] in ("CONTAINS", "DEFINES_RPC")] and extends == [r for r in whole if r[2] == "EXTENDS"]
+    assert syntax == [r for r in whole if r[3] in ("Lsyn", "Lcontract")] == rows(g.layered("Lsyn", "Lcontract"))
+
+
+def test_dense_blocks_come_from_arrow_buffers(spark):
+    import numpy as np
+    import pyarrow as pa
+
+    from codeloom.operators.dense import block_of, dense_pairs
+
+    ids, matrix = block_of(pa.array([1, 2, 3]).slice(1), pa.array([[9.0, 9.0], [1.0, 2.0], [3.0, 4.0]]).slice(1))
+    assert ids.tolist() == [2, 3] and matrix.tolist() == [[1.0, 2.0], [3.0, 4.0]]
+    assert block_of(pa.array([1, 2]), pa.array([[], []], pa.list_(pa.float64())))[1].shape == (2, 0)
+    v = np.random.default_rng(5).normal(size=(60, 7))
+    df = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(v)], "id long, v array<double>")
+    got = {(r.a, r.b): r.score for r in dense_pairs(df, "id", "v", 2.0, block=8).collect()}
+    dots = v @ v.T
+    assert got.keys() == {(i, j) for i in range(60) for j in range(i + 1, 60) if dots[i, j] >= 2.0}
+    assert all(abs(s - dots[k]) < 1e-9 for k, s in got.items())
+
+
+def test_look_ups_build_no_index(spark, monkeypatch):
+    from codeloom.operators.grams import GramIndex
+    from codeloom.plans import answers
+
+    def built(*args, **kwargs):
+        raise AssertionError("an index of all nodes was built")
+
+    monkeypatch.setattr(GramIndex, "of", staticmethod(built))
+    monkeypatch.setattr(commerce, "kept", built)
+    got = {r.part: r.id for r in answers.lookup_fuzzy(spark, "/root/testdata/sf0.001").collect()}
+    assert got["C:1"] == "C:1" and "zzz" not in got
