@@ -13,6 +13,12 @@ from pyspark.sql import functions as F
 BLOCK = 512
 
 
+def block_of(ids: pa.Array, vectors: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and the matrix of their vectors from Arrow's buffers, without a Python object for each number."""
+    flat = vectors.flatten().to_numpy(zero_copy_only=False)
+    return ids.to_numpy(zero_copy_only=False), flat.reshape(len(ids), len(flat) // max(1, len(ids)))
+
+
 def dense_pairs(rows: DataFrame, id_col: str, vector_col: str, threshold: float, block: int = BLOCK) -> DataFrame:
     """(a, b, score), a < b, of vectors whose dot product is at least threshold.
 
@@ -29,9 +35,9 @@ def dense_pairs(rows: DataFrame, id_col: str, vector_col: str, threshold: float,
     def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
-                i, j, li, lv, ri, rv = (batch.column(c)[row].as_py() for c in range(6))
-                li, ri = np.array(li, np.int64), np.array(ri, np.int64)
-                scores = np.array(lv, float) @ np.array(rv, float).T
+                i, j = batch.column(0)[row].as_py(), batch.column(1)[row].as_py()
+                (li, lv), (ri, rv) = (block_of(batch.column(c)[row].values, batch.column(c + 1)[row].values) for c in (2, 4))
+                scores = lv @ rv.T
                 x, y = np.nonzero(scores >= threshold)
                 keep = li[x] < ri[y] if i == j else li[x] != ri[y]
                 x, y = x[keep], y[keep]
