@@ -252,6 +252,54 @@ def test_files_are_dealt_to_all_cores(spark):
     assert facts.filter("kind = 'loc'").count() == 200
 
 
+def test_large_files_are_dealt_apart(spark):
+    from codeloom.extract.facts import extract_facts
+
+    files = spark.createDataFrame([("", f"m{i}.py", bytearray(b"x = 1\n" * (1 if i % 7 else 500))) for i in range(100)], "repo string, path string, content binary").coalesce(1)
+    facts = extract_facts(files).filter("kind = 'loc'").withColumn("part", F.spark_partition_id())
+    assert facts.count() == 100
+    assert max(r["count"] for r in facts.filter("n = 500").groupBy("part").count().collect()) == 1
+
+
+PIECES = {
+    "class": "# é\n\"\"\"Doc.\"\"\"\nimport a\n\n\nclass A(B, metaclass=M):\n    '''Doc'''\n\n" + "".join(f"    @mark('/{i}', methods=['GET'])\n    def f{i % 5}(self, x: T):\n        y = g(x)\n        self.h('é')\n        return y\n\n" for i in range(30)) + "    z = 'ß'  # end\n\n# after\nif A:\n    f(A)\n",
+    "functions": "".join(f"@mark\n\ndef f{i}(x):\n    return x\n\n\n" if i == 3 else f"async def f{i}(x):\n    return x\n\n\n" for i in range(30)),
+    "text": "def a():\n    return 1\n\n" * 9 + "x = \"\"\"\n\nclass B:\n    pass\n\ndef b(): pass\n\"\"\"\n\ndef c():\n    return x\n",
+    "brackets": "def a():\n    return 1\n\n" * 9 + "x = (\n\ndef c():\n    return x\n",
+    "generic": "class A[T: B](C):\n\n" + "    class D:\n        x = 1\n\n" * 9 + "    def f(self): return T\n\ndef last(): pass\n",
+}
+
+
+@pytest.mark.parametrize("name", PIECES)
+def test_large_sources_are_parsed_by_pieces(name, monkeypatch):
+    import ast
+
+    from codeloom.extract import emit, python
+
+    text, sizes, parse = PIECES[name], [], ast.parse
+
+    def facts(size):
+        e = emit.Emitter("r", "a.py", pack=list)
+        sizes.clear()
+        try:
+            python.extract(e, text, size)
+        except SyntaxError:
+            return None
+        return sorted([r for rows in [*e.packed, e.rows] for r in rows], key=lambda r: r[4])
+
+    monkeypatch.setattr(python.ast, "parse", lambda t: sizes.append(len(t)) or parse(t))
+    want = facts(1 << 40)
+    assert sizes == [len(text)] and (want is None) == (name == "brackets")
+    assert facts(150) == want
+    if name in ("class", "generic"):
+        assert len(sizes) > 1 and max(sizes) < 400
+    monkeypatch.setattr(emit, "BATCH", 10)
+    e = emit.Emitter("r", "a.py", pack=list)
+    if want is not None:
+        python.extract(e, text, 150)
+        assert len(e.rows) < 10 and len(e.packed) == len(want) // 10
+
+
 def test_homes_hold_their_stems(spark):
     from codeloom.operators import heal
 
