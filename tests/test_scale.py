@@ -300,6 +300,27 @@ def test_large_sources_are_parsed_by_pieces(name, monkeypatch):
         assert len(e.rows) < 10 and len(e.packed) == len(want) // 10
 
 
+@pytest.mark.parametrize("common", [0, 3, 40, 1 << 17])
+def test_heaviest_terms_move_few_postings(spark, tmp_path, monkeypatch, common):
+    import duckdb
+
+    rng = random.Random(3)
+    texts = [" ".join(f"{rng.choice('ABcd')}{min(int(rng.expovariate(0.05)), 99)}" for _ in range(rng.randint(1, 120))) for _ in range(150)]
+    texts += ["", None, "!? é", "x" * 70, "x" * 70 + " y y", " ".join(f"only{i}" for i in range(9)), "same1 same2 same3 same4"]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(7, "c1 c1 d2 twice"), (7, None), (None, "c1 lost"), (8, "A1")]
+    rows = rows if common == 3 else rows[: len(texts)] + [(None, "c1 lost")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    docs, made, inner = spark.read.parquet(str(tmp_path / "documents.parquet")), {}, text.stored
+    monkeypatch.setattr(text, "stored", lambda df, name: made.setdefault(name, inner(df, name)))
+    got = text.heaviest_terms(docs, commerce.word_tokens(F.col("text")), 3, "doc_id", common=common)
+    want = duckdb.sql(f"WITH documents AS (FROM '{tmp_path}/documents.parquet/*.parquet'), {commerce.ORACLES['tfidf_topk'].removeprefix('WITH ')}").fetchall()
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want) and len(want) > 300
+    assert ("merged" in made) == (common == 3)
+    if common == 1 << 17:  # all terms but one of 70 characters are common, and few postings go on
+        postings = docs.select(F.explode(F.array_distinct(commerce.word_tokens(F.col("text"))))).count()
+        assert made["weighed"].filter("w is null").count() == 2 and made["weighed"].count() < postings / 5
+
+
 def test_homes_hold_their_stems(spark):
     from codeloom.operators import heal
 
