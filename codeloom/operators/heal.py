@@ -43,14 +43,14 @@ def missing(g: Graph) -> DataFrame:
 
 def renamed(g: Graph) -> DataFrame:
     """Client calls to a service that has no such rpc."""
-    rows = g.unresolved.join(valid_rpcs(g.facts), "service").join(g.nodes.select(F.col("id").alias("caller"), "file"), "caller", "left")
+    rows = g.unresolved.join(valid_rpcs(g.table.having("rpc")), "service").join(g.nodes.select(F.col("id").alias("caller"), "file"), "caller", "left")
     return _rows(rows, "RENAMED_RPC", "CRITICAL", service=F.col("service"), caller=F.col("caller"), file=F.col("file"), ctx=F.col("ctx"), old=F.col("method"), valid=F.col("valid"))
 
 
 def dangling_calls(g: Graph) -> DataFrame:
     """Calls through a variable that is bound to a service, or has a client's name while there is one service, whose
     method no rpc matches in any case. One for each file and method."""
-    f = g.facts
+    f = g.table.having("client_var", "service", "attr_call", "rpc")
     bound = f.filter("kind = 'client_var'").select("ctx", F.col("a").alias("var"), F.col("b").alias("bound")).distinct()
     only = f.filter("kind = 'service'").select(F.col("a").alias("service")).distinct().agg(F.count(F.lit(1)).alias("n"), F.min("service").alias("only"))
     calls = f.filter("kind = 'attr_call'").select("ctx", F.col("a").alias("caller"), F.col("b").alias("var"), F.col("c").alias("method"))

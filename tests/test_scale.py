@@ -431,3 +431,80 @@ def test_look_ups_build_no_index(spark, monkeypatch):
     monkeypatch.setattr(commerce, "kept", built)
     got = {r.part: r.id for r in answers.lookup_fuzzy(spark, "/root/testdata/sf0.001").collect()}
     assert got["C:1"] == "C:1" and "zzz" not in got
+
+
+FAMILY_TEXTS = {
+    "a.py": "import os, flask as fl\nfrom .b import C as D\n\n\nclass A(D, metaclass=M):\n    \"\"\"Doc.\"\"\"\n\n    @app.route('/x', methods=['GET'])\n    async def run(self, x: T = f(1), *a, **k) -> g(2):\n        stub = pb.ApiStub(chan)\n        y: int = stub.Get(x)\n        y += h(lambda z: q(z))\n        if x:\n            return y\n        elif r(x):\n            requests.get('http://h/p')\n        else:\n            def inner(): return super().run(y)\n        return [u(v) for v in y if (w := y)]\n",
+    "b.py": "def f(x):\n    match g(x):\n        case P(a=1) if h(x):\n            import late\n            y = x\n        case _:\n            pass\n    try:\n        with o(x) as (p, q):\n            for i in p:\n                yield k(i)\n    except* E as e:\n        return e\n    return x\n\n\nclass G(api.ApiServicer):\n    def Get(self, request, context):\n        return request\n",
+    "bad.py": "def (:\n",
+    "s.go": "package main\nimport \"fmt\"\ntype S struct{}\nfunc (s *S) Run(x int) int {\n  y := x\n  fmt.Println(y)\n  return y\n}\n",
+    "p.proto": "service Api { rpc Get(Q) returns (P); }\n",
+    "m.js": "import { a } from './b';\nconst c = new ApiClient('x');\nfunction f(x) { let y = a(x); c.get(y); return y; }\n",
+}
+
+
+def test_families_of_facts_are_those_of_one_pass(spark):
+    """Facts that are extracted apart are, with their numbers, the facts of one pass over the sources; none is made twice."""
+    from codeloom.extract.facts import file_facts
+    from codeloom.plans.build import DECLARED, FAMILIES, FAMILY, STEPS
+
+    for path, text in FAMILY_TEXTS.items():
+        whole = file_facts("r", path, text.encode())[1]
+        assert len(set(map(str, whole))) == len(whole) > 1
+        assert {r[7] if r[3] == "edge" else r[3] for r in whole} <= FAMILY.keys()
+        apart = [file_facts("r", path, text.encode(), None, frozenset(kinds))[1] for kinds in FAMILIES.values()]
+        assert all((r[7] if r[3] == "edge" else r[3]) in kinds for rows, kinds in zip(apart, FAMILIES.values()) for r in rows)
+        assert sorted(str(r) for rows in apart for r in rows) == sorted(map(str, whole))
+    assert not {r for made in DECLARED.values() for r in made} & {r for _, made in STEPS.values() for r in made}
+
+
+def test_queries_extract_the_facts_that_they_need(spark, monkeypatch):
+    from codeloom.plans import build
+
+    asked, inner = [], build.extract_facts
+    monkeypatch.setattr(build, "extract_facts", lambda files, want=None: asked.append(want) or inner(files, want))
+    files = spark.createDataFrame([("", p, "." + p.split(".")[1], bytearray(t.encode())) for p, t in FAMILY_TEXTS.items() if p != "m.js"], "repo string, path string, ext string, content binary")
+    rows = lambda df: sorted(map(str, df.collect()))
+    g = build.build(files, semantic=False, by_need=True)
+    assert not asked
+    some = {"contains": rows(g.related("CONTAINS")), "imports": rows(g.related("IMPORTS")), "extends": rows(g.related("EXTENDS"))}
+    assert len(asked) == 1 and not {"node", "call", "literal_call", "DEFINES", "USES"} & set(asked[0])
+    assert g.table.having("loc").filter("kind = 'loc'").count() == 3 and len(asked) == 1
+    some["http"] = rows(g.related("HTTP_CALLS", "DEFINES_RPC"))
+    assert len(asked) == 2 and set(asked[1]) == {"literal_call", "http_call"}
+    some["flow"], some["syntax"] = rows(g.related("DEFINES", "RETURNS")), rows(g.layered("Lsyn", "Lcontract"))
+    assert len(asked) == 4
+    whole = build.build(files, semantic=False)
+    assert asked[4:] == [None] and all(some.values())
+    of = lambda *names: rows(whole.edges.filter(F.col("relation").isin(*names)))
+    assert some == {"contains": of("CONTAINS"), "imports": of("IMPORTS"), "extends": of("EXTENDS"), "http": of("HTTP_CALLS", "DEFINES_RPC"), "flow": of("DEFINES", "RETURNS"), "syntax": rows(whole.edges.filter("layer in ('Lsyn', 'Lcontract')"))}
+    assert rows(g.edges) == rows(whole.edges) and len(asked) == 6
+    script = spark.createDataFrame([("", p, "." + p.split(".")[1], bytearray(t.encode())) for p, t in FAMILY_TEXTS.items()], files.schema)
+    assert rows(build.build(script, semantic=False, by_need=True).related("IMPORTS")) == rows(build.build(script, semantic=False).edges.filter("relation = 'IMPORTS'"))
+
+
+def test_deep_expressions_lose_no_file():
+    from codeloom.extract.facts import file_facts
+
+    deep = "def f(x):\n    y = " + " + ".join(["g(x)"] * 1500) + "\n    if x:\n        h(x)\n" + "".join(f"    elif x == {i}:\n        h{i}(x)\n" for i in range(1500)) + "    else:\n        last(x)\n    return x" + ".a" * 1500 + "()\n"
+    rows = file_facts("", "a.py", deep.encode())[1]
+    called = [r[6] for r in rows if r[3] == "call"]
+    assert not [r for r in rows if r[3] == "problem"]
+    assert called == ["g"] * 1500 + ["h", *(f"h{i}" for i in range(1500)), "last", "x" + ".a" * 1500]
+    assert [r[3] for r in file_facts("", "a.py", deep.encode(), None, frozenset(("loc", "symbol")))[1]] == ["loc", "symbol"]
+
+
+def test_resolution_stores_what_its_facts_need(spark, monkeypatch):
+    """Flat hierarchies take no rounds, bases are resolved once, and routes of decorators look for no handlers."""
+    from codeloom.plans import build
+
+    made, inner = [], resolve.stored
+    for module in (resolve, build):
+        monkeypatch.setattr(module, "stored", lambda df, name: made.append(name) or inner(df, name))
+    flat = resolve.ancestors(known_of(spark, {"a": ["b", "c"], "d": ["d", "b"]}))
+    assert not made and {(r["class"], r.base, r.path) for r in flat.collect()} == {*((x, x, "") for x in "abcd"), ("a", "b", "0000000000."), ("a", "c", "0000000001."), ("d", "b", "0000000001.")}
+    files = spark.createDataFrame([("", p, ".py", bytearray(FAMILY_TEXTS[p].encode())) for p in ("a.py", "b.py")] + [("", "c.py", ".py", bytearray(b"import requests\n\n\ndef c():\n    requests.get('http://h/x')\n"))], "repo string, path string, ext string, content binary")
+    g = build.build(files, semantic=False, by_need=True)
+    assert [(r.src, r.dst) for r in g.related("HTTP_CALLS").collect()] == [("c.py:c", "a.py:A.run")] and made == ["facts", "requested"]
+    assert {(r.src, r.dst) for r in g.related("EXTENDS").collect()} == {("a.py:A", "symbol::D"), ("b.py:G", "symbol::api.ApiServicer")}
+    assert sorted(made) == sorted(["facts", "requested", "symbols", "modules", "imports", "bases"])
