@@ -8,11 +8,16 @@ round to the shared folder.
 from __future__ import annotations
 
 import functools
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from codeloom.functions.text import approx_tokens, service_of
 from codeloom.storage import ROW_GROUP, clustered, running, shared_dir, stored
@@ -247,14 +252,58 @@ def explain(edges: DataFrame) -> DataFrame:
 
 def explain_pages(edges: DataFrame, size: int = 1000) -> DataFrame:
     """explain() in bounded rows: (id, section, page, items) with items of (other, relation, similarity) in the section's order,
-    `size` to a page from 0. A hub's section is ranked by range partitions, so neither a task nor a row holds it whole."""
+    `size` to a page from 0. Rows are moved once, by ranges, and pages are cut from them as they come, so neither a task nor a row holds
+    a hub's section whole."""
     way = lambda name, layer, own, other: edges.filter(F.col("layer") == layer).select(F.col(own).alias("id"), F.lit(name).alias("section"), F.col(other).alias("other"), "relation", F.when(F.lit(layer == "Lsem"), F.col("c_type")).alias("similarity"), "edge_id")
     sections = [way("parents", "Lsyn", "dst", "src"), way("children", "Lsyn", "src", "dst"), way("outward_calls", "Ldep", "src", "dst"), way("inward_callers", "Ldep", "dst", "src"), way("variables", "Lflow", "src", "dst"), way("similar", "Lsem", "src", "dst")]
     rows = functools.reduce(DataFrame.unionByName, sections).withColumn("least", -F.coalesce("similarity", F.lit(0.0)))
-    ranked = running(rows, ["id", "section"], ["least", "other", "relation", "edge_id"], F.lit(1), "place")
-    item = F.struct("place", "other", "relation", "similarity")
-    paged = ranked.groupBy("id", "section", F.floor((F.col("place") - 1) / size).cast("int").alias("page")).agg(F.array_sort(F.collect_list(item)).alias("items"))
-    return paged.withColumn("items", F.transform("items", lambda x: F.struct(x["other"].alias("other"), x["relation"].alias("relation"), x["similarity"].alias("similarity"))))
+    keys = ["id", "section", "least", "other", "relation", "similarity"]
+    made = stored(cut_pages(rows.repartitionByRange(*keys).sortWithinPartitions(*keys), size), "pages")
+    # Only a section that ends a range of rows can go on in the next one; its pieces are counted on from range to range.
+    ends = made.groupBy("task").agg(F.min_by(F.struct("id", "section"), "seq").alias("first"), F.max_by(F.struct("id", "section"), "seq").alias("last"))
+    shared = F.broadcast(ends.select(F.explode(F.array("first", "last")).alias("k")).select("k.*").distinct())  # two for each task
+    same = lambda other: made["id"].eqNullSafe(other["id"]) & (made["section"] == other["section"])
+    whole = made.join(shared, same(shared), "left_anti").select("id", "section", "page", "items")
+    pieces = running(made.join(shared, same(shared), "left_semi"), ["id", "section"], ["task", "seq"], F.size("items").cast("long"), "upto")
+    each = pieces.select("id", "section", F.posexplode("items").alias("at", "item"), (F.col("upto") - F.size("items")).alias("before")).withColumn("place", F.col("before") + F.col("at"))
+    joined = each.groupBy("id", "section", F.floor(F.col("place") / size).cast("int").alias("page")).agg(F.array_sort(F.collect_list(F.struct("place", "item"))).alias("items"))
+    return whole.unionByName(joined.withColumn("items", F.transform("items", lambda x: x["item"])))
+
+
+def cut_pages(rows: DataFrame, size: int) -> DataFrame:
+    """(task, seq, id, section, page, items) of rows that tasks hold in order: each section of a task cut into pages of `size`, counted from
+    its first row there. A task holds a batch of rows and the page that is not full."""
+    items = T.ArrayType(T.StructType([T.StructField(c, rows.schema[c].dataType) for c in ("other", "relation", "similarity")]))
+    schema = T.StructType([T.StructField("task", T.IntegerType()), T.StructField("seq", T.LongType()), *(rows.schema[c] for c in ("id", "section")), T.StructField("page", T.IntegerType()), T.StructField("items", items)])
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, seq, waiting, skip = TaskContext.get().partitionId(), 0, None, 0
+
+        def cut(table: pa.Table, last: bool) -> tuple[pa.RecordBatch, pa.Table, int]:
+            code = lambda c: table.column(c).dictionary_encode(null_encoding="encode").indices.to_numpy()
+            n, cols = table.num_rows, [code(c) for c in ("id", "section")]
+            new = np.append(True, np.any([c[1:] != c[:-1] for c in cols], axis=0))
+            place = np.arange(n) - np.maximum.accumulate(np.where(new, np.arange(n), 0))
+            place += np.where(np.cumsum(new) == 1, skip, 0)  # rows of the first section that went before
+            starts = np.nonzero(new | (place % size == 0))[0]
+            full = n if last else starts[-1]
+            ends = np.append(starts if last else starts[:-1], full)
+            at = pa.array(ends[:-1])
+            item = pa.StructArray.from_arrays([table.column(c).slice(0, full) for c in ("other", "relation", "similarity")], ["other", "relation", "similarity"])
+            out = [pa.array(np.full(len(at), task)), pa.array(np.arange(seq, seq + len(at))), table.column("id").take(at), table.column("section").take(at), pa.array(place[ends[:-1]] // size), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), item)]
+            return pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(out, arrow)], schema=arrow), table.slice(starts[-1]), int(place[starts[-1]])
+
+        for batch in batches:
+            if batch.num_rows:
+                table = pa.RecordBatch.from_struct_array(pa.concat_arrays([x.to_struct_array() for x in (waiting, batch) if x is not None]))
+                done, waiting, skip = cut(table, False)
+                seq += done.num_rows
+                yield done
+        if waiting is not None:
+            yield cut(waiting, True)[0]
+
+    return rows.select("id", "section", "other", "relation", "similarity").mapInArrow(run, schema)
 
 
 def explain_counts(edges: DataFrame) -> DataFrame:
